@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from courtside.llm import bpe, token_counts
+from courtside.llm import bpe, exact_dedup, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +22,32 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document, over 64 shards."""
+    return sharding.place(_documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(64)])
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.simhash_groups(_documents(spark, sf_dir))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document; two thirds of the rows stand for two stored snapshots, the rest for the new batch."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir), F.when(part < 2, part))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_bpe": op2_bpe,
+    "op5_sharding": op5_sharding,
+    "op6_simhash_groups": op6_simhash_groups,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+        k AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
+}
