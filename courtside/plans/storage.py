@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -23,3 +24,13 @@ def saved(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a few short columns that may be broadcast: under 50 MB at 50 bytes a row.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written once and counted: marked for broadcast if it has ``most_rows`` rows at most, else as it is, so that the join shuffles."""
+    kept = saved(df)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
