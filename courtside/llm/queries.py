@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import bpe, exact_dedup, sharding, simhash, token_counts
+from courtside.llm import bpe, chat, decontaminate, exact_dedup, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that a document holds: doc_id, item_id, similarity and where its best window begins."""
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, with the message it answers, its thread and its depth."""
+    return chat.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document, over 64 shards."""
     return sharding.place(_documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(64)])
@@ -41,6 +51,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op4_quotation_threads": op4_quotation_threads,
     "op5_sharding": op5_sharding,
     "op6_simhash_groups": op6_simhash_groups,
     "op9_exact_dedup": op9_exact_dedup,
