@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import bpe, chat, decontaminate, exact_dedup, sharding, simhash, token_counts
+import corpus_pipeline
+from courtside.llm import bpe, chat, decontaminate, exact_dedup, language_id, quality, sharding, simhash, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,37 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: its text, its source as the host and the language section of that as the path."""
+    learn_from = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    return quality.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"), learn_from=learn_from)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and every page: text, and for pages what markup and address declare, and host priors."""
+    docs = _documents(spark, sf_dir)
+    learn = docs.where(F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    langs, table = language_id.likelihoods(learn, "lang", "text")
+    none = F.lit(None).cast("string")
+    texts = docs.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"), F.col("source").alias("domain"))
+    host, html = language_id.host_of(F.col("url")), F.col("html")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.lit(None).cast("bigint").alias("doc_id"),
+        F.col("page_id").cast("bigint").alias("page_id"),
+        language_id.markup_text(html).alias("text"),
+        language_id.declared_language(html).alias("declared"),
+        language_id.address_suffix(F.col("url"), langs).alias("suffix"),
+        host.alias("host"),
+        F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+    )
+    return language_id.identify(texts.unionByName(pages), ["doc_id", "page_id"], langs, table)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document; two thirds of the rows stand for two stored snapshots, the rest for the new batch."""
     part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
@@ -55,7 +87,11 @@ QUERIES = {
     "op4_quotation_threads": op4_quotation_threads,
     "op5_sharding": op5_sharding,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": r"""
