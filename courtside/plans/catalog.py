@@ -1,10 +1,655 @@
-"""Every registered query of the library, with the SQL that checks it."""
+"""Every registered query of the library, with the SQL that checks it.
+
+Queries run operators over whole tables, bound to the star schema by the views of :mod:`courtside.plans.bind`. Doubles
+are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courtside.functions import boxscore, names, scalars
+from courtside.operators import aggregates, identity, mart, normalize, quality, scoring, windows
+from courtside.plans import bind, model
+from courtside.sources import ingest, pages
+from courtside.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+PERF, RATED, GAMES, PROFILES = (bind.duckdb_sql(x) for x in (bind.PERF, bind.RATED, bind.GAMES, bind.PROFILES))
+ROW = "game_date, game_id, line_no, part_id, squad_id, price"
+ROW_DESC = ", ".join(f"{c} DESC" for c in ROW.split(", "))
+
+
+def r(expression: str, name: str) -> str:
+    """A rounded column of a check."""
+    return f"floor(CAST({expression} AS DOUBLE) * 1e6 + 0.5001e0) / 1e6 AS {name}"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six places; the bound lies a little below the half, which exact quotients often hit."""
+    return df.select(*[(F.floor(F.col(c) * 1e6 + 0.5001) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its check."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- per-event statistics ---------------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT game_id, line_no, part_id, squad_id, price,
+  {r("points / nullif(2 * (fga + 0.44 * fta), 0)", "true_shooting")}, {r("(fgm + 0.5 * fg3m) / nullif(fga, 0)", "effective_fg")},
+  {r("tov / nullif(fga + 0.44 * fta + tov, 0)", "turnover_rate")}, {r("fta / nullif(CAST(fga AS DOUBLE), 0)", "free_throw_rate")},
+  {r("CASE WHEN tov = 0 THEN nullif(CAST(ast AS DOUBLE), 0) ELSE ast / CAST(tov AS DOUBLE) END", "assist_turnover")},
+  {r("100.0 * points / nullif(fga + 0.44 * fta + tov, 0)", "offensive_rating")}, {r("per", "efficiency_rating")}, {r("usg", "usage")},
+  {r("per * minutes / 4000", "win_shares")}, {r("per * minutes / 4000 * 36 / nullif(minutes, 0)", "win_shares_36")}, {r("points * 36 / nullif(minutes, 0)", "points_36")},
+  {r("coalesce(100.0 * fgm / nullif(fga, 0), 0)", "field_goal_pct")}, {r("coalesce(100.0 * ftm / nullif(fta, 0), 0)", "free_throw_pct")}
+FROM ({RATED})""")
+def p36_advanced_stats(spark, sf_dir):
+    """P25-P32, P35-P37 and P22 on every event row."""
+    out = boxscore.advanced()
+    return bind.view(spark, sf_dir, bind.PERF).select("game_id", "line_no", "part_id", "squad_id", "price", *[v.alias(k) for k, v in out.items()])
+
+
+@query(f"""
+WITH p AS (SELECT *, squad_id % 2 AS side FROM ({PERF})),
+t AS (SELECT game_id, side, sum(fga + 0.44 * fta + tov) AS poss, sum(minutes) AS mins, sum(orb) AS orb, sum(drb) AS drb FROM p GROUP BY ALL)
+SELECT p.game_id, p.line_no, p.part_id, p.squad_id, p.price, {r("100 * (p.fga + 0.44 * p.fta + p.tov) * t.mins / 5 / nullif(p.minutes * t.poss, 0)", "usage_full")},
+  {r("p.orb / nullif(CAST(t.orb + coalesce(o.drb, 0) AS DOUBLE), 0)", "orb_rate")}, {r("p.drb / nullif(CAST(t.drb + coalesce(o.orb, 0) AS DOUBLE), 0) * t.mins / nullif(5 * p.minutes, 0)", "drb_rate")}
+FROM p JOIN t ON p.game_id = t.game_id AND p.side = t.side LEFT JOIN t o ON p.game_id = o.game_id AND o.side = 1 - p.side""")
+def p33_team_rates(spark, sf_dir):
+    """Usage and rebound rates against the team's and the opponent's totals in the game."""
+    p = bind.view(spark, sf_dir, bind.PERF).withColumn("side", F.col("squad_id") % 2)
+    c = F.col
+    t = p.groupBy("game_id", "side").agg(F.sum(boxscore.possessions(c("fga"), c("fta"), c("tov"))).alias("t_poss"), F.sum("minutes").alias("t_min"), F.sum("orb").alias("t_orb"), F.sum("drb").alias("t_drb"))
+    o = t.select("game_id", (1 - c("side")).alias("side"), c("t_orb").alias("o_orb"), c("t_drb").alias("o_drb"))
+    joined = p.join(t, ["game_id", "side"]).join(o, ["game_id", "side"], "left").fillna(0, ["o_orb", "o_drb"])
+    return joined.select(
+        *["game_id", "line_no", "part_id", "squad_id", "price"],
+        boxscore.usage_of_team(c("fga"), c("fta"), c("tov"), c("minutes"), c("t_poss"), c("t_min")).alias("usage_full"),
+        boxscore.rebound_rate(c("orb"), c("t_orb"), c("o_drb")).alias("orb_rate"),
+        boxscore.rebound_rate(c("drb"), c("t_drb"), c("o_orb"), c("minutes"), c("t_min")).alias("drb_rate"),
+    )
+
+
+PHASE = "CASE o_orderkey % 7 WHEN 0 THEN 'Final Four' WHEN 1 THEN 'Semifinal A' WHEN 2 THEN 'Copa' WHEN 3 THEN 'Supercopa' WHEN 4 THEN 'Playoff' WHEN 5 THEN NULL ELSE o_orderpriority END"
+
+
+@query(f"""
+SELECT CAST(CASE WHEN g LIKE '%supercopa%' THEN 1.2 WHEN g LIKE '%final%' AND g NOT LIKE '%semifinal%' AND g NOT LIKE '%cuartos%' AND g NOT LIKE '%octavos%' THEN 1.5
+  WHEN g LIKE '%play%' OR g LIKE '%eliminatoria%' OR g LIKE '%semifinal%' OR g LIKE '%cuartos%' OR g LIKE '%octavos%' THEN 1.4 WHEN g LIKE '%copa%' THEN 1.3 ELSE 1.0 END AS DOUBLE) AS weight, count(*) AS games, min(o_orderkey) AS first_game
+FROM (SELECT lower({PHASE}) AS g, o_orderkey FROM orders) GROUP BY 1""")
+def p40_match_weights(spark, sf_dir):
+    """Games by the weight of their phase."""
+    return table(spark, sf_dir, "orders").select(scalars.match_weight(F.expr(PHASE)).alias("weight"), "o_orderkey").groupBy("weight").agg(F.count("*").alias("games"), F.min("o_orderkey").alias("first_game"))
+
+
+@query("""
+SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS start, concat(year(o_orderdate) - 1, '/', year(o_orderdate)) AS previous, CAST(year(o_orderdate) * 10000 + year(o_orderdate) + 1 AS INT) AS number,
+  CASE WHEN o_custkey % 7 <> 0 AND year(o_orderdate) - (1960 + o_custkey % 40) BETWEEN 12 AND 50 THEN CAST(year(o_orderdate) - (1960 + o_custkey % 40) AS INT) END AS age,
+  floor(((o_orderkey % 48) + (o_orderkey % 60) / 60e0) * 1e6 + 0.5001e0) / 1e6 AS minutes, CAST(greatest(0.5, round(1 - 0.05 * (2026 - year(o_orderdate)), 6)) AS DOUBLE) AS weight
+FROM orders""")
+def p07_seasons_and_ages(spark, sf_dir):
+    """Seasons, ages and minutes parsed from text."""
+    o = table(spark, sf_dir, "orders")
+    year = F.year("o_orderdate")
+    season = F.concat_ws("/", year, year + 1)
+    clock = F.format_string("%d:%02d", F.col("o_orderkey") % 48, F.col("o_orderkey") % 60)
+    born = F.when(F.col("o_custkey") % 7 != 0, (1960 + F.col("o_custkey") % 40).cast("int"))
+    return o.select(
+        "o_orderkey",
+        scalars.season_start(season).alias("start"),
+        scalars.shifted_season(season, -1).alias("previous"),
+        scalars.season_number(season).alias("number"),
+        scalars.age(born, scalars.season_start(season)).alias("age"),
+        scalars.minutes(clock, F.lit(None)).alias("minutes"),
+        scoring.temporal_weight(scalars.season_start(season)).alias("weight"),
+    )
+
+
+# --- aggregates -------------------------------------------------------------------------------------------------------
+
+SEASON = f"""
+SELECT player_id, season, season_start, competition_id, count(*) AS games, {r("avg(minutes)", "avg_minutes")}, {r("avg(points)", "avg_points")}, {r("avg(efficiency)", "avg_efficiency")}, {r("avg(reb)", "avg_reb")}, {r("avg(ast)", "avg_ast")},
+  {r("coalesce(avg(CASE WHEN fgm > 0 AND fga > 0 THEN 100.0 * fgm / fga END), 0)", "avg_fg_pct")}, {r("avg(CASE WHEN ts > 0 THEN ts END)", "avg_ts")}, {r("avg(CASE WHEN efg > 0 THEN efg END)", "avg_efg")}, {r("avg(CASE WHEN ortg > 0 THEN ortg END)", "avg_ortg")}, {r("avg(CASE WHEN per <> 0 THEN per END)", "avg_per")},
+  CAST(sum(points) AS BIGINT) AS total_points, CAST(sum(reb) AS BIGINT) AS total_reb, CAST(sum(ast) AS BIGINT) AS total_ast, {r("stddev_pop(points)", "std_points")}, {r("stddev_pop(efficiency)", "std_efficiency")},
+  {r("CASE WHEN count(*) >= 3 THEN regr_slope(points, nth) ELSE 0 END", "trend_points")}, {r("avg(CAST(won AS INT)) * 100", "win_pct")}, {r("sum(coalesce(per * minutes / 4000, 0))", "total_win_shares")},
+  min(game_date) AS first_game, max(game_date) AS last_game, {r("avg(season_start - birth_year)", "avg_age")}
+FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season, season_start, competition_id ORDER BY {ROW}) - 1 AS nth FROM ({RATED})) GROUP BY player_id, season, season_start, competition_id"""
+
+
+def _seasons(spark, sf_dir):
+    return aggregates.season_aggregates(bind.view(spark, sf_dir, bind.RATED), ["player_id", "season", "season_start", "competition_id"])
+
+
+@query(SEASON)
+def a20_season_aggregates(spark, sf_dir):
+    """Season aggregates of every player and competition."""
+    return _seasons(spark, sf_dir)
+
+
+TOTALS = aggregates.TOTALS
+METRICS = f"""
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY player_id, team_id, season_start ORDER BY {ROW_DESC}) AS rn FROM ({RATED})),
+b AS (SELECT player_id, team_id, season_start, count(*) AS games, sum(minutes) AS total_minutes, avg(minutes) AS avg_minutes, avg(points) AS avg_points, avg(ortg) AS avg_ortg, avg(per) AS avg_per, avg(ts) AS avg_ts, nullif(avg(usg), 0) AS avg_usg,
+  CASE WHEN var_pop(ortg) > 0 THEN sqrt(var_pop(ortg)) ELSE 0 END AS std_ortg, CASE WHEN var_pop(points) > 0 THEN sqrt(var_pop(points)) ELSE 0 END AS std_points,
+  {", ".join(f"CAST(sum({t}) AS BIGINT) AS total_{t}" for t in TOTALS)},
+  {", ".join(f"nullif(avg(CASE WHEN rn <= {n} THEN {m} END), 0) AS last{n}_{m}" for m in ("points", "ortg") for n in (5, 10))},
+  CASE WHEN count(CASE WHEN rn <= 10 THEN 1 END) >= 2 THEN regr_slope(CASE WHEN rn <= 10 THEN points END, rn) END AS trend_points FROM x GROUP BY ALL),
+t AS (SELECT team_id, season_start, sum(total_points) AS tp, sum(total_minutes) AS tm, avg(avg_ts) AS tt, avg(avg_usg) AS tu FROM b GROUP BY ALL)
+SELECT b.team_id, b.season_start, player_id, games, {r("total_minutes", "total_minutes")}, {", ".join(r(c, c) for c in ("avg_minutes", "avg_points", "avg_ortg", "avg_per", "avg_ts", "avg_usg", "std_ortg", "std_points"))}, {", ".join(f"total_{t}" for t in TOTALS)},
+  {", ".join(r(f"last{n}_{m}", f"last{n}_{m}") for m in ("points", "ortg") for n in (5, 10))}, {r("trend_points", "trend_points")}, {r("-trend_points", "trend_points_forward")},
+  {r("CASE WHEN avg_ortg > 0 AND std_ortg > 0 THEN std_ortg / avg_ortg END", "cv")}, {r("CASE WHEN avg_points > 0 AND std_points > 0 THEN std_points / avg_points END", "cv_points")}, {r("std_ortg / sqrt(games)", "stability")}, {r("last5_points - last10_points", "momentum")},
+  {", ".join(r(f"CASE WHEN total_minutes > 0 THEN total_{t} * 36.0 / total_minutes END", f"{t}_36") for t in TOTALS)},
+  {r("nullif(total_points, 0) / nullif(CAST(tp AS DOUBLE), 0)", "points_share")}, {r("nullif(total_minutes, 0) / nullif(tm, 0)", "minutes_share")}, {r("nullif(avg_ts, 0) / nullif(tt, 0)", "ts_vs_team")}, {r("avg_usg / nullif(tu, 0)", "usage_vs_team")}
+FROM b JOIN t ON b.team_id = t.team_id AND b.season_start = t.season_start"""
+
+
+def _metrics(spark, sf_dir):
+    return aggregates.profile_metrics(bind.view(spark, sf_dir, bind.RATED), ["player_id", "team_id", "season_start"], ["team_id", "season_start"])
+
+
+@query(METRICS)
+def a08_profile_metrics(spark, sf_dir):
+    """Metrics of every player, team and season."""
+    return _metrics(spark, sf_dir)
+
+
+WINS = f"""
+SELECT competition_id, season_start, team_id, count(*) AS games, avg(won) * 100 AS win_pct FROM (
+  SELECT competition_id, season_start, home_id AS team_id, CAST(home_score > away_score AS INT) AS won FROM ({GAMES}) UNION ALL
+  SELECT competition_id, season_start, away_id, CAST(away_score > home_score AS INT) FROM ({GAMES})) GROUP BY ALL HAVING count(*) >= 3"""
+
+
+@query(f"""
+SELECT competition_id, season_start, team_id, games, {r("win_pct", "win_pct")}, {r("CASE WHEN count(*) OVER w < 3 OR stddev_pop(win_pct) OVER w < 0.01 THEN 1 ELSE 1 + 0.06 * tanh(least(greatest((win_pct - avg(win_pct) OVER w) / nullif(stddev_pop(win_pct) OVER w, 0), -2), 2)) END", "strength")}
+FROM ({WINS}) WINDOW w AS (PARTITION BY competition_id, season_start)""")
+def a26_team_strength(spark, sf_dir):
+    """Win percentage and strength factor of every team in a context."""
+    return aggregates.team_strength(aggregates.team_wins(bind.view(spark, sf_dir, bind.GAMES)))
+
+
+@query(f"""
+SELECT player_id, min(game_date) AS first_seen, max(game_date) AS last_seen, count(DISTINCT game_id) AS games, arg_min(birth_year, ({ROW})) FILTER (birth_year IS NOT NULL) AS birth_year, arg_min(team_id, ({ROW})) AS first_team
+FROM ({PERF}) GROUP BY player_id""")
+def a27_entity_fold(spark, sf_dir):
+    """First and last game, distinct games, first known birth year and team."""
+    return aggregates.entity_fold(bind.view(spark, sf_dir, bind.PERF), ["player_id"])
+
+
+@query(f"""
+SELECT name, birth_year, count(*) AS profiles, count(DISTINCT season_start) AS seasons, string_agg(DISTINCT CAST(season_start AS VARCHAR), ',' ORDER BY CAST(season_start AS VARCHAR)) AS season_list, min(season_start) AS first_season, max(season_start) AS last_season
+FROM ({PROFILES}) WHERE trim(name) <> '' GROUP BY name, birth_year""")
+def a29_identity_groups(spark, sf_dir):
+    """Identities by name and birth year."""
+    return aggregates.identity_groups(bind.view(spark, sf_dir, bind.PROFILES), "name", "birth_year")
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, grouping(o_orderpriority) = 1 AS is_total FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def a37_counts_by_status(spark, sf_dir):
+    """Counts of each value with their total."""
+    return aggregates.counts_by(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query(f"""SELECT team_id, count(*) AS n, count(*) FILTER (birth_year IS NULL) AS hits, {r("count(*) FILTER (birth_year IS NULL) / CAST(count(*) AS DOUBLE)", "share")} FROM ({PROFILES}) GROUP BY team_id""")
+def a49_missing_birth_years(spark, sf_dir):
+    """Profiles without a birth year by team."""
+    return aggregates.share_where(bind.view(spark, sf_dir, bind.PROFILES), F.col("birth_year").isNull(), ["team_id"])
+
+
+@query(f"""SELECT competition_id, season_start, team_id, count(DISTINCT player_id) AS members FROM ({PERF}) GROUP BY ALL HAVING count(DISTINCT player_id) >= 5""")
+def a40_team_sizes(spark, sf_dir):
+    """Teams with at least five players in a season."""
+    return aggregates.distinct_members(bind.view(spark, sf_dir, bind.PERF), ["competition_id", "season_start", "team_id"], "player_id", 5)
+
+
+@query(f"""SELECT player_id, count(DISTINCT game_id) AS games FROM ({PERF}) GROUP BY 1 HAVING count(DISTINCT game_id) >= 10 ORDER BY 2 DESC, 1 LIMIT 5""")
+def a46_most_played(spark, sf_dir):
+    """The five players with the most games."""
+    return aggregates.most_played(bind.view(spark, sf_dir, bind.PERF), "player_id")
+
+
+@query(f"""
+SELECT player_id, {ROW}, points, {r("z", "z")} FROM (SELECT player_id, {ROW}, points, count(*) OVER w AS n, (points - avg(points) OVER w) / nullif(stddev_pop(points) OVER w, 0) AS z FROM ({PERF}) WINDOW w AS (PARTITION BY player_id)) WHERE n >= 3 AND abs(z) > 2.5""")
+def a47_outlier_games(spark, sf_dir):
+    """Games far from a player's mean."""
+    return aggregates.outlier_events(bind.view(spark, sf_dir, bind.PERF), ["player_id"])
+
+
+# --- normalisation ----------------------------------------------------------------------------------------------------
+
+Z = ["points", "efficiency", "reb"]
+STATS = "SELECT level, season_start, " + ", ".join(f"CASE WHEN stddev_pop(CASE WHEN minutes >= 10 THEN {m} END) > 0 THEN avg(CASE WHEN minutes >= 10 THEN {m} END) ELSE 0 END AS {m}_mean, CASE WHEN stddev_pop(CASE WHEN minutes >= 10 THEN {m} END) > 0 THEN stddev_pop(CASE WHEN minutes >= 10 THEN {m} END) ELSE 1 END AS {m}_std" for m in Z) + f" FROM ({PERF}) GROUP BY level, season_start"
+
+
+@query(f"""SELECT level, season_start, {", ".join(r(f"{m}_{s}", f"{m}_{s}") for m in Z for s in ("mean", "std"))} FROM ({STATS})""")
+def a21_context_stats(spark, sf_dir):
+    """Statistics of every level and season."""
+    return normalize.context_stats(bind.view(spark, sf_dir, bind.PERF), ["level", "season_start"], Z)
+
+
+@query(f"""SELECT player_id, {ROW}, {", ".join(r(f"({m} - {m}_mean) / {m}_std", f"z_{m}") for m in Z)}, {r("points - avg(points) OVER (PARTITION BY p.level, p.season_start)", "points_diff")} FROM ({PERF}) p JOIN ({STATS}) s ON p.level = s.level AND p.season_start = s.season_start""")
+def a22_normalised_events(spark, sf_dir):
+    """Z-scores and differences from the context for every row."""
+    out = normalize.normalised(bind.view(spark, sf_dir, bind.PERF), ["level", "season_start"], Z)
+    return windows.context_difference(out, ["level", "season_start"], ["points"]).select("player_id", *aggregates.ORDER, *[f"z_{m}" for m in Z], "points_diff")
+
+
+def _leveled(spark, sf_dir):
+    p = bind.view(spark, sf_dir, bind.PERF)
+    return p, p.groupBy("player_id", "season_start", "level").agg(F.avg("points").alias("avg_points"))
+
+
+@query(f"""
+SELECT player_id, season_start, level, {r("avg_points", "avg_points")}, {r("z", "z")}, CAST(len(list_filter({normalize.CUTS!r}, lambda t: z >= t)) AS INT) AS percentile,
+  CASE WHEN z >= {normalize.CUTS[94]!r} THEN 'elite' WHEN z >= {normalize.CUTS[79]!r} THEN 'very_good' WHEN z >= {normalize.CUTS[59]!r} THEN 'above_average' WHEN z >= {normalize.CUTS[39]!r} THEN 'average' ELSE 'below_average' END AS tier
+FROM (SELECT player_id, a.season_start, a.level, avg_points, (avg_points - points_mean) / points_std AS z FROM (SELECT player_id, season_start, level, avg(points) AS avg_points FROM ({PERF}) GROUP BY ALL) a JOIN ({STATS}) s ON a.level = s.level AND a.season_start = s.season_start)""")
+def a24_season_standing(spark, sf_dir):
+    """Z, percentile and tier of every season average."""
+    facts, seasons = _leveled(spark, sf_dir)
+    return normalize.season_standing(seasons, facts, ["level", "season_start"], "points", "avg_points").select("player_id", "season_start", "level", "avg_points", "z", "percentile", "tier")
+
+
+@query(f"""
+SELECT level, {", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in ("elite", "above_average", "average", "below_average", "low"))} FROM (SELECT level, CASE WHEN z > 1.5 THEN 'elite' WHEN z > 0.5 THEN 'above_average' WHEN z > -0.5 THEN 'average' WHEN z > -1.5 THEN 'below_average' ELSE 'low' END AS tier
+FROM (SELECT a.level, (avg_points - points_mean) / points_std AS z FROM (SELECT player_id, season_start, level, avg(points) AS avg_points FROM ({PERF}) GROUP BY ALL) a JOIN ({STATS}) s ON a.level = s.level AND a.season_start = s.season_start)) GROUP BY level""")
+def a43_tier_distribution(spark, sf_dir):
+    """Players of each tier by level."""
+    facts, seasons = _leveled(spark, sf_dir)
+    z = normalize.season_standing(seasons, facts, ["level", "season_start"], "points", "avg_points")
+    return aggregates.tier_distribution(z.withColumn("tier", normalize.tier_of_z(F.col("z"))), ["level"], "tier", ["elite", "above_average", "average", "below_average", "low"])
+
+
+# --- windows ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT player_id, {ROW}, row_number() OVER (PARTITION BY player_id, season_start ORDER BY {ROW}) AS game_number, lead(points) OVER w AS next_points, {r("lead(efficiency) OVER w", "next_efficiency")}, {r("lead(minutes) OVER w", "next_minutes")},
+  {r("avg(points) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)", "next5_points")}, {r("avg(points) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)", "next10_points")},
+  lead(points) OVER w > avg(points) OVER (PARTITION BY player_id) AS will_exceed, ntile(5) OVER (PARTITION BY player_id ORDER BY efficiency, {ROW}) AS quintile, points
+FROM ({PERF}) WINDOW w AS (PARTITION BY player_id ORDER BY {ROW})""")
+def w15_next_games(spark, sf_dir):
+    """What follows each game of a player."""
+    return windows.next_events(bind.view(spark, sf_dir, bind.PERF), ["player_id"])
+
+
+SIDES = f"""SELECT game_id, game_date, season_start, competition_id, group_name, home_id AS team_id, away_id AS opponent_id, home_score AS scored, away_score AS allowed, true AS at_home, home_score > away_score AS won FROM ({GAMES})
+UNION ALL SELECT game_id, game_date, season_start, competition_id, group_name, away_id, home_id, away_score, home_score, false, away_score > home_score FROM ({GAMES})"""
+
+
+@query(f"""
+WITH s AS ({SIDES}), a AS (SELECT *, CASE WHEN won = lag(won) OVER w THEN 0 ELSE 1 END AS changed FROM s WINDOW w AS (PARTITION BY team_id ORDER BY game_date, game_id, at_home)),
+b AS (SELECT *, sum(changed) OVER (PARTITION BY team_id ORDER BY game_date, game_id, at_home) AS run FROM a),
+c AS (SELECT *, CASE WHEN won THEN 1 ELSE -1 END * row_number() OVER (PARTITION BY team_id, run ORDER BY game_date, game_id, at_home) AS k FROM b)
+SELECT game_id, team_id, at_home, coalesce(lag(k) OVER w, 0) AS streak, count(*) OVER (PARTITION BY team_id ORDER BY epoch(game_date) RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING) AS games_last_7_days, CAST(date_diff('day', lag(game_date) OVER w, game_date) AS INT) AS rest_days,
+  {r("avg(scored) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "last5_scored")}, {r("avg(allowed) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "last5_allowed")}, CAST(sum(CAST(won AS INT)) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS BIGINT) AS last5_wins
+FROM c WINDOW w AS (PARTITION BY team_id ORDER BY game_date, game_id, at_home)""")
+def w11_team_context(spark, sf_dir):
+    """Streak, schedule and form of both teams before each game."""
+    return windows.team_context(windows.team_games(bind.view(spark, sf_dir, bind.GAMES)))
+
+
+SEASON_ROWS = f"SELECT player_id, season_start, max(team_id) AS team_id, max(level) AS level, max(birth_year) AS birth_year, avg(ortg) AS avg_ortg, avg(ts) AS avg_ts, avg(minutes) AS avg_minutes, avg(per) AS avg_per FROM ({RATED}) GROUP BY player_id, season_start"
+
+
+@query(f"""
+WITH s AS (SELECT *, lead(season_start) OVER w = season_start + 1 AS f, coalesce(team_id <> lag(team_id) OVER w OR lag(season_start) OVER w + 1 <> season_start, true) AS j FROM ({SEASON_ROWS}) WINDOW w AS (PARTITION BY player_id ORDER BY season_start)),
+t AS (SELECT *, sum(CAST(j AS INT)) OVER w AS stint, CASE WHEN f THEN lead(team_id) OVER w END AS next_team, CASE WHEN f THEN lead(level) OVER w - level END AS level_change, {", ".join(f"avg_{x} - lag(avg_{x}) OVER w AS delta_{x}" for x in ("ortg", "ts", "minutes", "per"))} FROM s WINDOW w AS (PARTITION BY player_id ORDER BY season_start)),
+u AS (SELECT *, row_number() OVER (PARTITION BY player_id, stint ORDER BY season_start) AS years_in_club FROM t)
+SELECT player_id, season_start, team_id, level, birth_year, {", ".join(r(c, c) for c in ("avg_ortg", "avg_ts", "avg_minutes", "avg_per"))}, next_team, level_change, years_in_club, season_start + 1 - birth_year AS age_at_end, {", ".join(r(f"delta_{x}", f"delta_{x}") for x in ("ortg", "ts", "minutes", "per"))},
+  next_team = team_id AS stays, CASE WHEN next_team IS NULL THEN 0 WHEN next_team = team_id THEN 1 WHEN level_change < 0 THEN 2 ELSE 3 END AS move_class, season_start + 1 - birth_year > 28 AS is_veteran, {r("CASE WHEN next_team = team_id THEN avg_per * years_in_club ELSE 0 END", "stay_bonus")} FROM u""")
+def w19_season_changes(spark, sf_dir):
+    """Moves, years in club and season deltas of every player."""
+    c = F.col
+    rows = bind.view(spark, sf_dir, bind.RATED).groupBy("player_id", "season_start").agg(F.max("team_id").alias("team_id"), F.max("level").alias("level"), F.max("birth_year").alias("birth_year"), *[F.avg(c(x)).alias(f"avg_{x}") for x in ("ortg", "ts", "minutes", "per")])
+    return windows.season_changes(rows)
+
+
+# --- names and identities ---------------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT doc_id, coalesce(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(n), 'ß', 'ss'))), '[^A-Z0-9\s.,-]', '', 'g'), '\s+', ' ', 'g')), '') AS normal FROM (SELECT doc_id, regexp_extract(text, '^(\S+\s+\S+\s+\S+)', 1) AS n FROM documents)""")
+def p60_normalised_names(spark, sf_dir):
+    """The first three words of every document as a normalised name."""
+    return table(spark, sf_dir, "documents").select("doc_id", names.normalise_name(F.regexp_extract("text", r"^(\S+\s+\S+\s+\S+)", 1)).alias("normal"))
+
+
+NORMAL = r"trim(regexp_replace(regexp_replace(strip_accents(upper(trim(name))), '[^A-Z0-9\s.,-]', '', 'g'), '\s+', ' ', 'g'))"
+PARTS = f"""SELECT *, CASE WHEN n LIKE '%.%' THEN n[1] WHEN n LIKE '% %' THEN n[1] ELSE '' END AS ini, CASE WHEN n LIKE '%.%' OR n NOT LIKE '% %' THEN '' ELSE split_part(n, ' ', 1) END AS fst,
+  CASE WHEN n LIKE '%.%' OR n LIKE '% %' THEN regexp_replace(n, '^\\S+\\s*', '') ELSE n END AS sur FROM (SELECT *, {NORMAL} AS n FROM ({PROFILES}))"""
+MATCH = f"""
+WITH p AS ({PARTS}), t AS (SELECT *, list_distinct(list_filter(string_split(sur, ' '), lambda w: w <> '' AND NOT list_contains({identity.PARTICLES!r}, w))) AS tok FROM p),
+s AS (SELECT a.profile_id AS id1, b.profile_id AS id2,
+  least(1.0, CASE WHEN a.sur = '' OR b.sur = '' THEN 0 WHEN a.sur = b.sur THEN 0.6 WHEN len(a.tok) > 0 AND len(b.tok) > 0 THEN 0.6 * len(list_intersect(a.tok, b.tok)) / len(list_distinct(list_concat(a.tok, b.tok))) ELSE 0 END + CASE WHEN a.ini <> '' AND a.ini = b.ini THEN 0.2 ELSE 0 END
+    + CASE WHEN a.fst <> '' AND b.fst <> '' THEN CASE WHEN a.fst = b.fst THEN 0.2 WHEN contains(a.fst, b.fst) OR contains(b.fst, a.fst) THEN 0.1 ELSE 0 END WHEN a.ini <> '' AND a.ini = b.ini THEN 0.1 ELSE 0 END) AS name_score,
+  CASE WHEN a.birth_year IS NULL OR b.birth_year IS NULL THEN 0.5 WHEN a.birth_year = b.birth_year THEN 1.0 WHEN abs(a.birth_year - b.birth_year) = 1 THEN 0.7 WHEN abs(a.birth_year - b.birth_year) = 2 THEN 0.3 ELSE 0 END AS age_score,
+  CASE WHEN coalesce(a.team_id, 0) = 0 OR coalesce(b.team_id, 0) = 0 THEN 0.3 WHEN a.team_id = b.team_id THEN 1.0 ELSE 0.2 END AS team_score,
+  CASE abs(a.season_start - b.season_start) WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.3 WHEN 4 THEN 0.3 ELSE 0.1 END AS timeline_score FROM t a JOIN t b ON a.profile_id < b.profile_id),
+z AS (SELECT *, round(0.4 * name_score + 0.3 * age_score + 0.2 * team_score + 0.1 * timeline_score, 9) AS score FROM s)
+SELECT id1, id2, {", ".join(r(f"CAST({k}_score AS DOUBLE)", f"{k}_score") for k in identity.WEIGHTS)}, {r("CAST(score AS DOUBLE)", "score")}, CASE WHEN score >= 0.85 THEN 'very_high' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM z WHERE score >= 0.5"""
+
+
+@query(MATCH)
+def j10_identity_candidates(spark, sf_dir):
+    """Every pair of profiles that scores 0.5 or more, from blocking keys."""
+    return identity.candidates(bind.view(spark, sf_dir, bind.PROFILES))
+
+
+@query(f"""SELECT profile_id, n AS normal, CASE WHEN n <> '' THEN min(profile_id) OVER (PARTITION BY n) END AS consolidated_id FROM (SELECT profile_id, {NORMAL} AS n FROM ({PROFILES}))""")
+def a35_consolidated(spark, sf_dir):
+    """The first profile of every normal name."""
+    return identity.consolidated(bind.view(spark, sf_dir, bind.PROFILES))
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT profile_id, {NORMAL} AS n, team_id FROM ({PROFILES})), e AS (SELECT a.profile_id AS x, b.profile_id AS y FROM n a JOIN n b ON a.profile_id <> b.profile_id AND (a.n = b.n)),
+w(x, y) AS (SELECT profile_id, profile_id FROM n UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x)
+SELECT x AS profile_id, min(y) AS identity_id FROM w GROUP BY x""")
+def r32_merged_identities(spark, sf_dir):
+    """Profiles joined transitively by confirmed pairs; here each profile is confirmed with the next of its name."""
+    p = bind.view(spark, sf_dir, bind.PROFILES)
+    named = identity.consolidated(p)
+    return identity.merged_identities(p, named.where("profile_id <> consolidated_id").select(F.col("consolidated_id").alias("id1"), F.col("profile_id").alias("id2")))
+
+
+@query("""SELECT a.p_partkey AS id1, b.p_partkey AS id2, floor((1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE)) * 1e6 + 0.5001e0) / 1e6 AS similarity
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE) > 0.75""")
+def r31_similar_names(spark, sf_dir):
+    """Names of one block whose edit similarity is over 0.75."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    b = p.toDF("id2", "other", "p_brand", "p_size")
+    pairs = p.withColumnRenamed("p_partkey", "id1").join(b, ["p_brand", "p_size"]).where("id1 < id2").withColumn("similarity", names.fuzzy_score(F.col("p_name"), F.col("other")))
+    return pairs.where("similarity > 0.75").select("id1", "id2", "similarity")
+
+
+# --- scores -----------------------------------------------------------------------------------------------------------
+
+
+def _scored(spark, sf_dir):
+    """Profile metrics with level, birth year and context z-scores, scored."""
+    keys = ["player_id", "team_id", "season_start"]
+    facts = bind.view(spark, sf_dir, bind.PERF)
+    more = facts.groupBy(*keys).agg(F.max("level").alias("level"), F.max("birth_year").alias("birth_year"), F.avg("efficiency").alias("avg_efficiency"))
+    stats = normalize.context_stats(facts, ["level", "season_start"], ["points", "efficiency"])
+    z = lambda m: normalize.z_score(F.col(f"avg_{m}"), F.col(f"{m}_mean"), F.col(f"{m}_std"))
+    rows = _metrics(spark, sf_dir).join(more, keys).join(stats, ["level", "season_start"]).withColumns({"z_points": z("points"), "z_efficiency": z("efficiency")})
+    return scoring.season_scores(rows)
+
+
+METRIC_BASE = METRICS.replace("WITH x AS", "x AS", 1)
+SCORED = f"""
+m AS (SELECT * FROM (WITH {METRIC_BASE})), f AS (SELECT player_id, team_id, season_start, max(level) AS level, max(birth_year) AS birth_year, avg(efficiency) AS avg_efficiency, avg(points) AS ap FROM ({PERF}) GROUP BY player_id, team_id, season_start),
+j AS (SELECT m.*, f.level, f.birth_year, (f.ap - s.points_mean) / s.points_std AS z1, (f.avg_efficiency - s.efficiency_mean) / s.efficiency_std AS z2, m.season_start - f.birth_year AS age
+  FROM m JOIN f ON m.player_id = f.player_id AND m.team_id = f.team_id AND m.season_start = f.season_start JOIN ({STATS}) s ON f.level = s.level AND f.season_start = s.season_start),
+k AS (SELECT *, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS s_age,
+  coalesce(least(1.0, least(1.0, greatest(0.0, ((z1 + z2) / 2 + 3) / 6)) * CASE level WHEN 1 THEN 1.1 WHEN 3 THEN 0.95 ELSE 1 END), 0.5) AS s_perf,
+  CASE WHEN points_36 IS NULL THEN 0.5 ELSE least(1.0, least(1.0, points_36 / 20) + least(0.2, coalesce(points_share, 0))) END AS s_prod,
+  CASE WHEN cv IS NOT NULL THEN least(1.0, greatest(0.0, 1 - cv / 0.8)) WHEN std_ortg IS NOT NULL THEN least(1.0, greatest(0.0, 1 - std_ortg / 50)) ELSE 0.5 END AS s_cons,
+  CASE WHEN avg_ts IS NULL THEN 0.5 ELSE least(1.0, avg_ts / 65) END AS s_adv,
+  CASE WHEN momentum IS NOT NULL THEN least(1.0, greatest(0.0, (momentum + 5) / 10)) WHEN trend_points IS NOT NULL THEN least(1.0, greatest(0.0, (trend_points + 2) / 4)) ELSE 0.5 END AS s_mom,
+  games >= 8 AND total_minutes >= 80 AND avg_minutes >= 8 AS eligible,
+  0.4 * CASE WHEN games >= 15 THEN 1.0 WHEN games >= 10 THEN 0.9 WHEN games >= 8 THEN 0.7 WHEN games >= 5 THEN 0.5 ELSE 0.2 END + 0.3 * CASE WHEN total_minutes >= 200 THEN 1.0 WHEN total_minutes >= 120 THEN 0.8 WHEN total_minutes >= 80 THEN 0.6 ELSE 0.3 END
+    + 0.3 * CASE WHEN avg_minutes >= 15 THEN 1.0 WHEN avg_minutes >= 10 THEN 0.8 WHEN avg_minutes >= 5 THEN 0.5 ELSE 0.3 END AS conf FROM j),
+sc AS (SELECT *, (0.2 * s_age + 0.3 * s_perf + 0.15 * s_prod + 0.15 * s_cons + 0.1 * s_adv + 0.1 * s_mom) * (0.85 + 0.15 * greatest(0.5, 1 - 0.05 * (2026 - season_start))) * conf AS potential FROM k)"""
+
+
+def near(expression: str, name: str) -> str:
+    """A column of a check rounded to three places, for values made from columns that are rounded already."""
+    return f"floor(CAST({expression} AS DOUBLE) * 1e3 + 0.5001e0) / 1e3 AS {name}"
+
+
+@query(f"""
+WITH {SCORED} SELECT player_id, team_id, season_start, {near("s_age", "age_score")}, {near("s_perf", "performance_score")}, {near("s_prod", "production_score")}, {near("s_cons", "consistency_score")}, {near("s_mom", "momentum_score")}, eligible, {near("conf", "confidence")}, {near("potential", "potential")},
+  CASE WHEN potential >= 0.75 THEN 'elite' WHEN potential >= 0.6 THEN 'very_high' WHEN potential >= 0.45 THEN 'high' WHEN potential >= 0.3 THEN 'medium' ELSE 'low' END AS tier, coalesce(age < 23, false) AND s_perf >= 0.6 AND eligible AS young_talent, s_cons >= 0.7 AND s_perf >= 0.6 AND eligible AS consistent FROM sc""")
+def r13_season_scores(spark, sf_dir):
+    """Potential of every profile."""
+    names_ = ["age_score", "performance_score", "production_score", "consistency_score", "momentum_score", "confidence", "potential"]
+    out = _scored(spark, sf_dir).withColumns({c: F.floor(F.col(c) * 1e3 + 0.5001) / 1e3 for c in names_})
+    return out.select("player_id", "team_id", "season_start", *names_[:5], "eligible", "confidence", "potential", "tier", "young_talent", "consistent")
+
+
+CAREER = f"""
+WITH {SCORED}, mem AS (SELECT player_id, birth_year, season_start, games, total_minutes AS minutes, potential * CASE level WHEN 3 THEN 1.0 WHEN 2 THEN 0.9 WHEN 1 THEN 0.85 ELSE 0.8 END AS adj, level FROM sc WHERE eligible AND total_minutes > 0),
+se AS (SELECT player_id, birth_year, season_start, sum(games) AS games, sum(minutes) AS minutes, max(level) AS lvl, sum(adj * minutes) / sum(minutes) AS score FROM mem GROUP BY ALL),
+nu AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season_start DESC) AS rn, row_number() OVER (PARTITION BY player_id ORDER BY season_start) - 1 AS nth FROM se),
+ca AS (SELECT player_id, birth_year, count(*) AS seasons, CAST(sum(games) AS BIGINT) AS games, max(season_start) AS last_season, sum(score * minutes) / sum(minutes) AS career_avg, sum(CASE WHEN rn <= 2 THEN score * minutes END) / sum(CASE WHEN rn <= 2 THEN minutes END) AS recent,
+  stddev_pop(score) AS spread, avg(CASE WHEN rn <= 2 THEN score END) AS late, avg(CASE WHEN rn > 2 THEN score END) AS early, max(CASE WHEN rn = 1 THEN score END) AS newest, max(CASE WHEN nth = 0 THEN score END) AS oldest, CASE WHEN count(*) >= 2 THEN regr_slope(score, nth) ELSE 0 END AS slope,
+  max(CASE WHEN rn <= 2 THEN lvl END) - max(CASE WHEN rn > 2 THEN lvl END) AS jump FROM nu GROUP BY player_id, birth_year),
+cb AS (SELECT *, CASE WHEN seasons >= 3 THEN 0.7 * CASE WHEN late - early > 0.10 THEN 0.95 WHEN late - early > 0.05 THEN 0.8 WHEN late - early > 0.02 THEN 0.65 WHEN late - early > -0.02 THEN 0.5 ELSE 0.3 END + 0.3 * least(1.0, greatest(0.0, slope / 0.15 * 0.5 + 0.5))
+  WHEN seasons = 2 THEN CASE WHEN newest - oldest > 0.10 THEN 0.9 WHEN newest - oldest > 0.05 THEN 0.75 WHEN newest - oldest > 0.02 THEN 0.65 WHEN newest - oldest > -0.02 THEN 0.5 WHEN newest - oldest > -0.05 THEN 0.35 ELSE 0.2 END ELSE 0.5 END AS tr,
+  CASE WHEN seasons < 2 THEN 0.5 ELSE greatest(0.0, 1 - spread / 0.5) END AS cons, 2026 - birth_year AS age,
+  CASE WHEN seasons >= 4 AND games >= 50 THEN 1.0 WHEN seasons >= 3 AND games >= 30 THEN 0.95 WHEN seasons >= 2 AND games >= 20 THEN 0.9 WHEN seasons >= 2 AND games >= 10 THEN 0.85 WHEN games >= 15 THEN 0.75 ELSE 0.6 END AS conf FROM ca),
+cc AS (SELECT *, CASE WHEN recent < 0.4 THEN least(tr, 0.4) ELSE tr END AS traj, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS ages FROM cb)
+SELECT player_id, birth_year, seasons, games, last_season, {near("career_avg", "career_avg")}, {near("recent", "recent")}, {near("traj", "trajectory")}, {near("cons", "consistency")},
+  {near("least(1.0, 0.5 * recent + 0.25 * traj + 0.05 * career_avg + 0.1 * ages + 0.05 * cons + 0.05 * conf + CASE WHEN jump >= 2 THEN 0.15 WHEN jump >= 1 THEN 0.08 ELSE 0 END) * (1 - CASE WHEN 2025 - last_season >= 3 THEN 0.6 WHEN 2025 - last_season = 2 THEN 0.35 WHEN 2025 - last_season = 1 THEN 0.15 ELSE 0 END)", "unified")} FROM cc"""
+
+
+@query(CAREER)
+def r23_career_scores(spark, sf_dir):
+    """Career scores of every player."""
+    keys = ["player_id", "birth_year"]
+    seasons = scoring.career_seasons(_scored(spark, sf_dir).withColumn("strength", F.lit(1.0)), keys)
+    out = scoring.career_scores(seasons, keys)
+    values = ["career_avg", "recent", "trajectory", "consistency", "unified"]
+    return out.select(*keys, "seasons", "games", "last_season", *[(F.floor(F.col(c) * 1e3 + 0.5001) / 1e3).alias(c) for c in values])
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0""")
+def s03_unprocessed(spark, sf_dir):
+    """Orders whose key is not among the processed ones."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return ingest.unprocessed(o, o.where("o_orderkey % 3 = 0"), "o_orderkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, arg_max(l_extendedprice, (l_orderkey % 2 = 0 AND l_partkey % 2 = 0, l_shipdate, l_extendedprice, l_partkey)) AS price FROM lineitem GROUP BY 1, 2""")
+def s07_upserted(spark, sf_dir):
+    """The latest row of every key after an upsert of a part of the rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.struct("l_shipdate", "l_extendedprice", "l_partkey").alias("at"))
+    new = (F.col("l_orderkey") % 2 == 0) & (F.col("l_partkey") % 2 == 0)
+    out = ingest.upserted(rows.where(~new), rows.where(new), ["l_orderkey", "l_linenumber"], "at")
+    return out.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+
+
+@query("""SELECT o_orderpriority, o_orderstatus, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_code, count(DISTINCT o_orderkey) AS total, max(o_orderdate) AS last_update FROM orders GROUP BY 1, 2""")
+def s14_load_state(spark, sf_dir):
+    """Last key, number of keys and last time of each group."""
+    return ingest.load_state(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", "o_orderdate")
+
+
+@query("""SELECT o_orderpriority, count(*) AS found, count(*) FILTER (o_orderkey % 3 = 0) AS skipped, count(*) FILTER (o_orderkey % 3 <> 0) AS new FROM orders GROUP BY 1""")
+def s20_run_report(spark, sf_dir):
+    """Found, skipped and new keys of each group."""
+    o = table(spark, sf_dir, "orders")
+    return ingest.run_report(o, o.where("o_orderkey % 3 = 0"), "o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer""")
+def s19_summary(spark, sf_dir):
+    """Row counts of the tables."""
+    return ingest.summary(**{t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer")})
+
+
+@query(f"""
+SELECT game_id, CAST(squad_id AS VARCHAR) AS player_name, line_no = min(line_no) OVER (PARTITION BY game_id) AS is_home, {r("minutes", "minutes")}, CAST(2 * (fgm - fg3m) + 3 * fg3m + ftm AS INT) AS points, fgm, fga, ftm, fta, ast, price FROM ({PERF})""")
+def n06_flattened_documents(spark, sf_dir):
+    """Nested documents made from the rows of each order, flattened again to one row a player."""
+    p = bind.view(spark, sf_dir, bind.PERF)
+    c = F.col
+    text = lambda x: x.cast("string")
+    player = F.struct(text(c("squad_id")).alias("name"), F.format_string("%d:00", c("minutes").cast("int")).alias("minFormatted"), text(c("points")).alias("pts"), text(c("ftm")).alias("p1m"), text(c("fta")).alias("p1a"), text(c("fgm") - c("fg3m")).alias("p2m"), text(c("fga") - c("fg3m")).alias("p2a"), text(c("fg3m")).alias("p3m"), text(c("fg3m")).alias("p3a"), text(c("ast")).alias("assist"), text(c("price")).alias("val"))
+    sides = p.groupBy("game_id", "line_no").agg(F.collect_list(player).alias("PLAYER")).select("game_id", F.struct("line_no", F.col("line_no").cast("string").alias("id"), "PLAYER").alias("side"))
+    docs = sides.groupBy("game_id").agg(F.array_sort(F.collect_list("side")).alias("sides"))
+    doc = F.struct(F.struct(text(c("game_id")).alias("game_code")).alias("HEADER"), F.struct(F.col("sides").alias("TEAM")).alias("BOXSCORE"))
+    games = docs.select(F.from_json(F.to_json(doc), ingest.GAME).alias("g")).select("g.*")
+    out = ingest.player_rows(games)
+    return out.select(F.col("game_code").cast("bigint").alias("game_id"), "player_name", "is_home", "minutes", "points", "fgm", "fga", "ftm", "fta", "ast", F.col("efficiency").alias("price"))
+
+
+@query(r"""SELECT page_id, code FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1))) AS code FROM pages)""")
+def s21_page_links(spark, sf_dir):
+    """The distinct links of every page."""
+    return pages.codes(table(spark, sf_dir, "pages"), r'href="/([^"]*)"')
+
+
+@query(r"""
+SELECT page_id, pos, value, name FROM (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY pos) AS rn FROM (SELECT page_id, CAST(pos - 1 AS INT) AS pos, v[pos] AS value, trim(n[pos]) AS name FROM (
+  SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS v, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS n, unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) + 1)) AS pos FROM pages)) WHERE name <> '') WHERE rn = 1""")
+def s24_page_names(spark, sf_dir):
+    """The first link of every name on a page."""
+    return pages.first_by_name(table(spark, sf_dir, "pages"), r'<a href="([^"]*)">([^<]*)</a>')
+
+
+# --- quality ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT 'minutes' AS rule, count(*) AS rows, count(*) FILTER (NOT minutes BETWEEN 0 AND 39) AS violations FROM ({PERF}) UNION ALL SELECT 'made', count(*), count(*) FILTER (fgm > fga) FROM ({PERF}) UNION ALL SELECT 'level', count(*), count(*) FILTER (level NOT IN (1, 2, 3)) FROM ({PERF}) UNION ALL SELECT 'birth_year', count(*), count(*) FILTER (NOT birth_year BETWEEN 1960 AND 1995) FROM ({PERF})""")
+def v02_violations(spark, sf_dir):
+    """Rows beyond a range, an order or a set."""
+    c = F.col
+    return quality.violations(bind.view(spark, sf_dir, bind.PERF), {"minutes": quality.in_range("minutes", 0, 39), "made": c("fgm") <= c("fga"), "level": c("level").isin(1, 2, 3), "birth_year": quality.in_range("birth_year", 1960, 1995)})
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def v03_duplicate_keys(spark, sf_dir):
+    """Keys of the fact table that occur more than once."""
+    return quality.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)""")
+def v01_orphans(spark, sf_dir):
+    """Rows whose order is missing."""
+    parent = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0")
+    return quality.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", parent, "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(f"""SELECT o_orderkey, {r("o_totalprice", "o_totalprice")}, {r("summed", "summed")} FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS summed FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE abs(summed - o_totalprice) > 0.3 * o_totalprice""")
+def v04_sum_mismatches(spark, sf_dir):
+    """Orders whose lines do not add up to about their total."""
+    facts = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return quality.sum_mismatches(facts, ["o_orderkey"], "l_extendedprice", table(spark, sf_dir, "orders"), "o_totalprice").select("o_orderkey", "o_totalprice", "summed")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS l_orderkey, o_orderkey % 7 + 1 AS stated FROM orders), a AS (SELECT l_orderkey, count(*) AS actual FROM lineitem GROUP BY 1) SELECT coalesce(s.l_orderkey, a.l_orderkey) AS l_orderkey, stated, actual FROM s FULL JOIN a ON s.l_orderkey = a.l_orderkey WHERE stated IS DISTINCT FROM actual""")
+def v06_count_mismatches(spark, sf_dir):
+    """Orders whose stated number of lines is not the number there is."""
+    stated = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 7 + 1).alias("k"))
+    return quality.count_mismatches(stated, table(spark, sf_dir, "lineitem"), ["l_orderkey"], "k")
+
+
+# --- mart, reports and models -----------------------------------------------------------------------------------------
+
+TARGETS = f"""SELECT a.player_id, a.season_start, b.tp AS target_points, b.te AS target_efficiency FROM (SELECT DISTINCT player_id, season_start FROM ({PERF})) a JOIN (SELECT player_id, season_start, sum(minutes) AS m, avg(points) AS tp, avg(efficiency) AS te FROM ({PERF}) GROUP BY ALL HAVING sum(minutes) >= 200) b ON a.player_id = b.player_id AND b.season_start = a.season_start + 1"""
+
+
+@query(f"""SELECT player_id, season_start, {r("target_points", "target_points")}, {r("target_efficiency", "target_efficiency")} FROM ({TARGETS})""")
+def m02_targets(spark, sf_dir):
+    """Next-season averages."""
+    return mart.next_season_targets(bind.view(spark, sf_dir, bind.PERF))
+
+
+@query(f"""WITH s AS (SELECT player_id, season_start, count(*) AS games, avg(points) AS ap FROM ({PERF}) GROUP BY ALL HAVING count(*) >= 5) SELECT a.player_id, a.season_start, a.games, {r("a.ap", "avg_points")}, {r("b.ap", "next_points")} FROM s a JOIN s b ON a.player_id = b.player_id AND b.season_start = a.season_start + 1""")
+def m03_targets_by_name(spark, sf_dir):
+    """Next-season averages with enough games on both sides."""
+    return mart.targets_by_name(bind.view(spark, sf_dir, bind.PERF), "player_id")
+
+
+def _mart(spark, sf_dir):
+    facts = bind.view(spark, sf_dir, bind.RATED)
+    seasons = aggregates.season_aggregates(facts, ["player_id", "season_start", "competition_id"]).select("player_id", "season_start", "competition_id", "games", "avg_points", "std_points", "trend_points", "win_pct")
+    wins = aggregates.team_wins(bind.view(spark, sf_dir, bind.GAMES)).select("competition_id", "season_start", "team_id", F.col("win_pct").alias("team_win_pct"))
+    return mart.feature_mart(facts, seasons, None, mart.next_season_targets(facts)).join(wins, ["competition_id", "season_start", "team_id"], "left")
+
+
+@query(f"""
+WITH p AS (SELECT * FROM ({PERF}) WHERE minutes > 0), busy AS (SELECT player_id FROM p GROUP BY 1 HAVING count(*) >= 5)
+SELECT p.player_id, {", ".join(f"p.{c}" for c in ROW.split(", "))}, p.points, s.games, s.avg_points, s.win_pct, {r("t.target_points", "target_points")}, {r("w.win_pct", "team_win_pct")}
+FROM p LEFT JOIN ({SEASON}) s ON p.player_id = s.player_id AND p.season_start = s.season_start AND p.competition_id = s.competition_id LEFT JOIN ({TARGETS}) t ON p.player_id = t.player_id AND p.season_start = t.season_start
+LEFT JOIN ({WINS}) w ON p.competition_id = w.competition_id AND p.season_start = w.season_start AND p.team_id = w.team_id WHERE p.player_id IN (SELECT player_id FROM busy)""")
+def m01_feature_mart(spark, sf_dir):
+    """Event rows with season aggregates, team context and targets."""
+    return _mart(spark, sf_dir).select("player_id", *aggregates.ORDER, "points", "games", "avg_points", "win_pct", "target_points", "team_win_pct")
+
+
+FEATURES = ["minutes", "points", "fga", "fta", "reb", "games", "avg_points", "std_points", "trend_points", "win_pct", "team_win_pct", "match_weight"]
+
+
+@query()
+def m13_predictions(spark, sf_dir):
+    """A projection for the latest row of every player, from trees fitted to the players of the training share."""
+    labels = ["target_points", "target_efficiency"]
+    rows = mart.numeric_features(_mart(spark, sf_dir).select("player_id", *aggregates.ORDER, *labels, *FEATURES), ["player_id", *aggregates.ORDER, *labels])
+    train, _ = model.split(rows.where(F.col(labels[0]).isNotNull()), "player_id")
+    fitted = model.regressor(FEATURES, labels[0], depth=4, trees=8).fit(train)
+    latest = mart.latest_of(rows, ["player_id"], *aggregates.ORDER)
+    return model.predict(fitted, latest, ["player_id", "avg_points"])
+
+
+@query()
+def m09_model_metrics(spark, sf_dir):
+    """Error of a model on the players that it was not fitted to."""
+    rows = mart.numeric_features(_mart(spark, sf_dir).select("player_id", "target_points", *FEATURES), ["player_id", "target_points"]).where("target_points is not null")
+    train, test = model.split(rows, "player_id")
+    fitted = model.regressor(FEATURES, "target_points", depth=4, trees=8).fit(train)
+    return model.metrics(fitted.transform(test), "target_points")
+
+
+@query(f"""
+WITH p AS (SELECT player_id, max(points) AS score FROM ({PERF}) GROUP BY 1), t AS (SELECT team_id, player_id, count(DISTINCT game_id) AS games, {", ".join(f"avg({c}) AS avg_{c}" for c in ("minutes", "points", "reb", "ast", "efficiency"))} FROM ({PERF}) GROUP BY 1, 2 HAVING count(DISTINCT game_id) >= 3)
+SELECT team_id, {r("avg(avg_points)", "avg_current")}, {r("avg(score)", "avg_projected")}, {r("avg(score) - avg(avg_points)", "delta")}, count(score) AS covered, count(*) AS players FROM t LEFT JOIN p USING (player_id) GROUP BY team_id""")
+def a42_roster_summary(spark, sf_dir):
+    """Rosters with their current and projected averages."""
+    facts = bind.view(spark, sf_dir, bind.PERF)
+    best = facts.groupBy("player_id").agg(F.max("points").alias("score"))
+    return mart.roster_summary(mart.roster(facts, best), "avg_points", "score")
+
+
+@query(f"""SELECT player_id, season_start, competition_id, {r("std_points / avg_points", "cv")} FROM (SELECT player_id, season_start, competition_id, stddev_pop(points) AS std_points, avg(points) AS avg_points, count(*) AS n FROM ({PERF}) GROUP BY ALL) WHERE avg_points > 10 AND n >= 5 ORDER BY std_points / avg_points, player_id, season_start, competition_id LIMIT 10""")
+def t10_most_consistent(spark, sf_dir):
+    """The ten steadiest player seasons of over ten points a game."""
+    cv = (F.col("std_points") / F.col("avg_points")).alias("cv")
+    rows = bind.view(spark, sf_dir, bind.PERF).groupBy("player_id", "season_start", "competition_id").agg(F.stddev_pop("points").alias("std_points"), F.avg("points").alias("avg_points"), F.count("*").alias("n"))
+    rows = rows.where("avg_points > 10 and n >= 5").select("player_id", "season_start", "competition_id", cv)
+    return mart.top(rows, 10, [F.col("cv"), F.col("player_id"), F.col("season_start"), F.col("competition_id")])
+
+
+@query(f"""SELECT team_id, player_id, total, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY total DESC, player_id) AS rank FROM (SELECT team_id, player_id, CAST(sum(points) AS BIGINT) AS total FROM ({PERF}) GROUP BY 1, 2)) WHERE rank <= 3""")
+def t05_top_scorers(spark, sf_dir):
+    """The three best scorers of every team."""
+    rows = bind.view(spark, sf_dir, bind.PERF).groupBy("team_id", "player_id").agg(F.sum("points").alias("total"))
+    return mart.top_per_group(rows, ["team_id"], 3, [F.desc("total"), F.col("player_id")])
+
+
+@query(f"""SELECT id1, name1, id2, name2, score, confidence FROM (SELECT m.id1, a.name AS name1, m.id2, b.name AS name2, m.score, m.confidence FROM ({MATCH}) m JOIN ({PROFILES}) a ON m.id1 = a.profile_id JOIN ({PROFILES}) b ON m.id2 = b.profile_id) WHERE score >= 0.75 ORDER BY score DESC, id1, id2 LIMIT 50""")
+def t01_candidate_report(spark, sf_dir):
+    """The best candidate pairs with their names."""
+    p = bind.view(spark, sf_dir, bind.PROFILES)
+    return mart.candidate_report(identity.candidates(p), p)
+
+
+@query(f"""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, user_id, count(value) AS n, {r("sum(value)", "total")}, {r("avg(value)", "mean")}, {r("min(value)", "least")}, {r("max(value)", "most")} FROM events GROUP BY 1, 2""")
+def x02_running_aggregates(spark, sf_dir):
+    """Aggregates of every user and day; a stream over the same rows gives the same (tests)."""
+    return incremental.running(table(spark, sf_dir, "events"), "user_id", "value", "ts")
