@@ -12,7 +12,7 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
 
     The checkpoint remembers files and keys; the anti-join makes a repeated batch harmless.
     """
-    stream = spark.readStream.schema(schema).parquet(source).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    stream = spark.readStream.schema(schema).parquet(source).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
     def add(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
@@ -29,6 +29,6 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
 
 def running(df: DataFrame, key: str, value: str, at: str, window: str = "1 day", delay: str = "2 days") -> DataFrame:
     """Count, sum, mean, least and greatest value of each entity and time window; for batches and streams alike."""
-    rows = df.withWatermark(at, delay) if df.isStreaming else df
+    rows = df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay) if df.isStreaming else df
     grouped = rows.groupBy(F.window(at, window).alias("w"), key).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
     return grouped.select(F.col("w.start").alias("window_start"), key, "n", "total", "mean", "least", "most")
