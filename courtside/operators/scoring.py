@@ -72,7 +72,7 @@ def age_score(age: Column) -> Column:
 def performance_score(z1: Column, z2: Column, level: Column) -> Column:
     """The mean of two z-scores from -3..3 to 0..1, more in the top level and less in the third."""
     base = clip(((z1 + z2) / 2 + 3) / 6)
-    return F.coalesce(F.least(base * F.when(level == 1, 1.10).when(level == 3, 0.95).otherwise(1.0), F.lit(1.0)), F.lit(0.5))
+    return F.when(base.isNull(), 0.5).otherwise(F.least(base * F.when(level == 1, 1.10).when(level == 3, 0.95).otherwise(1.0), F.lit(1.0)))
 
 
 def consistency_score(cv: Column, std: Column) -> Column:
@@ -82,7 +82,7 @@ def consistency_score(cv: Column, std: Column) -> Column:
 
 def advanced_score(ts: Column, efficiency: Column) -> Column:
     """R05."""
-    return F.coalesce(F.least(F.lit(1.0), ts / 65) * clip(efficiency, 0.8, 1.2), F.lit(0.5))
+    return F.when(ts.isNull() | efficiency.isNull(), 0.5).otherwise(F.least(F.lit(1.0), ts / 65) * clip(efficiency, 0.8, 1.2))
 
 
 def momentum_score(momentum: Column, trend: Column) -> Column:
@@ -92,7 +92,8 @@ def momentum_score(momentum: Column, trend: Column) -> Column:
 
 def production_score(points_36: Column, share: Column) -> Column:
     """R07."""
-    return F.coalesce(F.least(F.least(F.lit(1.0), points_36 / 20) + F.least(F.lit(0.2), F.coalesce(share, F.lit(0.0))), F.lit(1.0)), F.lit(0.5))
+    scored = F.least(F.least(F.lit(1.0), points_36 / 20) + F.least(F.lit(0.2), F.coalesce(share, F.lit(0.0))), F.lit(1.0))
+    return F.when(points_36.isNull(), 0.5).otherwise(scored)
 
 
 def temporal_weight(season_start: Column, now: int = NOW) -> Column:

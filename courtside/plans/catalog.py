@@ -146,7 +146,11 @@ def a20_season_aggregates(spark, sf_dir):
 
 
 TOTALS = aggregates.TOTALS
-METRICS = f"""
+
+
+def metrics_sql(r) -> str:
+    """The SQL of all metrics, with each double passed through ``r``."""
+    return f"""
 WITH x AS (SELECT *, row_number() OVER (PARTITION BY player_id, team_id, season_start ORDER BY {ROW_DESC}) AS rn FROM ({RATED})),
 b AS (SELECT player_id, team_id, season_start, count(*) AS games, sum(minutes) AS total_minutes, avg(minutes) AS avg_minutes, avg(points) AS avg_points, avg(ortg) AS avg_ortg, avg(per) AS avg_per, avg(ts) AS avg_ts, nullif(avg(usg), 0) AS avg_usg,
   CASE WHEN var_pop(ortg) > 0 THEN sqrt(var_pop(ortg)) ELSE 0 END AS std_ortg, CASE WHEN var_pop(points) > 0 THEN sqrt(var_pop(points)) ELSE 0 END AS std_points,
@@ -162,6 +166,9 @@ SELECT b.team_id, b.season_start, player_id, games, {r("total_minutes", "total_m
 FROM b JOIN t ON b.team_id = t.team_id AND b.season_start = t.season_start"""
 
 
+METRICS = metrics_sql(r)
+
+
 def _metrics(spark, sf_dir):
     return aggregates.profile_metrics(bind.view(spark, sf_dir, bind.RATED), ["player_id", "team_id", "season_start"], ["team_id", "season_start"])
 
@@ -394,13 +401,13 @@ def _scored(spark, sf_dir):
     return scoring.season_scores(rows)
 
 
-METRIC_BASE = METRICS.replace("WITH x AS", "x AS", 1)
+METRIC_BASE = metrics_sql(lambda expression, name: f"{expression} AS {name}").replace("WITH x AS", "x AS", 1)
 SCORED = f"""
 m AS (SELECT * FROM (WITH {METRIC_BASE})), f AS (SELECT player_id, team_id, season_start, max(level) AS level, max(birth_year) AS birth_year, avg(efficiency) AS avg_efficiency, avg(points) AS ap FROM ({PERF}) GROUP BY player_id, team_id, season_start),
 j AS (SELECT m.*, f.level, f.birth_year, (f.ap - s.points_mean) / s.points_std AS z1, (f.avg_efficiency - s.efficiency_mean) / s.efficiency_std AS z2, m.season_start - f.birth_year AS age
   FROM m JOIN f ON m.player_id = f.player_id AND m.team_id = f.team_id AND m.season_start = f.season_start JOIN ({STATS}) s ON f.level = s.level AND f.season_start = s.season_start),
 k AS (SELECT *, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS s_age,
-  coalesce(least(1.0, least(1.0, greatest(0.0, ((z1 + z2) / 2 + 3) / 6)) * CASE level WHEN 1 THEN 1.1 WHEN 3 THEN 0.95 ELSE 1 END), 0.5) AS s_perf,
+  CASE WHEN z1 + z2 IS NULL THEN 0.5 ELSE least(1.0, least(1.0, greatest(0.0, ((z1 + z2) / 2 + 3) / 6)) * CASE level WHEN 1 THEN 1.1 WHEN 3 THEN 0.95 ELSE 1 END) END AS s_perf,
   CASE WHEN points_36 IS NULL THEN 0.5 ELSE least(1.0, least(1.0, points_36 / 20) + least(0.2, coalesce(points_share, 0))) END AS s_prod,
   CASE WHEN cv IS NOT NULL THEN least(1.0, greatest(0.0, 1 - cv / 0.8)) WHEN std_ortg IS NOT NULL THEN least(1.0, greatest(0.0, 1 - std_ortg / 50)) ELSE 0.5 END AS s_cons,
   CASE WHEN avg_ts IS NULL THEN 0.5 ELSE least(1.0, avg_ts / 65) END AS s_adv,
@@ -411,19 +418,13 @@ k AS (SELECT *, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0
 sc AS (SELECT *, (0.2 * s_age + 0.3 * s_perf + 0.15 * s_prod + 0.15 * s_cons + 0.1 * s_adv + 0.1 * s_mom) * (0.85 + 0.15 * greatest(0.5, 1 - 0.05 * (2026 - season_start))) * conf AS potential FROM k)"""
 
 
-def near(expression: str, name: str) -> str:
-    """A column of a check rounded to three places, for values made from columns that are rounded already."""
-    return f"floor(CAST({expression} AS DOUBLE) * 1e3 + 0.5001e0) / 1e3 AS {name}"
-
-
 @query(f"""
-WITH {SCORED} SELECT player_id, team_id, season_start, {near("s_age", "age_score")}, {near("s_perf", "performance_score")}, {near("s_prod", "production_score")}, {near("s_cons", "consistency_score")}, {near("s_mom", "momentum_score")}, eligible, {near("conf", "confidence")}, {near("potential", "potential")},
+WITH {SCORED} SELECT player_id, team_id, season_start, {r("s_age", "age_score")}, {r("s_perf", "performance_score")}, {r("s_prod", "production_score")}, {r("s_cons", "consistency_score")}, {r("s_mom", "momentum_score")}, eligible, {r("conf", "confidence")}, {r("potential", "potential")},
   CASE WHEN potential >= 0.75 THEN 'elite' WHEN potential >= 0.6 THEN 'very_high' WHEN potential >= 0.45 THEN 'high' WHEN potential >= 0.3 THEN 'medium' ELSE 'low' END AS tier, coalesce(age < 23, false) AND s_perf >= 0.6 AND eligible AS young_talent, s_cons >= 0.7 AND s_perf >= 0.6 AND eligible AS consistent FROM sc""")
 def r13_season_scores(spark, sf_dir):
     """Potential of every profile."""
     names_ = ["age_score", "performance_score", "production_score", "consistency_score", "momentum_score", "confidence", "potential"]
-    out = _scored(spark, sf_dir).withColumns({c: F.floor(F.col(c) * 1e3 + 0.5001) / 1e3 for c in names_})
-    return out.select("player_id", "team_id", "season_start", *names_[:5], "eligible", "confidence", "potential", "tier", "young_talent", "consistent")
+    return _scored(spark, sf_dir).select("player_id", "team_id", "season_start", *names_[:5], "eligible", "confidence", "potential", "tier", "young_talent", "consistent")
 
 
 CAREER = f"""
@@ -438,8 +439,8 @@ cb AS (SELECT *, CASE WHEN seasons >= 3 THEN 0.7 * CASE WHEN late - early > 0.10
   CASE WHEN seasons < 2 THEN 0.5 ELSE greatest(0.0, 1 - spread / 0.5) END AS cons, 2026 - birth_year AS age,
   CASE WHEN seasons >= 4 AND games >= 50 THEN 1.0 WHEN seasons >= 3 AND games >= 30 THEN 0.95 WHEN seasons >= 2 AND games >= 20 THEN 0.9 WHEN seasons >= 2 AND games >= 10 THEN 0.85 WHEN games >= 15 THEN 0.75 ELSE 0.6 END AS conf FROM ca),
 cc AS (SELECT *, CASE WHEN recent < 0.4 THEN least(tr, 0.4) ELSE tr END AS traj, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS ages FROM cb)
-SELECT player_id, birth_year, seasons, games, last_season, {near("career_avg", "career_avg")}, {near("recent", "recent")}, {near("traj", "trajectory")}, {near("cons", "consistency")},
-  {near("least(1.0, 0.5 * recent + 0.25 * traj + 0.05 * career_avg + 0.1 * ages + 0.05 * cons + 0.05 * conf + CASE WHEN jump >= 2 THEN 0.15 WHEN jump >= 1 THEN 0.08 ELSE 0 END) * (1 - CASE WHEN 2025 - last_season >= 3 THEN 0.6 WHEN 2025 - last_season = 2 THEN 0.35 WHEN 2025 - last_season = 1 THEN 0.15 ELSE 0 END)", "unified")} FROM cc"""
+SELECT player_id, birth_year, seasons, games, last_season, {r("career_avg", "career_avg")}, {r("recent", "recent")}, {r("traj", "trajectory")}, {r("cons", "consistency")},
+  {r("least(1.0, 0.5 * recent + 0.25 * traj + 0.05 * career_avg + 0.1 * ages + 0.05 * cons + 0.05 * conf + CASE WHEN jump >= 2 THEN 0.15 WHEN jump >= 1 THEN 0.08 ELSE 0 END) * (1 - CASE WHEN 2025 - last_season >= 3 THEN 0.6 WHEN 2025 - last_season = 2 THEN 0.35 WHEN 2025 - last_season = 1 THEN 0.15 ELSE 0 END)", "unified")} FROM cc"""
 
 
 @query(CAREER)
@@ -449,7 +450,7 @@ def r23_career_scores(spark, sf_dir):
     seasons = scoring.career_seasons(_scored(spark, sf_dir).withColumn("strength", F.lit(1.0)), keys)
     out = scoring.career_scores(seasons, keys)
     values = ["career_avg", "recent", "trajectory", "consistency", "unified"]
-    return out.select(*keys, "seasons", "games", "last_season", *[(F.floor(F.col(c) * 1e3 + 0.5001) / 1e3).alias(c) for c in values])
+    return out.select(*keys, "seasons", "games", "last_season", *values)
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------

@@ -164,3 +164,8 @@ def test_reports(spark):
     assert mart.surrogate_keys(df, ["k"], "id").count() == 2
     assert [r.n for r in aggregates.counts_by(df, "k").orderBy("n").collect()] == [1, 2, 3]
     assert quality.violations(df, {"v": quality.in_range("v", 0, 6)}).first().violations == 1
+
+
+def test_scores_without_a_value_are_half(spark):
+    null = lit(None).cast("double")
+    assert one(spark, scoring.production_score(null, lit(0.5)), scoring.performance_score(null, lit(1.0), lit(1)), scoring.advanced_score(null, lit(1.0)), scoring.consistency_score(null, null), scoring.momentum_score(null, null)) == (0.5, 0.5, 0.5, 0.5, 0.5)
