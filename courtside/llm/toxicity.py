@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from courtside.llm.frames import with_fields
 from courtside.plans.storage import saved, small_side
 
-BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 4, (3, 4, 5)
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2500, 4500, 20_000
+BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 3, (3, 4, 5)
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 10_000
 #: Texts that a gram must occur in to be learned from; steps, rate, momentum and penalty of the descent.
 LEAST_TEXTS, STEPS, RATE, MOMENTUM, PENALTY = 30, 40, 30.0, 0.9, 1e-5
 THRESHOLD = 0.3
@@ -72,20 +72,25 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     rng = np.random.default_rng(seed)
     check = rng.random(len(y)) < 0.2
     learn = ~check
-    rows = np.repeat(np.arange(len(y)), [len(b[0]) for b in bags])
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(b[0]) for b in bags])
     cols, vals = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
-    used = learn[rows]
-    texts = np.bincount(cols[used], minlength=BUCKETS)
-    mean = np.bincount(cols[used], vals[used], minlength=BUCKETS) / learn.sum()
-    spread = np.sqrt(np.maximum(np.bincount(cols[used], vals[used] ** 2.0, minlength=BUCKETS) / learn.sum() - mean**2, 1e-18))
+    texts, mean, square = (np.zeros(BUCKETS) for _ in range(3))
+    for at, weight in (b for b, out in zip(bags, check) if not out):
+        texts[at] += 1
+        mean[at] += weight
+        square[at] += weight * weight
+    mean /= learn.sum()
+    spread = np.sqrt(np.maximum(square / learn.sum() - mean**2, 1e-18))
     scale = np.where(texts >= LEAST_TEXTS, 1 / np.maximum(spread, 1e-9), 0.0)
     scale = (scale / max(1.0, np.sqrt((scale > 0).sum()))).astype(np.float32)
     keep = scale[cols] > 0
     rows, cols, vals = rows[keep], cols[keep], vals[keep] * scale[cols[keep]]
     centre = (mean * scale).astype(np.float32)
-    by_col = np.argsort(cols, kind="stable")
+    by_col = np.argsort(cols, kind="stable").astype(np.int32)
     present, col_starts = np.unique(cols[by_col], return_index=True)
     filled, row_starts = np.unique(rows, return_index=True)
+    rows_of_col, vals_of_col = rows[by_col], vals[by_col]
+    del by_col, rows, keep
     inner = rng.normal(0, 1e-3, (BUCKETS, DIMENSIONS)).astype(np.float32)
     outer = rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32)
     outer -= outer.mean(1, keepdims=True)
@@ -96,7 +101,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     best = (np.inf, np.zeros(BUCKETS), float(bias[1] - bias[0]))
     for _ in range(STEPS):
         texts_in = np.zeros((len(y), DIMENSIONS), np.float32)
-        texts_in[filled] = np.add.reduceat(inner[cols] * vals[:, None], row_starts, axis=0)
+        for d in range(DIMENSIONS if len(cols) else 0):
+            texts_in[filled, d] = np.add.reduceat(inner[cols, d] * vals, row_starts)
         texts_in -= centre @ inner
         z = texts_in @ outer + bias
         z -= z.max(1, keepdims=True)
@@ -109,9 +115,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
         error = p.copy()
         error[np.arange(len(y)), y] -= 1
         error *= learn[:, None] / learn.sum()
-        back = error @ outer.T
+        back = (error @ outer.T).astype(np.float32)
         grad = PENALTY * inner
-        grad[present] += np.add.reduceat((back[rows] * vals[:, None])[by_col], col_starts, axis=0)
+        for d in range(DIMENSIONS if len(cols) else 0):
+            grad[present, d] += np.add.reduceat(back[rows_of_col, d] * vals_of_col, col_starts)
         grad -= np.outer(centre, back.sum(0))
         for k, (param, g, rate_) in enumerate(((inner, grad, RATE), (outer, texts_in.T @ error, RATE / 100), (bias, error.sum(0), 0.5))):
             speed[k] = MOMENTUM * speed[k] - rate_ * g

@@ -1,11 +1,15 @@
+import hashlib
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
-import pytest
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from courtside.llm import language_id, quality, queries, toxicity
+from courtside.llm import language_id, quality, queries, simhash, toxicity
 
 
 def auc(scores, y):
@@ -95,12 +99,55 @@ def test_language_without_text_follows_the_rest(spark):
     assert [r[0] for r in urls.select(language_id.address_suffix(F.col("u"), ["fr", "de"])).collect()] == ["fr", "de", None, None]
 
 
-def test_pipeline_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, sf_dir)
-        assert after.columns == docs.columns and {r.doc_id for r in after.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}, name
-        before = spark.createDataFrame(after.collect(), docs.schema)
+def test_pipeline_stages_against_brute_force(spark, sf_dir):
+    """Each stage on all that the stage before it kept, by plain Python over the same rows."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    word = re.compile(r"[^\W_]+")
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    source = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    source += [(9000 + i, *r[1:]) for i, r in enumerate(source[:3])] + [(9100, "x " + " ".join(source[0][1].split()[:-1]), *source[0][2:]), (9200, None, "en", "s", 0)]
+    docs = spark.createDataFrame(source, schema)
+    by_name = dict(corpus_pipeline.STAGES)
+    rows = lambda df: {r.doc_id: r.text for r in df.collect()}
+    frame = lambda kept: spark.createDataFrame([r for r in source if r[0] in kept], schema)
+
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"]).collect()}
+    clean = rows(by_name["toxicity"](spark, docs, sf_dir))
+    assert set(clean) == {i for i, s in scores.items() if s < 0.3}
+
+    groups = {}
+    for i, t in clean.items():
+        groups.setdefault("".join(c for c in t or "" if c not in " \t\n\v\f\r"), []).append((-len(t or ""), i))
+    single = rows(by_name["exact dedup"](spark, frame(clean), sf_dir))
+    assert set(single) == {min(g)[1] for g in groups.values()}
+
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in single.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = {(a, b) for a in sets for b in sets if a < b and alike(a, b)}
+    apart = rows(by_name["simhash near-dedup"](spark, frame(single), sf_dir))
+    assert not [p for p in pairs if set(p) <= set(apart)]
+    assert set(single) - set(apart) <= {i for p in pairs for i in p}
+
+    leaks = set()
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        b = word.findall(r.text.lower())
+        item = Counter(tuple(b[i : i + 5]) for i in range(max(1, len(b) - 4)))
+        for i, t in apart.items():
+            w = word.findall((t or "").lower())
+            a = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+            if set(a) & set(item):
+                windows = (Counter(a[k : k + item.total()]) for k in range(max(1, len(a) - item.total() + 1)))
+                if any((x & item).total() >= 0.8 * (x | item).total() - 1e-12 for x in windows):
+                    leaks.add(i)
+    safe = rows(by_name["benchmark decontamination"](spark, frame(apart), sf_dir))
+    assert set(safe) == set(apart) - leaks
+
+    out = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in by_name["bpe encoding and decoding"](spark, frame(safe), sf_dir).collect()}
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in safe.items()}
+    assert out == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in want.items()}
+
+
+def test_pipeline_runs_as_a_whole(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in before.collect()} and out.count() > 0.5 * docs.count()
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert 0.5 * spark.read.parquet(f"{sf_dir}/documents.parquet").count() < out.count() == out.select("doc_id").distinct().count()
