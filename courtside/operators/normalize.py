@@ -36,7 +36,7 @@ def tier_of_percentile(p: Column) -> Column:
 
 def tier_of_z(z: Column) -> Column:
     """Strict bounds; null is average."""
-    return F.when(z > 1.5, "elite").when(z > 0.5, "above_average").when(z > -0.5, "average").when(z > -1.5, "below_average").when(z.isNotNull(), "low").otherwise("average")
+    return F.when(z.isNull(), "average").when(z > 1.5, "elite").when(z > 0.5, "very_good").when(z > -0.5, "above_average").when(z > -1.5, "average").otherwise("below_average")
 
 
 def context_stats(df: DataFrame, context: list[str], metrics: list[str], least_minutes: float = 10.0) -> DataFrame:

@@ -217,4 +217,4 @@ def career_scores(seasons: DataFrame, keys: list[str], birth_year: str = "birth_
 def career_labels() -> Column:
     """Labels of a career row."""
     c = F.col
-    return F.array_compact(F.array(F.when(c("rising_star"), "rising"), F.when(c("peak_performer"), "peak"), F.when(c("established"), "established"), F.when(c("trajectory") > 0.65, "improving").when(c("trajectory") < 0.40, "declining")))
+    return F.array_compact(F.array(F.when(c("rising_star"), "rising"), F.when(c("peak_performer"), "peak"), F.when(c("established"), "veteran"), F.when(c("trajectory") > 0.15, "improving").when(c("trajectory") < -0.10, "declining")))

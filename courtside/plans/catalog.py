@@ -275,13 +275,13 @@ def a24_season_standing(spark, sf_dir):
 
 
 @query(f"""
-SELECT level, {", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in ("elite", "above_average", "average", "below_average", "low"))} FROM (SELECT level, CASE WHEN z > 1.5 THEN 'elite' WHEN z > 0.5 THEN 'above_average' WHEN z > -0.5 THEN 'average' WHEN z > -1.5 THEN 'below_average' ELSE 'low' END AS tier
+SELECT level, {", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in ("elite", "very_good", "above_average", "average", "below_average"))} FROM (SELECT level, CASE WHEN z > 1.5 THEN 'elite' WHEN z > 0.5 THEN 'very_good' WHEN z > -0.5 THEN 'above_average' WHEN z > -1.5 THEN 'average' ELSE 'below_average' END AS tier
 FROM (SELECT a.level, (avg_points - points_mean) / points_std AS z FROM (SELECT player_id, season_start, level, avg(points) AS avg_points FROM ({PERF}) GROUP BY ALL) a JOIN ({STATS}) s ON a.level = s.level AND a.season_start = s.season_start)) GROUP BY level""")
 def a43_tier_distribution(spark, sf_dir):
     """Players of each tier by level."""
     facts, seasons = _leveled(spark, sf_dir)
     z = normalize.season_standing(seasons, facts, ["level", "season_start"], "points", "avg_points")
-    return aggregates.tier_distribution(z.withColumn("tier", normalize.tier_of_z(F.col("z"))), ["level"], "tier", ["elite", "above_average", "average", "below_average", "low"])
+    return aggregates.tier_distribution(z.withColumn("tier", normalize.tier_of_z(F.col("z"))), ["level"], "tier", ["elite", "very_good", "above_average", "average", "below_average"])
 
 
 # --- windows ----------------------------------------------------------------------------------------------------------

@@ -148,9 +148,19 @@ def played_flag(minutes: Column) -> Column:
     return F.coalesce((minutes.try_cast("int") != 0).cast("int"), F.lit(0))
 
 
-def fuzzy_same_team(a: Column, b: Column, stop_words: tuple[str, ...] = ("CB", "CLUB", "BALONCESTO", "BASKET", "DE", "DEL", "LA", "EL")) -> Column:
-    """Half of the shorter name's words, without stop words, in common; an empty name matches nothing."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.upper(F.trim(x)), r"\s+"), lambda w: (w != "") & ~w.isin(*stop_words)))
+#: Parts of team names that say nothing about the team.
+TEAM_STOP_WORDS = ("C.B.", "C.D.", "S.A.D.", "BALONCESTO", "CLUB")
+
+
+def fuzzy_same_team(a: Column, b: Column) -> Column:
+    """Half of the shorter name's words in common, without the parts that differ by source; an empty name matches nothing."""
+
+    def words(x: Column) -> Column:
+        name = F.upper(x)
+        for part in TEAM_STOP_WORDS:
+            name = F.replace(name, F.lit(part), F.lit(""))
+        return F.array_distinct(F.array_remove(F.split(F.trim(name), r"\s+"), ""))
+
     shared, least = F.size(F.array_intersect(words(a), words(b))), F.least(F.size(words(a)), F.size(words(b)))
     return F.coalesce((least > 0) & (shared >= 0.5 * least), F.lit(False))
 
