@@ -1,6 +1,8 @@
 import collections
 import re
 
+import duckdb
+
 from courtside.llm import chat, decontaminate, queries
 
 
@@ -56,6 +58,11 @@ def test_reply_ordered(spark):
         (4, 4, "user", "> reply"),
     ]
     got = {(r.conv_id, r.turn, r.text): (r.reply_to, r.thread_root, r.depth) for r in chat.reply_ordered(spark.createDataFrame([(*r, 1) for r in talk], "conv_id long, turn long, role string, text string, depth int")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", talk)
+    sql = con.execute(f"SELECT conv_id, turn, text, reply_to, thread_root, depth FROM ({queries.ORACLE_SQL['op4_quotation_threads']})").fetchall()
+    assert {r[:3]: r[3:] for r in sql} == got and len(sql) == len(talk)
     assert got[1, 2, "I asked first."] == (0, 0, 1)
     assert got[1, 3, "Yes you did."] == (2, 0, 2)
     assert got[1, 4, "nested only"] == (1, 1, 1)
@@ -70,4 +77,17 @@ def test_reply_ordered(spark):
 
 def test_conversations_without_quotes_stay_as_they_are(spark, sf_dir):
     want = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    names = ["conv_id", "turn", "role", "reply_to", "thread_root", "depth", "quoted_lines", "text"]
+    sql = con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLE_SQL['op4_quotation_threads']})").fetchall()
+    assert sorted(map(repr, sql)) == sorted(repr(tuple(r)) for r in queries.op4_quotation_threads(spark, sf_dir).select(*names).collect())
     assert {(r.conv_id, r.turn): r.text for r in queries.op4_quotation_threads(spark, sf_dir).collect()} == want
+
+
+def test_contaminated_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, item_id, similarity FROM ({queries.ORACLE_SQL['op3_decontamination']})").fetchall())
+    assert want and sorted(tuple(r) for r in queries.op3_decontamination(spark, sf_dir).collect()) == want
