@@ -1,7 +1,7 @@
 """Token counts: an exact histogram of encoded lengths, with prefix and suffix sums for every context limit.
 
 The histogram has one row per distinct length, so its size is bounded by the longest document and not by their
-number. Sums run in two levels: within blocks of neighbouring lengths, and over the few block totals.
+number. It is written once, as it is read twice. Sums run in two levels: within blocks of neighbouring lengths, and over the few block totals.
 
 Null and empty texts count as length 0. Lengths that occur often are one row with a larger count. An empty table
 gives an empty histogram. The input may have any other columns.
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.llm.bpe import token_lengths
+from courtside.plans.storage import saved
 
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
@@ -30,7 +31,7 @@ def context_table(histogram: DataFrame) -> DataFrame:
     ``truncated_tokens`` is the total left when every document is cut to L tokens, ``docs_share`` is the quantile
     of L. Between two rows these totals are linear in the limit, so the table answers every limit exactly.
     """
-    rows = histogram.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
+    rows = saved(histogram.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block")))
     inside = Window.partitionBy("block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
