@@ -25,7 +25,7 @@ from courtside.plans.storage import saved
 
 #: Digests per bucket, on average, of which one filter is built; bytes a digest needs in it: about 1.2.
 KEYS_PER_BUCKET = 1 << 15
-#: Rows of ids that may be broadcast for the byte check (8 bytes each); beyond that the join shuffles.
+#: Rows of ids and digests that may be broadcast for the byte check (about 100 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 WHITE = r"[\x20\x09-\x0D]+"
 
