@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
@@ -10,3 +11,10 @@ def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
     """The schema of the columns ``keep`` of ``df``, whatever their names, followed by the fields of ``ddl``."""
     kept = df.select(*[f"`{c}`" for c in keep]).schema.fields if keep else []
     return StructType([*kept, *_parse_datatype_string(f"struct<{ddl}>").fields])
+
+
+def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """All of ``df`` if its ``rows`` are ``most`` or fewer, else the rows whose key hashes below the share that makes about
+    ``most`` (within a few per cent for thousands): the same rows in every run, without a sort or a gathering task."""
+    whole = 1 << 30
+    return df if rows <= most else df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(whole)) < int(whole * most / rows))

@@ -1,8 +1,8 @@
 """Quality classifier: document evidence combined with shrunken host and path posteriors (hierarchical empirical Bayes).
 
 1. One pass over the texts gives each document a dozen ratios (byte classes, words, repeated lines).
-2. A logistic regression on these is fitted by Newton steps to a bounded sample of labelled rows (``MOST_ROWS`` rows of
-   numbers, taken in hash order), so the driver's work does not follow the corpus.
+2. A logistic regression on these is fitted by Newton steps to a bounded sample of labelled rows (about ``MOST_ROWS`` rows
+   of numbers at most, picked by hash), so the driver's work does not follow the corpus.
 3. Grouped aggregation counts labels by path and by host. A host's rate shrinks toward the global rate, a path's toward
    its host's; how strongly is estimated from the spread of the rates over groups (method of moments). Sites with few
    labels stay close to the prior, unlabelled ones get it whole. A labelled document's own label is left out of the
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import with_fields
+from courtside.llm.frames import hash_sample, with_fields
 from courtside.plans.storage import saved, small_side
 
-#: Labelled rows that the classifier is fitted to, at most, and its ridge penalty.
+#: Labelled rows that the classifier is fitted to, at most (about), and its ridge penalty.
 MOST_ROWS, RIDGE = 20_000, 1.0
 FEATURES = ["log_words", "word_length", "distinct_words", "repeated_lines", "line_length", "lower", "upper", "digits", "stops", "symbols", "other_punctuation", "beyond_ascii"]
 
@@ -106,7 +106,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, host: Column, path:
     rows = saved(features(base, ["id", "host", "path"]).join(known, "id", "left"))
 
     labelled = rows.where("y is not null")
-    sample = labelled.orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS).select("x", "y").collect()
+    sample = hash_sample(labelled, "id", MOST_ROWS, labelled.count()).select("x", "y").collect()
     weights, intercept = fit([(r.x, r.y) for r in sample])
     logit = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) + F.lit(intercept)
 

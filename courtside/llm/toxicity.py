@@ -6,8 +6,8 @@ are trained together by gradient descent with momentum; a part of the sample is
 Unseen spellings share grams with seen ones. At scoring time the model is one number a bucket, so a word costs a cached
 look-up, and cached words are bounded in number.
 
-The model is fitted on the driver to a bounded sample: at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts in hash
-order, of ``MOST_CHARS`` characters or less (longer texts are left out of the sample, never cut; every text is scored
+The model is fitted on the driver to a bounded sample: about ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts at most,
+picked by hash, of ``MOST_CHARS`` characters or less (longer texts are left out of the sample, never cut; every text is scored
 whole). The texts' bags are made by tasks; the driver gets numbers. Intercepts are moved to the labels' true rate.
 
 Null and empty texts get the score of the prior alone; several labels of one document count by their maximum; repeated
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import with_fields
+from courtside.llm.frames import hash_sample, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 3, (3, 4, 5)
@@ -133,8 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < n:
         return np.zeros(BUCKETS), 30.0 if n and toxic == n else -30.0
-    order = (F.xxhash64("id"), F.col("id"))
-    picked = [known.where(F.col("y") == y).orderBy(*order).limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
+    picked = [hash_sample(known.where(F.col("y") == y), "id", most, rows) for y, most, rows in ((1, MOST_TOXIC, toxic), (0, MOST_CLEAN, n - toxic))]
     sample = small_side(picked[0].unionByName(picked[1]))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").where(F.char_length("text") <= MOST_CHARS)
 
@@ -143,7 +142,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             bags = [bag(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in bags], pa.list_(pa.int32())), pa.array([b[1] for b in bags], pa.list_(pa.float32()))], names=["y", "at", "weight"])
 
-    rows = texts.select("y", "text").mapInArrow(run, "y int, at array<int>, weight array<float>").limit(MOST_TOXIC + MOST_CLEAN).toArrow()
+    rows = texts.select("y", "text").mapInArrow(run, "y int, at array<int>, weight array<float>").toArrow()
     y = rows.column("y").to_numpy().astype(np.int64)
     if len({*y.tolist()}) < 2:
         return np.zeros(BUCKETS), float(np.log(toxic / (n - toxic)))
