@@ -30,7 +30,7 @@ from courtside.llm.frames import hash_sample, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 3, (3, 4, 5)
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 10_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 10_000
 #: Texts that a gram must occur in to be learned from; steps, rate, momentum and penalty of the descent.
 LEAST_TEXTS, STEPS, RATE, MOMENTUM, PENALTY = 30, 40, 30.0, 0.9, 1e-5
 THRESHOLD = 0.3
@@ -148,7 +148,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return np.zeros(BUCKETS), float(np.log(toxic / (n - toxic)))
     at, weight = (rows.column(c).combine_chunks() for c in ("at", "weight"))
     bags = [(at[i].values.to_numpy(), weight[i].values.to_numpy()) for i in range(len(y))]
+    del rows
     weights, intercept = train(bags, y)
+    del bags, at, weight
+    pa.default_memory_pool().release_unused()
     return weights, float(intercept + np.log(toxic / (n - toxic)) - np.log(y.mean() / (1 - y.mean())))
 
 
