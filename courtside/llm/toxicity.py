@@ -1,14 +1,15 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is a bag of its character 3- to 5-grams and itself, hashed into a fixed number of buckets; a text is the mean of
-its words, a word the mean of its grams, each gram scaled by the inverse of its spread over texts. Embeddings and softmax
+its words, a word the mean of its grams, each gram scaled by the inverse of its spread over texts and shrunk by how few
+texts it occurs in (``t / (t + SHRINK_TEXTS)``), so that rare grams count at any size of the input. Embeddings and softmax
 are trained together by gradient descent with momentum; a part of the sample is held back to choose when to stop.
 Unseen spellings share grams with seen ones. At scoring time the model is one number a bucket, so a word costs a cached
 look-up, and cached words are bounded in number.
 
 The model is fitted on the driver to a bounded sample: about ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts at most,
-picked by hash, of ``MOST_CHARS`` characters or less (longer texts are left out of the sample, never cut; every text is scored
-whole). The texts' bags are made by tasks; the driver gets numbers. Intercepts are moved to the labels' true rate.
+picked by hash, of ``MOST_CHARS`` characters or less (longer texts are left out of the sample, never cut). The texts' bags are made by tasks; the driver gets six bytes
+a distinct gram of a text, which training reads in blocks without copying. Intercepts are moved to the labels' true rate.
 
 Null and empty texts get the score of the prior alone; several labels of one document count by their maximum; repeated
 rows each get a row; an empty table gives an empty result; without labels of both kinds every score is the known rate of
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from courtside.llm.frames import hash_sample, with_fields
 from courtside.plans.storage import saved, small_side
 
-BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 3, (3, 4, 5)
+BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 4, (3, 4, 5)
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 10_000
-#: Texts that a gram must occur in to be learned from; steps, rate, momentum and penalty of the descent.
-LEAST_TEXTS, STEPS, RATE, MOMENTUM, PENALTY = 30, 40, 30.0, 0.9, 1e-5
+#: Texts that a gram must occur in to be learned from, and those at which it counts half; steps, rate, momentum and
+#: penalty of the descent; texts in a block.
+LEAST_TEXTS, SHRINK_TEXTS, STEPS, RATE, MOMENTUM, PENALTY = 2, 10, 40, 30.0, 0.9, 1e-5
+BLOCK_TEXTS = 64
 THRESHOLD = 0.3
 WORDS = re.compile(r"\w+")
 CACHE_WORDS = 1 << 19
@@ -72,8 +75,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     rng = np.random.default_rng(seed)
     check = rng.random(len(y)) < 0.2
     learn = ~check
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(b[0]) for b in bags])
-    cols, vals = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
     texts, mean, square = (np.zeros(BUCKETS) for _ in range(3))
     for at, weight in (b for b, out in zip(bags, check) if not out):
         texts[at] += 1
@@ -81,48 +82,41 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
         square[at] += weight * weight
     mean /= learn.sum()
     spread = np.sqrt(np.maximum(square / learn.sum() - mean**2, 1e-18))
-    scale = np.where(texts >= LEAST_TEXTS, 1 / np.maximum(spread, 1e-9), 0.0)
-    scale = (scale / max(1.0, np.sqrt((scale > 0).sum()))).astype(np.float32)
-    keep = scale[cols] > 0
-    rows, cols, vals = rows[keep], cols[keep], vals[keep] * scale[cols[keep]]
-    centre = (mean * scale).astype(np.float32)
-    by_col = np.argsort(cols, kind="stable").astype(np.int32)
-    present, col_starts = np.unique(cols[by_col], return_index=True)
-    filled, row_starts = np.unique(rows, return_index=True)
-    rows_of_col, vals_of_col = rows[by_col], vals[by_col]
-    del by_col, rows, keep
-    inner = rng.normal(0, 1e-3, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    outer = rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32)
+    scale = np.where(texts >= LEAST_TEXTS, texts / np.maximum(texts + SHRINK_TEXTS, 1) / np.maximum(spread, 1e-9), 0.0)
+    scale /= max(1.0, np.sqrt((scale > 0).sum()))
+    centre = mean * scale
+    inner = rng.normal(0, 1e-3, (BUCKETS, DIMENSIONS))
+    outer = rng.normal(0, 1, (DIMENSIONS, 2))
     outer -= outer.mean(1, keepdims=True)
     outer /= np.linalg.norm(outer)
     rate = min(max(y[learn].mean(), 1e-3), 1 - 1e-3)
-    bias = np.log(np.array([1 - rate, rate], np.float32))
+    bias = np.log(np.array([1 - rate, rate]))
     speed = [np.zeros_like(p) for p in (inner, outer, bias)]
     best = (np.inf, np.zeros(BUCKETS), float(bias[1] - bias[0]))
     for _ in range(STEPS):
-        texts_in = np.zeros((len(y), DIMENSIONS), np.float32)
-        for d in range(DIMENSIONS if len(cols) else 0):
-            texts_in[filled, d] = np.add.reduceat(inner[cols, d] * vals, row_starts)
-        texts_in -= centre @ inner
-        z = texts_in @ outer + bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        loss = -np.log(np.maximum(p[check, y[check]], 1e-9)).mean() if check.any() else 0.0
+        # of two classes only the difference counts, so a step needs one product with the bags and one with their transpose
+        direction = outer[:, 1] - outer[:, 0]
+        weights = (inner * scale[:, None]) @ direction
+        intercept = float(bias[1] - bias[0] - centre @ (inner @ direction))
+        loss, total, pull = 0.0, 0.0, np.zeros(BUCKETS)
+        for k in range(0, len(y), BLOCK_TEXTS):
+            block, of = bags[k : k + BLOCK_TEXTS], slice(k, k + BLOCK_TEXTS)
+            at, weight = (np.concatenate([b[c] for b in block]) for c in (0, 1))
+            row = np.repeat(np.arange(len(block)), [len(b[0]) for b in block])
+            odds = np.clip(intercept + np.bincount(row, weights[at] * weight, minlength=len(block)), -500, 500)
+            loss += np.logaddexp(0, np.where(y[of] == 1, -odds, odds))[check[of]].sum()
+            error = np.where(learn[of], 1 / (1 + np.exp(-odds)) - y[of], 0.0) / learn.sum()
+            total += error.sum()
+            pull += np.bincount(at, error[row] * weight, minlength=BUCKETS)
+        loss /= max(1, check.sum())
         if loss < best[0]:
-            direction = outer[:, 1] - outer[:, 0]
-            best = (loss, (inner * scale[:, None]) @ direction, float(bias[1] - bias[0] - centre @ inner @ direction))
-        error = p.copy()
-        error[np.arange(len(y)), y] -= 1
-        error *= learn[:, None] / learn.sum()
-        back = (error @ outer.T).astype(np.float32)
-        grad = PENALTY * inner
-        for d in range(DIMENSIONS if len(cols) else 0):
-            grad[present, d] += np.add.reduceat(back[rows_of_col, d] * vals_of_col, col_starts)
-        grad -= np.outer(centre, back.sum(0))
-        for k, (param, g, rate_) in enumerate(((inner, grad, RATE), (outer, texts_in.T @ error, RATE / 100), (bias, error.sum(0), 0.5))):
+            best = (loss, weights, intercept)
+        pull = pull * scale - centre * total
+        sides = np.array([-1.0, 1.0])
+        grads = (PENALTY * inner + np.outer(pull, direction), np.outer(inner.T @ pull, sides), total * sides)
+        for k, (param, g, rate_) in enumerate(zip((inner, outer, bias), grads, (RATE, RATE / 100, 0.5))):
             speed[k] = MOMENTUM * speed[k] - rate_ * g
-            param += speed[k].astype(np.float32)
+            param += speed[k]
     return best[1], best[2]
 
 
@@ -140,17 +134,20 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         for batch in batches:
             bags = [bag(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in bags], pa.list_(pa.int32())), pa.array([b[1] for b in bags], pa.list_(pa.float32()))], names=["y", "at", "weight"])
+            # bucket numbers are 16 bits wide; Spark has signed ones only
+            at = pa.array([b[0].astype(np.uint16).view(np.int16) for b in bags], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), at, pa.array([b[1] for b in bags], pa.list_(pa.float32()))], names=["y", "at", "weight"])
 
-    rows = texts.select("y", "text").mapInArrow(run, "y int, at array<int>, weight array<float>").toArrow()
+    rows = texts.select("y", "text").mapInArrow(run, "y int, at array<smallint>, weight array<float>").toArrow()
     y = rows.column("y").to_numpy().astype(np.int64)
     if len({*y.tolist()}) < 2:
         return np.zeros(BUCKETS), float(np.log(toxic / (n - toxic)))
-    at, weight = (rows.column(c).combine_chunks() for c in ("at", "weight"))
-    bags = [(at[i].values.to_numpy(), weight[i].values.to_numpy()) for i in range(len(y))]
-    del rows
+    bags = []
+    for batch in rows.to_batches():
+        at, weight = batch.column(1), batch.column(2)
+        bags += [(at[i].values.to_numpy().view(np.uint16), weight[i].values.to_numpy()) for i in range(batch.num_rows)]
     weights, intercept = train(bags, y)
-    del bags, at, weight
+    del rows, batch, bags, at, weight
     pa.default_memory_pool().release_unused()
     return weights, float(intercept + np.log(toxic / (n - toxic)) - np.log(y.mean() / (1 - y.mean())))
 

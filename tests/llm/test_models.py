@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -45,6 +46,17 @@ def test_toxicity_finds_unseen_misspellings(spark):
     assert toxicity.toxicity(df.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("sf, least_auc, least_precision, least_recall", [("sf0.01", 0.7, 0.4, 0.3), ("sf0.1", 0.9, 0.72, 0.55)])
+def test_toxicity_on_held_out_labels(spark, sf, least_auc, least_precision, least_recall):
+    folder = f"/root/testdata/{sf}"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [r for r in queries.op7_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    y, predicted = np.array([labels[r.doc_id] for r in held]), np.array([r.predicted for r in held])
+    caught = (y * predicted).sum()
+    assert auc(np.array([r.score for r in held]), y) > least_auc
+    assert caught / y.sum() > least_recall and caught / max(1, predicted.sum()) > least_precision
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rng = np.random.default_rng(2)
     rows, labels = [], []
