@@ -8,7 +8,7 @@ Unseen spellings share grams with seen ones. At scoring time the model is one nu
 look-up, and cached words are bounded in number.
 
 The model is fitted on the driver to a bounded sample: about ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts at most,
-picked by hash, of ``MOST_CHARS`` characters or less (longer texts are left out of the sample, never cut). The texts' bags are made by tasks; the driver gets six bytes
+picked by hash whatever their length and learned from whole. The texts' bags are made by tasks; the driver gets six bytes
 a distinct gram of a text, which training reads in blocks without copying. Intercepts are moved to the labels' true rate.
 
 Null and empty texts get the score of the prior alone; several labels of one document count by their maximum; repeated
@@ -31,7 +31,7 @@ from courtside.llm.frames import hash_sample, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 4, (3, 4, 5)
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 10_000
+MOST_TOXIC, MOST_CLEAN = 2500, 4500
 #: Texts that a gram must occur in to be learned from, and those at which it counts half; steps, rate, momentum and
 #: penalty of the descent; texts in a block.
 LEAST_TEXTS, SHRINK_TEXTS, STEPS, RATE, MOMENTUM, PENALTY = 2, 10, 40, 30.0, 0.9, 1e-5
@@ -129,7 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return np.zeros(BUCKETS), 30.0 if n and toxic == n else -30.0
     picked = [hash_sample(known.where(F.col("y") == y), "id", most, rows) for y, most, rows in ((1, MOST_TOXIC, toxic), (0, MOST_CLEAN, n - toxic))]
     sample = small_side(picked[0].unionByName(picked[1]))
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").where(F.char_length("text") <= MOST_CHARS)
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
 
     def run(batches):
         for batch in batches:

@@ -57,6 +57,16 @@ def test_toxicity_on_held_out_labels(spark, sf, least_auc, least_precision, leas
     assert caught / y.sum() > least_recall and caught / max(1, predicted.sum()) > least_precision
 
 
+def test_toxicity_learns_from_long_texts_and_rare_words(spark):
+    common = " ".join(f"plain{i}" for i in range(40))
+    rows = [(i, f"{common} " * 40 + ("zyxwv " * 40 if i % 4 == 0 else "")) for i in range(60)]
+    assert min(len(t) for _, t in rows) > 10_000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = toxicity.toxicity(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")).collect()
+    held = [r for r in out if r.held_out]
+    assert len({r.doc_id % 4 == 0 for r in held}) == 2 and all(r.predicted == (r.doc_id % 4 == 0) for r in held)
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rng = np.random.default_rng(2)
     rows, labels = [], []
