@@ -224,13 +224,15 @@ def _compare(table: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def _close(batch, k: int, fields: list[str], similarity: float):
-    """For a pair of tiles: its two sides, and blocks ``(i, j)`` of rows close enough in bits and in size."""
+    """For a pair of tiles: its two sides, and blocks ``(i, j)`` of rows close enough in bits and in size; if the last field is ``component``, only of rows in different ones."""
     a, b = (_rows(batch.column(c), k, fields) for c in (1, 2))
     words = [np.stack(x[2 : 2 + WORDS], 1).view(np.uint64) for x in (a, b)]
 
     def blocks():
         for i, j in close_pairs(*words, RADIUS, batch.column(0)[k].as_py()):
             keep = np.minimum(a[1][i], b[1][j]) >= similarity * np.maximum(a[1][i], b[1][j])
+            if fields[-1] == "component":
+                keep &= a[-1][i] != b[-1][j]
             if keep.any():
                 yield i[keep], j[keep]
 
@@ -282,13 +284,38 @@ def _densest(table: DataFrame, similarity: float) -> DataFrame:
     return found.groupBy("id").agg(best).select("id", "best.degree", (-F.col("best.o")).alias("other"))
 
 
+def _nearest(table: DataFrame, similarity: float) -> DataFrame:
+    """``(id, other)``: for each row its close row of another component with the fewest differing bits, then the smallest id."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(np.zeros(0, np.int64),) * 3]
+            for k in range(batch.num_rows):
+                a, b, blocks = _close(batch, k, ["id", "n", *NAMES, "component"], similarity)
+                order = [np.argsort(side[0]) for side in (a, b)]
+                rank = [np.argsort(o) for o in order]
+                none = (64 * WORDS + 1) * max(len(a[0]), len(b[0]))
+                best = [np.full(len(side[0]), none, np.int64) for side in (a, b)]
+                for i, j in blocks:
+                    apart = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in zip((v.view(np.uint64) for v in a[2 : 2 + WORDS]), (v.view(np.uint64) for v in b[2 : 2 + WORDS])))
+                    np.minimum.at(best[0], i, apart * len(b[0]) + rank[1][j])
+                    np.minimum.at(best[1], j, apart * len(a[0]) + rank[0][i])
+                for side, other, top, ranked in ((a, b, best[0], order[1]), (b, a, best[1], order[0])):
+                    has = top < none
+                    out.append((side[0][has], top[has] // len(ranked), other[0][ranked[top[has] % len(ranked)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "apart", "other"])
+
+    found = _compare(table, run, "id bigint, apart bigint, other bigint")
+    return found.groupBy("id").agg(F.min(F.struct("apart", "other")).alias("best")).select("id", "best.other")
+
+
 def _all_close(table: DataFrame, similarity: float) -> DataFrame:
-    """``(id, other)``: every close pair, ``id`` being the larger."""
+    """``(id, other)``: every close pair of rows of different components, ``id`` being the larger."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b, blocks = _close(batch, k, ["id", "n", *NAMES], similarity)
+                a, b, blocks = _close(batch, k, ["id", "n", *NAMES, "component"], similarity)
                 for i, j in blocks:
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a[0][i], b[0][j])), pa.array(np.minimum(a[0][i], b[0][j]))], names=["id", "other"])
 
@@ -307,10 +334,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """The rows of ``df`` that stay when of each group of near-duplicate texts one stays.
 
     Two texts are near-duplicates if their sets of ``size``-word shingles have a Jaccard similarity of at least
-    ``similarity``; fingerprints within ``RADIUS`` bits propose the pairs, and exact sets decide. A few ``rounds``
-    join each text to the close text that has the most close texts, the likely source of its copies, so that a large
-    group costs one verified pair a copy. Then all close pairs of the texts that are left are verified, and of each
-    pair the larger id goes. Texts without words are copies of each other. Rows with a null id always stay.
+    ``similarity``, and a group is a component of such pairs; its smallest id stays. Fingerprints within ``RADIUS``
+    bits propose the pairs, and exact sets decide. A few ``rounds`` link each text to the close text that has the most
+    close texts, the likely source of its copies, so that a large group costs one verified pair a copy; a few more link
+    it to the nearest text of another component. Then all close pairs of different components are verified, so no link
+    that joins two components is missed. Texts without words are copies of each other. Rows with a null id always stay.
     """
     named = df.where(F.col(id_col).isNotNull())
     rows = saved(_banded(sketches(named, id_col, text_col, size).groupBy("id").agg(F.max("n").alias("n"), *[F.max(w).alias(w) for w in NAMES]), similarity))
@@ -319,23 +347,25 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     degrees = saved(_degrees(table, similarity))
     if degrees.isEmpty():
         return df
-    left = rows.join(degrees, "id")
-    shingles = saved(_shingle_sets(named, saved(left.select("id")), id_col, text_col, size))
-    gone = None
-    for k in range(rounds + 1):
-        left = saved(left)
+    close = saved(rows.join(degrees, "id"))
+    shingles = saved(_shingle_sets(named, close.select("id"), id_col, text_col, size))
+    left, linked = close, close.select("id", F.col("id").alias("other")).limit(0)
+    for _ in range(rounds):
+        own = saved(tiles(left, "band", [*values, "degree"]))
+        found = _densest(own, similarity).join(left.select("id", F.col("degree").alias("own")), "id")
+        verified = saved(_verified(found.where("degree > own or degree = own and other < id"), shingles, similarity))
+        linked = linked.unionByName(verified)
+        left = saved(left.join(verified.select("id"), "id", "left_anti"))
         if left.isEmpty():
             break
-        own = saved(tiles(left, "band", [*values, "degree"]))
-        if k < rounds:
-            found = _densest(own, similarity).join(left.select("id", F.col("degree").alias("own")), "id")
-            found = found.where("degree > own or degree = own and other < id")
-        else:
-            found = _all_close(own, similarity)
-        dropped = saved(_verified(found, shingles, similarity).select("id").distinct())
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        left = left.join(dropped, "id", "left_anti")
-    return df.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    for k in range(rounds + 1):
+        component = connected_components(linked, "id", "other").withColumnRenamed("node", "id")
+        placed = close.join(component, "id", "left").select(*values, "band", F.coalesce("component", "id").alias("component"))
+        own = saved(tiles(placed, "band", [*values, "component"]))
+        verified = saved(_verified((_nearest if k < rounds else _all_close)(own, similarity), shingles, similarity))
+        linked = linked.unionByName(verified)
+    gone = saved(connected_components(linked, "id", "other")).where("node <> component")
+    return df.join(gone.select(F.col("node").alias(id_col)), id_col, "left_anti")
 
 
 def _shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:

@@ -90,6 +90,42 @@ def test_near_dedup_leaves_one_of_each_group(spark):
     assert simhash.near_dedup(df.where("doc_id in (0, 20)")).count() == 2
 
 
+def test_near_dedup_groups_are_components(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+
+    def chain(ids, at=0):
+        text = words(200)
+        for k, i in enumerate(ids):
+            yield i, " ".join(text)
+            text[at + 15 * k : at + 15 * (k + 1)] = words(15)
+
+    texts = dict(chain([1, 11, 2, 12, 3])) | dict(chain([108, 103, 101, 107, 102, 106, 104, 105]))
+    # two dense centres whose copies a bridge of single texts joins
+    bridge = dict(chain([250, 201, 240, 202, 251]))
+    texts |= bridge
+    for k, centre in enumerate((250, 251)):
+        for c in range(12):
+            copy = bridge[centre].split()
+            copy[150 + 4 * c] = "changed"
+            texts[260 + 20 * k + c] = " ".join(copy)
+    texts |= {400 + k: " ".join(words(200)) for k in range(5)}
+    sets = {i: {*simhash.shingle_hashes(t, 5).tolist()} for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {root(i) for i in texts} == {1, 101, 201, 400, 401, 402, 403, 404}
+    out = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted({root(i) for i in texts})
+
+
 def test_binary_fuse_filter():
     for n in (1, 2, 3, 10, 1000, 40_000):
         keys = np.random.default_rng(n).integers(-(2**63), 2**63, n)
