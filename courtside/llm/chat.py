@@ -2,8 +2,8 @@
 
 A line that begins with ``>`` marks is quoted, one level per mark (white space between marks is ignored). Lines of the
 same level that follow each other are a passage. A passage is normalised (lower case, runs of letters and digits only)
-and hashed whole and line by line; what a message says itself is hashed whole, by paragraph and by line. A quoted hash
-joins the first message of the conversation that said it, if that is an earlier one. The message answered is the one
+and hashed whole, by paragraph, by line and by sentence, and so is what a message says itself; lines that a mail program
+has wrapped do not matter to paragraphs and sentences. A quoted hash joins the first message of the conversation that said it, if that is an earlier one. The message answered is the one
 with the shallowest link, then the most linked words, then the latest turn. Threads (root and depth) come from pointer
 doubling, whose rounds grow with the logarithm of the deepest thread.
 
@@ -25,6 +25,8 @@ from courtside.plans.storage import saved
 
 QUOTED = r"^\s*>"
 MARKS = r"^((?:\s*>)+)"
+#: Where a paragraph ends, and where a sentence ends within one.
+PARAGRAPHS, SENTENCES = r"\n\s*\n", r"(?<=[.!?…。！？])\s+"
 ATTRIBUTION = r"^\s*On\b.*\bwrote:\s*$"
 
 
@@ -48,9 +50,9 @@ def normalised(passage: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}]+", " "))
 
 
-def _units(text: Column, paragraphs: bool) -> Column:
-    """A text whole, by paragraph and by line, normalised, distinct and without empty ones."""
-    parts = [F.array(text), F.split(text, "\n")] + ([F.split(text, r"\n\s*\n")] if paragraphs else [])
+def _units(text: Column) -> Column:
+    """A text whole, by paragraph, by line and by sentence, normalised, distinct and without empty ones."""
+    parts = [F.array(text), F.split(text, "\n"), F.split(text, PARAGRAPHS), F.split(text, f"{PARAGRAPHS}|{SENTENCES}")]
     return F.array_distinct(F.filter(F.transform(F.concat(*parts), normalised), lambda x: x != ""))
 
 
@@ -78,10 +80,10 @@ def reply_links(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, reply_to, level, linked_words)`` for each message whose quotes lead to an earlier one."""
     messages = messages.where("conv_id is not null and turn is not null")
     found = saved(quotes(messages))
-    quoted = _hashed(found, ["conv_id", "turn", "level"], _units(F.col("passage"), False)).distinct()
+    quoted = _hashed(found, ["conv_id", "turn", "level"], _units(F.col("passage"))).distinct()
     # only conversations that quote at all need the hashes of what was said
     said = messages.join(found.select("conv_id").distinct(), "conv_id", "left_semi")
-    original = _hashed(said.select("conv_id", "turn", own_text(F.col("text")).alias("own")), ["conv_id", "turn"], _units(F.col("own"), True))
+    original = _hashed(said.select("conv_id", "turn", own_text(F.col("text")).alias("own")), ["conv_id", "turn"], _units(F.col("own")))
     original = original.groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("reply_to"))
     linked = quoted.join(original, ["conv_id", "h1", "h2"]).where("reply_to < turn").groupBy("conv_id", "turn", "level", "reply_to").agg(F.sum("words").alias("linked_words"))
     best = F.max(F.struct((-F.col("level")).alias("l"), "linked_words", "reply_to")).alias("best")

@@ -75,6 +75,29 @@ def test_reply_ordered(spark):
     assert chat.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_wrapped_paragraphs_and_sentences_link(spark):
+    parts = ["The first paragraph tells how the season began, with a long run of narrow wins. It ends here.", "The second is about the players who were hurt in the autumn. Nobody expected them back so soon!", "The third asks what comes next."]
+    wrapped = "> The first paragraph tells how the season\n> began, with a long run of narrow\n> wins. It ends here.\n>\n> The second is about the players who\n> were hurt in the autumn. Nobody\n> expected them back so soon!\n"
+    talk = [
+        (1, 0, "user", "Shall we talk about the season?"),
+        (1, 1, "assistant", "\n\n".join(parts)),
+        (1, 2, "user", wrapped + "I did expect them."),
+        (1, 3, "assistant", "> Nobody expected them\n> back so soon!\nWell."),
+        (1, 4, "user", ">> Nobody expected them\n>> back so soon!\n> Well.\nIndeed."),
+        (1, 5, "user", "> Nobody expected\nnot a whole sentence"),
+    ]
+    rows = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.reply_to, r.thread_root, r.depth) for r in chat.reply_ordered(rows).collect()}
+    # by hand: the earliest message that says one of the quoted paragraphs, lines or sentences
+    units = lambda t: {chat_words(u) for p in re.split(r"\n\s*\n", t) for u in [p, *p.split("\n"), *re.split(r"(?<=[.!?])\s+", p)]} - {""}
+    chat_words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    for turn, quoted in ((2, wrapped), (3, talk[3][3]), (5, talk[5][3])):
+        said = "\n".join(re.sub(r"^>\s?", "", line) for line in quoted.split("\n") if line.startswith(">"))
+        first = [t for _, t, _, text in talk[:turn] if units(said) & units("\n".join(x for x in text.split("\n") if not x.startswith(">")))]
+        assert got[turn][0] == (first[0] if first else None)
+    assert got == {0: (None, 0, 0), 1: (None, 1, 0), 2: (1, 1, 1), 3: (1, 1, 1), 4: (3, 1, 2), 5: (None, 5, 0)}
+
+
 def test_conversations_without_quotes_stay_as_they_are(spark, sf_dir):
     want = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
     con = duckdb.connect()
