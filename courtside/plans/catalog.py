@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from courtside.functions import boxscore, names, scalars
 from courtside.operators import aggregates, identity, mart, normalize, quality, scoring, windows
 from courtside.plans import bind, model
+from courtside.plans.storage import saved
 from courtside.sources import ingest, pages
 from courtside.streaming import incremental
 
@@ -596,24 +597,33 @@ def m01_feature_mart(spark, sf_dir):
 FEATURES = ["minutes", "points", "fga", "fta", "reb", "games", "avg_points", "std_points", "trend_points", "win_pct", "team_win_pct", "match_weight"]
 
 
+LABELS = ["target_points", "target_efficiency"]
+
+
 @query()
 def m13_predictions(spark, sf_dir):
-    """A projection for the latest row of every player, from trees fitted to the players of the training share."""
-    labels = ["target_points", "target_efficiency"]
-    rows = mart.numeric_features(_mart(spark, sf_dir).select("player_id", *aggregates.ORDER, *labels, *FEATURES), ["player_id", *aggregates.ORDER, *labels])
-    train, _ = model.split(rows.where(F.col(labels[0]).isNotNull()), "player_id")
-    fitted = model.regressor(FEATURES, labels[0], depth=4, trees=8).fit(train)
-    latest = mart.latest_of(rows, ["player_id"], *aggregates.ORDER)
-    return model.predict(fitted, latest, ["player_id", "avg_points"])
+    """Projections of both targets for the latest row of every player with the features that move them most, from trees fitted to the players of the training share."""
+    rows = saved(mart.numeric_features(_mart(spark, sf_dir).select("player_id", *aggregates.ORDER, *LABELS, *FEATURES), ["player_id", *aggregates.ORDER, *LABELS]))
+    train, _ = model.split(rows, "player_id")
+    fitted = model.train_all(train, FEATURES, LABELS)
+    usual = train.agg(*[F.avg(c).alias(c) for c in FEATURES]).first().asDict()
+    latest = saved(mart.latest_of(rows, ["player_id"], *aggregates.ORDER))
+    points, efficiency = (model.explained(fitted[label], latest, FEATURES, usual, "player_id") for label in LABELS)
+    efficiency = efficiency.select("player_id", F.col("prediction").alias("efficiency_prediction"), F.col("top_features").alias("efficiency_features"))
+    return points.select("player_id", "was.avg_points", "prediction", "top_features").join(efficiency, "player_id")
 
 
 @query()
 def m09_model_metrics(spark, sf_dir):
-    """Error of a model on the players that it was not fitted to."""
-    rows = mart.numeric_features(_mart(spark, sf_dir).select("player_id", "target_points", *FEATURES), ["player_id", "target_points"]).where("target_points is not null")
-    train, test = model.split(rows, "player_id")
-    fitted = model.regressor(FEATURES, "target_points", depth=4, trees=8).fit(train)
-    return model.metrics(fitted.transform(test), "target_points")
+    """Errors of the models of both targets on the players that they were fitted to and on the others."""
+    rows = saved(mart.numeric_features(_mart(spark, sf_dir).select("player_id", *LABELS, *FEATURES), ["player_id", *LABELS]))
+    sides = dict(zip(("train", "test"), model.split(rows, "player_id")))
+    out = None
+    for label, fitted in model.train_all(sides["train"], FEATURES, LABELS).items():
+        for side, part in sides.items():
+            one = model.metrics(fitted.transform(part.where(F.col(label).isNotNull())), label).select(F.lit(label).alias("target"), F.lit(side).alias("side"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""
