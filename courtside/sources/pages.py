@@ -40,6 +40,32 @@ def game_headers(pages: DataFrame, html: str = "html", key: str = "page_id") ->
     )
 
 
+def game_boxes(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """Venue, city, referees, teams, final and quarter scores that a page's marked-up fields state; null or an empty list where it states none."""
+    clean = lambda x: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), "&nbsp;|\u00a0", " "), r"\s+", " ")), F.lit(""))
+    found = lambda text, pattern: F.regexp_extract(text, "(?is)" + pattern, 1)
+    field = lambda name: clean(found(F.col(html), rf"<span[^>]*\bid=[\"'][^\"']*_{name}[\"'][^>]*>(.*?)</span>"))
+    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " ")
+    named = F.filter(F.array(*[field(f"arbitro{i}Nombre") for i in (1, 2, 3)]), lambda x: x.isNotNull())
+    stated = F.slice(F.regexp_extract_all(text, F.lit(r"([A-Z]{3,}\s+[A-Z]{3,},\s+[A-Z]{3,})"), 1), 1, 3)
+    box = found(F.col(html), r"(<div[^>]*\bclass=[\"'][^\"']*\bbox-marcador\b.*)")
+    part = r"<div[^>]*\bclass=[\"'][^\"']*\bparciales\b"
+    rows = found(box, rf"({part}.*)")
+    head = F.regexp_replace(box, rf"(?is){part}.*", "")
+    # a side's block ends where the other side's begins
+    side = lambda area, own, other: found(area, rf"<div[^>]*\bclass=[\"'][^\"']*\bequipo {own}\b[^>]*>(.*?)(?:<div[^>]*\bclass=[\"'][^\"']*\bequipo {other}\b|\z)")
+    span = lambda area, name: found(area, rf"<span[^>]*\bclass=[\"'][^\"']*\b{name}\b[^>]*>(.*?)</span>")
+    columns = []
+    for prefix, own, other in (("home", "local", "visitante"), ("away", "visitante", "local")):
+        block, quarters = side(head, own, other), found(side(rows, own, other), r"^(.*?)(?:</div>|\z)")
+        columns += [
+            clean(span(block, "nombre")).alias(f"{prefix}_team"),
+            F.nullif(F.regexp_extract(clean(span(block, "resultado")), r"^(\d+)$", 1), F.lit("")).cast("int").alias(f"{prefix}_score"),
+            F.transform(F.regexp_extract_all(quarters, F.lit(r"(?is)<span[^>]*>\s*(\d+)\s*</span>"), 1), lambda x: x.cast("int")).alias(f"{prefix}_quarters"),
+        ]
+    return pages.select(key, field("pabellon").alias("venue"), field("localidad").alias("city"), F.when(F.size(named) > 0, named).otherwise(stated).alias("referees"), *columns)
+
+
 class _Cells(HTMLParser):
     """The cells of each table row, with the row's class."""
 

@@ -124,6 +124,18 @@ def test_pages(spark):
     assert tuple(head) == (1, "2023/2024", "01/02/2024", "18:30", 80, 75)
 
 
+def test_game_boxes(spark):
+    field = lambda name, value: f'<span id="_ctl0_MainContentPlaceHolderMaster_{name}">{value}</span>'
+    team = lambda side, name, score: f'<div class="columna equipo {side}"><div class="logo"><img src="x.png"></div><span class="nombre"><a href="?i=7">{name}</a></span><span class="resultado">{score}</span></div>'
+    quarters = lambda side, points: f'<div class="columna equipo {side}">' + "".join(f"<span>{x}</span>" for x in points) + "</div>"
+    box = f'<div class="box-marcador">{team("local", "Alpha", 80)}{team("visitante", "Beta CB", 75)}<div class="fila parciales">{quarters("local", [20, 25, "-", 15, 20])}{quarters("visitante", [18, 22, 20, 15])}</div></div><span>99</span>'
+    first = field("pabellon", " Main Hall ") + field("localidad", "Town") + field("arbitro1Nombre", "A, B") + field("arbitro2Nombre", "&nbsp;") + field("arbitro3Nombre", "C, D") + box
+    df = spark.createDataFrame([(1, first), (2, "<p>GARCIA PEREZ, ANA</p>" + field("pabellon", "&nbsp;")), (3, None)], "page_id long, html string")
+    got = {r.page_id: r for r in pages.game_boxes(df).collect()}
+    assert tuple(got[1]) == (1, "Main Hall", "Town", ["A, B", "C, D"], "Alpha", 80, [20, 25, 15, 20], "Beta CB", 75, [18, 22, 20, 15])
+    assert tuple(got[2])[:6] == (2, None, None, ["GARCIA PEREZ, ANA"], None, None) and got[3].venue is None and got[3].home_team is None
+
+
 def test_stream_equals_batch(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = str(tmp_path / "in")
