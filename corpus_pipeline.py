@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from courtside.llm.frames import one_row_each
 
 #: SQL for the rows of :func:`run`: none, as it can express neither the trained model nor the tokenizer.
 ORACLE_SQL = None
@@ -23,13 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; even ids stand for the stored snapshot, odd ones for the new batch."""
+    """One row of each group of equal texts, whatever ids repeat or are null; even ids stand for the stored snapshot, odd ones for the new batch."""
     groups = exact_dedup.exact_dedup(docs, F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 0, 0))
-    return docs.join(groups.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    decided = groups.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+    return one_row_each(docs, "doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256), decided, F.char_length(F.coalesce("text", F.lit(""))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles have a similarity of 0.8 or more."""
+    """One row of each group whose sets of five-word shingles have a similarity of 0.8 or more."""
     return simhash.near_dedup(docs).select(*docs.columns)
 
 

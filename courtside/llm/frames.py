@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from courtside.plans.storage import saved
+
 
 def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
     """The schema of the columns ``keep`` of ``df``, whatever their names, followed by the fields of ``ddl``."""
@@ -18,3 +20,19 @@ def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
     ``most`` (within a few per cent for thousands): the same rows in every run, without a sort or a gathering task."""
     whole = 1 << 30
     return df if rows <= most else df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(whole)) < int(whole * most / rows))
+
+
+def one_row_each(df: DataFrame, id_col: str, digest: Column, decided: DataFrame, order: Column) -> DataFrame:
+    """The rows of ``df`` whose id and digest ``decided (id, digest, kept, copies)`` keeps, one of each: the largest by ``order``.
+
+    Ids compare null-safe. Rows that ``decided`` keeps and has one copy of are not gathered by key.
+    """
+    marked = df.withColumn("__digest", digest)
+    aside = saved(decided.where("not kept or copies > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__of"), "kept"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of"))
+    rest = marked.join(aside, same, "left_anti").select(*df.columns)
+    again = aside.where("kept")
+    if again.isEmpty():
+        return rest
+    row = F.max_by(F.struct(*df.columns), order).alias("__row")
+    return rest.unionByName(marked.join(again, same, "left_semi").groupBy(id_col, "__digest").agg(row).select("__row.*"))

@@ -9,8 +9,8 @@ differing bit moves one count by one, so keys whose counts differ by more than t
 most tile pairs are never formed. Of the links in a tile pair only a spanning forest leaves the task.
 
 Null and empty texts have the fingerprint zero and link like any other; repeated rows share a fingerprint and a
-component; rows with a null id are dropped, as nothing can name them; an empty table gives an empty result; other
-columns are ignored.
+component; rows with a null id are dropped by :func:`simhash_groups`, as nothing can name them, and are texts like any
+other to :func:`near_dedup`; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import with_fields
+from courtside.llm.frames import one_row_each, with_fields
 from courtside.plans.components import connected_components
 from courtside.plans.storage import partitions, saved
 
@@ -196,8 +196,12 @@ WORDS, RADIUS = 4, 60
 NAMES = [f"w{k}" for k in range(WORDS)]
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, n, w0..w3)``: the number of distinct shingles of each text and a 256-bit fingerprint of that set."""
+    """``(id, digest, n, w0..w3)``: the number of distinct shingles of each text and a 256-bit fingerprint of that set."""
 
     def run(batches):
         for batch in batches:
@@ -207,9 +211,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 n.append(len(h))
                 fps.append(fingerprint(h, WORDS))
             fps = np.array(fps, np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS))], names=["id", "n", *NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS))], names=["id", "digest", "n", *NAMES])
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id bigint, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
+    return df.select(F.col(id_col).cast("bigint"), F.col(text_col), _digest(F.col(text_col))).mapInArrow(run, "id bigint, digest string, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
 
 
 def _banded(rows: DataFrame, similarity: float) -> DataFrame:
@@ -338,17 +342,20 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     bits propose the pairs, and exact sets decide. A few ``rounds`` link each text to the close text that has the most
     close texts, the likely source of its copies, so that a large group costs one verified pair a copy; a few more link
     it to the nearest text of another component. Then all close pairs of different components are verified, so no link
-    that joins two components is missed. Texts without words are copies of each other. Rows with a null id always stay.
+    that joins two components is missed. Texts without words are copies of each other. Rows are told apart by id and
+    text, so an id may stand on several texts; of equal rows one stays, and a null id wins over no other.
     """
-    named = df.where(F.col(id_col).isNotNull())
-    rows = saved(_banded(sketches(named, id_col, text_col, size).groupBy("id").agg(F.max("n").alias("n"), *[F.max(w).alias(w) for w in NAMES]), similarity))
+    found = sketches(df, id_col, text_col, size).groupBy("id", "digest").agg(F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n", *NAMES)])
+    # the key of a row: numbers are given to rows that are written already, so they do not change
+    named = saved(saved(found).select(F.monotonically_increasing_id().alias("key"), F.col("id").alias("name"), "digest", "copies", "n", *NAMES))
+    rows = saved(_banded(named.select(F.col("key").alias("id"), "n", *NAMES), similarity))
     values = ["id", "n", *NAMES]
     table = saved(tiles(rows, "band", values))
     degrees = saved(_degrees(table, similarity))
     if degrees.isEmpty():
-        return df
+        return one_row_each(df, id_col, _digest(F.col(text_col)), named.select(F.col("name").alias("id"), "digest", F.lit(True).alias("kept"), "copies"), F.lit(0))
     close = saved(rows.join(degrees, "id"))
-    shingles = saved(_shingle_sets(named, close.select("id"), id_col, text_col, size))
+    shingles = saved(_shingle_sets(df, named.join(close.select(F.col("id").alias("key")), "key", "left_semi"), id_col, text_col, size))
     left, linked = close, close.select("id", F.col("id").alias("other")).limit(0)
     for _ in range(rounds):
         own = saved(tiles(left, "band", [*values, "degree"]))
@@ -364,17 +371,22 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         own = saved(tiles(placed, "band", [*values, "component"]))
         verified = saved(_verified((_nearest if k < rounds else _all_close)(own, similarity), shingles, similarity))
         linked = linked.unionByName(verified)
-    gone = saved(connected_components(linked, "id", "other")).where("node <> component")
-    return df.join(gone.select(F.col("node").alias(id_col)), id_col, "left_anti")
+    component = connected_components(linked, "id", "other").withColumnRenamed("node", "key")
+    grouped = saved(named.select("key", "name", "digest", "copies").join(component, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("name").isNull().alias("null"), "name", "digest", "key")).alias("first")).select(F.col("first.key").alias("stays"))
+    decided = grouped.join(first, F.col("key") == F.col("stays"), "left").select(F.col("name").alias("id"), "digest", F.col("stays").isNotNull().alias("kept"), "copies")
+    return one_row_each(df, id_col, _digest(F.col(text_col)), decided, F.lit(0))
 
 
-def _shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, shingles array<bigint>)``: the distinct shingle hashes of the texts of the given ids."""
+def _shingle_sets(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, shingles array<bigint>)``: the distinct shingle hashes of the texts of the given ``(key, name, digest)``, ``id`` being the key."""
 
     def run(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    wanted = keys.select("key", "name", F.col("digest").alias("of"))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), _digest(F.col(text_col)).alias("digest"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("name")) & (F.col("digest") == F.col("of"))).select("key", "text")
     return texts.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from courtside.llm import exact_dedup, queries, sharding, simhash
 
 ODD = [(0, "a b c"), (1, "A B  C"), (2, None), (3, ""), (4, "abc"), (4, "abc"), (5, "word " * 30_000), (6, "word " * 30_000 + " "), (7, "é x"), (8, " \t"), (9, "a b c d e f")]
@@ -126,6 +127,20 @@ def test_near_dedup_groups_are_components(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({root(i) for i in texts})
 
 
+def test_stages_keep_one_row_of_each_group_with_repeated_ids(spark):
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 100_000, 100))
+    a, b, c, d, e = (text(s) for s in range(5))
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, b + " "), (3, c), (3, d), (None, e), (None, e), (None, a), (4, "x " + d), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    exact = sorted(map(repr, (tuple(r) for r in stages["exact dedup"](spark, df, None).collect())))
+    assert exact == sorted(map(repr, [(1, a), (2, b + " "), (3, c), (3, d), (None, e), (4, "x " + d), (7, None)]))
+    near = [tuple(r) for r in stages["simhash near-dedup"](spark, df, None).collect()]
+    assert {(i, (t or "").strip()) for i, t in near} == {(1, a), (2, b), (3, c), (3, d), (None, e), (7, "")} and len(near) == 6
+    alone = spark.createDataFrame([(5, a), (5, a), (5, b), (None, c), (None, c)], df.schema)
+    assert sorted(map(repr, (tuple(r) for r in stages["simhash near-dedup"](spark, alone, None).collect()))) == sorted(map(repr, [(5, a), (5, b), (None, c)]))
+
+
 def test_binary_fuse_filter():
     for n in (1, 2, 3, 10, 1000, 40_000):
         keys = np.random.default_rng(n).integers(-(2**63), 2**63, n)
