@@ -340,6 +340,13 @@ def p60_normalised_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", names.normalise_name(F.regexp_extract("text", r"^(\S+\s+\S+\s+\S+)", 1)).alias("normal"))
 
 
+@query(r"""
+SELECT p_partkey, coalesce(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(p_name), 'ß', 'ss'))), '[^A-Z0-9\s.,-]', '', 'g'), '\s+', ' ', 'g')), '') AS normal FROM part""")
+def p60_normalised_part_names(spark, sf_dir):
+    """The whole name of every part, normalised."""
+    return table(spark, sf_dir, "part").select("p_partkey", names.normalise_name(F.col("p_name")).alias("normal"))
+
+
 NORMAL = r"trim(regexp_replace(regexp_replace(strip_accents(upper(trim(name))), '[^A-Z0-9\s.,-]', '', 'g'), '\s+', ' ', 'g'))"
 PARTS = f"""SELECT *, CASE WHEN n LIKE '%.%' THEN n[1] WHEN n LIKE '% %' THEN n[1] ELSE '' END AS ini, CASE WHEN n LIKE '%.%' OR n NOT LIKE '% %' THEN '' ELSE split_part(n, ' ', 1) END AS fst,
   CASE WHEN n LIKE '%.%' OR n LIKE '% %' THEN regexp_replace(n, '^\\S+\\s*', '') ELSE n END AS sur FROM (SELECT *, {NORMAL} AS n FROM ({PROFILES}))"""
