@@ -9,14 +9,14 @@ differing bit moves one count by one, so keys whose counts differ by more than t
 most tile pairs are never formed. Of the links in a tile pair only a spanning forest leaves the task.
 
 Null and empty texts have the fingerprint zero and link like any other; repeated rows share a fingerprint and a
-component; rows with a null id are dropped by :func:`simhash_groups`, as nothing can name them, and are texts like any
-other to :func:`near_dedup`; an empty table gives an empty result; other columns are ignored.
+component; a row with a null id is linked and may join others like any other row, and its component is null only if no
+row of it has an id; an empty table gives an empty result; texts of any length are read whole, in blocks of shingles;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from courtside.llm.frames import one_row_each, with_fields
 from courtside.plans.components import connected_components
-from courtside.plans.storage import partitions, saved
+from courtside.plans.storage import partitions, saved, small_side
 
 SEED = 42
 #: Fingerprints in a tile, on average; rows compared at once within a task.
-TILE, BLOCK = 16_384, 128
+TILE, BLOCK = 1 << 16, 128
+#: For each byte value, its eight bits.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_BYTES = np.arange(8) * 256
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -61,10 +64,11 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
             h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
             h = h ^ h >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
+        # how often each byte value stands at each of the eight places gives the bit counts
+        times = np.zeros(2048, np.int64)
         for at in range(0, len(h), 4096):
-            ones += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > len(h)).view(">u8")[0]
+            times += np.bincount((h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8) + _BYTES).ravel(), minlength=2048)
+        out[k] = np.packbits((times.reshape(8, 256) @ _BITS).ravel() * 2 > len(h)).view(">u8")[0]
     return out
 
 
@@ -80,22 +84,34 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def tiles(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """``(key, chunk, rows array<struct>)``: the rows of each key, dealt into chunks of about ``TILE`` rows."""
-    counts = saved(rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(TILE)).alias("chunks")))
+    """``(key, chunk, rows array)``: the rows of each key, dealt into chunks of about ``TILE`` rows.
+
+    A row is its only value, or else a struct of its values. The table of chunk counts has one row a key.
+    """
+    counts = small_side(rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(TILE)).alias("chunks")))
     dealt = rows.join(counts, key).withColumn("chunk", F.pmod(F.xxhash64(*values), F.col("chunks")))
-    return dealt.groupBy(key, "chunk").agg(F.collect_list(F.struct(*values)).alias("rows"))
+    return dealt.groupBy(key, "chunk").agg(F.collect_list(values[0] if len(values) == 1 else F.struct(*values)).alias("rows"))
 
 
 def tile_pairs(table: DataFrame, key: str, neighbours: Column) -> DataFrame:
-    """``(same, a, b)``: every pair of tiles to compare, once. ``neighbours`` lists the keys that a tile's key meets, its own among them, each unordered pair of keys once."""
+    """``(cell, same, a, b)``: every pair of tiles to compare, once, dealt by ``cell`` over the tasks.
+
+    ``neighbours`` lists the keys that a tile's key meets, its own among them, each unordered pair of keys once.
+    """
     left = table.select(F.col(key).alias("own"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("a"), F.explode(neighbours).alias(key))
     right = table.select(key, F.col("chunk").alias("chunk_b"), F.col("rows").alias("b"))
     pairs = left.join(right, key).where(f"own <> {key} or chunk_a <= chunk_b")
-    return pairs.select(((F.col("own") == F.col(key)) & (F.col("chunk_a") == F.col("chunk_b"))).alias("same"), "a", "b")
+    same = (F.col("own") == F.col(key)) & (F.col("chunk_a") == F.col("chunk_b"))
+    pairs = pairs.select(F.xxhash64("own", key, "chunk_a", "chunk_b").alias("cell"), same.alias("same"), "a", "b")
+    return pairs.repartition(4 * partitions(table.sparkSession), "cell")
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
-    """Blocks of index pairs ``(i, j)`` of fingerprints (rows of 64-bit words) within ``radius`` bits; ``i < j`` if same."""
+def close_blocks(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
+    """Blocks ``(rows of a, rows of b, differing bits, whether within radius)`` of fingerprints (rows of 64-bit words).
+
+    Both sides go in order of their population counts, so blocks that lie beyond the radius are never formed. If
+    ``same``, a pair of rows is within the radius in one of its two orders only.
+    """
     of = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b)]
     order = [np.argsort(x, kind="stable") for x in of]
     a, b, of = a[order[0]], b[order[1]], [x[o] for x, o in zip(of, order)]
@@ -104,15 +120,21 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
         start, end = np.searchsorted(of[1], [low - radius, high + radius + 1])
         for j in range(max(start, i) if same else start, end, 4 * BLOCK):
             y = b[j : min(j + 4 * BLOCK, end)]
-            apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
             for k in range(1, a.shape[1]):
-                apart = apart + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-            p, q = np.nonzero(apart <= radius)
+                apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+            near = apart <= radius
             if same:
-                ahead = p + i < q + j
-                p, q = p[ahead], q[ahead]
-            if len(p):
-                yield order[0][p + i], order[1][q + j]
+                near &= np.arange(i, i + len(x))[:, None] < np.arange(j, j + len(y))
+            if near.any():
+                yield order[0][i : i + len(x)], order[1][j : j + len(y)], apart, near
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
+    """Index pairs ``(i, j)`` of :func:`close_blocks`, block by block."""
+    for rows, cols, _, near in close_blocks(a, b, radius, same):
+        p, q = np.nonzero(near)
+        yield rows[p], cols[q]
 
 
 def spanning(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,27 +157,28 @@ def spanning(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _rows(column: pa.Array, k: int, fields: list[str]) -> list[np.ndarray]:
-    values = column[k].values
-    return [values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+def _edges(src, dst) -> pa.Table:
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def links(pairs: DataFrame, words: list[str], radius: int) -> DataFrame:
-    """``(src, dst)``: for each tile pair, edges that connect the ids within ``radius`` bits of each other."""
+def links(pairs: DataFrame, radius: int) -> DataFrame:
+    """``(src, dst)``: for each pair of tiles of fingerprints, edges that connect those within ``radius`` bits of each other."""
 
-    def run(batches):
-        for batch in batches:
-            src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k in range(batch.num_rows):
-                (ids_a, *a), (ids_b, *b) = (_rows(batch.column(n), k, ["id", *words]) for n in (1, 2))
-                found = [(ids_a[i], ids_b[j]) for i, j in close_pairs(np.stack(a, 1).view(np.uint64), np.stack(b, 1).view(np.uint64), radius, batch.column(0)[k].as_py())]
-                if found:
-                    s, d = spanning(*(np.concatenate(x) for x in zip(*found)))
-                    src.append(s)
-                    dst.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+    def run(table: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 2]
+        for same, a, b in zip(*(table.column(c) for c in ("same", "a", "b"))):
+            a, b = (x.values.to_numpy() for x in (a, b))
+            found, size = [], 0
+            for i, j in close_pairs(a.view(np.uint64)[:, None], b.view(np.uint64)[:, None], radius, same.as_py()):
+                found.append((a[i], b[j]))
+                size += len(i)
+                if size > 1 << 20:  # only what connects is kept
+                    found, size = [spanning(*(np.concatenate(x) for x in zip(*found)))], 0
+            if found:
+                out.append(spanning(*(np.concatenate(x) for x in zip(*found))))
+        return _edges(*(np.concatenate(x) for x in zip(*out)))
 
-    return pairs.mapInArrow(run, "src bigint, dst bigint")
+    return pairs.groupBy("cell").applyInArrow(run, "src bigint, dst bigint")
 
 
 def _near_counts(key: Column, parts: int, most: int, radius: int) -> Column:
@@ -175,25 +198,31 @@ def quarter_counts(fp: Column) -> Column:
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
     """``(id_col, fingerprint, component_id)``: texts whose fingerprints a chain of steps of at most ``radius`` bits joins.
 
-    ``fingerprint`` is 16 hex digits; ``component_id`` is the smallest id of the component, a lone row's own id.
-    Ids are integers.
+    ``fingerprint`` is 16 hex digits; ``component_id`` is the smallest id of the component, a lone row's own id, and null
+    where no row of the component has an id. Fingerprints are the nodes that are linked, so ids may repeat or be null.
     """
-    rows = saved(fingerprints(df.where(F.col(id_col).isNotNull()), id_col, text_col, size).withColumnRenamed(id_col, "id"))
-    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("id")).select(F.col("id").cast("bigint").alias("id"), "fp", quarter_counts(F.col("fp")).alias("key")))
-    table = saved(tiles(distinct, "key", ["id", "fp"]))
-    pairs = tile_pairs(table, "key", _near_counts(F.col("key"), 4, 16, radius)).repartition(4 * partitions(df.sparkSession))
-    component = connected_components(links(pairs, ["fp"], radius))
-    named = distinct.join(component, distinct.id == component.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(saved(named), "fp")
+    rows = saved(fingerprints(df, id_col, text_col, size).withColumnRenamed(id_col, "id"))
+    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp", quarter_counts(F.col("fp")).alias("key")))
+    table = saved(tiles(distinct.select("fp", "key"), "key", ["fp"]))
+    component = connected_components(links(tile_pairs(table, "key", _near_counts(F.col("key"), 4, 16, radius)), radius))
+    placed = distinct.join(component, distinct.fp == component.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = saved(placed.join(smallest, "component").select("fp", "component_id"))
+    out = rows.join(named, "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # --- near-duplicate removal by verified similarity ---------------------------------------------------------------
 
 #: Words of a fingerprint, and the differing bits of 256 up to which a pair is verified: at a similarity of 0.8 about
-#: 39 bits differ, with a standard deviation of 6; unrelated texts differ in 128 with one of 8.
-WORDS, RADIUS = 4, 60
+#: 39 bits differ, with a standard deviation of 6; unrelated texts differ in 128 with one of 8. The bits of sets of a few
+#: shingles spread more, so pairs with a smaller set than ``FEW`` are verified up to a wider radius.
+WORDS, RADIUS, FEW, FEW_RADIUS = 4, 60, 12, 90
 NAMES = [f"w{k}" for k in range(WORDS)]
+#: Bands of sizes that the ratio ``similarity`` is cut into.
+BANDS = 4
+#: Bytes of shingles and rows of one side that a task verifies at a time.
+PART_BYTES, PART_ROWS = 8 << 20, 4096
 
 
 def _digest(text: Column) -> Column:
@@ -201,178 +230,157 @@ def _digest(text: Column) -> Column:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, digest, n, w0..w3)``: the number of distinct shingles of each text and a 256-bit fingerprint of that set."""
+    """``(id, digest, of, n, w0..w3)``: each text's set of shingles as a 128-bit hash, its size and its 256-bit fingerprint."""
 
     def run(batches):
         for batch in batches:
-            n, fps = [], []
+            n, of, fps = [], [], []
             for t in batch.column(1):
                 h = np.unique(shingle_hashes(t.as_py(), size))
                 n.append(len(h))
+                of.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 fps.append(fingerprint(h, WORDS))
             fps = np.array(fps, np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS))], names=["id", "digest", "n", *NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(of, pa.string()), pa.array(n, pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS))], names=["id", "digest", "of", "n", *NAMES])
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(text_col), _digest(F.col(text_col))).mapInArrow(run, "id bigint, digest string, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
+    return df.select(F.col(id_col).cast("bigint"), F.col(text_col), _digest(F.col(text_col))).mapInArrow(run, "id bigint, digest string, of string, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
 
 
 def _banded(rows: DataFrame, similarity: float) -> DataFrame:
-    """Adds ``band``: texts of a similarity of at least this have sizes within one band of each other."""
-    return rows.withColumn("band", F.when(F.col("n") == 0, -1).otherwise(F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(1 / similarity) + 1e-9))).cast("bigint"))
-
-
-def _compare(table: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Apply ``run`` to each pair of tiles whose bands are equal or next to each other, once."""
-    pairs = tile_pairs(table, "band", F.array("band", F.col("band") + 1))
-    return pairs.repartition(4 * partitions(table.sparkSession)).mapInArrow(run, schema)
-
+    """Adds ``band``: sets of a similarity of at least this have sizes within ``BANDS`` bands of each other."""
+    return rows.withColumn("band", F.when(F.col("n") == 0, -1 - BANDS).otherwise(F.floor(F.ln(F.col("n").cast("double")) * F.lit(BANDS / (math.log(1 / similarity) + 1e-9)))).cast("bigint"))
 
-def _close(batch, k: int, fields: list[str], similarity: float):
-    """For a pair of tiles: its two sides, and blocks ``(i, j)`` of rows close enough in bits and in size; if the last field is ``component``, only of rows in different ones."""
-    a, b = (_rows(batch.column(c), k, fields) for c in (1, 2))
-    words = [np.stack(x[2 : 2 + WORDS], 1).view(np.uint64) for x in (a, b)]
 
-    def blocks():
-        for i, j in close_pairs(*words, RADIUS, batch.column(0)[k].as_py()):
-            keep = np.minimum(a[1][i], b[1][j]) >= similarity * np.maximum(a[1][i], b[1][j])
-            if fields[-1] == "component":
-                keep &= a[-1][i] != b[-1][j]
-            if keep.any():
-                yield i[keep], j[keep]
+def _radius(n: np.ndarray) -> int:
+    return RADIUS if n.min() >= FEW else FEW_RADIUS
 
-    return a, b, blocks()
 
+def _alike_sizes(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    a, b = a[:, None], b[None, :]
+    return np.minimum(a, b) + 1e-9 >= similarity * np.maximum(a, b)
 
-def _degrees(table: DataFrame, similarity: float) -> DataFrame:
-    """``(id, degree)``: how many rows are close to each row; rows without any are left out."""
-
-    def run(batches):
-        for batch in batches:
-            ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k in range(batch.num_rows):
-                a, b, blocks = _close(batch, k, ["id", "n", *NAMES], similarity)
-                of = [np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)]
-                for i, j in blocks:
-                    of[0] += np.bincount(i, minlength=len(of[0]))
-                    of[1] += np.bincount(j, minlength=len(of[1]))
-                for side, c in zip((a, b), of):
-                    ids.append(side[0][c > 0])
-                    counts.append(c[c > 0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts))], names=["id", "degree"])
-
-    return _compare(table, run, "id bigint, degree bigint").groupBy("id").agg(F.sum("degree").alias("degree"))
 
+def involved(table: DataFrame, similarity: float) -> DataFrame:
+    """``(cell, side, id, n, w0..w3)``: of each pair of tiles the rows with a row on the other side that is close in bits and size.
 
-def _densest(table: DataFrame, similarity: float) -> DataFrame:
-    """``(id, degree, other)``: for each row its close row with the most close rows, then the smallest id."""
-
-    def run(batches):
-        for batch in batches:
-            out = [(np.zeros(0, np.int64),) * 3]
-            for k in range(batch.num_rows):
-                a, b, blocks = _close(batch, k, ["id", "n", *NAMES, "degree"], similarity)
-                order = [np.lexsort((side[0], -side[-1])) for side in (a, b)]
-                rank = [np.argsort(o) for o in order]
-                best = [np.full(len(side[0]), len(order[1 - c]), np.int64) for c, side in enumerate((a, b))]
-                for i, j in blocks:
-                    np.minimum.at(best[0], i, rank[1][j])
-                    np.minimum.at(best[1], j, rank[0][i])
-                for side, other, top, ranked in ((a, b, best[0], order[1]), (b, a, best[1], order[0])):
-                    has = top < len(ranked)
-                    at = ranked[top[has]]
-                    out.append((side[0][has], other[-1][at], other[0][at]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "degree", "other"])
-
-    found = _compare(table, run, "id bigint, degree bigint, other bigint")
-    best = F.max(F.struct("degree", (-F.col("other")).alias("o"))).alias("best")
-    return found.groupBy("id").agg(best).select("id", "best.degree", (-F.col("best.o")).alias("other"))
-
-
-def _nearest(table: DataFrame, similarity: float) -> DataFrame:
-    """``(id, other)``: for each row its close row of another component with the fewest differing bits, then the smallest id."""
-
-    def run(batches):
-        for batch in batches:
-            out = [(np.zeros(0, np.int64),) * 3]
-            for k in range(batch.num_rows):
-                a, b, blocks = _close(batch, k, ["id", "n", *NAMES, "component"], similarity)
-                order = [np.argsort(side[0]) for side in (a, b)]
-                rank = [np.argsort(o) for o in order]
-                none = (64 * WORDS + 1) * max(len(a[0]), len(b[0]))
-                best = [np.full(len(side[0]), none, np.int64) for side in (a, b)]
-                for i, j in blocks:
-                    apart = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in zip((v.view(np.uint64) for v in a[2 : 2 + WORDS]), (v.view(np.uint64) for v in b[2 : 2 + WORDS])))
-                    np.minimum.at(best[0], i, apart * len(b[0]) + rank[1][j])
-                    np.minimum.at(best[1], j, apart * len(a[0]) + rank[0][i])
-                for side, other, top, ranked in ((a, b, best[0], order[1]), (b, a, best[1], order[0])):
-                    has = top < none
-                    out.append((side[0][has], top[has] // len(ranked), other[0][ranked[top[has] % len(ranked)]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "apart", "other"])
-
-    found = _compare(table, run, "id bigint, apart bigint, other bigint")
-    return found.groupBy("id").agg(F.min(F.struct("apart", "other")).alias("best")).select("id", "best.other")
-
-
-def _all_close(table: DataFrame, similarity: float) -> DataFrame:
-    """``(id, other)``: every close pair of rows of different components, ``id`` being the larger."""
-
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, blocks = _close(batch, k, ["id", "n", *NAMES, "component"], similarity)
-                for i, j in blocks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a[0][i], b[0][j])), pa.array(np.minimum(a[0][i], b[0][j]))], names=["id", "other"])
-
-    return _compare(table, run, "id bigint, other bigint")
-
-
-def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least this Jaccard similarity."""
-    a, b = (shingles.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("id", "other"))
-    both = pairs.select("id", "other").join(a, "id").join(b, "other")
-    shared = F.size(F.array_intersect("of_id", "of_other"))
-    return both.where(shared >= F.lit(similarity) * (F.size("of_id") + F.size("of_other") - shared)).select("id", "other")
-
-
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+    A tile compared with itself gives its rows on both sides.
+    """
+    fields = ["id", "n", *NAMES]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for cell, same, *sides in zip(*(table.column(c) for c in ("cell", "same", "a", "b"))):
+            sides = [s.values for s in sides]
+            n = [s.field("n").to_numpy() for s in sides]
+            words = [np.stack([s.field(w).to_numpy() for w in NAMES], 1).view(np.uint64) for s in sides]
+            has = [np.zeros(len(x), bool) for x in n]
+            for rows, cols, _, near in close_blocks(*words, max(map(_radius, n)), same.as_py()):
+                near &= _alike_sizes(n[0][rows], n[1][cols], similarity)
+                has[0][rows] |= near.any(axis=1)
+                has[1][cols] |= near.any(axis=0)
+            if same.as_py():
+                has = [has[0] | has[1]] * 2
+            for side, s, keep in zip((0, 1), sides, has):
+                at = np.flatnonzero(keep)
+                out.append(pa.table([pa.array(np.full(len(at), cell.as_py())), pa.array(np.full(len(at), side), pa.int32()), *(s.field(f).take(pa.array(at)) for f in fields)], names=["cell", "side", *fields]))
+        return pa.concat_tables(out)
+
+    pairs = tile_pairs(table, "band", F.array(*[F.col("band") + k for k in range(BANDS + 1)]))
+    return pairs.groupBy("cell").applyInArrow(run, "cell bigint, side int, id bigint, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
+
+
+def verified_links(rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """``(src, dst)``: edges between sets of at least this Jaccard similarity that connect all such sets of a cell.
+
+    ``rows`` are those of :func:`involved`. A cell is cut into parts by bytes and rows, so that a task holds two parts
+    at a time; each set travels once a part it is compared with, never once a pair. Within a part a set is first
+    verified against the nearest on the other side, twice, and then against those close to it that are not yet
+    connected with it; only decisions leave the task.
+    """
+    sized = rows.groupBy("cell", "side").agg(F.greatest(F.ceil(F.sum("n") * 8 / F.lit(PART_BYTES)), F.ceil(F.count("*") / F.lit(PART_ROWS))).alias("parts"))
+    parts = small_side(sized.groupBy("cell").agg(*[F.max(F.when(F.col("side") == s, F.col("parts"))).alias(f"parts{s}") for s in (0, 1)]).where("parts0 is not null and parts1 is not null"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1")))
+    other = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1)
+    dealt = rows.join(parts, "cell").withColumn("own", own).select("*", F.explode(other).alias("other"))
+    part = F.when(F.col("side") == 0, F.col("own") * F.col("parts1") + F.col("other")).otherwise(F.col("other") * F.col("parts1") + F.col("own"))
+    ready = dealt.select("cell", part.alias("part"), "side", "id", "n", *NAMES).join(shingles, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, n, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))
+        words = np.stack([table.column(w).to_numpy() for w in NAMES], 1).view(np.uint64)
+        sets = table.column("shingles").chunk(0)
+        values, start = sets.values.to_numpy(), sets.offsets.to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return _edges([], [])
+        _, node = np.unique(ids, return_inverse=True)
+        label = np.arange(node.max() + 1)
+        radius, edges = max(_radius(n[a]), _radius(n[b])), []
+
+        def connect(i, j, apart):
+            """Verify pairs of rows that are not connected yet, nearest first."""
+            for k in np.argsort(apart, kind="stable"):
+                u, v = label[node[i[k]]], label[node[j[k]]]
+                if u != v:
+                    x, y = (values[start[r] : start[r + 1]] for r in (i[k], j[k]))
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if shared + 1e-9 >= similarity * (len(x) + len(y) - shared):
+                        label[label == v] = u
+                        edges.append((ids[i[k]], ids[j[k]]))
+
+        def unconnected():
+            for rows, cols, apart, near in close_blocks(words[a], words[b], radius, False):
+                i, j = a[rows], b[cols]
+                near &= _alike_sizes(n[i], n[j], similarity) & (label[node[i]][:, None] != label[node[j]][None, :])
+                if near.any():
+                    yield i, j, apart, near
+
+        for _ in range(2):
+            best, nearest = np.full(len(ids), 1 << 15), np.zeros(len(ids), np.int64)
+            for i, j, apart, near in unconnected():
+                far = np.where(near, apart, 1 << 15)
+                for mine, others, axis in ((i, j, 1), (j, i, 0)):
+                    at = far.argmin(axis=axis)
+                    least = far.min(axis=axis)
+                    better = least < best[mine]
+                    best[mine[better]], nearest[mine[better]] = least[better], others[at[better]]
+            found = np.flatnonzero(best < 1 << 15)
+            connect(found, nearest[found], best[found])
+        for i, j, apart, near in unconnected():
+            p, q = np.nonzero(near)
+            connect(i[p], j[q], apart[p, q])
+        return _edges(*zip(*edges)) if edges else _edges([], [])
+
+    return ready.repartition(4 * partitions(rows.sparkSession), "cell", "part").groupBy("cell", "part").applyInArrow(run, "src bigint, dst bigint")
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` that stay when of each group of near-duplicate texts one stays.
 
     Two texts are near-duplicates if their sets of ``size``-word shingles have a Jaccard similarity of at least
-    ``similarity``, and a group is a component of such pairs; its smallest id stays. Fingerprints within ``RADIUS``
-    bits propose the pairs, and exact sets decide. A few ``rounds`` link each text to the close text that has the most
-    close texts, the likely source of its copies, so that a large group costs one verified pair a copy; a few more link
-    it to the nearest text of another component. Then all close pairs of different components are verified, so no link
-    that joins two components is missed. Texts without words are copies of each other. Rows are told apart by id and
-    text, so an id may stand on several texts; of equal rows one stays, and a null id wins over no other.
+    ``similarity``, and a group is a component of such pairs; its smallest id stays. Equal sets are one row from the
+    start. Tiles of fingerprints are compared once: rows without a close row in another set are done, the others are
+    verified by their exact sets (:func:`verified_links`), so a component is what verified pairs join.
+
+    Texts without words (null and empty ones among them) are copies of each other. Rows are told apart by id and text,
+    so an id may stand on several texts; of equal rows one stays, and a null id wins over no other. Texts are read
+    whole. An empty table stays empty; other columns, whatever their names, are kept as they are.
     """
-    found = sketches(df, id_col, text_col, size).groupBy("id", "digest").agg(F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n", *NAMES)])
+    found = sketches(df, id_col, text_col, size).groupBy("id", "digest").agg(F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("of", "n", *NAMES)])
     # the key of a row: numbers are given to rows that are written already, so they do not change
-    named = saved(saved(found).select(F.monotonically_increasing_id().alias("key"), F.col("id").alias("name"), "digest", "copies", "n", *NAMES))
-    rows = saved(_banded(named.select(F.col("key").alias("id"), "n", *NAMES), similarity))
-    values = ["id", "n", *NAMES]
-    table = saved(tiles(rows, "band", values))
-    degrees = saved(_degrees(table, similarity))
-    if degrees.isEmpty():
-        return one_row_each(df, id_col, _digest(F.col(text_col)), named.select(F.col("name").alias("id"), "digest", F.lit(True).alias("kept"), "copies"), F.lit(0))
-    close = saved(rows.join(degrees, "id"))
-    shingles = saved(_shingle_sets(df, named.join(close.select(F.col("id").alias("key")), "key", "left_semi"), id_col, text_col, size))
-    left, linked = close, close.select("id", F.col("id").alias("other")).limit(0)
-    for _ in range(rounds):
-        own = saved(tiles(left, "band", [*values, "degree"]))
-        found = _densest(own, similarity).join(left.select("id", F.col("degree").alias("own")), "id")
-        verified = saved(_verified(found.where("degree > own or degree = own and other < id"), shingles, similarity))
-        linked = linked.unionByName(verified)
-        left = saved(left.join(verified.select("id"), "id", "left_anti"))
-        if left.isEmpty():
-            break
-    for k in range(rounds + 1):
-        component = connected_components(linked, "id", "other").withColumnRenamed("node", "id")
-        placed = close.join(component, "id", "left").select(*values, "band", F.coalesce("component", "id").alias("component"))
-        own = saved(tiles(placed, "band", [*values, "component"]))
-        verified = saved(_verified((_nearest if k < rounds else _all_close)(own, similarity), shingles, similarity))
-        linked = linked.unionByName(verified)
-    component = connected_components(linked, "id", "other").withColumnRenamed("node", "key")
-    grouped = saved(named.select("key", "name", "digest", "copies").join(component, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    named = saved(saved(found).select(F.monotonically_increasing_id().alias("key"), F.col("id").alias("name"), "digest", "copies", "of", "n", *NAMES))
+    sets = saved(named.groupBy("of", "n").agg(F.min("key").alias("id"), *[F.max(w).alias(w) for w in NAMES]))
+    table = saved(tiles(_banded(sets.select("id", "n", *NAMES), similarity), "band", ["id", "n", *NAMES]))
+    close = saved(involved(table, similarity))
+    grouped = named.select("key", "name", "digest", "copies", "of", "n").join(sets.select("of", "n", "id"), ["of", "n"])
+    if close.isEmpty():
+        grouped = saved(grouped.withColumn("component", F.col("id")))
+    else:
+        wanted = named.join(close.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
+        shingles = saved(_shingle_sets(df, wanted, id_col, text_col, size))
+        component = connected_components(verified_links(close, shingles, similarity)).withColumnRenamed("node", "id")
+        grouped = saved(grouped.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("name").isNull().alias("null"), "name", "digest", "key")).alias("first")).select(F.col("first.key").alias("stays"))
     decided = grouped.join(first, F.col("key") == F.col("stays"), "left").select(F.col("name").alias("id"), "digest", F.col("stays").isNotNull().alias("kept"), "copies")
     return one_row_each(df, id_col, _digest(F.col(text_col)), decided, F.lit(0))

@@ -51,14 +51,41 @@ def test_simhash_against_brute_force(spark, sf_dir):
     assert got == {i: (f"{fps[i]:016x}", want[i]) for i in texts}
 
 
+def test_simhash_keeps_rows_without_an_id(spark):
+    """Such a row is returned, and links others; its component is null only if no row of it has an id."""
+    words = [f"w{i}" for i in range(400)]
+    base = brute_fingerprint(" ".join(words))
+    steps, at = [words], base
+    for i in range(400):
+        changed = [*steps[-1]]
+        changed[i] = "x"
+        if (f := brute_fingerprint(" ".join(changed))) != at and bin(f ^ at).count("1") <= 2:
+            steps.append(changed)
+            at = f
+            if bin(f ^ base).count("1") > 2:
+                break
+    texts = [" ".join(s) for s in steps]
+    rows = [(5, texts[0])] + [(None, t) for t in texts[1:-1]] + [(9, texts[-1]), (None, "alone without an id"), (None, "alone without an id"), (9, "another text")]
+    assert bin(brute_fingerprint(texts[0]) ^ brute_fingerprint(texts[-1])).count("1") > 2
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    of = collections.defaultdict(set)
+    for r in got:
+        of[r.fingerprint].add(r.component_id)
+    assert all(of[f"{brute_fingerprint(t):016x}"] == {5} for t in texts)
+    assert of[f"{brute_fingerprint('alone without an id'):016x}"] == {None} and of[f"{brute_fingerprint('another text'):016x}"] == {9}
+    assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_tiles_find_every_pair(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     near = base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
-    fps = {i: int(f) for i, f in enumerate(np.concatenate([base, near]))}
-    table = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in fps.items()], "id long, fp long").withColumn("key", simhash.quarter_counts(F.col("fp")))
-    pairs = simhash.tile_pairs(simhash.tiles(table, "key", ["id", "fp"]), "key", simhash._near_counts(F.col("key"), 4, 16, 2))
-    got = {frozenset((r.src, r.dst)) for r in simhash.links(pairs, ["fp"], 2).collect()}
+    # the fingerprints themselves are the nodes
+    fps = {int(f.view(np.int64)): int(f) for f in np.concatenate([base, near])}
+    table = spark.createDataFrame([(i,) for i in fps], "fp long").withColumn("key", simhash.quarter_counts(F.col("fp")))
+    pairs = simhash.tile_pairs(simhash.tiles(table, "key", ["fp"]), "key", simhash._near_counts(F.col("key"), 4, 16, 2))
+    got = {frozenset((r.src, r.dst)) for r in simhash.links(pairs, 2).collect()}
     want = brute_components(fps)
     groups = collections.Counter(want.values())
     assert len(got) >= sum(n - 1 for n in groups.values()) and all(want[a] == want[b] for a, b in map(tuple, got))
@@ -127,6 +154,63 @@ def test_near_dedup_groups_are_components(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({root(i) for i in texts})
 
 
+def test_near_dedup_recall_of_the_fingerprints(spark):
+    """How many pairs of a similarity of 0.8 or more the radius proposes, by the size of the sets."""
+    rng = np.random.default_rng(11)
+    for n, least in ((1, 1.0), (2, 1.0), (4, 0.99), (5, 0.99), (8, 0.99), (12, 0.99), (30, 0.995), (200, 0.998), (2000, 0.998)):
+        caught, tried = 0, 60 if n > 500 else 400
+        for _ in range(tried):
+            # the hardest pairs: as few shared shingles as a similarity of 0.8 allows
+            shared = -(-8 * n // 10)
+            own = min(n - shared, int(shared / 0.8) - n) if int(shared / 0.8) > n else 0
+            h = rng.integers(0, 2**64, n + max(0, own), dtype=np.uint64)
+            a, b = np.unique(h[:n]), np.unique(np.concatenate([h[:shared], h[n : n + max(0, own)]]))
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+            apart = np.bitwise_count(simhash.fingerprint(a, 4) ^ simhash.fingerprint(b, 4)).sum()
+            caught += apart <= max(simhash._radius(np.array([len(a)])), simhash._radius(np.array([len(b)])))
+        assert caught / tried >= least, (n, caught / tried)
+
+
+def test_near_dedup_verifies_a_family_below_the_threshold(spark):
+    """Texts that share a template, close in bits but not similar enough, stay; a few real copies among them go."""
+    rng = np.random.default_rng(13)
+    template = [f"t{i}" for i in range(200)]
+
+    def filled(seed):
+        r = np.random.default_rng(seed)
+        out = list(template)
+        for at in r.choice(40, 9, replace=False) * 5:
+            out[at] = f"v{r.integers(0, 10**9)}"
+        return out
+
+    texts = {i: filled(i) for i in range(150)}
+    for i in range(0, 150, 15):
+        copy = list(texts[i])
+        copy[int(rng.integers(0, 200))] = "changed"
+        texts[1000 + i] = copy
+    sets = {i: {*simhash.shingle_hashes(" ".join(t), 5).tolist()} for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {root(i) for i in texts}
+    assert 100 < len(want) < len(texts)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == want
+    old = simhash.PART_ROWS, simhash.TILE
+    try:
+        simhash.PART_ROWS, simhash.TILE = 16, 64  # several tiles a band and several parts a cell
+        assert {r.doc_id for r in simhash.near_dedup(df).collect()} == want
+    finally:
+        simhash.PART_ROWS, simhash.TILE = old
+
+
 def test_stages_keep_one_row_of_each_group_with_repeated_ids(spark):
     text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 100_000, 100))
     a, b, c, d, e = (text(s) for s in range(5))

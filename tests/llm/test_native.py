@@ -39,6 +39,20 @@ def test_contaminated_against_brute_force(spark, sf_dir):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_contaminated_with_null_and_repeated_ids(spark):
+    passage = " ".join(f"item{i}" for i in range(30))
+    items = spark.createDataFrame([(1, passage), (None, "another item of seven words in all"), (2, None)], "item_id long, text string")
+    half = " ".join(passage.split()[:15])
+    rest = " ".join(passage.split()[15:])
+    rows = [(None, f"before {passage} after"), (None, "clean text without an id"), (7, half), (7, rest), (7, f"{passage} " * 3000), (8, None), (8, "x another item of seven words in all"), (8, "x another item of seven words in all")]
+    df = spark.createDataFrame([(*r, 1, 2, "y") for r in rows], "doc_id long, text string, id long, t1 long, item string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(df, items).collect()}
+    assert got == {(None, 1): 1.0, (7, 1): 1.0, (8, None): 1.0}
+    kept = decontaminate.decontaminated(df, items)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, [rows[1], rows[2], rows[3], rows[5]]))
+
+
 def test_reply_ordered(spark):
     talk = [
         (1, 0, "user", "Hello there.\n\nHow is the weather today?"),
