@@ -8,11 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; make a folder only where that is unset, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a folder of this machine in local mode, as in tests; an error on a cluster.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let checkpoints go to :func:`shared_folder`, unless the context has a folder already."""
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -26,11 +41,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a few short columns that may be broadcast: under 50 MB at 50 bytes a row.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
 
+def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once, counted and weighed: marked for broadcast if it has ``most_rows`` rows and ``most_bytes`` bytes at most, else as it is, so that the join shuffles.
 
-def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, written once and counted: marked for broadcast if it has ``most_rows`` rows at most, else as it is, so that the join shuffles."""
+    A row weighs its length as JSON, which is above that of its numbers in memory, and eight bytes a column.
+    """
     kept = saved(df)
-    return F.broadcast(kept) if kept.count() <= most_rows else kept
+    weight = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))) + 8 * len(kept.columns)
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    return F.broadcast(kept) if rows <= most_rows and size <= most_bytes else kept
