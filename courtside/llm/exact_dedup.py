@@ -2,31 +2,33 @@
 
 Texts are equal when they are identical without ASCII white space. Each batch is first reduced to one row per digest
 (partial aggregation: a group of copies that holds a third of all rows is one row before anything is joined). Each
-snapshot has a binary-fuse filter per digest bucket; buckets are sized by a count, so a filter and the digests that it
-screens fit a task at any size. Incoming digests the filters reject are new; the positives join the snapshots' exact
-buckets by full digest, and the texts of the two sides' representatives are compared byte by byte. Duplicates within
-the new batch are grouped by digest on their own. Texts themselves are shuffled only for that comparison.
-
-Null texts count as empty, empty texts equal each other, repeated rows are members of their group like any other (if
-the kept row is repeated, each repeat is marked kept), a null id never wins over another id, an empty table gives an
-empty result, and other columns of the input are ignored.
+snapshot has a stored binary-fuse filter per digest bucket; buckets are sized by a count, so a filter and the digests
+that it screens fit a task at any size. Incoming digests the filters reject are new; the positives join the snapshots'
+exact buckets by full digest. Where a digest stands on several sides (snapshots and the batch), the texts of the sides'
+representatives are compared byte by byte. Duplicates within the new batch are grouped by digest on their own. Texts
+themselves are shuffled only for that comparison, one a side.
+
+Null texts count as empty, empty texts equal each other, texts of any length are read whole, repeated rows are members
+of their group like any other (of rows equal in id and length one is kept), an id may stand on several texts, a null id
+never wins over another id, an empty table gives an empty result, and other columns of the input are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
+import posixpath
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.plans.storage import saved
+from courtside.plans.storage import saved, shared_folder, small_side
 
 #: Digests per bucket, on average, of which one filter is built; bytes a digest needs in it: about 1.2.
 KEYS_PER_BUCKET = 1 << 15
-#: Rows of ids and digests that may be broadcast for the byte check (about 100 bytes each); beyond that the join shuffles.
-BROADCAST_IDS = 1_000_000
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -105,69 +107,93 @@ def normalised(text: Column) -> Column:
 
 
 def digests(df: DataFrame, snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, snapshot, n_points, sha)`` for every row; ``snapshot`` is null for the incoming batch."""
-    return df.select(
+    """``(row, id, snapshot, n_points, sha)`` for every row, written once; ``snapshot`` is null for the incoming batch and ``row`` a number of its own."""
+    rows = df.select(
         F.col(id_col).alias("id"),
         snapshot.cast("int").alias("snapshot"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"),
         F.sha2(normalised(F.col(text_col)), 256).alias("sha"),
     )
+    return saved(rows).select(F.monotonically_increasing_id().alias("row"), "*")
 
 
-def build_filters(groups: DataFrame, buckets: int) -> DataFrame:
-    """``(snapshot, bucket, seed, segment, segments, data)``: a filter of each snapshot's bucket."""
+def build_filters(groups: DataFrame) -> DataFrame:
+    """``(snapshot, buckets, bucket, seed, segment, segments, data)``: a filter for each bucket of the digests ``(snapshot, sha)`` of each snapshot.
+
+    A snapshot's number of buckets follows the number of its digests, so one filter's keys fit a task at any size.
+    """
+    counts = small_side(groups.groupBy("snapshot").agg(F.ceil(F.count("*") / F.lit(KEYS_PER_BUCKET)).alias("buckets")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         seed, segment, segments, data = build_filter(pdf["key"].to_numpy())
-        return pd.DataFrame([{"snapshot": pdf["snapshot"].iloc[0], "bucket": pdf["bucket"].iloc[0], "seed": seed, "segment": segment, "segments": segments, "data": data}])
+        return pd.DataFrame([{"snapshot": pdf["snapshot"].iloc[0], "buckets": pdf["buckets"].iloc[0], "bucket": pdf["bucket"].iloc[0], "seed": seed, "segment": segment, "segments": segments, "data": data}])
+
+    keyed = _keyed(groups.select("snapshot", "sha").join(counts, "snapshot"))
+    return keyed.groupBy("snapshot", "bucket").applyInPandas(build, "snapshot int, buckets long, bucket long, seed long, segment long, segments long, data binary")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select("snapshot", "sha", "buckets", F.xxhash64("sha").alias("key"), F.pmod(F.xxhash64("sha", F.lit(1)), F.col("buckets")).alias("bucket"))
+
 
-    return _keyed(groups, buckets).groupBy("snapshot", "bucket").applyInPandas(build, "snapshot int, bucket long, seed long, segment long, segments long, data binary")
+def write_filters(groups: DataFrame, path: str) -> None:
+    """Store the filters of immutable snapshots, one row a bucket, about nine bits a digest."""
+    build_filters(groups).write.mode("overwrite").parquet(path)
 
 
-def _keyed(groups: DataFrame, buckets: int) -> DataFrame:
-    return groups.select("snapshot", "sha", F.xxhash64("sha").alias("key"), F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(buckets)).alias("bucket"))
+def read_filters(spark: SparkSession, path: str) -> DataFrame:
+    """Filters that :func:`write_filters` stored."""
+    return spark.read.parquet(path)
 
 
-def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The digests ``sha`` of the incoming batch that some snapshot's filter does not reject."""
+def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
+    """``(snapshot, sha)``: the digests of the incoming batch that the filters of a snapshot do not reject; nothing of the snapshots but their filters is read."""
 
     def probe(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        keys = new["key"].to_numpy()
-        passed = np.zeros(len(new), bool)
-        for row in known[["seed", "segment", "segments", "data"]].itertuples(index=False):
-            passed |= may_contain(tuple(row), keys)
-        return new.loc[passed, ["sha"]]
+        if known.empty:
+            return new.loc[:, ["snapshot", "sha"]].iloc[:0]
+        return new.loc[may_contain(tuple(known[["seed", "segment", "segments", "data"]].iloc[0]), new["key"].to_numpy()), ["snapshot", "sha"]]
 
-    left = _keyed(incoming, buckets).groupBy("bucket")
-    return left.cogroup(filters.groupBy("bucket")).applyInPandas(probe, "sha string")
+    # one row a snapshot
+    snapshots = [F.struct(F.lit(r.snapshot).cast("int").alias("snapshot"), F.lit(r.buckets).cast("bigint").alias("buckets")) for r in filters.groupBy("snapshot").agg(F.max("buckets").alias("buckets")).collect()]
+    each = F.array(*snapshots) if snapshots else F.array().cast("array<struct<snapshot:int,buckets:bigint>>")
+    asked = _keyed(incoming.select("sha", F.inline(each)))
+    return asked.groupBy("snapshot", "bucket").cogroup(filters.groupBy("snapshot", "bucket")).applyInPandas(probe, "snapshot int, sha string")
 
 
-def exact_dedup(df: DataFrame, snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(df: DataFrame, snapshot: Column, id_col: str = "doc_id", text_col: str = "text", filters: DataFrame | None = None) -> DataFrame:
     """One row per document: ``(id_col, keep_id, group_size, kept, text_sha256)``.
 
-    Of equal texts the row with the most code points stays, then the smallest id. ``snapshot`` gives the number of
-    the immutable snapshot that holds a row, or null for a row of the incoming batch.
+    Of equal texts the row with the most code points stays, then the smallest id; of rows that tie in both, one.
+    ``snapshot`` gives the number of the immutable snapshot that holds a row, or null for a row of the incoming batch.
+    ``filters`` are the snapshots' stored filters (:func:`read_filters`); without them they are built and stored first.
     """
-    rows = saved(digests(df, snapshot, id_col, text_col))
-    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("x"), F.col("id"))).alias("best")
+    spark = df.sparkSession
+    rows = digests(df, snapshot, id_col, text_col)
+    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("x"), "id", "row")).alias("best")
     groups = saved(rows.groupBy("snapshot", "sha").agg(best, F.count("*").alias("members")))
     old, new = groups.where("snapshot is not null"), groups.where("snapshot is null")
-    buckets = max(1, math.ceil(groups.count() / KEYS_PER_BUCKET))
-    positives = screen(new, build_filters(old, buckets), buckets)
-    stored = old.groupBy("sha").agg(F.min("best").alias("best"), F.sum("members").alias("members"))
-    pairs = saved(new.join(positives, "sha", "left_semi").alias("n").join(stored.alias("o"), "sha").select("sha", F.col("n.best.id").alias("new_id"), F.col("o.best.id").alias("old_id")))
-    same = saved(pairs.select("sha").exceptAll(_differing(df, pairs, id_col, text_col)).select("sha", F.lit(True).alias("matched")))
-    sided = groups.join(same, "sha", "left").withColumn("apart", F.col("snapshot").isNull() & F.col("matched").isNull())
-    merged = saved(sided.groupBy("sha", "apart").agg(F.min("best").alias("best"), F.sum("members").alias("group_size"), F.collect_set(F.coalesce("snapshot", F.lit(-1))).alias("sides")))
-    merged = merged.select("sha", F.explode("sides").alias("side"), F.col("best.id").alias("keep_id"), "group_size")
-    out = rows.withColumn("side", F.coalesce("snapshot", F.lit(-1))).join(merged, ["sha", "side"])
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-
-
-def _differing(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Digests of pairs whose texts, compared byte by byte, turn out to differ."""
-    wanted = pairs.select("sha", F.explode(F.array("new_id", "old_id")).alias("id"))
-    if pairs.count() * 2 <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("sha", normalised(F.col("text")).alias("text"))
+    if filters is None:
+        path = posixpath.join(shared_folder(spark), f"filters-{uuid.uuid4().hex}")
+        write_filters(old, path)
+        filters = read_filters(spark, path)
+    positives = screen(new, filters)
+    known = saved(old.select("snapshot", "sha").join(positives, ["snapshot", "sha"], "left_semi").select("sha").distinct())
+    sides = old.unionByName(new.join(known, "sha", "left_semi"))
+    several = sides.groupBy("sha").agg(F.count("*").alias("n"), F.collect_list("best.id").alias("ids"), F.max(F.col("best.id").isNull()).alias("nulls")).where("n > 1")
+    differing = saved(_differing(df, several, id_col, text_col))
+    sided = groups.join(known.withColumn("known", F.lit(True)), "sha", "left").join(differing.withColumn("differs", F.lit(True)), "sha", "left")
+    side = F.coalesce("snapshot", F.lit(-1))
+    apart = F.when(F.col("differs").isNotNull() | (F.col("snapshot").isNull() & F.col("known").isNull()), side)
+    merged = saved(sided.withColumn("apart", apart).groupBy("sha", "apart").agg(F.min("best").alias("best"), F.sum("members").alias("group_size"), F.collect_set(side).alias("sides")))
+    merged = merged.select("sha", F.explode("sides").alias("side"), F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    out = rows.withColumn("side", side).join(merged, ["sha", "side"])
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def _differing(df: DataFrame, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Digests whose sides' representatives, compared byte by byte, turn out to differ: an equal digest of another text."""
+    ids = several.select("sha", F.explode("ids").alias("id")).unionByName(several.where("nulls").select("sha", F.lit(None).cast(df.schema[id_col].dataType).alias("id")))
+    wanted = small_side(ids.distinct())
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("sha", normalised(F.col("text")).alias("text"))
     return texts.where(F.sha2("text", 256) == F.col("sha")).groupBy("sha").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("sha")

@@ -252,11 +252,40 @@ def test_exact_dedup_against_brute_force(spark):
 
     want = collections.Counter((i, None if by_text[normal(t)][0][1] else by_text[normal(t)][0][2], by_text[normal(t)][1], hashlib.sha256(normal(t).encode()).hexdigest()) for i, t in rows)
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
-    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    kept = collections.Counter(r.text_sha256 for r in got if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == len(by_text) and all(r.doc_id == r.keep_id for r in got if r.kept)
     assert exact_dedup.exact_dedup(df.limit(0), F.lit(None)).count() == 0
     assert exact_dedup.exact_dedup(df, F.lit(None)).count() == len(rows) == exact_dedup.exact_dedup(df, F.lit(0)).count()
 
 
+def test_exact_dedup_with_repeated_ids(spark):
+    """Of rows of one id the longer one stays, and one of rows that tie in everything."""
+    rows = [(1, "a b c", 0), (1, "a bc", 0), (1, "a bc", None), (2, "x y", None), (2, "x y", None), (2, "x y", 1), (None, "x y", 0), (3, "alone", None), (3, "other", 1), (None, None, 1), (None, " ", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    got = exact_dedup.exact_dedup(df, F.col("part")).collect()
+    assert len(got) == len(rows)
+    assert collections.Counter(r.text_sha256 for r in got if r.kept) == collections.Counter({r.text_sha256: 1 for r in got})
+    assert sorted((r.group_size, r.keep_id) for r in got if r.kept and r.keep_id) == [(1, 3), (1, 3), (3, 1), (4, 2)]
+    assert [(r.group_size, r.doc_id) for r in got if r.kept and r.keep_id is None] == [(2, None)]
+
+
+def test_stored_filters_screen_a_later_batch(spark, tmp_path):
+    known = spark.createDataFrame([(s, f"{i:064x}") for i in range(3000) for s in (0, 1) if i % 3 != s], "snapshot int, sha string")
+    old = exact_dedup.KEYS_PER_BUCKET
+    try:
+        exact_dedup.KEYS_PER_BUCKET = 256
+        exact_dedup.write_filters(known, str(tmp_path / "filters"))
+    finally:
+        exact_dedup.KEYS_PER_BUCKET = old
+    stored = exact_dedup.read_filters(spark, str(tmp_path / "filters"))
+    assert stored.groupBy("snapshot").count().where("count > 5").count() == 2
+    batch = spark.createDataFrame([(f"{i:064x}",) for i in range(2000, 6000)], "sha string")
+    passed = {(r.snapshot, int(r.sha, 16)) for r in exact_dedup.screen(batch, stored).collect()}
+    real = {(s, i) for i in range(2000, 3000) for s in (0, 1) if i % 3 != s}
+    assert real <= passed and len(passed - real) < 0.02 * 8000
+    assert exact_dedup.screen(batch.limit(0), stored).count() == 0 == exact_dedup.screen(batch, stored.limit(0)).count()
+
+
 def test_exact_dedup_against_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
