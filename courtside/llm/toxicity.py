@@ -3,24 +3,25 @@
 A word is a bag of its character 3- to 5-grams and itself, hashed into a fixed number of buckets; a text is the mean of
 its words, a word the mean of its grams, each gram scaled by the inverse of its spread over texts and shrunk by how few
 texts it occurs in (``t / (t + SHRINK_TEXTS)``), so that rare grams count at any size of the input. Embeddings and softmax
-are trained together by gradient descent with momentum; a part of the sample is held back to choose when to stop.
-Unseen spellings share grams with seen ones. At scoring time the model is one number a bucket, so a word costs a cached
-look-up, and cached words are bounded in number.
+are trained together by gradient descent with momentum, in a fixed number of steps, from the whole sample.
+Unseen spellings share grams with seen ones. With two classes and a linear head the embeddings come to one number a
+bucket, which is what scoring uses: a word costs a cached look-up, and cached words are bounded in number.
 
 The model is fitted on the driver to a bounded sample: about ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts at most,
 picked by hash whatever their length and learned from whole. The texts' bags are made by tasks; the driver gets six bytes
 a distinct gram of a text, which training reads in blocks without copying. Intercepts are moved to the labels' true rate.
 
-Null and empty texts get the score of the prior alone; several labels of one document count by their maximum; repeated
-rows each get a row; an empty table gives an empty result; without labels of both kinds every score is the known rate of
-toxic labels (0 if there are none); other columns are ignored.
+Null and empty texts get the score of the prior alone; texts of any length are read whole; several labels of one
+document count by their maximum, and any label above 0 is 1; repeated rows each get a row; ids may be null; an empty
+table gives an empty result; without labels of both kinds every score is the known rate of
+toxic labels (0 if there are none); other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ LEAST_TEXTS, SHRINK_TEXTS, STEPS, RATE, MOMENTUM, PENALTY = 2, 10, 40, 30.0, 0.9
 BLOCK_TEXTS = 64
 THRESHOLD = 0.3
 WORDS = re.compile(r"\w+")
-CACHE_WORDS = 1 << 19
+#: Words whose weights a task keeps, and whose grams it hashes at a time.
+CACHE_WORDS, NEW_WORDS = 1 << 19, 1 << 14
 
 
 def held_out(id_: Column) -> Column:
@@ -46,84 +48,105 @@ def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string")) % 4 == 2
 
 
-def word_grams(word: str) -> list[int]:
-    """The buckets of a word's character grams and of the word itself."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
-
-
-@lru_cache(maxsize=100_000)
-def _grams(word: str) -> np.ndarray:
-    return np.array(word_grams(word), np.int32)
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each word's character grams and of the word itself, one word after the other, and how many each word has."""
+    marked = [f"<{w}>" for w in words]
+    length = np.array([len(w) for w in marked], np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters of the word from here on
+    of, buckets = [np.arange(len(words))], [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in marked], np.int64) % BUCKETS]
+    rolled = codes.copy()
+    for n in range(2, max(GRAMS) + 1):
+        rolled = rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        if n in GRAMS:
+            at = np.flatnonzero(left[: len(rolled)] >= n)
+            of.append(word[at])
+            mixed = (rolled[at] ^ rolled[at] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+            buckets.append((mixed >> np.uint64(40)).astype(np.int64) % BUCKETS)
+    of, buckets = np.concatenate(of), np.concatenate(buckets)
+    return buckets[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of a text: the mean over its words of the mean over each word's grams."""
-    words = WORDS.findall((text or "").lower())
-    if not words:
+    times = Counter(WORDS.findall((text or "").lower()))
+    if not times:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    grams = [_grams(w) for w in words]
-    sizes = np.array([len(g) for g in grams])
-    dense = np.bincount(np.concatenate(grams), np.repeat(1 / (sizes * len(words)), sizes), minlength=BUCKETS)
+    buckets, sizes = word_grams([*times])
+    share = np.array([*times.values()]) / times.total() / sizes
+    dense = np.bincount(buckets, np.repeat(share, sizes), minlength=BUCKETS)
     at = np.flatnonzero(dense)
     return at.astype(np.int32), dense[at].astype(np.float32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
-    """``(weight of each bucket, intercept)`` of the log-odds of label 1."""
-    rng = np.random.default_rng(seed)
-    check = rng.random(len(y)) < 0.2
-    learn = ~check
+def scales(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """``(scale, centre)`` of each bucket: the inverse of its spread over the texts, shrunk by how few hold it, and its scaled mean."""
     texts, mean, square = (np.zeros(BUCKETS) for _ in range(3))
-    for at, weight in (b for b, out in zip(bags, check) if not out):
+    for at, weight in bags:
         texts[at] += 1
         mean[at] += weight
         square[at] += weight * weight
-    mean /= learn.sum()
-    spread = np.sqrt(np.maximum(square / learn.sum() - mean**2, 1e-18))
+    mean /= len(bags)
+    spread = np.sqrt(np.maximum(square / len(bags) - mean**2, 1e-18))
     scale = np.where(texts >= LEAST_TEXTS, texts / np.maximum(texts + SHRINK_TEXTS, 1) / np.maximum(spread, 1e-9), 0.0)
     scale /= max(1.0, np.sqrt((scale > 0).sum()))
-    centre = mean * scale
+    return scale, mean * scale
+
+
+def linear(params: list[np.ndarray], scale: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, float]:
+    """``(weight of each bucket, intercept)``: of two classes only the difference counts, so embeddings and head come to one number a bucket."""
+    inner, outer, bias = params
+    direction = outer[:, 1] - outer[:, 0]
+    return (inner * scale[:, None]) @ direction, float(bias[1] - bias[0] - centre @ (inner @ direction))
+
+
+def loss_and_gradients(params: list[np.ndarray], bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, scale: np.ndarray, centre: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean loss with the penalty on embeddings, and its gradients.
+
+    Texts are read in blocks, so memory beyond the bags themselves follows a block.
+    """
+    inner, outer, _ = params
+    weights, intercept = linear(params, scale, centre)
+    total, pull, loss = 0.0, np.zeros(BUCKETS), 0.0
+    for k in range(0, len(y), BLOCK_TEXTS):
+        block, of = bags[k : k + BLOCK_TEXTS], y[k : k + BLOCK_TEXTS]
+        at, weight = (np.concatenate([b[c] for b in block]) for c in (0, 1))
+        row = np.repeat(np.arange(len(block)), [len(b[0]) for b in block])
+        odds = np.clip(intercept + np.bincount(row, weights[at] * weight, minlength=len(block)), -500, 500)
+        loss += np.logaddexp(0, np.where(of == 1, -odds, odds)).sum()
+        error = (1 / (1 + np.exp(-odds)) - of) / len(y)
+        total += error.sum()
+        pull += np.bincount(at, error[row] * weight, minlength=BUCKETS)
+    pull = pull * scale - centre * total
+    direction, sides = outer[:, 1] - outer[:, 0], np.array([-1.0, 1.0])
+    grads = [PENALTY * inner + np.outer(pull, direction), np.outer(inner.T @ pull, sides), total * sides]
+    return loss / len(y) + PENALTY / 2 * (inner**2).sum(), grads
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+    """``(weight of each bucket, intercept)`` of the log-odds of label 1, after ``STEPS`` steps from small random embeddings."""
+    rng = np.random.default_rng(seed)
+    scale, centre = scales(bags)
     inner = rng.normal(0, 1e-3, (BUCKETS, DIMENSIONS))
     outer = rng.normal(0, 1, (DIMENSIONS, 2))
     outer -= outer.mean(1, keepdims=True)
     outer /= np.linalg.norm(outer)
-    rate = min(max(y[learn].mean(), 1e-3), 1 - 1e-3)
-    bias = np.log(np.array([1 - rate, rate]))
-    speed = [np.zeros_like(p) for p in (inner, outer, bias)]
-    best = (np.inf, np.zeros(BUCKETS), float(bias[1] - bias[0]))
+    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    params = [inner, outer, np.log(np.array([1 - rate, rate]))]
+    speed = [np.zeros_like(p) for p in params]
     for _ in range(STEPS):
-        # of two classes only the difference counts, so a step needs one product with the bags and one with their transpose
-        direction = outer[:, 1] - outer[:, 0]
-        weights = (inner * scale[:, None]) @ direction
-        intercept = float(bias[1] - bias[0] - centre @ (inner @ direction))
-        loss, total, pull = 0.0, 0.0, np.zeros(BUCKETS)
-        for k in range(0, len(y), BLOCK_TEXTS):
-            block, of = bags[k : k + BLOCK_TEXTS], slice(k, k + BLOCK_TEXTS)
-            at, weight = (np.concatenate([b[c] for b in block]) for c in (0, 1))
-            row = np.repeat(np.arange(len(block)), [len(b[0]) for b in block])
-            odds = np.clip(intercept + np.bincount(row, weights[at] * weight, minlength=len(block)), -500, 500)
-            loss += np.logaddexp(0, np.where(y[of] == 1, -odds, odds))[check[of]].sum()
-            error = np.where(learn[of], 1 / (1 + np.exp(-odds)) - y[of], 0.0) / learn.sum()
-            total += error.sum()
-            pull += np.bincount(at, error[row] * weight, minlength=BUCKETS)
-        loss /= max(1, check.sum())
-        if loss < best[0]:
-            best = (loss, weights, intercept)
-        pull = pull * scale - centre * total
-        sides = np.array([-1.0, 1.0])
-        grads = (PENALTY * inner + np.outer(pull, direction), np.outer(inner.T @ pull, sides), total * sides)
-        for k, (param, g, rate_) in enumerate(zip((inner, outer, bias), grads, (RATE, RATE / 100, 0.5))):
-            speed[k] = MOMENTUM * speed[k] - rate_ * g
-            param += speed[k]
-    return best[1], best[2]
+        _, grads = loss_and_gradients(params, bags, y, scale, centre)
+        for k, (g, step) in enumerate(zip(grads, (RATE, RATE / 100, 0.5))):
+            speed[k] = MOMENTUM * speed[k] - step * g
+            params[k] += speed[k]
+    return linear(params, scale, centre)
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """Train on a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = saved(known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")))
+    known = saved(known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y")))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < n:
         return np.zeros(BUCKETS), 30.0 if n and toxic == n else -30.0
@@ -152,8 +175,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return weights, float(intercept + np.log(toxic / (n - toxic)) - np.log(y.mean() / (1 - y.mean())))
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score double`` for every row."""
+def score(documents: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score, a double of the given name, for every row."""
     shared = documents.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # BUCKETS numbers
 
     def run(batches):
@@ -161,20 +184,20 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], keep: list[str]
         known: dict[str, float] = {}
         for batch in batches:
             out = []
-            for text in batch.column(len(keep)):
-                words = WORDS.findall((text.as_py() or "").lower())
-                total = 0.0
-                for w in words:
-                    s = known.get(w)
-                    if s is None:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        s = known[w] = float(weights[word_grams(w)].mean())
-                    total += s
-                out.append(1 / (1 + np.exp(-np.clip(intercept + total / max(1, len(words)), -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, "score"])
-
-    return documents.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, with_fields(documents, keep, "score: double"))
+            for k in range(0, batch.num_rows, BLOCK_TEXTS):
+                texts = [WORDS.findall((t.as_py() or "").lower()) for t in batch.column(len(keep))[k : k + BLOCK_TEXTS]]
+                new = [*{w for words in texts for w in words if w not in known}]
+                if len(known) + len(new) > CACHE_WORDS:
+                    known = {w: known[w] for words in texts for w in words if w in known}
+                for at in range(0, len(new), NEW_WORDS):
+                    some = new[at : at + NEW_WORDS]
+                    buckets, sizes = word_grams(some)
+                    known.update(zip(some, (np.add.reduceat(weights[buckets], np.cumsum(sizes) - sizes) / sizes).tolist()))
+                odds = [intercept + sum(map(known.__getitem__, words)) / max(1, len(words)) for words in texts]
+                out += (1 / (1 + np.exp(-np.clip(odds, -500, 500)))).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, name])
+
+    return documents.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, with_fields(documents, keep, f"{name}: double"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

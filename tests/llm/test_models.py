@@ -46,6 +46,64 @@ def test_toxicity_finds_unseen_misspellings(spark):
     assert toxicity.toxicity(df.limit(0), none).count() == 0
 
 
+def slow_grams(word):
+    """A word's buckets, one character n-gram at a time."""
+    marked, out = f"<{word}>", [zlib.crc32(f"<{word}>".encode()) % toxicity.BUCKETS]
+    for n in toxicity.GRAMS:
+        for i in range(len(marked) - n + 1):
+            h = ord(marked[i])
+            for c in marked[i + 1 : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            out.append(((h ^ h >> 29) * (0xBF58476D1CE4E5B9 + 2 * n) % 2**64 >> 40) % toxicity.BUCKETS)
+    return out
+
+
+def test_toxicity_gradients_by_finite_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 64)
+    monkeypatch.setattr(toxicity, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(toxicity, "PENALTY", 0.01)
+    rng = np.random.default_rng(4)
+    bags = [toxicity.bag(" ".join(f"w{x}" for x in rng.integers(0, 9, 6))) for _ in range(10)] + [toxicity.bag(None)]
+    y = rng.integers(0, 2, 11)
+    scale, centre = toxicity.scales(bags)
+    params = [rng.normal(0, 1, s) for s in ((64, 3), (3, 2), 2)]
+    _, grads = toxicity.loss_and_gradients(params, bags, y, scale, centre)
+    for k, p in enumerate(params):
+        for at in [tuple(rng.integers(0, d) for d in p.shape) for _ in range(8)]:
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = [q.copy() for q in params]
+                moved[k][at] += step
+                sides.append(toxicity.loss_and_gradients(moved, bags, y, scale, centre)[0])
+            assert abs((sides[0] - sides[1]) / 2e-5 - grads[k][at]) < 1e-6
+    # the loss is that of embeddings averaged over grams and words, centred, in a softmax of two classes
+    loss = toxicity.PENALTY / 2 * (params[0] ** 2).sum()
+    for (at, weight), label in zip(bags, y):
+        x = np.zeros(64)
+        x[at] = weight
+        logits = ((x * scale - centre) @ params[0]) @ params[1] + params[2]
+        loss += (np.log(np.exp(logits).sum()) - logits[label]) / len(y)
+    assert abs(loss - toxicity.loss_and_gradients(params, bags, y, scale, centre)[0]) < 1e-9
+
+
+def test_toxicity_scores_against_brute_force(spark, sf_dir):
+    """Every document of the table by the definition, one gram at a time, from the fitted weights."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9000, None), (9001, ""), (9002, "Ünïcode Ünïcode 🙂 x"), (9003, "long " * 50_000)], "doc_id long, text string"))
+    weights, intercept = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert np.abs(weights).max() > 0
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (weights, intercept), ["doc_id"]).collect()}
+    known = {}
+    for r in docs.collect():
+        words = re.findall(r"\w+", (r.text or "").lower())
+        for w in words:
+            if w not in known:
+                known[w] = np.mean(weights[slow_grams(w)])
+        odds = intercept + (np.mean([known[w] for w in words]) if words else 0.0)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-odds))) < 1e-4
+        at, weight = toxicity.bag(r.text)
+        assert abs((weights[at] * weight).sum() + intercept - odds) < 1e-4
+
+
 @pytest.mark.parametrize("sf, least_auc, least_precision, least_recall", [("sf0.01", 0.7, 0.4, 0.3), ("sf0.1", 0.9, 0.72, 0.55)])
 def test_toxicity_on_held_out_labels(spark, sf, least_auc, least_precision, least_recall):
     folder = f"/root/testdata/{sf}"
