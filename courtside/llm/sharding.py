@@ -54,9 +54,10 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def table_frame(spark: SparkSession, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
-    """The lookup table as ``(slot, shard)``."""
-    slots = lookup_table(shards, size)
-    return spark.createDataFrame(list(enumerate(slots)), "slot int, shard int")
+    """The lookup table as ``(slot, shard)``: one literal of the plan, cut and numbered by Spark."""
+    slots = ",".join(map(str, lookup_table(shards, size)))
+    table = spark.range(1).select(F.posexplode(F.split(F.lit(slots), ",")).alias("slot", "number"))
+    return table.select("slot", F.col("number").cast("int").alias("shard"))
 
 
 def place(df: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, keep: list[str] | None = None) -> DataFrame:
