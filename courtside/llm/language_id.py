@@ -10,22 +10,27 @@
 4. The posterior is the normalised product.
 
 Texts are read once to learn and once to score; everything after that is a few numbers a row. The host tables are
-broadcast only below the bound of ``small_side``. Null or empty texts have no text evidence and fall back to the rest;
-missing declarations, suffixes and hosts are neutral; repeated rows each get a row; an empty table gives an empty result;
-without labelled texts there are no languages and nothing is returned but nulls.
+broadcast only below the bounds of ``small_side``. Null or empty texts have no text evidence and fall back to the rest;
+texts of any length are read whole, their evidence tempered; missing declarations, suffixes and hosts are neutral;
+repeated rows each get a row; of languages that tie the first in the alphabet wins; ids may be null; an empty table gives
+an empty result; without labelled texts there are no languages and nothing is returned but nulls; more than
+``MOST_LANGUAGES`` languages are an error, never a cut.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import with_fields
+from courtside.llm.frames import quoted, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, ALPHA = 1 << 14, 0.5
+#: Languages that the labels may name; the table of likelihoods, broadcast to the tasks, is 128 KB a language.
+MOST_LANGUAGES = 200
 #: Trigrams whose evidence counts in full; a longer text's is scaled down to as many.
 FULL_TRIGRAMS = 60
 #: Pseudo-counts of the domain's share in a host's prior, and of the corpus's in a domain's.
@@ -53,11 +58,16 @@ def likelihoods(texts: DataFrame, lang_col: str, text_col: str) -> tuple[list[st
             yield pa.RecordBatch.from_arrays([pa.array([k for k, v in keep.items() for _ in v]), pa.array(np.concatenate([*keep.values(), np.zeros(0, np.int64)])), pa.array(np.concatenate([*(found[k][v] for k, v in keep.items()), np.zeros(0, np.int64)]))], names=["lang", "bucket", "n"])
 
     counted = texts.where(F.col(lang_col).isNotNull()).select(lang_col, text_col).mapInArrow(run, "lang string, bucket bigint, n bigint")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows a language
-    langs = sorted({r.lang for r in rows})
+    counted = saved(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    langs = [r.lang for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} names more than {MOST_LANGUAGES} languages")
+    # at most BUCKETS rows a language, of which the driver sees columns of numbers
+    langs, rows = sorted(langs), counted.toArrow()
     counts = np.full((BUCKETS, len(langs)), ALPHA)
-    for r in rows:
-        counts[r.bucket, langs.index(r.lang)] += r.n
+    if langs:
+        of = pa.compute.index_in(rows.column("lang"), pa.array(langs)).to_numpy()
+        counts[rows.column("bucket").to_numpy(), of] += rows.column("n").to_numpy()
     return langs, np.log(counts / counts.sum(0)) if langs else counts
 
 
@@ -74,7 +84,7 @@ def text_posteriors(df: DataFrame, keep: list[str], text_col: str, table: np.nda
                 out.append((ll - ll.max()).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.list_(pa.float64()))], names=[*keep, "ll"])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, with_fields(df, keep, "ll: array<double>"))
+    return df.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, with_fields(df, keep, "ll: array<double>"))
 
 
 def markup_text(html: Column) -> Column:
