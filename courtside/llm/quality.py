@@ -1,8 +1,10 @@
 """Quality classifier: document evidence combined with shrunken host and path posteriors (hierarchical empirical Bayes).
 
-1. One pass over the texts gives each document a dozen ratios (byte classes, words, repeated lines).
+1. A text's evidence is a dozen ratios (byte classes, words, repeated lines) and the share of its words in each of
+   ``TOKEN_BUCKETS`` hash buckets, which stand for the words themselves.
 2. A logistic regression on these is fitted by Newton steps to a bounded sample of labelled rows (about ``MOST_ROWS`` rows
-   of numbers at most, picked by hash), so the driver's work does not follow the corpus.
+   of numbers at most, picked by hash), so the driver's work does not follow the corpus. One pass over all texts then
+   gives each document its log-odds; the numbers behind them are not kept.
 3. Grouped aggregation counts labels by path and by host. A host's rate shrinks toward the global rate, a path's toward
    its host's; how strongly is estimated from the spread of the rates over groups (method of moments). Sites with few
    labels stay close to the prior, unlabelled ones get it whole. A labelled document's own label is left out of the
@@ -11,25 +13,29 @@
 
 The tables of rates are counted and broadcast only below the bound of ``small_side``; beyond it the joins shuffle, with a
 hot host split by adaptive execution. Null texts count as empty, texts without words say nothing (their text score is the
-global rate), null hosts and paths are one group each, several
-labels of one document count by their maximum, rows that repeat an id each get a row, an empty table gives an empty
-result, without any label every score is 0.5, and other columns are ignored.
+global rate), texts of any length are read whole, null hosts and paths are one group each, several labels of one
+document count by their maximum, rows that repeat an id each get a row, ids may be null, an empty table gives an empty
+result, without any label every score is 0.5, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import hash_sample, with_fields
+from courtside.llm.frames import hash_sample, quoted, with_fields
 from courtside.plans.storage import saved, small_side
 
 #: Labelled rows that the classifier is fitted to, at most (about), and its ridge penalty.
 MOST_ROWS, RIDGE = 20_000, 1.0
+#: Hash buckets of words; what a word share is multiplied by, and its ridge penalty.
+TOKEN_BUCKETS, TOKEN_SCALE, TOKEN_RIDGE = 256, 16.0, 300.0
 FEATURES = ["log_words", "word_length", "distinct_words", "repeated_lines", "line_length", "lower", "upper", "digits", "stops", "symbols", "other_punctuation", "beyond_ascii"]
 
 
@@ -53,32 +59,63 @@ def text_features(text: str | None) -> list[float]:
     return [float(np.log(len(words))), solid / len(words), len(set(words)) / len(words) ** 0.9, 1 - len(set(lines)) / len(lines), float(np.log(solid / len(lines))), *shares.tolist()]
 
 
-def features(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``x array<double>``, the features of each whole text."""
+def token_shares(text: str | None) -> np.ndarray:
+    """The root of the share of a text's words, in lower case, in each hash bucket."""
+    times = Counter((text or "").lower().encode().split())
+    at = np.fromiter((zlib.crc32(w) % TOKEN_BUCKETS for w in times), np.int64, len(times))
+    return np.sqrt(np.bincount(at, np.fromiter(times.values(), float, len(times)), minlength=TOKEN_BUCKETS) / max(1, times.total()))
 
-    def run(batches):
-        for batch in batches:
-            x = pa.array([text_features(t.as_py()) for t in batch.column(len(keep))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], x], names=[*keep, "x"])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, with_fields(df, keep, "x: array<double>"))
+def evidence(text: str | None) -> np.ndarray:
+    """All numbers of one text: its ratios, then its token shares."""
+    return np.concatenate([text_features(text), token_shares(text)])
 
 
-def fit(rows: list[tuple[list[float], int]]) -> tuple[list[float], float]:
-    """Weights and intercept of a ridge logistic regression, for raw features."""
-    if not rows or len({y for _, y in rows}) < 2:
-        return [0.0] * len(FEATURES), 0.0
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic regression, for raw evidence."""
+    width = len(FEATURES) + TOKEN_BUCKETS
+    if len(set(y.tolist())) < 2:
+        return np.zeros(width), 0.0
+    mean = x.mean(0)
+    scale = np.concatenate([x[:, : len(FEATURES)].std(0) + 1e-9, np.full(TOKEN_BUCKETS, 1 / TOKEN_SCALE)])
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w, penalty = np.zeros(z.shape[1]), np.diag([RIDGE] * len(FEATURES) + [1e-6])
+    w, penalty = np.zeros(width + 1), np.diag([RIDGE] * len(FEATURES) + [TOKEN_RIDGE] * TOKEN_BUCKETS + [1e-6])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (p - y) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return (w[:-1] / scale).tolist(), float(w[-1] - (w[:-1] / scale) @ mean)
+    return w[:-1] / scale, float(w[-1] - (w[:-1] / scale) @ mean)
+
+
+def _sample(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The evidence of the texts of ``(text, y)``, made by tasks, and the labels."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [evidence(t.as_py()).astype(np.float32) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1)], names=["x", "y"])
+
+    rows = texts.select("text", "y").mapInArrow(run, "x array<float>, y int").toArrow()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, len(FEATURES) + TOKEN_BUCKETS))
+    return x.astype(np.float64), rows.column("y").to_numpy().astype(np.int64)
+
+
+def text_logits(df: DataFrame, keep: list[str], model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``logit double``, null for texts without words: the log-odds of each whole text."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
+
+    def run(batches):
+        weights, intercept = shared.value
+        for batch in batches:
+            logits = []
+            for t in batch.column(len(keep)):
+                x = evidence(t.as_py())
+                logits.append(float(x @ weights + intercept) if x[1] else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(logits, pa.float64())], names=[*keep, "logit"])
+
+    return df.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, with_fields(df, keep, "logit: double"))
 
 
 def _log_odds(p: Column) -> Column:
@@ -103,12 +140,12 @@ def quality_scores(documents: DataFrame, labels: DataFrame, host: Column, path:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.where(learn_from) if learn_from is not None else known
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    rows = saved(features(base, ["id", "host", "path"]).join(known, "id", "left"))
-
+    # one sample join: broadcast if small, and only its texts are measured twice
+    n = (known := saved(known)).count()
+    model = fit(*_sample(base.join(small_side(hash_sample(known, "id", MOST_ROWS, n)), "id")))
+    rows = saved(text_logits(base, ["id", "host", "path"], model).join(known, "id", "left"))
     labelled = rows.where("y is not null")
-    sample = hash_sample(labelled, "id", MOST_ROWS, labelled.count()).select("x", "y").collect()
-    weights, intercept = fit([(r.x, r.y) for r in sample])
-    logit = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) + F.lit(intercept)
+    logit = F.col("logit")
 
     paths = saved(labelled.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("k")))
     hosts = saved(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
@@ -123,6 +160,6 @@ def quality_scores(documents: DataFrame, labels: DataFrame, host: Column, path:
     host_rate = (F.greatest(count("host_k") - own_y, F.lit(0.0)) + host_strength * total) / (F.greatest(count("host_n") - own, F.lit(0.0)) + host_strength)
     scored = joined.withColumn("host_rate", host_rate)
     path_rate = (F.greatest(count("path_k") - own_y, F.lit(0.0)) + path_strength * F.col("host_rate")) / (F.greatest(count("path_n") - own, F.lit(0.0)) + path_strength)
-    scored = scored.withColumn("path_rate", path_rate).withColumn("text_score", F.when(F.get("x", 1) == 0, F.lit(total)).otherwise(1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-6.0)), F.lit(6.0))))))
+    scored = scored.withColumn("path_rate", path_rate).withColumn("text_score", F.when(logit.isNull(), F.lit(total)).otherwise(1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-6.0)), F.lit(6.0))))))
     score = 1 / (1 + F.exp(-(_log_odds(F.col("path_rate")) + _log_odds(F.col("text_score")) - _log_odds(F.lit(total)))))
     return scored.select(F.col("id").alias(id_col), "text_score", "host_rate", "path_rate", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
