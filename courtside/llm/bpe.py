@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import with_fields
+from courtside.llm.frames import quoted, with_fields
 
 #: Fixed value: the published pre-token pattern of byte-level vocabularies, with white space by its Unicode property.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -186,7 +186,7 @@ def token_lengths(df: DataFrame, keep: list[str], text_col: str = "text", vocabu
             n = pa.array([sum(map(len, bpe.pieces(t or ""))) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, "n_tokens"])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

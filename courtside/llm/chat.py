@@ -3,17 +3,17 @@
 A line that begins with ``>`` marks is quoted, one level per mark (white space between marks is ignored). Lines of the
 same level that follow each other are a passage. A passage is normalised (lower case, runs of letters and digits only)
 and hashed whole, by paragraph, by line and by sentence, and so is what a message says itself; lines that a mail program
-has wrapped do not matter to paragraphs and sentences. A quoted hash joins the first message of the conversation that said it, if that is an earlier one. The message answered is the one
-with the shallowest link, then the most linked words, then the latest turn. Threads (root and depth) come from pointer
+has wrapped do not matter to paragraphs and sentences. A quoted hash joins the first message of the conversation that
+said it, if that is an earlier one. The message answered is the one with the shallowest link, then the most linked words, then the latest turn. Threads (root and depth) come from pointer
 doubling, whose rounds grow with the logarithm of the deepest thread.
 
 The result has one row per input row; ``(conv_id, thread_root, turn)`` orders a conversation so that every message
 follows the one it answers. Joins are on conversation and hash, originals are reduced to one row per hash by partial
 aggregation before they meet a quote, and no conversation is gathered in one task.
 
-Null texts count as empty; rows with a null conversation or turn keep their text and link to nothing; rows that repeat
+Null texts count as empty; texts of any length are read whole; rows with a null conversation or turn keep their text and link to nothing; rows that repeat
 a turn are answered as one message; an attribution line (``On ... wrote:``) before a quote is dropped with it; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.plans.storage import saved
+from courtside.plans.storage import saved, small_side
 
 QUOTED = r"^\s*>"
 MARKS = r"^((?:\s*>)+)"
@@ -82,7 +82,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
     found = saved(quotes(messages))
     quoted = _hashed(found, ["conv_id", "turn", "level"], _units(F.col("passage"))).distinct()
     # only conversations that quote at all need the hashes of what was said
-    said = messages.join(found.select("conv_id").distinct(), "conv_id", "left_semi")
+    said = messages.join(small_side(found.select("conv_id").distinct()), "conv_id", "left_semi")
     original = _hashed(said.select("conv_id", "turn", own_text(F.col("text")).alias("own")), ["conv_id", "turn"], _units(F.col("own")))
     original = original.groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("reply_to"))
     linked = quoted.join(original, ["conv_id", "h1", "h2"]).where("reply_to < turn").groupBy("conv_id", "turn", "level", "reply_to").agg(F.sum("words").alias("linked_words"))

@@ -9,9 +9,14 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from courtside.plans.storage import saved
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """The columns of these names, dots in them and all."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
     """The schema of the columns ``keep`` of ``df``, whatever their names, followed by the fields of ``ddl``."""
-    kept = df.select(*[f"`{c}`" for c in keep]).schema.fields if keep else []
+    kept = df.select(*quoted(keep)).schema.fields if keep else []
     return StructType([*kept, *_parse_datatype_string(f"struct<{ddl}>").fields])
 
 
@@ -30,9 +35,9 @@ def one_row_each(df: DataFrame, id_col: str, digest: Column, decided: DataFrame,
     marked = df.withColumn("__digest", digest)
     aside = saved(decided.where("not kept or copies > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__of"), "kept"))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of"))
-    rest = marked.join(aside, same, "left_anti").select(*df.columns)
+    rest = marked.join(aside, same, "left_anti").select(*quoted(df.columns))
     again = aside.where("kept")
     if again.isEmpty():
         return rest
-    row = F.max_by(F.struct(*df.columns), order).alias("__row")
+    row = F.max_by(F.struct(*quoted(df.columns)), order).alias("__row")
     return rest.unionByName(marked.join(again, same, "left_semi").groupBy(id_col, "__digest").agg(row).select("__row.*"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from courtside.llm import bpe, chat, decontaminate, exact_dedup, language_id, quality, sharding, simhash, token_counts, toxicity
+from courtside.llm import bpe, chat, decontaminate, exact_dedup, language_id, pipeline, quality, sharding, simhash, token_counts, toxicity
+from courtside.plans import bind
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity")
 
 
+#: The conversations as they are, which quote nothing, and once more as mail: under a number of its own, a message quotes
+#: the one before it and, one level deeper, the one before that; every fifth turn begins anew.
+MAIL = """
+SELECT conv_id, turn, role, text FROM {conversations} UNION ALL
+SELECT -conv_id - 1, c.turn, c.role, CASE WHEN c.turn % 5 = 0 OR a.said IS NULL THEN c.text ELSE concat('On day ', CAST(c.turn AS STRING), ' somebody wrote:', chr(10),
+  CASE WHEN b.said IS NULL THEN '' ELSE concat('> > ', replace(b.said, chr(10), concat(chr(10), '> > ')), chr(10)) END, '> ', replace(a.said, chr(10), concat(chr(10), '> ')), chr(10), chr(10), coalesce(c.text, '')) END
+FROM {conversations} c LEFT JOIN (SELECT conv_id AS k, turn + 1 AS t, min(text) AS said FROM {conversations} GROUP BY 1, 2) a ON c.conv_id = a.k AND c.turn = a.t
+LEFT JOIN (SELECT conv_id AS k, turn + 2 AS t, min(text) AS said FROM {conversations} GROUP BY 1, 2) b ON c.conv_id = b.k AND c.turn = b.t
+"""
+
+
 def op4_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message without its quotes, with the message it answers, its thread and its depth."""
-    return chat.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """Every message of :data:`MAIL` without its quotes, with the message it answers, its thread and its depth."""
+    return chat.reply_ordered(bind.view(spark, sf_dir, MAIL))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +103,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 
@@ -101,31 +112,38 @@ def _shingled(table: str, key: str) -> str:
     return f"SELECT {key}, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s FROM (SELECT DISTINCT {key}, {words} AS w FROM {table}) WHERE len(w) > 0"
 
 
-ORACLE_SQL: dict[str, str] = {
-    "op3_decontamination": f"""
-        WITH d AS ({_shingled("documents", "doc_id")}), b AS ({_shingled("benchmark", "item_id")}),
-        p AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(s) AS h FROM d) JOIN (SELECT item_id, unnest(s) AS h FROM b) USING (h)),
-        w AS (SELECT doc_id, item_id, b.s AS item, d.s[k:k + len(b.s) - 1] AS part FROM p JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, greatest(len(d.s) - len(b.s) + 1, 1) + 1)) AS t(k)),
-        o AS (SELECT doc_id, item_id, len(item) + len(part) AS total, CAST(list_sum(list_transform(list_distinct(item), lambda h: least(len(list_filter(item, lambda x: x = h)), len(list_filter(part, lambda x: x = h))))) AS BIGINT) AS shared FROM w)
-        SELECT doc_id, item_id, max(shared / CAST(total - shared AS DOUBLE)) AS similarity FROM o GROUP BY doc_id, item_id HAVING max(shared / CAST(total - shared AS DOUBLE)) >= 0.8 - 1e-12""",
-    "op4_quotation_threads": r"""
-        WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+def threads_sql(messages: str) -> str:
+    """The SQL of :func:`chat.reply_ordered` for the rows of a query of messages."""
+    return (
+        r"""
+        WITH RECURSIVE mail AS (""" + messages + r"""), m AS (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM mail),
         l AS (SELECT conv_id, turn, text, t.p AS pos, s[t.p] AS line, regexp_matches(s[t.p], '^\s*>') AS quoted FROM (SELECT *, regexp_split_to_array(text, '\r\n|\r|\n') AS s FROM m), unnest(range(1, len(s) + 1)) AS t(p)),
         x AS (SELECT *, quoted OR (regexp_matches(line, '^\s*On\b.*\bwrote:\s*$') AND coalesce(lead(quoted) OVER (PARTITION BY conv_id, turn, text ORDER BY pos), false)) AS gone FROM l),
         own AS (SELECT conv_id, turn, text, count(*) FILTER (quoted) AS quoted_lines, CASE WHEN bool_or(quoted) THEN trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''), ' ' || chr(9) || chr(13) || chr(10)) ELSE text END AS own FROM x GROUP BY conv_id, turn, text),
         k AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:\s*>)+)', 1), '\s', '', 'g')) AS level, regexp_replace(line, '^(?:\s*>)+\s?', '') AS body FROM l WHERE quoted AND conv_id IS NOT NULL AND turn IS NOT NULL),
         g AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, text, level ORDER BY pos) AS run FROM k),
         p AS (SELECT conv_id, turn, level, string_agg(body, chr(10) ORDER BY pos) AS passage FROM g GROUP BY conv_id, turn, text, level, run),
-        uq AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS unit FROM (SELECT conv_id, turn, level, unnest(list_concat([passage], string_split(passage, chr(10)))) AS u FROM p)),
+        uq AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS unit FROM (SELECT conv_id, turn, level, unnest(list_concat(list_concat([passage], string_split(passage, chr(10))), list_concat(regexp_split_to_array(passage, '\n\s*\n'), string_split(regexp_replace(regexp_replace(passage, '([.!?…。！？])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1))))) AS u FROM p)),
         uo AS (SELECT conv_id, unit, min(turn) AS turn FROM (SELECT conv_id, turn, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS unit FROM (
-          SELECT conv_id, turn, unnest(list_concat(list_concat([own], string_split(own, chr(10))), regexp_split_to_array(own, '\n\s*\n'))) AS u FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL)) WHERE unit <> '' GROUP BY conv_id, unit),
+          SELECT conv_id, turn, unnest(list_concat(list_concat([own], string_split(own, chr(10))), list_concat(regexp_split_to_array(own, '\n\s*\n'), string_split(regexp_replace(regexp_replace(own, '([.!?…。！？])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1))))) AS u FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL)) WHERE unit <> '' GROUP BY conv_id, unit),
         lk AS (SELECT uq.conv_id, uq.turn, uq.level, uo.turn AS reply_to, sum(len(string_split(uq.unit, ' '))) AS words FROM uq JOIN uo ON uq.conv_id = uo.conv_id AND uq.unit = uo.unit WHERE uo.turn < uq.turn GROUP BY ALL),
         best AS (SELECT conv_id, turn, arg_max(reply_to, (-level, words, reply_to)) AS reply_to FROM lk GROUP BY conv_id, turn),
         th(conv_id, turn, root, depth) AS (SELECT conv_id, turn, reply_to, 1 FROM best UNION ALL SELECT th.conv_id, th.turn, b.reply_to, th.depth + 1 FROM th JOIN best b ON th.conv_id = b.conv_id AND th.root = b.turn),
         fin AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM th GROUP BY conv_id, turn)
         SELECT c.conv_id, c.turn, c.role, best.reply_to, coalesce(fin.root, c.turn) AS thread_root, CAST(coalesce(fin.depth, 0) AS INT) AS depth, CAST(own.quoted_lines AS INT) AS quoted_lines, own.own AS text
-        FROM conversations c JOIN own ON c.conv_id IS NOT DISTINCT FROM own.conv_id AND c.turn IS NOT DISTINCT FROM own.turn AND coalesce(c.text, '') = own.text
-        LEFT JOIN best ON c.conv_id = best.conv_id AND c.turn = best.turn LEFT JOIN fin ON c.conv_id = fin.conv_id AND c.turn = fin.turn""",
+        FROM mail c JOIN own ON c.conv_id IS NOT DISTINCT FROM own.conv_id AND c.turn IS NOT DISTINCT FROM own.turn AND coalesce(c.text, '') = own.text
+        LEFT JOIN best ON c.conv_id = best.conv_id AND c.turn = best.turn LEFT JOIN fin ON c.conv_id = fin.conv_id AND c.turn = fin.turn"""
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH d AS ({_shingled("documents", "doc_id")}), b AS ({_shingled("benchmark", "item_id")}),
+        p AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(s) AS h FROM d) JOIN (SELECT item_id, unnest(s) AS h FROM b) USING (h)),
+        w AS (SELECT doc_id, item_id, b.s AS item, d.s[k:k + len(b.s) - 1] AS part FROM p JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, greatest(len(d.s) - len(b.s) + 1, 1) + 1)) AS t(k)),
+        o AS (SELECT doc_id, item_id, len(item) + len(part) AS total, CAST(list_sum(list_transform(list_distinct(item), lambda h: least(len(list_filter(item, lambda x: x = h)), len(list_filter(part, lambda x: x = h))))) AS BIGINT) AS shared FROM w)
+        SELECT doc_id, item_id, max(shared / CAST(total - shared AS DOUBLE)) AS similarity FROM o GROUP BY doc_id, item_id HAVING max(shared / CAST(total - shared AS DOUBLE)) >= 0.8 - 1e-12""",
+    "op4_quotation_threads": threads_sql(bind.duckdb_sql(MAIL)),
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         k AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import hash_sample, with_fields
+from courtside.llm.frames import hash_sample, quoted, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 4, (3, 4, 5)
@@ -197,7 +197,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], keep: list[str]
                 out += (1 / (1 + np.exp(-np.clip(odds, -500, 500)))).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, name])
 
-    return documents.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, with_fields(documents, keep, f"{name}: double"))
+    return documents.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, with_fields(documents, keep, f"{name}: double"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

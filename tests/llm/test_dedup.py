@@ -8,8 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from courtside.llm import exact_dedup, queries, sharding, simhash
+from courtside.llm import exact_dedup, pipeline, queries, sharding, simhash
 
 ODD = [(0, "a b c"), (1, "A B  C"), (2, None), (3, ""), (4, "abc"), (4, "abc"), (5, "word " * 30_000), (6, "word " * 30_000 + " "), (7, "é x"), (8, " \t"), (9, "a b c d e f")]
 
@@ -216,7 +215,7 @@ def test_stages_keep_one_row_of_each_group_with_repeated_ids(spark):
     a, b, c, d, e = (text(s) for s in range(5))
     rows = [(1, a), (2, a), (2, b), (2, b), (2, b + " "), (3, c), (3, d), (None, e), (None, e), (None, a), (4, "x " + d), (7, None), (8, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    stages = dict(corpus_pipeline.STAGES)
+    stages = dict(pipeline.STAGES)
     exact = sorted(map(repr, (tuple(r) for r in stages["exact dedup"](spark, df, None).collect())))
     assert exact == sorted(map(repr, [(1, a), (2, b + " "), (3, c), (3, d), (None, e), (4, "x " + d), (7, None)]))
     near = [tuple(r) for r in stages["simhash near-dedup"](spark, df, None).collect()]

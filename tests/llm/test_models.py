@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
-from courtside.llm import language_id, quality, queries, simhash, toxicity
+from courtside.llm import language_id, pipeline, quality, queries, simhash, toxicity
 
 
 def auc(scores, y):
@@ -145,6 +144,62 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.quality_scores(df.limit(0), empty, F.col("host"), F.col("path")).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Rates, strengths and scores in plain Python from the text's log-odds, which are computed apart from the weights."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], {}
+    for i in range(400):
+        host, path = f"h{rng.integers(0, 9)}", None if i % 11 == 0 else f"p{rng.integers(0, 4)}"
+        text = " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 30))) + ("!" * (i % 5))
+        rows.append((i, text, None if i % 37 == 0 else host, path))
+        if i % 3:
+            labels[i] = int(rng.random() < 0.3 + 0.05 * int(host[1]))
+    rows += [(500, None, "h1", "p1"), (501, "word " * 40_000, "new", "p1"), (None, "no id", "h1", "p1"), (7, "repeated id", "h2", "p2")]
+    df = spark.createDataFrame([(*r, 0.0, "x") for r in rows], "doc_id long, text string, host string, path string, logit double, y string")
+    table = spark.createDataFrame([*labels.items(), (5, 0), (5, 1), (None, 1), (8, None)], "doc_id long, quality int")
+    labels |= {5: 1}
+    got = quality.quality_scores(df, table, F.col("host"), F.col("path")).collect()
+    known = [(r, labels[r[0]]) for r in rows if r[0] in labels]
+    x, y = np.array([quality.evidence(r[1]).astype(np.float32) for r, _ in known], float), np.array([v for _, v in known])
+    weights, intercept = quality.fit(x, y)
+    by_path, by_host = {}, {}
+    for r, v in known:
+        for table_, key in ((by_path, (r[2] or "", r[3] or "")), (by_host, r[2] or "")):
+            n, k = table_.get(key, (0, 0))
+            table_[key] = (n + 1, k + v)
+    total = sum(k for _, k in by_host.values()) / sum(n for n, _ in by_host.values())
+
+    def strength(groups):  # of (n, k, rate)
+        n = sum(g[0] for g in groups)
+        spread = sum((k / m - p) ** 2 * m for m, k, p in groups)
+        noise = sum(p * (1 - p) for _, _, p in groups)
+        between = max((spread - noise) / (n - sum(m * m for m, _, _ in groups) / n), 1e-9)
+        return min(max(np.mean([p * (1 - p) for _, _, p in groups]) / between - 1, 1.0), 1e4)
+
+    hs = strength([(n, k, total) for n, k in by_host.values()])
+    shrunk = {h: (k + hs * total) / (n + hs) for h, (n, k) in by_host.items()}
+    ps = strength([(n, k, shrunk[h]) for (h, _), (n, k) in by_path.items()])
+    odds = lambda p: np.log(p / (1 - p))
+    want = {}
+    for i, text, host, path in rows:
+        own = labels.get(i)
+        hn, hk = by_host.get(host or "", (0, 0))
+        pn, pk = by_path.get((host or "", path or ""), (0, 0))
+        if own is not None:
+            hn, hk, pn, pk = max(hn - 1, 0), max(hk - own, 0), max(pn - 1, 0), max(pk - own, 0)
+        host_rate = (hk + hs * total) / (hn + hs)
+        path_rate = (pk + ps * host_rate) / (pn + ps)
+        logit = float(quality.evidence(text) @ weights + intercept)
+        of_text = 1 / (1 + np.exp(-min(max(logit, -6), 6))) if (text or "").split() else total
+        want[i, text] = (host_rate, path_rate, of_text, 1 / (1 + np.exp(-(odds(path_rate) + odds(of_text) - odds(total)))))
+    texts = {(r[0], r[1]) for r in rows}
+    assert len(got) == len(rows) == len(texts)
+    for i in {r.doc_id for r in got}:
+        mine = sorted((r.host_rate, r.path_rate, r.text_score, r.score) for r in got if r.doc_id == i)
+        other = sorted(v for k, v in want.items() if k[0] == i)
+        assert np.allclose(mine, other, atol=1e-5), (i, mine, other)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -164,6 +219,73 @@ def test_language_of_documents_and_pages(spark, sf_dir):
     assert np.mean([r.lang == pages[r.page_id] for r in out if r.page_id is not None]) > 0.95
 
 
+def test_language_against_brute_force(spark):
+    """Trigram counts, trust in declarations and host priors by plain Python dictionaries."""
+    rng = np.random.default_rng(8)
+    vocabulary = {lang: [f"{lang[0]}{chr(97 + x % 26)}{chr(97 + x // 26)}{lang[1]}" for x in range(60)] for lang in ("de", "en", "fr")}
+    said = lambda lang, n: " ".join(rng.choice(vocabulary[lang] + vocabulary["en"][:20], n))
+    train = [(lang, said(lang, int(rng.integers(1, 30)))) for lang in vocabulary for _ in range(30)] + [(None, "x"), ("en", None)]
+    langs, table = language_id.likelihoods(spark.createDataFrame(train, "lang string, text string"), "lang", "text")
+
+    def counts(text):
+        data = b" " + b" ".join((text or "").lower().encode().split()) + b" "
+        return Counter((((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 0x9E3779B1) % 2**32) >> 18 for i in range(len(data) - 2))
+
+    of = {lang: Counter() for lang in vocabulary}
+    for lang, text in train:
+        if lang:
+            of[lang] += counts(text)
+    assert langs == ["de", "en", "fr"]
+    p = [{b: np.log((of[lang][b] + 0.5) / (of[lang].total() + 0.5 * language_id.BUCKETS)) for b in range(language_id.BUCKETS)} for lang in langs]
+    assert np.allclose(table, np.array([[q[b] for q in p] for b in range(language_id.BUCKETS)]))
+
+    rows = []
+    for i in range(120):
+        lang = langs[i % 3]
+        host = f"h{rng.integers(0, 6)}.{'x' if i % 2 else 'y'}.org"
+        rows.append((i, said(lang, int(rng.integers(0, 12))) if i % 10 else None, lang if i % 4 else None, langs[int(rng.integers(0, 3))] if i % 5 else None, host if i % 7 else None, host[3:] if i % 7 else None))
+    rows += [(200, said("fr", 60_000), "de", None, "h1.x.org", "x.org"), (None, said("en", 9), None, None, None, None), (3, said("de", 9), "xx", None, "h1.x.org", None)]
+    df = spark.createDataFrame([(*r, 1.0, [0.0]) for r in rows], "id long, text string, declared string, suffix string, host string, domain string, post double, sums array<double>")
+    got = {(r.id, n): r for n, r in enumerate(language_id.identify(df, ["id"], langs, table).collect())}
+    soft = lambda v: np.exp(v - np.max(v)) / np.exp(v - np.max(v)).sum()
+    ll, post = [], []
+    for r in rows:
+        c = counts(r[1])
+        v = sum((n * table[b] for b, n in c.items()), np.zeros(3)) * min(1.0, 60 / max(1, c.total()))
+        ll.append(v - v.max())
+        post.append(soft(ll[-1]))
+    share = (sum(post) + 1) / (sum(x.sum() for x in post) + 3)
+
+    def trust(k):
+        sums = {}
+        for r, x in zip(rows, post):
+            if r[k] is not None:
+                sums[r[k]] = sums.get(r[k], 0) + x
+        totals = sum(sums.values())
+        return {v: np.log((x + 0.5) / (totals + 0.5 * (len(sums) + 1))) for v, x in sums.items()}
+
+    declared, suffix = trust(2), trust(3)
+    hosts, domains = {}, {}
+    for r, x in zip(rows, post):
+        if r[4] is not None:
+            hosts[r[4], r[5]] = hosts.get((r[4], r[5]), 0) + x
+            domains[r[5]] = domains.get(r[5], 0) + x
+    want = {}
+    for r, v, x in zip(rows, ll, post):
+        prior = share
+        if r[4] is not None:
+            domain = np.maximum(domains[r[5]] - x, 0) + share * 20
+            host = np.maximum(hosts[r[4], r[5]] - x, 0) + domain / domain.sum() * 5
+            prior = host / host.sum()
+        final = soft(v + np.log(prior) + declared.get(r[2], 0) + suffix.get(r[3], 0))
+        want.setdefault(r[0], []).append((langs[int(final.argmax())], float(final.max())))
+    assert len(got) == len(rows)
+    for i, expected in want.items():
+        mine = sorted((r.confidence, r.lang) for (k, _), r in got.items() if k == i)
+        assert [lang for _, lang in mine] == [lang for lang, _ in sorted(expected, key=lambda e: e[1])]
+        assert np.allclose([c for c, _ in mine], sorted(c for _, c in expected), atol=1e-9)
+
+
 def test_language_without_text_follows_the_rest(spark):
     train = spark.createDataFrame([("en", "the cat and the dog")] * 5 + [("de", "der hund und die katze")] * 5 + [(None, "x"), ("en", None)], "lang string, text string")
     langs, table = language_id.likelihoods(train, "lang", "text")
@@ -187,7 +309,7 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
     source = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     source += [(9000 + i, *r[1:]) for i, r in enumerate(source[:3])] + [(9100, "x " + " ".join(source[0][1].split()[:-1]), *source[0][2:]), (9200, None, "en", "s", 0)]
     docs = spark.createDataFrame(source, schema)
-    by_name = dict(corpus_pipeline.STAGES)
+    by_name = dict(pipeline.STAGES)
     rows = lambda df: {r.doc_id: r.text for r in df.collect()}
     frame = lambda kept: spark.createDataFrame([r for r in source if r[0] in kept], schema)
 
@@ -227,7 +349,26 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
     assert out == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in want.items()}
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Nulls in any column, extra columns with the operators' own names, very long texts, and no rows at all."""
+    names = ["score", "digest", "id", "band", "fp", "kept", "similarity", "name", "copies", "key", "sha", "t1", "n", "text_sha256"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    extra = tuple(f"e{i}" for i in range(len(names)))
+    rows = [(1, "plain words of a text", "en", "s", 1, *extra), (None, None, None, None, None, *[None] * len(names)), (None, "another text without an id", None, "s", 3, *extra), (2, "", "en", None, 0, *extra), (3, "word " * 30_000, "en", "s", 5, *extra), (3, "word " * 30_000, "en", "s", 5, *extra)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES:
+        out, none = stage(spark, docs, sf_dir), stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0
+        if stage is not pipeline.tokens:
+            assert out.columns == docs.columns == none.columns
+            got = out.collect()
+            assert {r.text for r in got if r.text} == {r[1] for r in rows if r[1]}, name
+            assert all(r.text_sha256 == "e13" and r.score == "e0" for r in got if r.doc_id == 1)
+        else:
+            assert out.count() == len(rows)
+
+
 def test_pipeline_runs_as_a_whole(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir)
+    out = pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0.5 * spark.read.parquet(f"{sf_dir}/documents.parquet").count() < out.count() == out.select("doc_id").distinct().count()

@@ -75,7 +75,7 @@ def test_reply_ordered(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", talk)
-    sql = con.execute(f"SELECT conv_id, turn, text, reply_to, thread_root, depth FROM ({queries.ORACLE_SQL['op4_quotation_threads']})").fetchall()
+    sql = con.execute(f"SELECT conv_id, turn, text, reply_to, thread_root, depth FROM ({queries.threads_sql('SELECT * FROM conversations')})").fetchall()
     assert {r[:3]: r[3:] for r in sql} == got and len(sql) == len(talk)
     assert got[1, 2, "I asked first."] == (0, 0, 1)
     assert got[1, 3, "Yes you did."] == (2, 0, 2)
@@ -112,14 +112,24 @@ def test_wrapped_paragraphs_and_sentences_link(spark):
     assert got == {0: (None, 0, 0), 1: (None, 1, 0), 2: (1, 1, 1), 3: (1, 1, 1), 4: (3, 1, 2), 5: (None, 5, 0)}
 
 
-def test_conversations_without_quotes_stay_as_they_are(spark, sf_dir):
-    want = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+def test_mail_is_linked_as_it_was_quoted(spark, sf_dir):
+    """Conversations without quotes stay as they are; of those that quote, every reply finds its message, whatever the depth."""
+    said = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     names = ["conv_id", "turn", "role", "reply_to", "thread_root", "depth", "quoted_lines", "text"]
     sql = con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLE_SQL['op4_quotation_threads']})").fetchall()
-    assert sorted(map(repr, sql)) == sorted(repr(tuple(r)) for r in queries.op4_quotation_threads(spark, sf_dir).select(*names).collect())
-    assert {(r.conv_id, r.turn): r.text for r in queries.op4_quotation_threads(spark, sf_dir).collect()} == want
+    rows = queries.op4_quotation_threads(spark, sf_dir).select(*names).collect()
+    assert sorted(map(repr, sql)) == sorted(repr(tuple(r)) for r in rows)
+    assert {(r.conv_id, r.turn): r.text for r in rows if r.conv_id >= 0} == said
+    mail = {(-r.conv_id - 1, r.turn): r for r in rows if r.conv_id < 0}
+    assert mail.keys() == said.keys() and all(r.text.strip() == said[k].strip() for k, r in mail.items())
+    for (conv, turn), r in mail.items():
+        before = [t for t in range(turn) if (conv, t) in said and said[conv, t] == said.get((conv, turn - 1))]
+        want = before[0] if turn % 5 and before else None
+        if want is None or want == turn - 1:  # an earlier message that said the same takes the link
+            assert r.reply_to == want and (want is None) == (r.quoted_lines == 0)
+    assert sum(r.depth >= 2 for r in mail.values()) > len(mail) / 4 and max(r.depth for r in mail.values()) == 4
 
 
 def test_contaminated_against_sql(spark, sf_dir):
