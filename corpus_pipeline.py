@@ -1,67 +1,5 @@
-"""A corpus pipeline of five stages over ``documents``; each stage works on all that the stage before it kept."""
+"""The corpus pipeline of :mod:`courtside.llm.pipeline`, at the top of the repository."""
 
-from __future__ import annotations
+from courtside.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import posixpath
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from courtside.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from courtside.llm.frames import one_row_each
-
-#: SQL for the rows of :func:`run`: none, as it can express neither the trained model nor the tokenizer.
-ORACLE_SQL = None
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity model does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
-
-
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, whatever ids repeat or are null; even ids stand for the stored snapshot, odd ones for the new batch."""
-    groups = exact_dedup.exact_dedup(docs, F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 0, 0))
-    decided = groups.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
-    return one_row_each(docs, "doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256), decided, F.char_length(F.coalesce("text", F.lit(""))))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group whose sets of five-word shingles have a similarity of 0.8 or more."""
-    return simhash.near_dedup(docs).select(*docs.columns)
-
-
-def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a passage of the benchmark."""
-    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of the decoded text of each document that is left."""
-    return bpe.round_trip_digests(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_exact_copies),
-    ("simhash near-dedup", drop_near_copies),
-    ("benchmark decontamination", drop_benchmark),
-    ("bpe encoding and decoding", tokens),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; between two stages the rows are written as Parquet in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = posixpath.join(shared, f"pipeline-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
