@@ -61,11 +61,12 @@ def season_aggregates(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def profile_metrics(df: DataFrame, profile: list[str], team: list[str]) -> DataFrame:
+def profile_metrics(df: DataFrame, profile: list[str], team: list[str], z_of: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
     """A01-A08 with W01-W03: totals, spread, per-36 rates, share of the team, recent form of each profile.
 
     ``profile`` must contain the columns of ``team``. The spread columns follow the offensive rating, as the reference
-    semantics do; ``*_points`` columns hold the same figures for points.
+    semantics do; ``*_points`` columns hold the same figures for points. ``z_of`` names metrics whose event z-scores
+    ``z_<metric>`` are averaged, ``carried`` columns of which the greatest value is kept.
     """
     c = F.col
     newest = F.row_number().over(Window.partitionBy(*profile).orderBy(*[F.desc(x) for x in ORDER]))
@@ -83,6 +84,8 @@ def profile_metrics(df: DataFrame, profile: list[str], team: list[str]) -> DataF
         F.nullif(F.avg("usg"), F.lit(0.0)).alias("avg_usg"),
         F.var_pop("ortg").alias("var_ortg"),
         F.var_pop("points").alias("var_points"),
+        *[F.avg(f"z_{m}").alias(f"avg_z_{m}") for m in z_of],
+        *[F.max(x).alias(x) for x in carried],
         *[F.sum(x).alias(f"total_{x}") for x in TOTALS],
         recent("points", 5).alias("last5_points"),
         recent("points", 10).alias("last10_points"),

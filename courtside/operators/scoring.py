@@ -11,13 +11,14 @@ from courtside.operators.aggregates import slope
 NOW = 2026
 SEASON_WEIGHTS = {"age": 0.20, "performance": 0.30, "production": 0.15, "consistency": 0.15, "advanced": 0.10, "momentum": 0.10}
 CAREER_WEIGHTS = {"recent": 0.50, "trajectory": 0.25, "career_avg": 0.05, "age_score": 0.10, "consistency": 0.05, "confidence": 0.05}
-SEASON_TIERS = ((0.75, "elite"), (0.60, "very_high"), (0.45, "high"), (0.30, "medium"))
-CAREER_TIERS = ((0.70, "elite"), (0.60, "very_high"), (0.50, "high"), (0.40, "medium"))
+#: A season has no elite tier and a fifth one below; a career has an elite tier. Each list ends in the label of the rest.
+SEASON_TIERS = ((0.75, "very_high"), (0.60, "high"), (0.45, "medium"), (0.30, "low"), (None, "very_low"))
+CAREER_TIERS = ((0.70, "elite"), (0.60, "very_high"), (0.50, "high"), (0.40, "medium"), (None, "low"))
 LEVEL_MULTIPLIERS = {3: 1.0, 2: 0.9, 1: 0.85}
 LEAST_GAMES, LEAST_MINUTES, LEAST_AVERAGE = 8, 80.0, 8.0
 
 
-def stepped(x: Column, steps: list[tuple[float, float]], rest: float) -> Column:
+def stepped(x: Column, steps: list[tuple], rest) -> Column:
     """The value of the first bound that ``x`` reaches."""
     out = F.when(x >= steps[0][0], steps[0][1])
     for least, value in steps[1:]:
@@ -37,11 +38,8 @@ def weighted(parts: dict[str, float]) -> Column:
 
 
 def tier(score: Column, bounds: tuple) -> Column:
-    """R11, R21."""
-    out = F.when(score >= bounds[0][0], bounds[0][1])
-    for least, name in bounds[1:]:
-        out = out.when(score >= least, name)
-    return out.otherwise("low")
+    """The label of the first bound that the score reaches, else the last."""
+    return stepped(score, list(bounds[:-1]), bounds[-1][1])
 
 
 def eligible(games: Column, minutes: Column, average: Column) -> Column:
@@ -65,8 +63,13 @@ def eligibility_notes(games: Column, minutes: Column, average: Column) -> Column
 
 
 def age_score(age: Column) -> Column:
-    """Younger is higher; null or zero 0.5."""
-    return F.when(F.coalesce(age, F.lit(0)) == 0, 0.5).when(age <= 21, 1.0).when(age <= 24, 0.8).when(age <= 27, 0.5).when(age <= 30, 0.3).otherwise(0.1)
+    """Younger is higher; null 0.5."""
+    return F.when(age.isNull(), 0.5).when(age <= 21, 1.0).when(age <= 24, 0.8).when(age <= 27, 0.5).when(age <= 30, 0.3).otherwise(0.1)
+
+
+def career_age_score(age: Column) -> Column:
+    """As :func:`age_score`, and zero counts as unknown."""
+    return age_score(F.nullif(age, F.lit(0)))
 
 
 def performance_score(z1: Column, z2: Column, level: Column) -> Column:
@@ -76,13 +79,13 @@ def performance_score(z1: Column, z2: Column, level: Column) -> Column:
 
 
 def consistency_score(cv: Column, std: Column) -> Column:
-    """R04."""
-    return F.coalesce(clip(1 - cv / 0.8), clip(1 - std / 50), F.lit(0.5))
+    """By the variation, or a deviation above zero where there is none; a profile without spread says nothing."""
+    return F.when(cv >= 0, clip(1 - cv / 0.8)).when(std > 0, F.greatest(1 - std / 50, F.lit(0.0))).otherwise(0.5)
 
 
 def advanced_score(ts: Column, efficiency: Column) -> Column:
-    """R05."""
-    return F.when(ts.isNull() | efficiency.isNull(), 0.5).otherwise(F.least(F.lit(1.0), ts / 65) * clip(efficiency, 0.8, 1.2))
+    """True shooting, adjusted by the shooting against the team's where that is known."""
+    return F.when(ts.isNull(), 0.5).otherwise(F.least(F.lit(1.0), ts / 65) * F.coalesce(clip(efficiency, 0.8, 1.2), F.lit(1.0)))
 
 
 def momentum_score(momentum: Column, trend: Column) -> Column:
@@ -109,18 +112,18 @@ def confidence_multiplier(games: Column, minutes: Column, average: Column) -> Co
 def season_scores(metrics: DataFrame) -> DataFrame:
     """R01-R12 for rows of profile metrics.
 
-    Needs games, total_minutes, avg_minutes, birth_year, season_start, level, z_points, z_efficiency, cv, std_ortg,
-    avg_ts, momentum, trend_points, points_36, points_share.
+    Needs games, total_minutes, avg_minutes, birth_year, season_start, level, avg_z_ortg, avg_z_per, cv, std_ortg,
+    avg_ts, ts_vs_team, momentum, trend_points, points_36, points_share.
     """
     c = F.col
     games, minutes, average = c("games"), c("total_minutes"), c("avg_minutes")
     age = c("season_start") - c("birth_year")
     parts = {
         "age": age_score(age),
-        "performance": performance_score(c("z_points"), c("z_efficiency"), c("level")),
+        "performance": performance_score(c("avg_z_ortg"), c("avg_z_per"), c("level")),
         "production": production_score(c("points_36"), c("points_share")),
         "consistency": consistency_score(c("cv"), c("std_ortg")),
-        "advanced": advanced_score(c("avg_ts"), F.lit(1.0)),
+        "advanced": advanced_score(c("avg_ts"), c("ts_vs_team")),
         "momentum": momentum_score(c("momentum"), c("trend_points")),
     }
     scored = metrics.withColumns({f"{k}_score": v for k, v in parts.items()})
@@ -129,7 +132,6 @@ def season_scores(metrics: DataFrame) -> DataFrame:
     scored = scored.withColumn("potential", c("base") * (0.85 + 0.15 * temporal_weight(c("season_start"))) * c("confidence"))
     return scored.withColumns(
         {
-            "advanced_score_pct": advanced_score(c("avg_ts") * 100, F.lit(1.0)),
             "tier": tier(c("potential"), SEASON_TIERS),
             "young_talent": F.coalesce(age < 23, F.lit(False)) & (c("performance_score") >= 0.6) & c("eligible"),
             "consistent": (c("consistency_score") >= 0.7) & (c("performance_score") >= 0.6) & c("eligible"),
@@ -200,7 +202,7 @@ def career_scores(seasons: DataFrame, keys: list[str], birth_year: str = "birth_
         {
             "trajectory": F.when(c("recent") < 0.40, F.least(raw, F.lit(0.40))).otherwise(raw),
             "consistency": F.when(n < 2, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - c("spread") / 0.5)),
-            "age_score": age_score(age),
+            "age_score": career_age_score(age),
             "confidence": confidence,
             "bonus": F.when((n >= 3) & (c("late_level") - c("early_level") >= 2), 0.15).when((n >= 3) & (c("late_level") - c("early_level") >= 1), 0.08).otherwise(0.0),
         }

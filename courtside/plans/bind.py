@@ -48,11 +48,14 @@ SELECT o.o_orderkey AS game_id, o.o_orderdate AS game_date, CAST(year(o.o_orderd
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
-#: One row per name, team and season, as identity resolution sees them.
+#: One row per name, team and season, as identity resolution sees them. Three profiles in a row are of one person, whose
+#: name is a part's, spelt in three ways; a fifth of all persons have one of a few frequent surnames.
 PROFILES = """
-SELECT c_custkey AS profile_id, concat(upper(substr(p_name, 1, 1)), CASE WHEN c_custkey % 3 = 0 THEN '. ' ELSE concat(substr(p_name, 2), ' ') END, split_part(reverse(p_name), ' ', 1), CASE WHEN c_custkey % 2 = 0 THEN concat(' ', split_part(p_name, ' ', 2)) ELSE '' END) AS name,
-  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_nationkey AS BIGINT) END AS team_id, CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 1980 + c_custkey % 12 END AS INT) AS birth_year, CAST(2015 + c_custkey % 8 AS INT) AS season_start
-FROM {customer} JOIN {part} ON p_partkey = c_custkey % 120
+SELECT profile_id, concat(upper(substr(given, 1, 1)), CASE WHEN profile_id % 3 = 0 THEN '. ' ELSE concat(substr(given, 2), ' ') END, family, CASE WHEN profile_id % 3 = 2 THEN concat(' ', given) ELSE '' END) AS name,
+  CASE WHEN profile_id % 11 = 0 THEN NULL ELSE CAST(c_nationkey AS BIGINT) END AS team_id, CAST(CASE WHEN profile_id % 7 = 0 THEN NULL ELSE 1980 + person % 12 END AS INT) AS birth_year, CAST(2015 + profile_id % 8 AS INT) AS season_start
+FROM (SELECT c_custkey AS profile_id, c_nationkey, split_part(p_name, ' ', 1) AS given, CAST((c_custkey - c_custkey % 3) / 3 AS BIGINT) AS person,
+  CASE WHEN c_custkey % 15 < 3 THEN split_part(p_name, ' ', 2) ELSE concat(split_part(p_name, ' ', 2), translate(CAST((c_custkey - c_custkey % 3) % 3001 AS STRING), '0123456789', 'aeioubcdfg')) END AS family
+  FROM {customer} JOIN {part} ON p_partkey = c_custkey - c_custkey % 3) n
 """
 
 

@@ -90,25 +90,28 @@ def p33_team_rates(spark, sf_dir):
     )
 
 
-PHASE = "CASE o_orderkey % 7 WHEN 0 THEN 'Final Four' WHEN 1 THEN 'Semifinal A' WHEN 2 THEN 'Copa' WHEN 3 THEN 'Supercopa' WHEN 4 THEN 'Playoff' WHEN 5 THEN NULL ELSE o_orderpriority END"
+PHASE = "CASE o_orderkey % 11 WHEN 0 THEN 'Final Four' WHEN 1 THEN 'Semifinal A' WHEN 2 THEN 'Copa' WHEN 3 THEN 'Supercopa' WHEN 4 THEN 'Playoff' WHEN 5 THEN NULL WHEN 6 THEN 'Super Copa 2020' WHEN 7 THEN 'super copa final' WHEN 8 THEN 'Octavos de final' WHEN 9 THEN 'Eliminatoria' ELSE o_orderpriority END"
 
 
 @query(f"""
-SELECT CAST(CASE WHEN g LIKE '%supercopa%' THEN 1.2 WHEN g LIKE '%final%' AND g NOT LIKE '%semifinal%' AND g NOT LIKE '%cuartos%' AND g NOT LIKE '%octavos%' THEN 1.5
-  WHEN g LIKE '%play%' OR g LIKE '%eliminatoria%' OR g LIKE '%semifinal%' OR g LIKE '%cuartos%' OR g LIKE '%octavos%' THEN 1.4 WHEN g LIKE '%copa%' THEN 1.3 ELSE 1.0 END AS DOUBLE) AS weight, count(*) AS games, min(o_orderkey) AS first_game
-FROM (SELECT lower({PHASE}) AS g, o_orderkey FROM orders) GROUP BY 1""")
+SELECT weight, coalesce(weight IN (1.4, 1.5), false) AS is_playoff, weight = 1.5 AS is_final, count(*) AS games, min(o_orderkey) AS first_game FROM (SELECT o_orderkey, CAST(CASE WHEN g LIKE '%supercopa%' OR g LIKE '%super copa%' THEN 1.2 WHEN g LIKE '%final%' AND g NOT LIKE '%semifinal%' AND g NOT LIKE '%cuartos%' AND g NOT LIKE '%octavos%' THEN 1.5
+  WHEN g LIKE '%play%' OR g LIKE '%eliminatoria%' OR g LIKE '%semifinal%' OR g LIKE '%cuartos%' OR g LIKE '%octavos%' THEN 1.4 WHEN g LIKE '%copa%' THEN 1.3 ELSE 1.0 END AS DOUBLE) AS weight
+FROM (SELECT lower({PHASE}) AS g, o_orderkey FROM orders)) GROUP BY 1""")
 def p40_match_weights(spark, sf_dir):
-    """Games by the weight of their phase."""
-    return table(spark, sf_dir, "orders").select(scalars.match_weight(F.expr(PHASE)).alias("weight"), "o_orderkey").groupBy("weight").agg(F.count("*").alias("games"), F.min("o_orderkey").alias("first_game"))
+    """Games by the weight of their phase, with the flags of play-offs and finals."""
+    playoff, final = scalars.phase_flags(F.expr(PHASE))
+    games = table(spark, sf_dir, "orders").select(scalars.match_weight(F.expr(PHASE)).alias("weight"), playoff.alias("is_playoff"), final.alias("is_final"), "o_orderkey")
+    return games.groupBy("weight", "is_playoff", "is_final").agg(F.count("*").alias("games"), F.min("o_orderkey").alias("first_game"))
 
 
 @query("""
-SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS start, concat(year(o_orderdate) - 1, '/', year(o_orderdate)) AS previous, CAST(year(o_orderdate) * 10000 + year(o_orderdate) + 1 AS INT) AS number,
-  CASE WHEN o_custkey % 7 <> 0 AND year(o_orderdate) - (1960 + o_custkey % 40) BETWEEN 12 AND 50 THEN CAST(year(o_orderdate) - (1960 + o_custkey % 40) AS INT) END AS age,
+SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS start, concat(year(o_orderdate), '-', year(o_orderdate) + 1) AS formatted, concat(year(o_orderdate) - 1, '/', year(o_orderdate)) AS previous, CAST(year(o_orderdate) * 10000 + year(o_orderdate) + 1 AS INT) AS number,
+  CASE WHEN o_custkey % 7 <> 0 AND year(o_orderdate) - (1960 + o_custkey % 40) BETWEEN 12 AND 50 THEN CAST(year(o_orderdate) - (1960 + o_custkey % 40) AS INT) END AS age, CAST(CASE WHEN o_custkey % 7 <> 0 THEN year(o_orderdate) - (1960 + o_custkey % 40) END AS INT) AS season_age,
+  CAST(CASE WHEN o_custkey % 7 <> 0 THEN CASE WHEN year(o_orderdate) - (1960 + o_custkey % 40) BETWEEN 12 AND 50 THEN 1960 + o_custkey % 40 WHEN year(o_orderdate) - (1950 + o_custkey % 40) BETWEEN 12 AND 50 THEN 1950 + o_custkey % 40 END END AS INT) AS birth_year,
   floor(((o_orderkey % 48) + (o_orderkey % 60) / 60e0) * 1e6 + 0.5001e0) / 1e6 AS minutes, CAST(greatest(0.5, round(1 - 0.05 * (2026 - year(o_orderdate)), 6)) AS DOUBLE) AS weight
 FROM orders""")
 def p07_seasons_and_ages(spark, sf_dir):
-    """Seasons, ages and minutes parsed from text."""
+    """Seasons, ages, birth years and minutes parsed from text."""
     o = table(spark, sf_dir, "orders")
     year = F.year("o_orderdate")
     season = F.concat_ws("/", year, year + 1)
@@ -117,9 +120,12 @@ def p07_seasons_and_ages(spark, sf_dir):
     return o.select(
         "o_orderkey",
         scalars.season_start(season).alias("start"),
+        scalars.format_season(scalars.season_start(season)).alias("formatted"),
         scalars.shifted_season(season, -1).alias("previous"),
         scalars.season_number(season).alias("number"),
         scalars.age(born, scalars.season_start(season)).alias("age"),
+        scalars.season_age(born, scalars.season_start(season)).alias("season_age"),
+        scalars.birth_year(born, F.format_string("01/02/%d", 1950 + F.col("o_custkey") % 40), year).alias("birth_year"),
         scalars.minutes(clock, F.lit(None)).alias("minutes"),
         scoring.temporal_weight(scalars.season_start(season)).alias("weight"),
     )
@@ -149,17 +155,29 @@ def a20_season_aggregates(spark, sf_dir):
 TOTALS = aggregates.TOTALS
 
 
+def stats_sql(metrics: list[str], source: str) -> str:
+    """The SQL of the mean and deviation of metrics in each context."""
+    used = {m: f"CASE WHEN minutes >= 10 THEN {m} END" for m in metrics}
+    columns = ", ".join(f"CASE WHEN stddev_pop({x}) > 0 THEN avg({x}) ELSE 0 END AS {m}_mean, CASE WHEN stddev_pop({x}) > 0 THEN stddev_pop({x}) ELSE 1 END AS {m}_std" for m, x in used.items())
+    return f"SELECT level, season_start, {columns} FROM ({source}) GROUP BY level, season_start"
+
+
+#: The metrics whose z-scores a profile averages.
+PROFILE_Z = ("ortg", "per", "minutes")
+
+
 def metrics_sql(r) -> str:
     """The SQL of all metrics, with each double passed through ``r``."""
     return f"""
-WITH x AS (SELECT *, row_number() OVER (PARTITION BY player_id, team_id, season_start ORDER BY {ROW_DESC}) AS rn FROM ({RATED})),
-b AS (SELECT player_id, team_id, season_start, count(*) AS games, sum(minutes) AS total_minutes, avg(minutes) AS avg_minutes, avg(points) AS avg_points, avg(ortg) AS avg_ortg, avg(per) AS avg_per, avg(ts) AS avg_ts, nullif(avg(usg), 0) AS avg_usg,
+WITH x AS (SELECT e.*, {", ".join(f"(e.{m} - {m}_mean) / {m}_std AS z_{m}" for m in PROFILE_Z)}, row_number() OVER (PARTITION BY player_id, team_id, e.season_start ORDER BY {ROW_DESC}) AS rn
+  FROM ({RATED}) e JOIN ({stats_sql(list(PROFILE_Z), RATED)}) s ON e.level = s.level AND e.season_start = s.season_start),
+b AS (SELECT player_id, team_id, season_start, count(*) AS games, sum(minutes) AS total_minutes, avg(minutes) AS avg_minutes, avg(points) AS avg_points, avg(ortg) AS avg_ortg, avg(per) AS avg_per, avg(ts) AS avg_ts, nullif(avg(usg), 0) AS avg_usg, {", ".join(f"avg(z_{m}) AS avg_z_{m}" for m in PROFILE_Z)}, max(level) AS level, max(birth_year) AS birth_year,
   CASE WHEN var_pop(ortg) > 0 THEN sqrt(var_pop(ortg)) ELSE 0 END AS std_ortg, CASE WHEN var_pop(points) > 0 THEN sqrt(var_pop(points)) ELSE 0 END AS std_points,
   {", ".join(f"CAST(sum({t}) AS BIGINT) AS total_{t}" for t in TOTALS)},
   {", ".join(f"nullif(avg(CASE WHEN rn <= {n} THEN {m} END), 0) AS last{n}_{m}" for m in ("points", "ortg") for n in (5, 10))},
   CASE WHEN count(CASE WHEN rn <= 10 THEN 1 END) >= 2 THEN regr_slope(CASE WHEN rn <= 10 THEN points END, rn) END AS trend_points FROM x GROUP BY ALL),
 t AS (SELECT team_id, season_start, sum(total_points) AS tp, sum(total_minutes) AS tm, avg(avg_ts) AS tt, avg(avg_usg) AS tu FROM b GROUP BY ALL)
-SELECT b.team_id, b.season_start, player_id, games, {r("total_minutes", "total_minutes")}, {", ".join(r(c, c) for c in ("avg_minutes", "avg_points", "avg_ortg", "avg_per", "avg_ts", "avg_usg", "std_ortg", "std_points"))}, {", ".join(f"total_{t}" for t in TOTALS)},
+SELECT b.team_id, b.season_start, player_id, games, level, birth_year, {r("total_minutes", "total_minutes")}, {", ".join(r(f"avg_z_{m}", f"avg_z_{m}") for m in PROFILE_Z)}, {", ".join(r(c, c) for c in ("avg_minutes", "avg_points", "avg_ortg", "avg_per", "avg_ts", "avg_usg", "std_ortg", "std_points"))}, {", ".join(f"total_{t}" for t in TOTALS)},
   {", ".join(r(f"last{n}_{m}", f"last{n}_{m}") for m in ("points", "ortg") for n in (5, 10))}, {r("trend_points", "trend_points")}, {r("-trend_points", "trend_points_forward")},
   {r("CASE WHEN avg_ortg > 0 AND std_ortg > 0 THEN std_ortg / avg_ortg END", "cv")}, {r("CASE WHEN avg_points > 0 AND std_points > 0 THEN std_points / avg_points END", "cv_points")}, {r("std_ortg / sqrt(games)", "stability")}, {r("last5_points - last10_points", "momentum")},
   {", ".join(r(f"CASE WHEN total_minutes > 0 THEN total_{t} * 36.0 / total_minutes END", f"{t}_36") for t in TOTALS)},
@@ -171,12 +189,13 @@ METRICS = metrics_sql(r)
 
 
 def _metrics(spark, sf_dir):
-    return aggregates.profile_metrics(bind.view(spark, sf_dir, bind.RATED), ["player_id", "team_id", "season_start"], ["team_id", "season_start"])
+    events = normalize.normalised(bind.view(spark, sf_dir, bind.RATED), ["level", "season_start"], list(PROFILE_Z))
+    return aggregates.profile_metrics(events, ["player_id", "team_id", "season_start"], ["team_id", "season_start"], PROFILE_Z, ("level", "birth_year"))
 
 
 @query(METRICS)
 def a08_profile_metrics(spark, sf_dir):
-    """Metrics of every player, team and season."""
+    """Metrics of every player, team and season, with the averages of their z-scores."""
     return _metrics(spark, sf_dir)
 
 
@@ -244,7 +263,7 @@ def a47_outlier_games(spark, sf_dir):
 # --- normalisation ----------------------------------------------------------------------------------------------------
 
 Z = ["points", "efficiency", "reb"]
-STATS = "SELECT level, season_start, " + ", ".join(f"CASE WHEN stddev_pop(CASE WHEN minutes >= 10 THEN {m} END) > 0 THEN avg(CASE WHEN minutes >= 10 THEN {m} END) ELSE 0 END AS {m}_mean, CASE WHEN stddev_pop(CASE WHEN minutes >= 10 THEN {m} END) > 0 THEN stddev_pop(CASE WHEN minutes >= 10 THEN {m} END) ELSE 1 END AS {m}_std" for m in Z) + f" FROM ({PERF}) GROUP BY level, season_start"
+STATS = stats_sql(Z, PERF)
 
 
 @query(f"""SELECT level, season_start, {", ".join(r(f"{m}_{s}", f"{m}_{s}") for m in Z for s in ("mean", "std"))} FROM ({STATS})""")
@@ -375,14 +394,15 @@ def a35_consolidated(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE n AS (SELECT profile_id, {NORMAL} AS n, team_id FROM ({PROFILES})), e AS (SELECT a.profile_id AS x, b.profile_id AS y FROM n a JOIN n b ON a.profile_id <> b.profile_id AND (a.n = b.n)),
+WITH RECURSIVE n AS (SELECT profile_id, {NORMAL} AS n, team_id FROM ({PROFILES})), f AS (SELECT a.profile_id AS x, b.profile_id AS y FROM n a JOIN n b ON b.profile_id = a.profile_id + 1 AND a.profile_id % 9 <> 8), e AS (SELECT x, y FROM f UNION ALL SELECT y, x FROM f),
 w(x, y) AS (SELECT profile_id, profile_id FROM n UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x)
 SELECT x AS profile_id, min(y) AS identity_id FROM w GROUP BY x""")
 def r32_merged_identities(spark, sf_dir):
-    """Profiles joined transitively by confirmed pairs; here each profile is confirmed with the next of its name."""
+    """Profiles joined transitively by confirmed pairs; here each profile is confirmed with the next one, in chains of nine."""
     p = bind.view(spark, sf_dir, bind.PROFILES)
-    named = identity.consolidated(p)
-    return identity.merged_identities(p, named.where("profile_id <> consolidated_id").select(F.col("consolidated_id").alias("id1"), F.col("profile_id").alias("id2")))
+    after = p.select((F.col("profile_id") - 1).alias("profile_id"), F.col("profile_id").alias("id2"))
+    confirmed = p.where("profile_id % 9 <> 8").select("profile_id").join(after, "profile_id")
+    return identity.merged_identities(p, confirmed.withColumnRenamed("profile_id", "id1"))
 
 
 @query("""SELECT a.p_partkey AS id1, b.p_partkey AS id2, floor((1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE)) * 1e6 + 0.5001e0) / 1e6 AS similarity
@@ -399,26 +419,18 @@ def r31_similar_names(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    """Profile metrics with level, birth year and context z-scores, scored."""
-    keys = ["player_id", "team_id", "season_start"]
-    facts = bind.view(spark, sf_dir, bind.PERF)
-    more = facts.groupBy(*keys).agg(F.max("level").alias("level"), F.max("birth_year").alias("birth_year"), F.avg("efficiency").alias("avg_efficiency"))
-    stats = normalize.context_stats(facts, ["level", "season_start"], ["points", "efficiency"])
-    z = lambda m: normalize.z_score(F.col(f"avg_{m}"), F.col(f"{m}_mean"), F.col(f"{m}_std"))
-    rows = _metrics(spark, sf_dir).join(more, keys).join(stats, ["level", "season_start"]).withColumns({"z_points": z("points"), "z_efficiency": z("efficiency")})
-    return scoring.season_scores(rows)
+    """Profile metrics with level, birth year and averages of context z-scores, scored."""
+    return scoring.season_scores(_metrics(spark, sf_dir))
 
 
 METRIC_BASE = metrics_sql(lambda expression, name: f"{expression} AS {name}").replace("WITH x AS", "x AS", 1)
 SCORED = f"""
-m AS (SELECT * FROM (WITH {METRIC_BASE})), f AS (SELECT player_id, team_id, season_start, max(level) AS level, max(birth_year) AS birth_year, avg(efficiency) AS avg_efficiency, avg(points) AS ap FROM ({PERF}) GROUP BY player_id, team_id, season_start),
-j AS (SELECT m.*, f.level, f.birth_year, (f.ap - s.points_mean) / s.points_std AS z1, (f.avg_efficiency - s.efficiency_mean) / s.efficiency_std AS z2, m.season_start - f.birth_year AS age
-  FROM m JOIN f ON m.player_id = f.player_id AND m.team_id = f.team_id AND m.season_start = f.season_start JOIN ({STATS}) s ON f.level = s.level AND f.season_start = s.season_start),
-k AS (SELECT *, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS s_age,
+m AS (SELECT * FROM (WITH {METRIC_BASE})), j AS (SELECT *, avg_z_ortg AS z1, avg_z_per AS z2, season_start - birth_year AS age FROM m),
+k AS (SELECT *, CASE WHEN age IS NULL THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS s_age,
   CASE WHEN z1 + z2 IS NULL THEN 0.5 ELSE least(1.0, least(1.0, greatest(0.0, ((z1 + z2) / 2 + 3) / 6)) * CASE level WHEN 1 THEN 1.1 WHEN 3 THEN 0.95 ELSE 1 END) END AS s_perf,
   CASE WHEN points_36 IS NULL THEN 0.5 ELSE least(1.0, least(1.0, points_36 / 20) + least(0.2, coalesce(points_share, 0))) END AS s_prod,
-  CASE WHEN cv IS NOT NULL THEN least(1.0, greatest(0.0, 1 - cv / 0.8)) WHEN std_ortg IS NOT NULL THEN least(1.0, greatest(0.0, 1 - std_ortg / 50)) ELSE 0.5 END AS s_cons,
-  CASE WHEN avg_ts IS NULL THEN 0.5 ELSE least(1.0, avg_ts / 65) END AS s_adv,
+  CASE WHEN cv IS NOT NULL THEN least(1.0, greatest(0.0, 1 - cv / 0.8)) WHEN std_ortg > 0 THEN greatest(0.0, 1 - std_ortg / 50) ELSE 0.5 END AS s_cons,
+  CASE WHEN avg_ts IS NULL THEN 0.5 WHEN ts_vs_team IS NULL THEN least(1.0, avg_ts / 65) ELSE least(1.0, avg_ts / 65) * least(1.2, greatest(0.8, ts_vs_team)) END AS s_adv,
   CASE WHEN momentum IS NOT NULL THEN least(1.0, greatest(0.0, (momentum + 5) / 10)) WHEN trend_points IS NOT NULL THEN least(1.0, greatest(0.0, (trend_points + 2) / 4)) ELSE 0.5 END AS s_mom,
   games >= 8 AND total_minutes >= 80 AND avg_minutes >= 8 AS eligible,
   0.4 * CASE WHEN games >= 15 THEN 1.0 WHEN games >= 10 THEN 0.9 WHEN games >= 8 THEN 0.7 WHEN games >= 5 THEN 0.5 ELSE 0.2 END + 0.3 * CASE WHEN total_minutes >= 200 THEN 1.0 WHEN total_minutes >= 120 THEN 0.8 WHEN total_minutes >= 80 THEN 0.6 ELSE 0.3 END
@@ -427,28 +439,31 @@ sc AS (SELECT *, (0.2 * s_age + 0.3 * s_perf + 0.15 * s_prod + 0.15 * s_cons + 0
 
 
 @query(f"""
-WITH {SCORED} SELECT player_id, team_id, season_start, {r("s_age", "age_score")}, {r("s_perf", "performance_score")}, {r("s_prod", "production_score")}, {r("s_cons", "consistency_score")}, {r("s_mom", "momentum_score")}, eligible, {r("conf", "confidence")}, {r("potential", "potential")},
-  CASE WHEN potential >= 0.75 THEN 'elite' WHEN potential >= 0.6 THEN 'very_high' WHEN potential >= 0.45 THEN 'high' WHEN potential >= 0.3 THEN 'medium' ELSE 'low' END AS tier, coalesce(age < 23, false) AND s_perf >= 0.6 AND eligible AS young_talent, s_cons >= 0.7 AND s_perf >= 0.6 AND eligible AS consistent FROM sc""")
+WITH {SCORED} SELECT player_id, team_id, season_start, {r("s_age", "age_score")}, {r("s_perf", "performance_score")}, {r("s_prod", "production_score")}, {r("s_cons", "consistency_score")}, {r("s_adv", "advanced_score")}, {r("s_mom", "momentum_score")}, eligible, {r("conf", "confidence")}, {r("potential", "potential")},
+  CASE WHEN potential >= 0.75 THEN 'very_high' WHEN potential >= 0.6 THEN 'high' WHEN potential >= 0.45 THEN 'medium' WHEN potential >= 0.3 THEN 'low' ELSE 'very_low' END AS tier, coalesce(age < 23, false) AND s_perf >= 0.6 AND eligible AS young_talent, s_cons >= 0.7 AND s_perf >= 0.6 AND eligible AS consistent FROM sc""")
 def r13_season_scores(spark, sf_dir):
     """Potential of every profile."""
-    names_ = ["age_score", "performance_score", "production_score", "consistency_score", "momentum_score", "confidence", "potential"]
-    return _scored(spark, sf_dir).select("player_id", "team_id", "season_start", *names_[:5], "eligible", "confidence", "potential", "tier", "young_talent", "consistent")
+    names_ = ["age_score", "performance_score", "production_score", "consistency_score", "advanced_score", "momentum_score"]
+    return _scored(spark, sf_dir).select("player_id", "team_id", "season_start", *names_, "eligible", "confidence", "potential", "tier", "young_talent", "consistent")
 
 
 CAREER = f"""
 WITH {SCORED}, mem AS (SELECT player_id, birth_year, season_start, games, total_minutes AS minutes, potential * CASE level WHEN 3 THEN 1.0 WHEN 2 THEN 0.9 WHEN 1 THEN 0.85 ELSE 0.8 END AS adj, level FROM sc WHERE eligible AND total_minutes > 0),
 se AS (SELECT player_id, birth_year, season_start, sum(games) AS games, sum(minutes) AS minutes, max(level) AS lvl, sum(adj * minutes) / sum(minutes) AS score FROM mem GROUP BY ALL),
 nu AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season_start DESC) AS rn, row_number() OVER (PARTITION BY player_id ORDER BY season_start) - 1 AS nth FROM se),
-ca AS (SELECT player_id, birth_year, count(*) AS seasons, CAST(sum(games) AS BIGINT) AS games, max(season_start) AS last_season, sum(score * minutes) / sum(minutes) AS career_avg, sum(CASE WHEN rn <= 2 THEN score * minutes END) / sum(CASE WHEN rn <= 2 THEN minutes END) AS recent,
+ca AS (SELECT player_id, birth_year, count(*) AS seasons, CAST(sum(games) AS BIGINT) AS games, max(season_start) AS last_season, arg_max(season_start, (score, season_start)) AS best_season, sum(score * minutes) / sum(minutes) AS career_avg, sum(CASE WHEN rn <= 2 THEN score * minutes END) / sum(CASE WHEN rn <= 2 THEN minutes END) AS recent,
   stddev_pop(score) AS spread, avg(CASE WHEN rn <= 2 THEN score END) AS late, avg(CASE WHEN rn > 2 THEN score END) AS early, max(CASE WHEN rn = 1 THEN score END) AS newest, max(CASE WHEN nth = 0 THEN score END) AS oldest, CASE WHEN count(*) >= 2 THEN regr_slope(score, nth) ELSE 0 END AS slope,
   max(CASE WHEN rn <= 2 THEN lvl END) - max(CASE WHEN rn > 2 THEN lvl END) AS jump FROM nu GROUP BY player_id, birth_year),
 cb AS (SELECT *, CASE WHEN seasons >= 3 THEN 0.7 * CASE WHEN late - early > 0.10 THEN 0.95 WHEN late - early > 0.05 THEN 0.8 WHEN late - early > 0.02 THEN 0.65 WHEN late - early > -0.02 THEN 0.5 ELSE 0.3 END + 0.3 * least(1.0, greatest(0.0, slope / 0.15 * 0.5 + 0.5))
   WHEN seasons = 2 THEN CASE WHEN newest - oldest > 0.10 THEN 0.9 WHEN newest - oldest > 0.05 THEN 0.75 WHEN newest - oldest > 0.02 THEN 0.65 WHEN newest - oldest > -0.02 THEN 0.5 WHEN newest - oldest > -0.05 THEN 0.35 ELSE 0.2 END ELSE 0.5 END AS tr,
   CASE WHEN seasons < 2 THEN 0.5 ELSE greatest(0.0, 1 - spread / 0.5) END AS cons, 2026 - birth_year AS age,
   CASE WHEN seasons >= 4 AND games >= 50 THEN 1.0 WHEN seasons >= 3 AND games >= 30 THEN 0.95 WHEN seasons >= 2 AND games >= 20 THEN 0.9 WHEN seasons >= 2 AND games >= 10 THEN 0.85 WHEN games >= 15 THEN 0.75 ELSE 0.6 END AS conf FROM ca),
-cc AS (SELECT *, CASE WHEN recent < 0.4 THEN least(tr, 0.4) ELSE tr END AS traj, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS ages FROM cb)
-SELECT player_id, birth_year, seasons, games, last_season, {r("career_avg", "career_avg")}, {r("recent", "recent")}, {r("traj", "trajectory")}, {r("cons", "consistency")},
-  {r("least(1.0, 0.5 * recent + 0.25 * traj + 0.05 * career_avg + 0.1 * ages + 0.05 * cons + 0.05 * conf + CASE WHEN jump >= 2 THEN 0.15 WHEN jump >= 1 THEN 0.08 ELSE 0 END) * (1 - CASE WHEN 2025 - last_season >= 3 THEN 0.6 WHEN 2025 - last_season = 2 THEN 0.35 WHEN 2025 - last_season = 1 THEN 0.15 ELSE 0 END)", "unified")} FROM cc"""
+cc AS (SELECT *, CASE WHEN recent < 0.4 THEN least(tr, 0.4) ELSE tr END AS traj, CASE WHEN coalesce(age, 0) = 0 THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age <= 24 THEN 0.8 WHEN age <= 27 THEN 0.5 WHEN age <= 30 THEN 0.3 ELSE 0.1 END AS ages FROM cb),
+cd AS (SELECT *, least(1.0, 0.5 * recent + 0.25 * traj + 0.05 * career_avg + 0.1 * ages + 0.05 * cons + 0.05 * conf + CASE WHEN jump >= 2 THEN 0.15 WHEN jump >= 1 THEN 0.08 ELSE 0 END) * (1 - CASE WHEN 2025 - last_season >= 3 THEN 0.6 WHEN 2025 - last_season = 2 THEN 0.35 WHEN 2025 - last_season = 1 THEN 0.15 ELSE 0 END) AS unified FROM cc)
+SELECT player_id, birth_year, seasons, games, last_season, best_season, {r("career_avg", "career_avg")}, {r("recent", "recent")}, {r("traj", "trajectory")}, {r("cons", "consistency")}, {r("unified", "unified")},
+  CASE WHEN unified >= 0.7 THEN 'elite' WHEN unified >= 0.6 THEN 'very_high' WHEN unified >= 0.5 THEN 'high' WHEN unified >= 0.4 THEN 'medium' ELSE 'low' END AS tier,
+  seasons >= 2 AND age <= 24 AND recent > career_avg + 0.02 AND traj >= 0.55 AND recent >= 0.45 AS rising_star, seasons >= 3 AND career_avg >= 0.5 AND cons >= 0.7 AND recent >= 0.45 AS established,
+  recent >= 0.55 AND (recent > career_avg * 1.05 OR recent >= 0.65) AND age BETWEEN 22 AND 29 AS peak_performer FROM cd"""
 
 
 @query(CAREER)
@@ -458,7 +473,7 @@ def r23_career_scores(spark, sf_dir):
     seasons = scoring.career_seasons(_scored(spark, sf_dir).withColumn("strength", F.lit(1.0)), keys)
     out = scoring.career_scores(seasons, keys)
     values = ["career_avg", "recent", "trajectory", "consistency", "unified"]
-    return out.select(*keys, "seasons", "games", "last_season", *values)
+    return out.select(*keys, "seasons", "games", "last_season", "best_season", *values, "tier", "rising_star", "established", "peak_performer")
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------

@@ -71,8 +71,27 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_season_rules(spark):
+    """Expected values of the rules for a season: tiers, consistency, shooting, ages, phases, birth years, keywords, levels."""
+    null = lit(None).cast("double")
+    assert one(spark, *[scoring.tier(lit(x), scoring.SEASON_TIERS) for x in (0.80, 0.75, 0.65, 0.60, 0.50, 0.45, 0.35, 0.30, 0.2)]) == ("very_high", "very_high", "high", "high", "medium", "medium", "low", "low", "very_low")
+    assert one(spark, *[scoring.tier(lit(x), scoring.CAREER_TIERS) for x in (0.70, 0.60, 0.50, 0.40, 0.39)]) == ("elite", "very_high", "high", "medium", "low")
+    got = one(spark, *[scoring.consistency_score(lit(cv).cast("double"), lit(std).cast("double")) for cv, std in ((0.0, None), (0.4, None), (0.9, 5.0), (None, 10.0), (None, 60.0), (None, 0.0), (None, None))])
+    assert got == pytest.approx((1.0, 0.5, 0.0, 0.8, 0.0, 0.5, 0.5))
+    got = one(spark, *[scoring.advanced_score(lit(ts).cast("double"), lit(e).cast("double")) for ts, e in ((65.0, None), (32.5, None), (65.0, 1.5), (65.0, 0.5), (65.0, 1.1), (None, 1.0))])
+    assert got == pytest.approx((1.0, 0.5, 1.2, 0.8, 1.1, 0.5))
+    assert one(spark, *[scoring.age_score(lit(a).cast("int")) for a in (None, 18, 21, 24, 27, 30, 35)]) == (0.5, 1.0, 1.0, 0.8, 0.5, 0.3, 0.1)
+    assert one(spark, *[scalars.match_weight(lit(x)) for x in ("Super Copa 2020", "super copa final", "Cuartos de final", "Eliminatoria", "PlayOff", "Liga", "")]) == (1.2, 1.2, 1.4, 1.4, 1.4, 1.0, 1.0)
+    assert one(spark, scalars.birth_year(lit(None).cast("int"), lit("05/06/1995"), lit(2020)), scalars.birth_year(lit(0), lit("05/06/1995"), lit(2020)), scalars.birth_year(lit(1900), lit("05/06/1995"), lit(2020)), scalars.birth_year(lit(1900), lit("1995"), lit(2020))) == (None, None, 1995, None)
+    assert one(spark, scalars.season_age(lit(2010), lit(2015)), scalars.age(lit(2010), lit(2015))) == (5, None)
+    assert one(spark, scalars.gender(lit("Primera"), lit("http://x/lf2")), scalars.gender(lit("Women"), null.cast("string")), scalars.gender(lit("Copa Femenino")), scalars.gender(lit(None).cast("string"))) == ("fem", "fem", "fem", "masc")
+    level = lambda name, year: scalars.season_level(lit(name), lit(year))
+    assert one(spark, level("acb", 2020), level("L.F.-2", 2020), level("L.F.-2", 2021), level("other", 2021), level("Liga Femenina 2", 2000)) == (1, 2, 3, 4, 2)
+    assert one(spark, names.fuzzy_score(lit("José"), lit(" JOSE ")), names.fuzzy_score(lit("!"), lit("A"))) == (1.0, 0.0)
+
+
 def test_scores(spark):
-    assert one(spark, scoring.age_score(lit(20)), scoring.age_score(lit(0)), scoring.performance_score(lit(3.0), lit(3.0), lit(1)), scoring.consistency_score(lit(None), lit(25.0)), scoring.momentum_score(lit(None), lit(0.0)), scoring.confidence_multiplier(lit(15), lit(200), lit(15))) == (1.0, 0.5, 1.0, 0.5, 0.5, 1.0)
+    assert one(spark, scoring.age_score(lit(20)), scoring.career_age_score(lit(0)), scoring.performance_score(lit(3.0), lit(3.0), lit(1)), scoring.consistency_score(lit(None), lit(25.0)), scoring.momentum_score(lit(None), lit(0.0)), scoring.confidence_multiplier(lit(15), lit(200), lit(15))) == (1.0, 0.5, 1.0, 0.5, 0.5, 1.0)
     assert one(spark, scoring.eligibility_notes(lit(3), lit(10.0), lit(None).cast("double"))) == "few games (3<8); few minutes (10<80); marginal role (0.0<8)"
     assert one(spark, *[normalize.percentile(lit(z)) for z in (-9.0, 0.0, 1.0, 9.0)], normalize.percentile(lit(None).cast("double"))) == (0, 50, 84, 100, 50)
     members = scoring.career_members(spark.createDataFrame([("A", 1990), ("A", None)], "name string, birth_year int"), spark.createDataFrame([(1, "A", 1990), (2, "A", None), (3, "A", 1991)], "profile_id long, name string, birth_year int"))
