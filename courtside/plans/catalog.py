@@ -515,20 +515,57 @@ def s19_summary(spark, sf_dir):
     return ingest.summary(**{t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer")})
 
 
+BOX = ["points", "fgm", "fga", "fg3m", "ftm", "fta", "orb", "drb", "reb", "ast", "stl", "tov", "blk"]
+
+
 @query(f"""
-SELECT game_id, CAST(squad_id AS VARCHAR) AS player_name, line_no = min(line_no) OVER (PARTITION BY game_id) AS is_home, {r("minutes", "minutes")}, CAST(2 * (fgm - fg3m) + 3 * fg3m + ftm AS INT) AS points, fgm, fga, ftm, fta, ast, price FROM ({PERF})""")
+WITH p AS (SELECT *, line_no % 2 AS side, row_number() OVER (PARTITION BY game_id ORDER BY line_no % 2, {ROW}) AS nth, game_id % 3 AS format FROM ({PERF})),
+t AS (SELECT game_id, sum(CASE WHEN side = 0 THEN points ELSE 0 END) AS h, sum(CASE WHEN side = 1 THEN points ELSE 0 END) AS a, min(side) AS first_side, count(DISTINCT side) AS sides FROM p GROUP BY 1),
+u AS (SELECT p.*, h, a, first_side, sides, squad_id % 4 = 0 AS undecided, sum(CAST(squad_id % 4 = 0 AS INT)) OVER (PARTITION BY p.game_id ORDER BY nth) AS k, sum(CAST(squad_id % 4 = 0 AS INT)) OVER (PARTITION BY p.game_id) AS n FROM p JOIN t ON p.game_id = t.game_id),
+v AS (SELECT *, CASE format WHEN 0 THEN side = first_side WHEN 1 THEN side = 0 ELSE CASE WHEN undecided THEN k - 1 < floor(n / 2) ELSE side = 0 END END AS is_home FROM u)
+SELECT game_id, CAST(squad_id AS VARCHAR) AS player_name, is_home, CASE format WHEN 2 THEN CASE WHEN is_home THEN h > a ELSE h < a END ELSE sides = 2 AND CASE WHEN side = 0 THEN h > a ELSE a > h END END AS team_won, line_no <= 5 AS is_starter, format = 2 AS is_legacy,
+  CASE WHEN season_start - birth_year BETWEEN 12 AND 50 THEN birth_year END AS birth_year, CASE WHEN season_start - birth_year BETWEEN 12 AND 50 THEN season_start - birth_year END AS age_at_game, {r("minutes", "minutes")}, {", ".join(BOX)}, fgm - fg3m AS fg2m, fga - fg3m AS fg2a, fg3m AS fg3a, ast AS plus_minus, stl AS fouls_received, price,
+  {r("coalesce(100.0 * fgm / nullif(fga, 0), 0)", "field_goal_pct")}, {r("CASE WHEN fg3m > 0 THEN 100 ELSE 0 END", "three_point_pct")}, {r("coalesce(100.0 * (fgm - fg3m) / nullif(fga - fg3m, 0), 0)", "two_point_pct")}, {r("points / nullif(2 * (fga + 0.44 * fta), 0)", "true_shooting")},
+  {r("CASE WHEN minutes > 0 THEN 15e0 * (points + reb + ast + stl + blk - (fga - fgm) - (fta - ftm) - tov) / minutes END", "efficiency_rating")}
+FROM v""")
 def n06_flattened_documents(spark, sf_dir):
-    """Nested documents made from the rows of each order, flattened again to one row a player."""
-    p = bind.view(spark, sf_dir, bind.PERF)
-    c = F.col
-    text = lambda x: x.cast("string")
-    player = F.struct(text(c("squad_id")).alias("name"), F.format_string("%d:00", c("minutes").cast("int")).alias("minFormatted"), text(c("points")).alias("pts"), text(c("ftm")).alias("p1m"), text(c("fta")).alias("p1a"), text(c("fgm") - c("fg3m")).alias("p2m"), text(c("fga") - c("fg3m")).alias("p2a"), text(c("fg3m")).alias("p3m"), text(c("fg3m")).alias("p3a"), text(c("ast")).alias("assist"), text(c("price")).alias("val"))
-    sides = p.groupBy("game_id", "line_no").agg(F.collect_list(player).alias("PLAYER")).select("game_id", F.struct("line_no", F.col("line_no").cast("string").alias("id"), "PLAYER").alias("side"))
-    docs = sides.groupBy("game_id").agg(F.array_sort(F.collect_list("side")).alias("sides"))
-    doc = F.struct(F.struct(text(c("game_id")).alias("game_code")).alias("HEADER"), F.struct(F.col("sides").alias("TEAM")).alias("BOXSCORE"))
-    games = docs.select(F.from_json(F.to_json(doc), ingest.GAME).alias("g")).select("g.*")
-    out = ingest.player_rows(games)
-    return out.select(F.col("game_code").cast("bigint").alias("game_id"), "player_name", "is_home", "minutes", "points", "fgm", "fga", "ftm", "fta", "ast", F.col("efficiency").alias("price"))
+    """Nested documents of all three formats, made from the rows of each order, flattened again to one row a player.
+
+    A third of the documents lists teams, a third maps sides, a third lists players in the older vocabulary, of whom a
+    quarter does not say for which team they played. The documents are written once; only their flattening is repeated.
+    """
+    games = saved(_game_documents(spark, sf_dir))
+    out = ingest.with_rates(ingest.player_rows(games))
+    columns = ["player_name", "is_home", "team_won", "is_starter", "is_legacy", "birth_year", "age_at_game", "minutes", *BOX, "fg2m", "fg2a", "fg3a", "plus_minus", "fouls_received"]
+    rates = ["field_goal_pct", "three_point_pct", "two_point_pct", "true_shooting", "efficiency_rating"]
+    return out.select(F.col("game_code").cast("bigint").alias("game_id"), *columns, F.col("efficiency").alias("price"), *rates)
+
+
+def _game_documents(spark, sf_dir) -> DataFrame:
+    c, text = F.col, lambda x: x.cast("string")
+    p = bind.view(spark, sf_dir, bind.PERF).withColumn("side", c("line_no") % 2)
+    made, tried = c("fgm") - c("fg3m"), c("fga") - c("fg3m")
+    clock, starts = F.format_string("%d:00", c("minutes").cast("int")), c("line_no") <= 5
+    both = {"name": c("squad_id"), "minFormatted": clock, "birth_year": c("birth_year")}
+    modern = {**both, "inn": starts.cast("int"), "pts": c("points"), "p1m": c("ftm"), "p1a": c("fta"), "p2m": made, "p2a": tried, "p3m": c("fg3m"), "p3a": c("fg3m"), "ro": c("orb"), "rd": c("drb"), "rt": c("reb"), "assist": c("ast"), "st": c("stl"), "to": c("tov"), "bs": c("blk"), "rf": c("stl"), "pllss": F.concat(F.lit("+"), text(c("ast"))), "val": c("price")}
+    team = F.when(c("squad_id") % 4 != 0, F.when(c("side") == 0, "LOCAL").otherwise("VISITANTE"))
+    older = {**both, "is_starter": starts, "team_name": team, "points": c("points"), "field_goals_made": c("fgm"), "field_goals_attempted": c("fga"), "two_points_made": made, "two_points_attempted": tried, "three_points_made": c("fg3m"), "three_points_attempted": c("fg3m"), "free_throws_made": c("ftm"), "free_throws_attempted": c("fta"), "offensive_rebounds": c("orb"), "defensive_rebounds": c("drb"), "total_rebounds": c("reb"), "assists": c("ast"), "steals": c("stl"), "turnovers": c("tov"), "blocks": c("blk"), "fouls_received": c("stl"), "plus_minus": F.concat(F.lit("+"), text(c("ast"))), "efficiency": c("price")}
+    order = F.struct("side", *aggregates.ORDER).alias("at")
+    players = lambda fields: F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*[text(v).alias(k) for k, v in fields.items()]).alias("p")))), lambda r: r["p"])
+    points = lambda side: F.sum(F.when(c("side") == side, c("points")).otherwise(0))
+    start = F.date_format(F.max("game_date"), "dd-MM-yyyy - HH:mm").alias("starttime")
+    head = lambda *more: F.struct(text(c("game_id")).alias("game_code"), c("starttime"), *more).alias("HEADER")
+    sides = p.where("game_id % 3 < 2").groupBy("game_id", "side").agg(start, F.sum("points").alias("pts"), players(modern).alias("PLAYER"))
+    one = F.struct("side", text(c("side") + 1).alias("id"), F.struct(text(c("pts")).alias("pts")).alias("TOTAL"), "PLAYER")
+    pairs = sides.groupBy("game_id").agg(F.max("starttime").alias("starttime"), F.array_sort(F.collect_list(one)).alias("sides"))
+    listed = pairs.where("game_id % 3 = 0").select(F.to_json(F.struct(head(), F.struct(c("sides").alias("TEAM")).alias("BOXSCORE"))).alias("doc"))
+    rival = lambda s: F.get(F.filter("sides", lambda o: o["side"] != s["side"]), 0)["TOTAL"]["pts"].cast("int")
+    won = lambda s: F.coalesce((s["TOTAL"]["pts"].cast("int") > rival(s)).cast("int"), F.lit(0)).cast("string")
+    mapped = pairs.where("game_id % 3 = 1").select(F.to_json(F.struct(head(), F.struct(F.map_from_entries(F.transform("sides", lambda s: F.struct(s["id"], F.struct(won(s).alias("won"), s["PLAYER"].alias("PLAYER"))))).alias("SIDES")).alias("BOXSCORE"))).alias("doc"))
+    flat = p.where("game_id % 3 = 2").groupBy("game_id").agg(start, points(0).alias("h"), points(1).alias("a"), players(older).alias("PLAYER"))
+    teams = F.array(*[F.struct(F.lit(name).alias("name"), text(c(x)).alias("score")) for name, x in (("C.B. Local", "h"), ("Visitante", "a"))]).alias("TEAM")
+    flat = flat.select(F.to_json(F.struct(head(teams), F.struct("PLAYER").alias("BOXSCORE"))).alias("doc"))
+    return listed.unionByName(mapped).unionByName(flat).select(F.from_json("doc", ingest.GAME).alias("g")).select("g.*")
 
 
 @query(r"""SELECT page_id, code FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1))) AS code FROM pages)""")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtside.functions import scalars
+from courtside.functions import boxscore, scalars
 
 _S = T.StringType()
 
@@ -16,7 +16,7 @@ def _struct(*names: str) -> T.StructType:
 
 
 MODERN = ["name", "no", "inn", "minFormatted", "min", "pts", "p1m", "p1a", "p2m", "p2a", "p3m", "p3a", "ro", "rd", "rt", "assist", "to", "st", "bs", "mt", "pf", "rf", "pllss", "val", "birth_year", "birth_date"]
-LEGACY = ["player_id", "dorsal", "is_starter", "is_home", "team_name", "minutes", "points", "two_points_made", "two_points_attempted", "three_points_made", "three_points_attempted", "free_throws_made", "free_throws_attempted", "offensive_rebounds", "defensive_rebounds", "assists", "steals", "turnovers", "blocks", "personal_fouls", "plus_minus", "efficiency"]
+LEGACY = ["player_id", "playerid", "playername", "shirtnumber", "dorsal", "is_starter", "is_home", "team_name", "minutes", "points", "field_goals_made", "field_goals_attempted", "two_points_made", "two_points_attempted", "three_points_made", "three_points_attempted", "free_throws_made", "free_throws_attempted", "offensive_rebounds", "defensive_rebounds", "total_rebounds", "assists", "steals", "turnovers", "blocks", "blocks_received", "personal_fouls", "fouls_received", "plus_minus", "efficiency"]
 PLAYER = _struct(*MODERN, *LEGACY)
 SIDE = T.StructType([T.StructField("id", _S), T.StructField("name", _S), T.StructField("win_lose", _S), T.StructField("won", _S), T.StructField("TOTAL", _struct("pts")), T.StructField("PLAYER", T.ArrayType(PLAYER))])
 #: The nested document; numbers arrive as strings. TEAM is the modern list, SIDES the older map, PLAYER the flat list.
@@ -190,48 +190,102 @@ def _first_key(p: Column, *names: str) -> Column:
     return F.coalesce(*[p[n] for n in names])
 
 
-def player_row(p: Column) -> dict[str, Column]:
-    """One player of any vocabulary in the unified fields; numbers that do not parse are 0."""
+def player_row(p: Column, game_time: Column | None = None) -> dict[str, Column]:
+    """One player of any vocabulary in the unified fields; numbers that do not parse are 0.
+
+    Field goals of the older vocabulary are its own; those of the modern one are the sum of two- and three-point shots.
+    Rates that need the team's totals (rebound percentages) are null here; see ``boxscore.rebound_rate``.
+    """
     number = lambda *names: scalars.safe_int(_first_key(p, *names))
+    legacy = boxscore.is_legacy(p["p2m"], p["p3m"], p["pts"])
     two, three = (number("p2m", "two_points_made"), number("p2a", "two_points_attempted")), (number("p3m", "three_points_made"), number("p3a", "three_points_attempted"))
+    goals = [F.when(legacy, number(f"field_goals_{k}")).otherwise(x + y) for k, x, y in zip(("made", "attempted"), two, three)]
+    year = F.year(game_time) if game_time is not None else F.lit(None).cast("int")
+    born = scalars.birth_year(p["birth_year"].try_cast("int"), p["birth_date"], year)
     return {
-        "player_name": p["name"],
-        "shirt": _first_key(p, "no", "dorsal"),
+        "player_name": F.trim(_first_key(p, "playername", "name")),
+        "player_key": _first_key(p, "playerid", "player_id"),
+        "shirt": _first_key(p, "shirtnumber", "no", "dorsal"),
+        "birth_year": born,
+        "age_at_game": scalars.age(born, year),
         "is_starter": F.coalesce(p["inn"] == "1", F.lower(p["is_starter"]) == "true", F.lit(False)),
         "minutes": scalars.minutes(p["minFormatted"], _first_key(p, "min", "minutes")),
         "points": number("pts", "points"),
-        "fgm": two[0] + three[0],
-        "fga": two[1] + three[1],
+        "fgm": goals[0],
+        "fga": goals[1],
+        "fg2m": two[0],
+        "fg2a": two[1],
         "fg3m": three[0],
+        "fg3a": three[1],
         "ftm": number("p1m", "free_throws_made"),
         "fta": number("p1a", "free_throws_attempted"),
         "orb": number("ro", "offensive_rebounds"),
         "drb": number("rd", "defensive_rebounds"),
+        "reb": number("rt", "total_rebounds"),
         "ast": number("assist", "assists"),
         "stl": number("st", "steals"),
         "tov": number("to", "turnovers"),
         "blk": number("bs", "blocks"),
+        "blocks_received": number("mt", "blocks_received"),
         "fouls": number("pf", "personal_fouls"),
+        "fouls_received": number("rf", "fouls_received"),
         "plus_minus": scalars.safe_int(F.regexp_replace(_first_key(p, "pllss", "plus_minus"), r"^\+", "")),
         "efficiency": scalars.safe_float(_first_key(p, "val", "efficiency")),
-        "is_legacy": _first_key(p, "p2m", "p3m", "pts").isNull(),
+        "is_legacy": legacy,
         "played": played_flag(_first_key(p, "min", "minutes")),
     }
 
 
+def with_rates(rows: DataFrame) -> DataFrame:
+    """The shooting percentages and advanced statistics of player rows."""
+    c, rates = F.col, boxscore.advanced()
+    return rows.withColumns(
+        {
+            **{k: rates[k] for k in ("field_goal_pct", "free_throw_pct", "true_shooting", "effective_fg", "turnover_rate", "free_throw_rate", "assist_turnover", "offensive_rating", "efficiency_rating", "usage", "win_shares", "win_shares_36")},
+            "two_point_pct": boxscore.percentage(c("fg2m"), c("fg2a")),
+            "three_point_pct": boxscore.percentage(c("fg3m"), c("fg3a")),
+        }
+    )
+
+
+def assigned_sides(players: DataFrame, game: str = "game_code", pos: str = "pos", team: str = "team", home: str = "home_name", away: str = "away_name", starter: str = "is_starter", label: str = "is_home") -> DataFrame:
+    """Players of flat lists with ``is_home`` filled in.
+
+    A label stays. Else the team's name decides, the home side first (one name holds the other, or most words agree).
+    Players that neither decides are dealt in document order: before the split point of the undecided ones at home,
+    the others away (:func:`split_points`). Games without both names in their header keep what they have.
+    """
+    named = F.when(same_team(F.col(home), F.col(team)), True).when(same_team(F.col(away), F.col(team)), False)
+    known = F.coalesce(F.col(label), F.when(F.coalesce(F.trim(F.col(team)), F.lit("")) != "", named))
+    two = F.col(home).isNotNull() & F.col(away).isNotNull()
+    rows = players.withColumn("__known", known)
+    undecided = rows.where(F.col("__known").isNull() & two)
+    order = Window.partitionBy(game).orderBy(pos)
+    nth = undecided.select(game, pos, starter, (F.row_number().over(order) - 1).alias("__nth"))
+    splits = split_points(nth.select(game, F.col("__nth").alias("pos"), F.col(starter).alias("starter")), game)
+    dealt = nth.join(splits, game).select(game, pos, (F.col("__nth") < F.col("split_at")).alias("__dealt"))
+    return rows.join(dealt, [game, pos], "left").withColumn(label, F.coalesce("__known", "__dealt")).drop("__known", "__dealt")
+
+
 def player_rows(games: DataFrame) -> DataFrame:
-    """One row per player of every format: the list of teams, the map of sides, the flat list."""
-    code, box = F.col("HEADER.game_code").alias("game_code"), F.col("BOXSCORE")
+    """One row per player of every format: the list of teams, the map of sides, the flat list."""
+    head, box = F.col("HEADER"), F.col("BOXSCORE")
+    code, at = head["game_code"].alias("game_code"), scalars.game_time(head["starttime"]).alias("game_time")
     opponent = lambda side, all_: F.get(F.filter(all_, lambda t: ~t["id"].eqNullSafe(side["id"])), 0)
-    listed = games.where(F.size(F.coalesce(box["TEAM"], F.array())) > 0).select(code, F.posexplode(box["TEAM"]).alias("k", "side"), box["TEAM"].alias("all"))
+    listed = games.where(F.size(F.coalesce(box["TEAM"], F.array())) > 0).select(code, at, F.posexplode(box["TEAM"]).alias("k", "side"), box["TEAM"].alias("all"))
     outcome = F.coalesce(F.col("side.win_lose"), win_lose(F.col("side.TOTAL.pts"), opponent(F.col("side"), F.col("all"))["TOTAL"]["pts"]))
-    listed = listed.select("game_code", "side", (F.col("k") == 0).alias("is_home"), (outcome == "W").alias("team_won"))
-    mapped = games.where(box["SIDES"].isNotNull()).select(code, F.explode(box["SIDES"]).alias("k", "side")).select("game_code", "side", (F.col("k") == "1").alias("is_home"), (F.col("side.won") == "1").alias("team_won"))
-    sides = listed.unionByName(mapped)
-    of_sides = sides.select("game_code", "is_home", "team_won", F.col("side.id").alias("team"), F.posexplode("side.PLAYER").alias("pos", "p"))
-    flat = games.where(F.size(F.coalesce(box["PLAYER"], F.array())) > 0).select(code, F.posexplode(box["PLAYER"]).alias("pos", "p"))
-    flat = flat.select("game_code", (F.lower(F.col("p.is_home")) == "true").alias("is_home"), F.lit(None).cast("boolean").alias("team_won"), F.col("p.team_name").alias("team"), "pos", "p")
-    return of_sides.unionByName(flat).select("game_code", "team", "is_home", "team_won", "pos", *[v.alias(k) for k, v in player_row(F.col("p")).items()])
+    listed = listed.select("game_code", "game_time", "side", (F.col("k") == 0).alias("is_home"), (outcome == "W").alias("team_won"))
+    mapped = games.where(box["SIDES"].isNotNull()).select(code, at, F.explode(box["SIDES"]).alias("k", "side")).select("game_code", "game_time", "side", (F.col("k") == "1").alias("is_home"), (F.col("side.won") == "1").alias("team_won"))
+    of_sides = listed.unionByName(mapped).select("game_code", "game_time", "is_home", "team_won", F.col("side.id").alias("team"), F.posexplode("side.PLAYER").alias("pos", "p"))
+    teams = F.coalesce(head["TEAM"], F.array())
+    two = F.size(teams) >= 2
+    name = lambda i: F.when(two, F.coalesce(F.get(head["TEAM"], i)["name"], F.lit("")))
+    score = lambda i: F.coalesce(F.get(head["TEAM"], i)["pts"], F.get(head["TEAM"], i)["score"])
+    flat = games.where(F.size(F.coalesce(box["PLAYER"], F.array())) > 0).select(code, at, name(0).alias("home_name"), name(1).alias("away_name"), win_lose(score(0), score(1)).alias("home_outcome"), F.posexplode(box["PLAYER"]).alias("pos", "p"))
+    flat = flat.select("*", F.when(F.lower(F.col("p.is_home")).isin("true", "false"), F.lower(F.col("p.is_home")) == "true").alias("is_home"), F.col("p.team_name").alias("team"), F.coalesce(F.lower(F.col("p.is_starter")) == "true", F.lit(False)).alias("is_starter"))
+    won = F.when(F.col("home_name").isNotNull() & F.col("is_home").isNotNull(), F.col("home_outcome") == F.when(F.col("is_home"), "W").otherwise("L"))
+    flat = assigned_sides(flat).select("game_code", "game_time", "is_home", won.alias("team_won"), "team", "pos", "p")
+    return of_sides.unionByName(flat).select("game_code", "team", "is_home", "team_won", "pos", *[v.alias(k) for k, v in player_row(F.col("p"), F.col("game_time")).items()])
 
 
 def first_source(df: DataFrame, key: str, rank: str, *order: str) -> DataFrame:

@@ -110,6 +110,9 @@ def test_nested_documents_of_every_format(spark, tmp_path):
     assert (rows["X"].fgm, rows["X"].fga, rows["X"].minutes, rows["X"].plus_minus, rows["X"].is_home, rows["X"].team_won, rows["X"].is_starter, rows["X"].is_legacy) == (5, 9, 20.5, 4, True, True, True, False)
     assert (rows["Y"].is_home, rows["Y"].team_won, rows["Z"].is_home, rows["Z"].team_won) == (True, True, False, False)
     assert (rows["W"].points, rows["W"].minutes, rows["W"].plus_minus, rows["W"].shirt, rows["W"].is_legacy) == (7, 10.0, 3, "4", True)
+    assert (rows["W"].is_home, rows["W"].team_won) == (True, False)
+    rates = {r.player_name: r for r in ingest.with_rates(ingest.player_rows(games)).collect()}
+    assert (rates["X"].field_goal_pct, rates["X"].three_point_pct, rates["X"].two_point_pct, rates["W"].field_goal_pct) == (pytest.approx(500 / 9), 50.0, 60.0, 0.0)
     heads = {r.game_code: r for r in ingest.header(games).collect()}
     assert (heads["1"].score_diff, heads["1"].is_valid, heads["1"].group_name, heads["2"].home_score, heads["3"].away_score, heads["3"].is_valid) == (10, True, "Único", None, 6, False)
     assert one(spark, ingest.same_team(lit("C.B. Rio Norte"), lit("Club Rio Sur")), ingest.same_team(lit("Alba"), lit("CB ALBA")), ingest.same_team(lit(""), lit("x"))) == (True, True, False)
@@ -117,6 +120,20 @@ def test_nested_documents_of_every_format(spark, tmp_path):
     assert {r.game_code: r.split_at for r in ingest.split_points(flat).collect()} == {"g": 7, "h": 3}
 
 
+def test_flat_players_get_their_sides(spark):
+    rows = [("g", i, t, None, i < 5 or i == 7, "C.B. Rio Norte", "Alba Sur") for i, t in enumerate(["Rio Norte", "ALBA SUR", "Alba", None, "", "x", None, None, None, None, None, None, None, None, None])]
+    rows += [("label", 0, "Alba Sur", True, False, "C.B. Rio Norte", "Alba Sur"), ("no header", 0, "Alba Sur", None, True, None, None)]
+    df = spark.createDataFrame(rows, "game_code string, pos int, team string, is_home boolean, is_starter boolean, home_name string, away_name string")
+    got = {(r.game_code, r.pos): r.is_home for r in ingest.assigned_sides(df).collect()}
+    assert [got["g", i] for i in range(3)] == [True, False, False]
+    # twelve undecided players with three starters among them: a starter after a bench player near the middle, or else half
+    undecided = [i for i in range(3, 15)]
+    starters = [i < 5 or i == 7 for i in undecided]
+    split = next((k for k in range(4, 9) if starters[k] and not starters[k - 1]), 6)
+    assert [got["g", i] for i in undecided] == [k < split for k in range(12)]
+    assert got["label", 0] is True and got["no header", 0] is None
+
+
 def test_upserts_and_corrections(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, at int")
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 2), (3, "e", 3), (None, "x", 9)], "k long, v string, at int")
