@@ -42,6 +42,7 @@ def season_aggregates(df: DataFrame, keys: list[str]) -> DataFrame:
             F.avg("reb").alias("avg_reb"),
             F.avg("ast").alias("avg_ast"),
             positive_mean(ratio(c("fgm"), c("fga")) * 100, 0.0).alias("avg_fg_pct"),
+            positive_mean(ratio(c("fg3m"), c("fg3a")) * 100, 0.0).alias("avg_3p_pct"),
             positive_mean(c("ts")).alias("avg_ts"),
             positive_mean(c("efg")).alias("avg_efg"),
             positive_mean(c("ortg")).alias("avg_ortg"),
@@ -52,6 +53,7 @@ def season_aggregates(df: DataFrame, keys: list[str]) -> DataFrame:
             F.stddev_pop("points").alias("std_points"),
             F.stddev_pop("efficiency").alias("std_efficiency"),
             slope(c("points"), c("at"), 3).alias("trend_points"),
+            slope(c("efficiency"), c("at"), 3).alias("trend_efficiency"),
             (F.avg(c("won").cast("int")) * 100).alias("win_pct"),
             F.sum(F.coalesce(c("per") * c("minutes") / 4000, F.lit(0.0))).alias("total_win_shares"),
             F.min("game_date").alias("first_game"),

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 PERF = """
-SELECT q.*, CAST(2 * (fgm - fg3m) + 3 * fg3m + ftm AS INT) AS points, orb + drb AS reb FROM (
+SELECT q.*, CAST(2 * (fgm - fg3m) + 3 * fg3m + ftm AS INT) AS points, orb + drb AS reb, CAST(fg3m + game_id % 3 AS INT) AS fg3a FROM (
   SELECT p.*, CAST(least(fgm, squad_id % 4) AS INT) AS fg3m, CAST(least(fta, game_id % 5) AS INT) AS ftm FROM (
     SELECT b.*, CAST(least(fga, part_id % 9) AS INT) AS fgm FROM (
       SELECT o.o_custkey AS player_id, l.l_suppkey AS squad_id, l.l_orderkey AS game_id, l.l_linenumber AS line_no, l.l_partkey AS part_id, l.l_extendedprice AS price,

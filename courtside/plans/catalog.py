@@ -133,15 +133,20 @@ def p07_seasons_and_ages(spark, sf_dir):
 
 # --- aggregates -------------------------------------------------------------------------------------------------------
 
-SEASON = f"""
+def season_sql(r) -> str:
+    """The SQL of the season aggregates, with each double passed through ``r``."""
+    return f"""
 SELECT player_id, season, season_start, competition_id, count(*) AS games, {r("avg(minutes)", "avg_minutes")}, {r("avg(points)", "avg_points")}, {r("avg(efficiency)", "avg_efficiency")}, {r("avg(reb)", "avg_reb")}, {r("avg(ast)", "avg_ast")},
-  {r("coalesce(avg(CASE WHEN fgm > 0 AND fga > 0 THEN 100.0 * fgm / fga END), 0)", "avg_fg_pct")}, {r("avg(CASE WHEN ts > 0 THEN ts END)", "avg_ts")}, {r("avg(CASE WHEN efg > 0 THEN efg END)", "avg_efg")}, {r("avg(CASE WHEN ortg > 0 THEN ortg END)", "avg_ortg")}, {r("avg(CASE WHEN per <> 0 THEN per END)", "avg_per")},
+  {r("coalesce(avg(CASE WHEN fgm > 0 AND fga > 0 THEN 100.0 * fgm / fga END), 0)", "avg_fg_pct")}, {r("coalesce(avg(CASE WHEN fg3m > 0 AND fg3a > 0 THEN 100.0 * fg3m / fg3a END), 0)", "avg_3p_pct")}, {r("avg(CASE WHEN ts > 0 THEN ts END)", "avg_ts")}, {r("avg(CASE WHEN efg > 0 THEN efg END)", "avg_efg")}, {r("avg(CASE WHEN ortg > 0 THEN ortg END)", "avg_ortg")}, {r("avg(CASE WHEN per <> 0 THEN per END)", "avg_per")},
   CAST(sum(points) AS BIGINT) AS total_points, CAST(sum(reb) AS BIGINT) AS total_reb, CAST(sum(ast) AS BIGINT) AS total_ast, {r("stddev_pop(points)", "std_points")}, {r("stddev_pop(efficiency)", "std_efficiency")},
-  {r("CASE WHEN count(*) >= 3 THEN regr_slope(points, nth) ELSE 0 END", "trend_points")}, {r("avg(CAST(won AS INT)) * 100", "win_pct")}, {r("sum(coalesce(per * minutes / 4000, 0))", "total_win_shares")},
+  {r("CASE WHEN count(*) >= 3 THEN regr_slope(points, nth) ELSE 0 END", "trend_points")}, {r("CASE WHEN count(*) >= 3 THEN regr_slope(efficiency, nth) ELSE 0 END", "trend_efficiency")}, {r("avg(CAST(won AS INT)) * 100", "win_pct")}, {r("sum(coalesce(per * minutes / 4000, 0))", "total_win_shares")},
   min(game_date) AS first_game, max(game_date) AS last_game, {r("avg(season_start - birth_year)", "avg_age")}
 FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season, season_start, competition_id ORDER BY {ROW}) - 1 AS nth FROM ({RATED})) GROUP BY player_id, season, season_start, competition_id"""
 
 
+SEASON = season_sql(r)
+
+
 def _seasons(spark, sf_dir):
     return aggregates.season_aggregates(bind.view(spark, sf_dir, bind.RATED), ["player_id", "season", "season_start", "competition_id"])
 
@@ -344,6 +349,10 @@ SELECT player_id, season_start, team_id, level, birth_year, {", ".join(r(c, c) f
   next_team = team_id AS stays, CASE WHEN next_team IS NULL THEN 0 WHEN next_team = team_id THEN 1 WHEN level_change < 0 THEN 2 ELSE 3 END AS move_class, season_start + 1 - birth_year > 28 AS is_veteran, {r("CASE WHEN next_team = team_id THEN avg_per * years_in_club ELSE 0 END", "stay_bonus")} FROM u""")
 def w19_season_changes(spark, sf_dir):
     """Moves, years in club and season deltas of every player."""
+    return _season_changes(spark, sf_dir)
+
+
+def _season_changes(spark, sf_dir):
     c = F.col
     rows = bind.view(spark, sf_dir, bind.RATED).groupBy("player_id", "season_start").agg(F.max("team_id").alias("team_id"), F.max("level").alias("level"), F.max("birth_year").alias("birth_year"), *[F.avg(c(x)).alias(f"avg_{x}") for x in ("ortg", "ts", "minutes", "per")])
     return windows.season_changes(rows)
@@ -636,21 +645,73 @@ def m03_targets_by_name(spark, sf_dir):
     return mart.targets_by_name(bind.view(spark, sf_dir, bind.PERF), "player_id")
 
 
-def _mart(spark, sf_dir):
-    facts = bind.view(spark, sf_dir, bind.RATED)
-    seasons = aggregates.season_aggregates(facts, ["player_id", "season_start", "competition_id"]).select("player_id", "season_start", "competition_id", "games", "avg_points", "std_points", "trend_points", "win_pct")
-    wins = aggregates.team_wins(bind.view(spark, sf_dir, bind.GAMES)).select("competition_id", "season_start", "team_id", F.col("win_pct").alias("team_win_pct"))
-    return mart.feature_mart(facts, seasons, None, mart.next_season_targets(facts)).join(wins, ["competition_id", "season_start", "team_id"], "left")
+#: The columns of the mart by where they come from.
+MART = {
+    "event": ["age_at_game", "minutes", "points", "efficiency", "fg_pct", "three_pct", "ft_pct", "reb", "ast", "tov", "stl", "blk", "team_won"],
+    "z": ["z_ortg", "z_per", "z_ts", "z_usg", "z_minutes"],
+    "season": ["games", "avg_age", "avg_minutes", "avg_points", "avg_efficiency", "avg_fg_pct", "avg_3p_pct", "avg_reb", "avg_ast", "std_points", "std_efficiency", "trend_points", "trend_efficiency", "win_pct"],
+    "standing": ["z_avg_ortg", "z_avg_per", "z_avg_ts", "z_avg_ws_36", "percentile_ortg", "percentile_per"],
+    "profile": ["points_36", "ast_36", "reb_36", "stl_36", "blk_36", "tov_36", "last5_points", "last5_ortg", "last10_points", "last10_ortg", "momentum", "profile_trend", "cv", "stability", "points_share", "usage_vs_team", "ts_vs_team", "minutes_share"],
+    "game": ["score_diff", "level", "match_weight", "is_playoff"],
+    "team": ["streak", "rest_days", "last5_wins", "team_win_pct"],
+    "retention": ["years_in_club", "age_at_end", "is_veteran", "delta_ortg", "delta_ts", "delta_minutes", "delta_per"],
+}
+STANDING = ["ortg", "per", "ts", "ws_36"]
 
 
-@query(f"""
-WITH p AS (SELECT * FROM ({PERF}) WHERE minutes > 0), busy AS (SELECT player_id FROM p GROUP BY 1 HAVING count(*) >= 5)
-SELECT p.player_id, {", ".join(f"p.{c}" for c in ROW.split(", "))}, p.points, s.games, s.avg_points, s.win_pct, {r("t.target_points", "target_points")}, {r("w.win_pct", "team_win_pct")}
-FROM p LEFT JOIN ({SEASON}) s ON p.player_id = s.player_id AND p.season_start = s.season_start AND p.competition_id = s.competition_id LEFT JOIN ({TARGETS}) t ON p.player_id = t.player_id AND p.season_start = t.season_start
-LEFT JOIN ({WINS}) w ON p.competition_id = w.competition_id AND p.season_start = w.season_start AND p.team_id = w.team_id WHERE p.player_id IN (SELECT player_id FROM busy)""")
+def _mart(spark, sf_dir):
+    """Event rows with every feature of :data:`MART` and both targets. Each part is an aggregate of its own keys, joined once."""
+    c, context = F.col, ["level", "season_start"]
+    facts = bind.view(spark, sf_dir, bind.RATED).withColumn("ws_36", c("per") * 36 / 4000)
+    events = normalize.normalised(facts, context, ["ortg", "per", "ts", "usg", "minutes"])
+    playoff, _ = scalars.phase_flags(c("group_name"))
+    events = events.withColumns({"age_at_game": scalars.season_age(c("birth_year"), c("season_start")), "fg_pct": boxscore.percentage(c("fgm"), c("fga")), "three_pct": boxscore.percentage(c("fg3m"), c("fg3a")), "ft_pct": boxscore.percentage(c("ftm"), c("fta")), "team_won": c("won"), "is_playoff": playoff})
+    seasons = aggregates.season_aggregates(facts, ["player_id", "season_start", "competition_id"]).select("player_id", "season_start", "competition_id", *MART["season"])
+    standing = facts.groupBy("player_id", "season_start", "competition_id", "level").agg(*[F.avg(F.when(c(m) != 0 if m == "per" else c(m) > 0, c(m))).alias(m) for m in STANDING]).join(normalize.context_stats(facts, context, STANDING), context)
+    standing = standing.withColumns({f"z_avg_{m}": normalize.z_score(c(m), c(f"{m}_mean"), c(f"{m}_std")) for m in STANDING}).withColumns({f"percentile_{m}": normalize.percentile(c(f"z_avg_{m}")) for m in ("ortg", "per")})
+    standing = standing.select("player_id", "season_start", "competition_id", "level", *MART["standing"])
+    profiles = _metrics(spark, sf_dir).withColumnRenamed("trend_points", "profile_trend").select("player_id", "team_id", "season_start", *MART["profile"])
+    games = bind.view(spark, sf_dir, bind.GAMES)
+    diffs = games.select("game_id", (c("home_score") - c("away_score")).alias("score_diff"))
+    team = windows.team_context(windows.team_games(games)).where("at_home").select("game_id", "team_id", "streak", "rest_days", "last5_wins")
+    wins = aggregates.team_wins(games).select("competition_id", "season_start", "team_id", c("win_pct").alias("team_win_pct"))
+    moves = _season_changes(spark, sf_dir).select("player_id", "season_start", *MART["retention"])
+    out = mart.feature_mart(events, seasons, team, mart.next_season_targets(facts))
+    out = out.join(standing, ["player_id", "season_start", "competition_id", "level"], "left").join(profiles, ["player_id", "team_id", "season_start"], "left")
+    return out.join(diffs, "game_id", "left").join(wins, ["competition_id", "season_start", "team_id"], "left").join(moves, ["player_id", "season_start"], "left")
+
+
+def plain(expression: str, name: str) -> str:
+    """A column of a check that goes into another one, not rounded."""
+    return f"CAST({expression} AS DOUBLE) AS {name}"
+
+
+def _mart_sql() -> str:
+    z, stats = ["ortg", "per", "ts", "usg", "minutes"], stats_sql(["ortg", "per", "ts", "usg", "minutes", "ws_36"], f"SELECT *, per * 36 / 4000 AS ws_36 FROM ({RATED})")
+    mean = {m: f"avg(CASE WHEN {m} {'<>' if m == 'per' else '>'} 0 THEN {m} END)" for m in STANDING}
+    whole = {"age_at_game", "points", "reb", "ast", "tov", "stl", "blk", "games", "score_diff", "level", "streak", "rest_days", "last5_wins", "years_in_club", "age_at_end", "percentile_ortg", "percentile_per", "team_won", "is_playoff", "is_veteran"}
+    columns = [c if c in whole else r(c, c) for part in MART.values() for c in part]
+    cut = lambda m: f"CASE WHEN z_avg_{m} IS NULL THEN 50 ELSE CAST(len(list_filter({normalize.CUTS!r}, lambda t: z_avg_{m} >= t)) AS INT) END AS percentile_{m}"
+    g = "lower(group_name)"
+    weight = f"CASE WHEN {g} LIKE '%supercopa%' OR {g} LIKE '%super copa%' THEN 1.2 WHEN {g} LIKE '%final%' AND {g} NOT LIKE '%semifinal%' AND {g} NOT LIKE '%cuartos%' AND {g} NOT LIKE '%octavos%' THEN 1.5 WHEN {g} LIKE '%play%' OR {g} LIKE '%eliminatoria%' OR {g} LIKE '%semifinal%' OR {g} LIKE '%cuartos%' OR {g} LIKE '%octavos%' THEN 1.4 WHEN {g} LIKE '%copa%' THEN 1.3 ELSE 1.0 END"
+    return f"""
+WITH st AS ({stats}), fa AS (SELECT *, per * 36 / 4000 AS ws_36 FROM ({RATED})), p AS (SELECT f.*, {", ".join(f"(f.{m} - {m}_mean) / {m}_std AS z_{m}" for m in z)}, f.season_start - birth_year AS age_at_game, coalesce(100.0 * fgm / nullif(fga, 0), 0) AS fg_pct, coalesce(100.0 * fg3m / nullif(fg3a, 0), 0) AS three_pct, coalesce(100.0 * ftm / nullif(fta, 0), 0) AS ft_pct, won AS team_won, {weight} AS match_weight, {weight} IN (1.4, 1.5) AS is_playoff
+  FROM fa f JOIN st ON f.level = st.level AND f.season_start = st.season_start WHERE minutes > 0),
+busy AS (SELECT player_id FROM p GROUP BY 1 HAVING count(*) >= 5), se AS ({season_sql(plain)}), me AS ({metrics_sql(plain)}),
+sd AS (SELECT *, {cut("ortg")}, {cut("per")} FROM (SELECT a.*, {", ".join(f"(a.{m} - {m}_mean) / {m}_std AS z_avg_{m}" for m in STANDING)} FROM (SELECT player_id, season_start, competition_id, level, {", ".join(f"{v} AS {m}" for m, v in mean.items())} FROM fa GROUP BY ALL) a JOIN st ON a.level = st.level AND a.season_start = st.season_start)),
+ga AS (SELECT game_id, home_score - away_score AS score_diff FROM ({GAMES})), tc AS ({ORACLE_SQL["w11_team_context"]}), wi AS ({WINS}), mo AS ({ORACLE_SQL["w19_season_changes"]})
+SELECT player_id, {ROW}, {", ".join(columns)}, {r("target_points", "target_points")}, {r("target_efficiency", "target_efficiency")} FROM (
+SELECT p.*, {", ".join(f"se.{c}" for c in MART["season"])}, {", ".join(f"sd.{c}" for c in MART["standing"])}, {", ".join(f"me.{c}" for c in MART["profile"] if c != "profile_trend")}, me.trend_points AS profile_trend, score_diff, tc.streak, tc.rest_days, tc.last5_wins, wi.win_pct AS team_win_pct, {", ".join(f"mo.{c}" for c in MART["retention"])}, t.target_points, t.target_efficiency
+FROM p LEFT JOIN se ON p.player_id = se.player_id AND p.season_start = se.season_start AND p.competition_id = se.competition_id LEFT JOIN sd ON p.player_id = sd.player_id AND p.season_start = sd.season_start AND p.competition_id = sd.competition_id AND p.level = sd.level
+LEFT JOIN me ON p.player_id = me.player_id AND p.season_start = me.season_start AND p.team_id = me.team_id LEFT JOIN ga ON p.game_id = ga.game_id LEFT JOIN tc ON p.game_id = tc.game_id AND p.team_id = tc.team_id AND tc.at_home
+LEFT JOIN wi ON p.competition_id = wi.competition_id AND p.season_start = wi.season_start AND p.team_id = wi.team_id LEFT JOIN mo ON p.player_id = mo.player_id AND p.season_start = mo.season_start
+LEFT JOIN ({TARGETS}) t ON p.player_id = t.player_id AND p.season_start = t.season_start WHERE p.player_id IN (SELECT player_id FROM busy))"""
+
+
+@query(_mart_sql())
 def m01_feature_mart(spark, sf_dir):
-    """Event rows with season aggregates, team context and targets."""
-    return _mart(spark, sf_dir).select("player_id", *aggregates.ORDER, "points", "games", "avg_points", "win_pct", "target_points", "team_win_pct")
+    """Event rows with all features of the mart, from seven sides, and both targets."""
+    return _mart(spark, sf_dir).select("player_id", *aggregates.ORDER, *[c for part in MART.values() for c in part], "target_points", "target_efficiency")
 
 
 FEATURES = ["minutes", "points", "fga", "fta", "reb", "games", "avg_points", "std_points", "trend_points", "win_pct", "team_win_pct", "match_weight"]
