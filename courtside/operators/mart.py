@@ -53,8 +53,28 @@ def profile_detail(profiles: DataFrame, metrics: DataFrame, potential: DataFrame
     return profiles.join(metrics, "profile_id", "left").join(potential, "profile_id", "left")
 
 
-def candidate_report(pairs: DataFrame, profiles: DataFrame, least: float = 0.75, top: int = 50) -> DataFrame:
-    """The best candidates with both names."""
+def career_list(careers: DataFrame, profiles: DataFrame, name: str = "name", least: float = 0.0, top: int = 50) -> DataFrame:
+    """The best careers with the team of the latest profile of that name in their last season, where there is one."""
+    latest = latest_of(profiles.select(name, F.col("season_start").alias("last_season"), "profile_id", "team_id"), [name, "last_season"], "profile_id")
+    return careers.where(F.col("unified") >= least).join(latest, [name, "last_season"], "left").orderBy(F.desc("unified"), name, "birth_year").limit(top)
+
+
+def active_teams(games: DataFrame, facts: DataFrame, profiles: DataFrame, season: int, least: int = 5) -> DataFrame:
+    """Teams of one season's games with the distinct players who played for them or are registered with them.
+
+    A team counts a player if the row is of the team, or if the player's profile is: each row is exploded to both, so
+    the disjunction stays an equi-join.
+    """
+    sides = games.where(F.col("season_start") == season).select("game_id", F.explode(F.array_distinct(F.array("home_id", "away_id"))).alias("team_id"))
+    registered = profiles.where(F.col("season_start") == season).select("player_id", F.col("team_id").alias("of_profile"))
+    rows = facts.select("game_id", "player_id", F.col("team_id").alias("of_row")).join(registered, "player_id")
+    either = rows.select("game_id", "player_id", F.explode(F.array_distinct(F.array_compact(F.array("of_row", "of_profile")))).alias("team_id"))
+    return sides.join(either, ["game_id", "team_id"]).groupBy("team_id").agg(F.count_distinct("player_id").alias("players")).where(F.col("players") >= least)
+
+
+def candidate_report(pairs: DataFrame, profiles: DataFrame, least: float = 0.75, top: int = 50, status: str | None = None) -> DataFrame:
+    """The best candidates with both names; of one status only if that is given."""
+    pairs = pairs if status is None else pairs.where(F.col("status") == status)
     names = profiles.select("profile_id", "name")
     a, b = (names.select(F.col("profile_id").alias(f"id{k}"), F.col("name").alias(f"name{k}")) for k in (1, 2))
     return pairs.where(F.col("score") >= least).join(a, "id1").join(b, "id2").select("id1", "name1", "id2", "name2", "score", "confidence").orderBy(F.desc("score"), "id1", "id2").limit(top)

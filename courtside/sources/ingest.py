@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,40 @@ def unprocessed(raw: DataFrame, done: DataFrame, key: str, newest_by: str | None
     return rest if cap is None else rest.orderBy(F.desc(newest_by or key), key).limit(cap)
 
 
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key; the filter reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def filtered(df: DataFrame, **values) -> DataFrame:
+    """Rows whose columns have these values; nested fields are written with ``__`` for the dot."""
+    for name, value in values.items():
+        df = df.where(F.col(name.replace("__", ".")) == F.lit(value))
+    return df
+
+
+def filtered_count(df: DataFrame, **values) -> DataFrame:
+    """How many rows :func:`filtered` leaves."""
+    return filtered(df, **values).agg(F.count("*").alias("n"))
+
+
+def rebuilt(df: DataFrame, path: str) -> DataFrame:
+    """A table truncated and written anew, and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def union_of(**collections: DataFrame) -> DataFrame:
+    """Collections of one kind in one table, with the name of each in ``collection``; missing columns are null."""
+    parts = [df.withColumn("collection", F.lit(name)) for name, df in collections.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def attachments(games: DataFrame) -> DataFrame:
+    """The shot charts and play-by-play lists that documents carry, as JSON text."""
+    return games.select(F.col("HEADER.game_code").alias("game_code"), F.col("SHOTCHART").alias("shot_chart"), F.col("PLAYBYPLAY").alias("play_by_play"))
+
+
 def existing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key the other table has."""
     return df.join(other.select(key).distinct(), key, "left_semi")

@@ -10,19 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str, at: str, delay: str = "7 days") -> StreamingQuery:
     """Read new files once, keep the first document of each key within the watermark, append those the target lacks.
 
-    The checkpoint remembers files and keys; the anti-join makes a repeated batch harmless.
+    The checkpoint remembers files and keys; the anti-join makes a repeated batch harmless. The target is made empty
+    first if it does not exist.
     """
     stream = spark.readStream.schema(schema).parquet(source).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(target)
+
     def add(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        try:
-            known = session.read.schema(batch.schema).parquet(target).select(key)
-            batch = batch.join(known, key, "left_anti")
-        except Exception as missing:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        batch.select(*stream.columns).write.mode("append").parquet(target)
+        known = batch.sparkSession.read.schema(batch.schema).parquet(target).select(key)
+        batch.join(known, key, "left_anti").select(*stream.columns).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
