@@ -33,7 +33,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 #: letter-like and other numbers, and the information separators (see ``_unusual``).
 PLAIN_PRE_TOKEN = r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Pre-tokens kept in a worker's cache before it starts afresh, and the longest that is worth keeping.
-CACHE_WORDS, CACHE_CHARS = 1 << 19, 48
+CACHE_WORDS, CACHE_CHARS = 1 << 18, 48
 
 
 def default_vocabulary() -> str:

@@ -40,7 +40,7 @@ BLOCK_TEXTS = 64
 THRESHOLD = 0.3
 WORDS = re.compile(r"\w+")
 #: Words whose weights a task keeps, and whose grams it hashes at a time.
-CACHE_WORDS, NEW_WORDS = 1 << 19, 1 << 14
+CACHE_WORDS, NEW_WORDS = 1 << 17, 1 << 13
 
 
 def held_out(id_: Column) -> Column:
