@@ -659,8 +659,8 @@ MART = {
 STANDING = ["ortg", "per", "ts", "ws_36"]
 
 
-def _mart(spark, sf_dir):
-    """Event rows with every feature of :data:`MART` and both targets. Each part is an aggregate of its own keys, joined once."""
+def _mart(spark, sf_dir, parts=tuple(MART)):
+    """Event rows with the features of the named parts of :data:`MART` and both targets. Each part is an aggregate of its own keys, joined once."""
     c, context = F.col, ["level", "season_start"]
     facts = bind.view(spark, sf_dir, bind.RATED).withColumn("ws_36", c("per") * 36 / 4000)
     events = normalize.normalised(facts, context, ["ortg", "per", "ts", "usg", "minutes"])
@@ -676,9 +676,12 @@ def _mart(spark, sf_dir):
     team = windows.team_context(windows.team_games(games)).where("at_home").select("game_id", "team_id", "streak", "rest_days", "last5_wins")
     wins = aggregates.team_wins(games).select("competition_id", "season_start", "team_id", c("win_pct").alias("team_win_pct"))
     moves = _season_changes(spark, sf_dir).select("player_id", "season_start", *MART["retention"])
-    out = mart.feature_mart(events, seasons, team, mart.next_season_targets(facts))
-    out = out.join(standing, ["player_id", "season_start", "competition_id", "level"], "left").join(profiles, ["player_id", "team_id", "season_start"], "left")
-    return out.join(diffs, "game_id", "left").join(wins, ["competition_id", "season_start", "team_id"], "left").join(moves, ["player_id", "season_start"], "left")
+    out = mart.feature_mart(events, seasons, team if "team" in parts else None, mart.next_season_targets(facts))
+    sides = [("standing", standing, ["player_id", "season_start", "competition_id", "level"]), ("profile", profiles, ["player_id", "team_id", "season_start"]), ("game", diffs, ["game_id"]), ("team", wins, ["competition_id", "season_start", "team_id"]), ("wins", wins, ["competition_id", "season_start", "team_id"]), ("retention", moves, ["player_id", "season_start"])]
+    for part, side, keys in sides:
+        if part in parts:
+            out = out.join(side, keys, "left")
+    return out
 
 
 def plain(expression: str, name: str) -> str:
@@ -718,12 +721,14 @@ FEATURES = ["minutes", "points", "fga", "fta", "reb", "games", "avg_points", "st
 
 
 LABELS = ["target_points", "target_efficiency"]
+#: The parts of the mart that the model's features come from.
+MODEL_PARTS = ("event", "season", "wins")
 
 
 @query()
 def m13_predictions(spark, sf_dir):
     """Projections of both targets for the latest row of every player with the features that move them most, from trees fitted to the players of the training share."""
-    rows = saved(mart.numeric_features(_mart(spark, sf_dir).select("player_id", *aggregates.ORDER, *LABELS, *FEATURES), ["player_id", *aggregates.ORDER, *LABELS]))
+    rows = saved(mart.numeric_features(_mart(spark, sf_dir, MODEL_PARTS).select("player_id", *aggregates.ORDER, *LABELS, *FEATURES), ["player_id", *aggregates.ORDER, *LABELS]))
     train, _ = model.split(rows, "player_id")
     fitted = model.train_all(train, FEATURES, LABELS)
     usual = train.agg(*[F.avg(c).alias(c) for c in FEATURES]).first().asDict()
@@ -736,7 +741,7 @@ def m13_predictions(spark, sf_dir):
 @query()
 def m09_model_metrics(spark, sf_dir):
     """Errors of the models of both targets on the players that they were fitted to and on the others."""
-    rows = saved(mart.numeric_features(_mart(spark, sf_dir).select("player_id", *LABELS, *FEATURES), ["player_id", *LABELS]))
+    rows = saved(mart.numeric_features(_mart(spark, sf_dir, MODEL_PARTS).select("player_id", *LABELS, *FEATURES), ["player_id", *LABELS]))
     sides = dict(zip(("train", "test"), model.split(rows, "player_id")))
     out = None
     for label, fitted in model.train_all(sides["train"], FEATURES, LABELS).items():
