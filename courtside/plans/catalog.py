@@ -362,10 +362,10 @@ def _season_changes(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, coalesce(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(n), 'ß', 'ss'))), '[^A-Z0-9\s.,-]', '', 'g'), '\s+', ' ', 'g')), '') AS normal FROM (SELECT doc_id, regexp_extract(text, '^(\S+\s+\S+\s+\S+)', 1) AS n FROM documents)""")
+SELECT doc_id, coalesce(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(trim(text), 'ß', 'ss'))), '[^A-Z0-9\s.,-]', '', 'g'), '\s+', ' ', 'g')), '') AS normal FROM documents""")
 def p60_normalised_names(spark, sf_dir):
-    """The first three words of every document as a normalised name."""
-    return table(spark, sf_dir, "documents").select("doc_id", names.normalise_name(F.regexp_extract("text", r"^(\S+\s+\S+\s+\S+)", 1)).alias("normal"))
+    """The whole text of every document in the normal form of names."""
+    return table(spark, sf_dir, "documents").select("doc_id", names.normalise_name(F.col("text")).alias("normal"))
 
 
 @query(r"""
