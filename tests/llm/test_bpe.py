@@ -23,6 +23,18 @@ def test_encode_equals_library(spark, library):
         assert own.decode(got) == library.decode(got, skip_special_tokens=False)
 
 
+def test_query_equals_library_on_the_whole_table(spark, library, sf_dir):
+    """Length and both digests of every document, and of odd texts, nulls and a very long one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*ODD, None, "long text 12 " * 20_000])], "doc_id long, text string")
+    texts = {r.doc_id: r.text or "" for r in docs.union(odd).collect()}
+    want = {}
+    for i, e in zip(texts, library.encode_batch([*texts.values()], add_special_tokens=False)):
+        want[i] = (len(e.ids), hashlib.sha256(",".join(map(str, e.ids)).encode()).hexdigest(), hashlib.sha256(library.decode(e.ids, skip_special_tokens=False).encode()).hexdigest())
+    got = [*queries.op2_bpe(spark, sf_dir).collect(), *bpe.round_trip_digests(odd).collect()]
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(want)
+
+
 def test_decode_of_partial_bytes(library):
     own = bpe.ByteBpe.from_json(open(bpe.default_vocabulary(), encoding="utf-8").read())
     ids = own.encode("\U0001f600你")[:-1]
