@@ -94,16 +94,23 @@ def tiles(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 
 def tile_pairs(table: DataFrame, key: str, neighbours: Column) -> DataFrame:
-    """``(cell, same, a, b)``: every pair of tiles to compare, once, dealt by ``cell`` over the tasks.
+    """``(cell, pair, same, a, b)``: every pair of tiles to compare, once.
 
-    ``neighbours`` lists the keys that a tile's key meets, its own among them, each unordered pair of keys once.
+    ``neighbours`` lists the keys that a tile's key meets, its own among them, each unordered pair of keys once. Pairs
+    are dealt into cells of about two full tiles, which a task holds one at a time; small tiles share a cell.
     """
-    left = table.select(F.col(key).alias("own"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("a"), F.explode(neighbours).alias(key))
-    right = table.select(key, F.col("chunk").alias("chunk_b"), F.col("rows").alias("b"))
-    pairs = left.join(right, key).where(f"own <> {key} or chunk_a <= chunk_b")
+
+    def joined(tiles_: DataFrame) -> DataFrame:
+        left = tiles_.select(F.col(key).alias("own"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("a"), F.explode(neighbours).alias(key))
+        right = tiles_.select(key, F.col("chunk").alias("chunk_b"), F.col("rows").alias("b"))
+        return left.join(right, key).where(f"own <> {key} or chunk_a <= chunk_b")
+
+    parts = 4 * partitions(table.sparkSession)
+    weight = joined(table.withColumn("rows", F.size("rows"))).agg(F.sum(F.col("a").cast("bigint") + F.col("b"))).first()[0] or 0
+    cells = max(4 * parts, math.ceil(weight / (2 * TILE)))
     same = (F.col("own") == F.col(key)) & (F.col("chunk_a") == F.col("chunk_b"))
-    pairs = pairs.select(F.xxhash64("own", key, "chunk_a", "chunk_b").alias("cell"), same.alias("same"), "a", "b")
-    return pairs.repartition(4 * partitions(table.sparkSession), "cell")
+    pairs = joined(table).select(F.xxhash64("own", key, "chunk_a", "chunk_b").alias("pair"), same.alias("same"), "a", "b")
+    return pairs.select(F.pmod("pair", F.lit(cells)).alias("cell"), "*").repartition(parts, "cell")
 
 
 def close_blocks(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
@@ -261,7 +268,7 @@ def _alike_sizes(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def involved(table: DataFrame, similarity: float) -> DataFrame:
-    """``(cell, side, id, n, w0..w3)``: of each pair of tiles the rows with a row on the other side that is close in bits and size.
+    """``(pair, side, id, n, w0..w3)``: of each pair of tiles the rows with a row on the other side that is close in bits and size.
 
     A tile compared with itself gives its rows on both sides.
     """
@@ -269,7 +276,7 @@ def involved(table: DataFrame, similarity: float) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         out = []
-        for cell, same, *sides in zip(*(table.column(c) for c in ("cell", "same", "a", "b"))):
+        for pair, same, *sides in zip(*(table.column(c) for c in ("pair", "same", "a", "b"))):
             sides = [s.values for s in sides]
             n = [s.field("n").to_numpy() for s in sides]
             words = [np.stack([s.field(w).to_numpy() for w in NAMES], 1).view(np.uint64) for s in sides]
@@ -282,28 +289,28 @@ def involved(table: DataFrame, similarity: float) -> DataFrame:
                 has = [has[0] | has[1]] * 2
             for side, s, keep in zip((0, 1), sides, has):
                 at = np.flatnonzero(keep)
-                out.append(pa.table([pa.array(np.full(len(at), cell.as_py())), pa.array(np.full(len(at), side), pa.int32()), *(s.field(f).take(pa.array(at)) for f in fields)], names=["cell", "side", *fields]))
+                out.append(pa.table([pa.array(np.full(len(at), pair.as_py())), pa.array(np.full(len(at), side), pa.int32()), *(s.field(f).take(pa.array(at)) for f in fields)], names=["pair", "side", *fields]))
         return pa.concat_tables(out)
 
     pairs = tile_pairs(table, "band", F.array(*[F.col("band") + k for k in range(BANDS + 1)]))
-    return pairs.groupBy("cell").applyInArrow(run, "cell bigint, side int, id bigint, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
+    return pairs.groupBy("cell").applyInArrow(run, "pair bigint, side int, id bigint, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
 
 
 def verified_links(rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """``(src, dst)``: edges between sets of at least this Jaccard similarity that connect all such sets of a cell.
+    """``(src, dst)``: edges between sets of at least this Jaccard similarity that connect all such sets of a pair of tiles.
 
-    ``rows`` are those of :func:`involved`. A cell is cut into parts by bytes and rows, so that a task holds two parts
+    ``rows`` are those of :func:`involved`. Each pair is cut into parts by bytes and rows, so that a task holds two parts
     at a time; each set travels once a part it is compared with, never once a pair. Within a part a set is first
     verified against the nearest on the other side, twice, and then against those close to it that are not yet
     connected with it; only decisions leave the task.
     """
-    sized = rows.groupBy("cell", "side").agg(F.greatest(F.ceil(F.sum("n") * 8 / F.lit(PART_BYTES)), F.ceil(F.count("*") / F.lit(PART_ROWS))).alias("parts"))
-    parts = small_side(sized.groupBy("cell").agg(*[F.max(F.when(F.col("side") == s, F.col("parts"))).alias(f"parts{s}") for s in (0, 1)]).where("parts0 is not null and parts1 is not null"))
+    sized = rows.groupBy("pair", "side").agg(F.greatest(F.ceil(F.sum("n") * 8 / F.lit(PART_BYTES)), F.ceil(F.count("*") / F.lit(PART_ROWS))).alias("parts"))
+    parts = small_side(sized.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col("parts"))).alias(f"parts{s}") for s in (0, 1)]).where("parts0 is not null and parts1 is not null"))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1")))
     other = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1)
-    dealt = rows.join(parts, "cell").withColumn("own", own).select("*", F.explode(other).alias("other"))
+    dealt = rows.join(parts, "pair").withColumn("own", own).select("*", F.explode(other).alias("other"))
     part = F.when(F.col("side") == 0, F.col("own") * F.col("parts1") + F.col("other")).otherwise(F.col("other") * F.col("parts1") + F.col("own"))
-    ready = dealt.select("cell", part.alias("part"), "side", "id", "n", *NAMES).join(shingles, "id")
+    ready = dealt.select("pair", part.alias("part"), "side", "id", "n", *NAMES).join(shingles, "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -352,7 +359,7 @@ def verified_links(rows: DataFrame, shingles: DataFrame, similarity: float) -> D
             connect(i[p], j[q], apart[p, q])
         return _edges(*zip(*edges)) if edges else _edges([], [])
 
-    return ready.repartition(4 * partitions(rows.sparkSession), "cell", "part").groupBy("cell", "part").applyInArrow(run, "src bigint, dst bigint")
+    return ready.repartition(4 * partitions(rows.sparkSession), "pair", "part").groupBy("pair", "part").applyInArrow(run, "src bigint, dst bigint")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
