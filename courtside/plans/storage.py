@@ -54,3 +54,9 @@ def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int =
     weight = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))) + 8 * len(kept.columns)
     rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
     return F.broadcast(kept) if rows <= most_rows and size <= most_bytes else kept
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
