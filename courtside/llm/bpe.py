@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import quoted, with_fields
+from courtside.llm.frames import map_texts, quoted, with_fields
 
 #: Fixed value: the published pre-token pattern of byte-level vocabularies, with white space by its Unicode property.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -159,7 +159,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             ids = pa.array([bpe.encode(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return map_texts(df.select(F.col(id_col), F.col(text_col)), run, schema)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
-    return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, schema)
+    return map_texts(df.select(F.col(id_col), F.col(ids_col)), run, schema)
 
 
 def token_lengths(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -186,7 +186,7 @@ def token_lengths(df: DataFrame, keep: list[str], text_col: str = "text", vocabu
             n = pa.array([sum(map(len, bpe.pieces(t or ""))) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, "n_tokens"])
 
-    return df.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return map_texts(df.select(*quoted(keep), F.col(text_col).alias("__text")), run, schema)
 
 
 def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -206,4 +206,4 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return map_texts(df.select(F.col(id_col), F.col(text_col)), run, schema)

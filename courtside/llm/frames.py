@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -20,6 +23,22 @@ def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
     return StructType([*kept, *_parse_datatype_string(f"struct<{ddl}>").fields])
 
 
+#: Rows and bytes in an Arrow batch of texts, by the session's settings and their defaults.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20))
+
+
+def map_texts(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches that stay small however long the texts are.
+
+    A session that has limits of its own keeps them.
+    """
+    conf = df.sparkSession.conf
+    for key, default, limit in BATCHES:
+        if int(re.sub(r"\D", "", conf.get(key))) == default:
+            conf.set(key, str(limit))
+    return df.mapInArrow(run, schema)
+
+
 def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
     """All of ``df`` if its ``rows`` are ``most`` or fewer, else the rows whose key hashes below the share that makes about
     ``most`` (within a few per cent for thousands): the same rows in every run, without a sort or a gathering task."""

@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import quoted, with_fields
+from courtside.llm.frames import map_texts, quoted, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, ALPHA = 1 << 14, 0.5
@@ -50,14 +50,15 @@ def likelihoods(texts: DataFrame, lang_col: str, text_col: str) -> tuple[list[st
     """The languages and, for each, the log-probabilities of the buckets; counted over all the texts."""
 
     def run(batches):
+        found: dict[str, np.ndarray] = {}  # of the task, one array a language
         for batch in batches:
-            found: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found[lang] = found.get(lang, 0) + trigram_counts(text.as_py())
-            keep = {k: np.flatnonzero(v) for k, v in found.items()}
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, v in keep.items() for _ in v]), pa.array(np.concatenate([*keep.values(), np.zeros(0, np.int64)])), pa.array(np.concatenate([*(found[k][v] for k, v in keep.items()), np.zeros(0, np.int64)]))], names=["lang", "bucket", "n"])
+        for lang, counts in found.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = texts.where(F.col(lang_col).isNotNull()).select(lang_col, text_col).mapInArrow(run, "lang string, bucket bigint, n bigint")
+    counted = map_texts(texts.where(F.col(lang_col).isNotNull()).select(lang_col, text_col), run, "lang string, bucket bigint, n bigint")
     counted = saved(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     langs = [r.lang for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
     if len(langs) > MOST_LANGUAGES:
@@ -84,7 +85,7 @@ def text_posteriors(df: DataFrame, keep: list[str], text_col: str, table: np.nda
                 out.append((ll - ll.max()).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.list_(pa.float64()))], names=[*keep, "ll"])
 
-    return df.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, with_fields(df, keep, "ll: array<double>"))
+    return map_texts(df.select(*quoted(keep), F.col(text_col).alias("__text")), run, with_fields(df, keep, "ll: array<double>"))
 
 
 def markup_text(html: Column) -> Column:

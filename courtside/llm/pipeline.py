@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from courtside.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from courtside.llm.frames import one_row_each, quoted
-from courtside.plans.storage import shared_folder
+from courtside.plans.storage import remove, shared_folder
 
 #: SQL for the rows of :func:`run`: none, as it can express neither the trained model nor the tokenizer.
 ORACLE_SQL = None
@@ -73,7 +73,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; between two stages the rows are written as Parquet in the shared folder and read again."""
+    """Apply the stages to ``documents``; between two stages the rows are written as Parquet in the shared folder and read again.
+
+    Only the last of these folders is left when it returns, as the rows that it returns are read from there.
+    """
     folder = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -81,4 +84,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.mode("overwrite").parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import hash_sample, quoted, with_fields
+from courtside.llm.frames import hash_sample, map_texts, quoted, with_fields
 from courtside.plans.storage import saved, small_side
 
 #: Labelled rows that the classifier is fitted to, at most (about), and its ridge penalty.
@@ -97,7 +97,7 @@ def _sample(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             rows = [evidence(t.as_py()).astype(np.float32) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1)], names=["x", "y"])
 
-    rows = texts.select("text", "y").mapInArrow(run, "x array<float>, y int").toArrow()
+    rows = map_texts(texts.select("text", "y"), run, "x array<float>, y int").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, len(FEATURES) + TOKEN_BUCKETS))
     return x.astype(np.float64), rows.column("y").to_numpy().astype(np.int64)
 
@@ -115,7 +115,7 @@ def text_logits(df: DataFrame, keep: list[str], model: tuple[np.ndarray, float],
                 logits.append(float(x @ weights + intercept) if x[1] else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(logits, pa.float64())], names=[*keep, "logit"])
 
-    return df.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, with_fields(df, keep, "logit: double"))
+    return map_texts(df.select(*quoted(keep), F.col(text_col).alias("__text")), run, with_fields(df, keep, "logit: double"))
 
 
 def _log_odds(p: Column) -> Column:

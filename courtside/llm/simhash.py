@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import one_row_each, with_fields
+from courtside.llm.frames import map_texts, one_row_each, with_fields
 from courtside.plans.components import connected_components
 from courtside.plans.storage import partitions, saved, small_side
 
@@ -80,7 +80,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(shingle_hashes(t.as_py(), size))[0] for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, with_fields(df, [id_col], "fp: bigint"))
+    return map_texts(df.select(F.col(id_col), F.col(text_col)), run, with_fields(df, [id_col], "fp: bigint"))
 
 
 def tiles(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -250,7 +250,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             fps = np.array(fps, np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(of, pa.string()), pa.array(n, pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WORDS))], names=["id", "digest", "of", "n", *NAMES])
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(text_col), _digest(F.col(text_col))).mapInArrow(run, "id bigint, digest string, of string, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
+    return map_texts(df.select(F.col(id_col).cast("bigint"), F.col(text_col), _digest(F.col(text_col))), run, "id bigint, digest string, of string, n bigint, " + ", ".join(f"{w} bigint" for w in NAMES))
 
 
 def _banded(rows: DataFrame, similarity: float) -> DataFrame:
@@ -404,4 +404,4 @@ def _shingle_sets(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, si
     wanted = keys.select("key", "name", F.col("digest").alias("of"))
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), _digest(F.col(text_col)).alias("digest"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("name")) & (F.col("digest") == F.col("of"))).select("key", "text")
-    return texts.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
+    return map_texts(texts, run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.frames import hash_sample, quoted, with_fields
+from courtside.llm.frames import hash_sample, map_texts, quoted, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 4, (3, 4, 5)
@@ -161,7 +161,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             at = pa.array([b[0].astype(np.uint16).view(np.int16) for b in bags], pa.list_(pa.int16()))
             yield pa.RecordBatch.from_arrays([batch.column(0), at, pa.array([b[1] for b in bags], pa.list_(pa.float32()))], names=["y", "at", "weight"])
 
-    rows = texts.select("y", "text").mapInArrow(run, "y int, at array<smallint>, weight array<float>").toArrow()
+    rows = map_texts(texts.select("y", "text"), run, "y int, at array<smallint>, weight array<float>").toArrow()
     y = rows.column("y").to_numpy().astype(np.int64)
     if len({*y.tolist()}) < 2:
         return np.zeros(BUCKETS), float(np.log(toxic / (n - toxic)))
@@ -197,7 +197,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], keep: list[str]
                 out += (1 / (1 + np.exp(-np.clip(odds, -500, 500)))).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, name])
 
-    return documents.select(*quoted(keep), F.col(text_col).alias("__text")).mapInArrow(run, with_fields(documents, keep, f"{name}: double"))
+    return map_texts(documents.select(*quoted(keep), F.col(text_col).alias("__text")), run, with_fields(documents, keep, f"{name}: double"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
