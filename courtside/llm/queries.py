@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import bpe, chat, decontaminate, exact_dedup, language_id, pipeline, quality, sharding, simhash, token_counts, toxicity
+from courtside.llm import bpe, chat, decontaminate, exact_dedup, inner_product, language_id, lexical, periodic, pipeline, quality, sharding, simhash, token_counts, toxicity
 from courtside.plans import bind
 
 
@@ -92,6 +92,41 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), F.when(part < 2, part))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest score for each benchmark item."""
+    return lexical.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document and its words without repetitions; a tenth of the documents is made to end periodically."""
+    c, h = F.col, F.crc32(F.col("doc_id").cast("string"))
+    # generators, so that what follows uses the words and does not cut the text again
+    docs = _documents(spark, sf_dir).select("doc_id", F.inline(F.array(F.struct(periodic.words_of(c("text")).alias("words"), h.alias("h"), F.floor(h / 10).alias("g")))))
+    docs = docs.withColumn("n", F.size("words").cast("bigint"))
+    start = F.pmod(c("g"), F.greatest(c("n"), F.lit(1)))
+    period = 1 + F.floor((c("n") - start) / (3 + c("g") % 8))
+    words = F.when((c("h") % 10 == 0) & (c("n") > 0), periodic.with_period(c("words"), c("n"), start, period)).otherwise(c("words"))
+    found = periodic.find_runs(docs.select("doc_id", words.alias("words")), c("words"), ["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = found.select("*", F.inline(F.array(F.struct(periodic.strongest(c("runs")).alias("best")))))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty vectors of the highest inner product for every twentieth vector, in integers."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return inner_product.top_inner_products(rows, lambda i: i % 20 == 0, 20, vector=inner_product.scaled(F.col("embedding"), 64.0))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
@@ -103,6 +138,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_inner_products": op13_inner_products,
     "pipeline": pipeline.run,
 }
 
@@ -148,4 +186,16 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         k AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        t AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d), c AS (SELECT row, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+        a AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+        g AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, a),
+        s AS (SELECT item, item_id, row, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score FROM i JOIN c USING (term) JOIN g USING (term), a GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+    "op13_inner_products": r"""
+        WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+        s AS (SELECT q.vec_id AS query_id, q.row AS query, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
 }
