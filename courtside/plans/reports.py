@@ -13,7 +13,7 @@ from courtside.operators import aggregates, identity, mart, scoring
 from courtside.plans import bind, catalog
 from courtside.plans.catalog import CAREER, GAMES, MATCH, NORMAL, ORACLE_SQL, PERF, PROFILES, QUERIES, SCORED, query, r, table
 from courtside.plans.storage import saved, shared_folder
-from courtside.sources import ingest
+from courtside.sources import ingest, tables
 from courtside.streaming import incremental
 
 
@@ -119,12 +119,46 @@ def s25_corrected(spark, sf_dir):
 
 @query("""SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events""")
 def x01_streamed_events(spark, sf_dir):
-    """The event files ingested by a stream that is run twice; each event is there once."""
-    target, checkpoint = _folder(spark, "ingested"), _folder(spark, "stream")
-    schema = table(spark, sf_dir, "events").schema
-    for _ in range(2):
-        incremental.ingest(spark, f"{sf_dir}/events*.parquet", schema, target, checkpoint, "event_id", "ts", "36500 days").awaitTermination()
-    return spark.read.parquet(target).select("event_id", "user_id", "ts")
+    """Events that come in two drops, of which the second has the older half and some of the first again, and are then read anew by a stream that knows nothing of the first; each is there once."""
+    source, target = _folder(spark, "drops"), _folder(spark, "ingested")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    schema, checkpoint = events.schema, _folder(spark, "stream")
+    middle = events.agg(F.timestamp_seconds(F.avg(F.unix_timestamp("ts"))).alias("t")).first().t
+    late = F.col("ts") < F.lit(middle)
+    for drop, again in ((events.where(~late), checkpoint), (events.where(late | (F.col("event_id") % 3 == 0)), checkpoint), (None, _folder(spark, "stream"))):
+        if drop is not None:
+            drop.write.mode("append").parquet(source)
+        incremental.ingest(spark, source, schema, target, again, "event_id", "ts").awaitTermination()
+    return incremental.ingested(spark, target, schema).select("event_id", "user_id", "ts")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'third' WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'first' END AS stage, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 2 * o_custkey WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 ELSE o_custkey END AS BIGINT) AS value FROM orders""")
+def s16_keyed_table(spark, sf_dir):
+    """Orders in a table laid out by key, of which a half and then a quarter is replaced in place."""
+    path = _folder(spark, "keyed")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("value"), F.col("o_orderdate").alias("at"))
+    stages = (("first", rows), ("second", rows.where("o_orderkey % 2 = 0").withColumn("value", F.col("value") + 1)), ("third", rows.where("o_orderkey % 4 = 0").withColumn("value", 2 * F.col("value"))))
+    for stage, part in stages:
+        new = part.withColumn("stage", F.lit(stage))
+        tables.upsert(new, path, ["o_orderkey"], "at", 32)
+    return tables.read_table(spark, path, new.schema).select("o_orderkey", "stage", "value")
+
+
+RUNNING = ["points", "efficiency"]
+
+
+@query(f"""SELECT player_id, season_start, competition_id, games, avg_points, avg_efficiency, std_points, std_efficiency, trend_points, trend_efficiency, CAST(total_points AS DOUBLE) AS total_points, first_game, last_game FROM ({catalog.SEASON})""")
+def x02_streamed_moments(spark, sf_dir):
+    """Season figures of every player kept by a stream that gets the days of all seasons in three drops, interleaved."""
+    source, target, checkpoint = (_folder(spark, x) for x in ("games", "moments", "stream"))
+    keys, order = ["player_id", "season_start", "competition_id"], ["game_id", "line_no", "part_id", "squad_id", "price"]
+    rows = saved(bind.view(spark, sf_dir, bind.RATED).select(*keys, "game_date", *order, *RUNNING))
+    for k in (2, 0, 1):
+        rows.where(F.pmod(F.unix_date(F.to_date("game_date")), F.lit(3)) == k).write.mode("append").parquet(source)
+        incremental.ingest_moments(spark, source, rows.schema, target, checkpoint, keys, "game_date", RUNNING, order).awaitTermination()
+    out = incremental.moments(spark, target, rows.schema, keys, "game_date", RUNNING, order)
+    return out.drop("total_efficiency").withColumnsRenamed({"first_at": "first_game", "last_at": "last_game"})
 
 
 # --- scalars over whole tables ----------------------------------------------------------------------------------------
