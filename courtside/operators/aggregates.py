@@ -126,6 +126,11 @@ def team_strength(wins: DataFrame) -> DataFrame:
     return wins.withColumn("strength", F.when((n < 3) | (std < 0.01), F.lit(1.0)).otherwise(1 + 0.06 * F.tanh(z)))
 
 
+def strength_of_seasons(strength: DataFrame) -> DataFrame:
+    """One factor for each team and season: that of the highest competition id, where a team plays in several."""
+    return strength.groupBy("team_id", "season_start").agg(F.max_by("strength", "competition_id").alias("strength"))
+
+
 def entity_fold(df: DataFrame, keys: list[str]) -> DataFrame:
     """First and last date, distinct games, and the first known birth year and team of each key."""
     order = F.struct(*ORDER)

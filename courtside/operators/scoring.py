@@ -153,6 +153,11 @@ def career_members(identities: DataFrame, profiles: DataFrame) -> DataFrame:
     return identities.join(p, "name").where(F.col("profile_birth_year").isNull() | F.col("profile_birth_year").eqNullSafe(F.col("birth_year")))
 
 
+def with_strength(scored: DataFrame, strength: DataFrame) -> DataFrame:
+    """Scored profiles with the factor ``(team_id, season_start, strength)`` of their team in that season; 1 where there is none."""
+    return scored.join(strength, ["team_id", "season_start"], "left").fillna(1.0, ["strength"])
+
+
 def career_seasons(members: DataFrame, keys: list[str]) -> DataFrame:
     """One row per identity and season: games, minutes, adjusted score weighted by minutes, top level."""
     used = members.where("eligible and total_minutes > 0 and potential is not null")

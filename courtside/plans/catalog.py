@@ -210,8 +210,11 @@ SELECT competition_id, season_start, team_id, count(*) AS games, avg(won) * 100
   SELECT competition_id, season_start, away_id, CAST(away_score > home_score AS INT) FROM ({GAMES})) GROUP BY ALL HAVING count(*) >= 3"""
 
 
+STRENGTH = "CASE WHEN count(*) OVER w < 3 OR stddev_pop(win_pct) OVER w < 0.01 THEN 1 ELSE 1 + 0.06 * tanh(least(greatest((win_pct - avg(win_pct) OVER w) / nullif(stddev_pop(win_pct) OVER w, 0), -2), 2)) END"
+
+
 @query(f"""
-SELECT competition_id, season_start, team_id, games, {r("win_pct", "win_pct")}, {r("CASE WHEN count(*) OVER w < 3 OR stddev_pop(win_pct) OVER w < 0.01 THEN 1 ELSE 1 + 0.06 * tanh(least(greatest((win_pct - avg(win_pct) OVER w) / nullif(stddev_pop(win_pct) OVER w, 0), -2), 2)) END", "strength")}
+SELECT competition_id, season_start, team_id, games, {r("win_pct", "win_pct")}, {r(STRENGTH, "strength")}
 FROM ({WINS}) WINDOW w AS (PARTITION BY competition_id, season_start)""")
 def a26_team_strength(spark, sf_dir):
     """Win percentage and strength factor of every team in a context."""
@@ -398,7 +401,7 @@ def j10_identity_candidates(spark, sf_dir):
 
 @query(f"""SELECT profile_id, n AS normal, CASE WHEN n <> '' THEN min(profile_id) OVER (PARTITION BY n) END AS consolidated_id FROM (SELECT profile_id, {NORMAL} AS n FROM ({PROFILES}))""")
 def a35_consolidated(spark, sf_dir):
-    """The first profile of every normal name."""
+    """The first profile of every normal name."""
     return identity.consolidated(bind.view(spark, sf_dir, bind.PROFILES))
 
 
@@ -447,6 +450,13 @@ k AS (SELECT *, CASE WHEN age IS NULL THEN 0.5 WHEN age <= 21 THEN 1.0 WHEN age
 sc AS (SELECT *, (0.2 * s_age + 0.3 * s_perf + 0.15 * s_prod + 0.15 * s_cons + 0.1 * s_adv + 0.1 * s_mom) * (0.85 + 0.15 * greatest(0.5, 1 - 0.05 * (2026 - season_start))) * conf AS potential FROM k)"""
 
 
+@query(f"""
+WITH {SCORED} SELECT player_id, team_id, season_start, games >= 8 AND total_minutes >= 80 AND avg_minutes >= 8 AS eligible, concat_ws('; ', CASE WHEN games < 8 THEN printf('few games (%d<8)', games) END, CASE WHEN total_minutes < 80 THEN printf('few minutes (%.0f<80)', total_minutes) END, CASE WHEN avg_minutes < 8 THEN printf('marginal role (%.1f<8)', floor(avg_minutes * 10 + 0.5e0) / 10) END) AS notes FROM sc""")
+def r01_eligibility_notes(spark, sf_dir):
+    """Whether a profile may be scored, and what it lacks."""
+    return _scored(spark, sf_dir).select("player_id", "team_id", "season_start", "eligible", "notes")
+
+
 @query(f"""
 WITH {SCORED} SELECT player_id, team_id, season_start, {r("s_age", "age_score")}, {r("s_perf", "performance_score")}, {r("s_prod", "production_score")}, {r("s_cons", "consistency_score")}, {r("s_adv", "advanced_score")}, {r("s_mom", "momentum_score")}, eligible, {r("conf", "confidence")}, {r("potential", "potential")},
   CASE WHEN potential >= 0.75 THEN 'very_high' WHEN potential >= 0.6 THEN 'high' WHEN potential >= 0.45 THEN 'medium' WHEN potential >= 0.3 THEN 'low' ELSE 'very_low' END AS tier, coalesce(age < 23, false) AND s_perf >= 0.6 AND eligible AS young_talent, s_cons >= 0.7 AND s_perf >= 0.6 AND eligible AS consistent FROM sc""")
@@ -457,7 +467,8 @@ def r13_season_scores(spark, sf_dir):
 
 
 CAREER = f"""
-WITH {SCORED}, mem AS (SELECT player_id, birth_year, season_start, games, total_minutes AS minutes, potential * CASE level WHEN 3 THEN 1.0 WHEN 2 THEN 0.9 WHEN 1 THEN 0.85 ELSE 0.8 END AS adj, level FROM sc WHERE eligible AND total_minutes > 0),
+WITH {SCORED}, tf AS (SELECT team_id, season_start, arg_max(strength, competition_id) AS strength FROM (SELECT competition_id, season_start, team_id, {STRENGTH} AS strength FROM ({WINS}) WINDOW w AS (PARTITION BY competition_id, season_start)) GROUP BY ALL),
+mem AS (SELECT player_id, birth_year, sc.season_start, games, total_minutes AS minutes, potential * (1 + 0.5 * (coalesce(strength, 1) - 1)) * CASE level WHEN 3 THEN 1.0 WHEN 2 THEN 0.9 WHEN 1 THEN 0.85 ELSE 0.8 END AS adj, level FROM sc LEFT JOIN tf ON sc.team_id = tf.team_id AND sc.season_start = tf.season_start WHERE eligible AND total_minutes > 0),
 se AS (SELECT player_id, birth_year, season_start, sum(games) AS games, sum(minutes) AS minutes, max(level) AS lvl, sum(adj * minutes) / sum(minutes) AS score FROM mem GROUP BY ALL),
 nu AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season_start DESC) AS rn, row_number() OVER (PARTITION BY player_id ORDER BY season_start) - 1 AS nth FROM se),
 ca AS (SELECT player_id, birth_year, count(*) AS seasons, CAST(sum(games) AS BIGINT) AS games, max(season_start) AS last_season, arg_max(season_start, (score, season_start)) AS best_season, sum(score * minutes) / sum(minutes) AS career_avg, sum(CASE WHEN rn <= 2 THEN score * minutes END) / sum(CASE WHEN rn <= 2 THEN minutes END) AS recent,
@@ -475,12 +486,17 @@ SELECT player_id, birth_year, seasons, games, last_season, best_season, {r("care
   recent >= 0.55 AND (recent > career_avg * 1.05 OR recent >= 0.65) AND age BETWEEN 22 AND 29 AS peak_performer FROM cd"""
 
 
+def _careers(spark, sf_dir):
+    keys = ["player_id", "birth_year"]
+    strength = aggregates.strength_of_seasons(aggregates.team_strength(aggregates.team_wins(bind.view(spark, sf_dir, bind.GAMES))))
+    return scoring.career_scores(scoring.career_seasons(scoring.with_strength(_scored(spark, sf_dir), strength), keys), keys)
+
+
 @query(CAREER)
 def r23_career_scores(spark, sf_dir):
-    """Career scores of every player."""
+    """Career scores of every player, adjusted by the strength of the teams played for."""
     keys = ["player_id", "birth_year"]
-    seasons = scoring.career_seasons(_scored(spark, sf_dir).withColumn("strength", F.lit(1.0)), keys)
-    out = scoring.career_scores(seasons, keys)
+    out = _careers(spark, sf_dir)
     values = ["career_avg", "recent", "trajectory", "consistency", "unified"]
     return out.select(*keys, "seasons", "games", "last_season", "best_season", *values, "tier", "rising_star", "established", "peak_performer")
 
@@ -757,8 +773,22 @@ SELECT team_id, {r("avg(avg_points)", "avg_current")}, {r("avg(score)", "avg_pro
 def a42_roster_summary(spark, sf_dir):
     """Rosters with their current and projected averages."""
     facts = bind.view(spark, sf_dir, bind.PERF)
-    best = facts.groupBy("player_id").agg(F.max("points").alias("score"))
-    return mart.roster_summary(mart.roster(facts, best), "avg_points", "score")
+    best = facts.groupBy("player_id", "birth_year").agg(F.max("points").alias("score"))
+    return mart.roster_summary(mart.roster(facts, best, "player_id"), "avg_points", "score")
+
+
+NAMESAKES = "(player_id * 7) % 700 AS name"
+
+
+@query(f"""
+WITH f AS (SELECT *, {NAMESAKES} FROM ({PERF})), p AS (SELECT name, birth_year, max(points + minutes) AS score FROM f WHERE player_id % 3 > 0 GROUP BY ALL),
+t AS (SELECT team_id, player_id, max(birth_year) AS birth_year, max(name) AS name, count(DISTINCT game_id) AS games, avg(points) AS avg_points FROM f GROUP BY 1, 2 HAVING count(DISTINCT game_id) >= 3)
+SELECT team_id, player_id, t.birth_year, games, {r("avg_points", "avg_points")}, coalesce(own.score, (SELECT max(score) FROM p WHERE p.name = t.name)) AS score FROM t LEFT JOIN p own ON own.name = t.name AND own.birth_year IS NOT DISTINCT FROM t.birth_year""")
+def j17_rosters(spark, sf_dir):
+    """Rosters whose players share names with others: each gets the score of the same name and birth year, else the highest of the name."""
+    facts = bind.view(spark, sf_dir, bind.PERF).withColumn("name", F.expr(NAMESAKES.removesuffix(" AS name")))
+    potential = facts.where("player_id % 3 > 0").groupBy("name", "birth_year").agg(F.max(F.col("points") + F.col("minutes")).alias("score"))
+    return mart.roster(facts, potential, "name").select("team_id", "player_id", "birth_year", "games", "avg_points", "score")
 
 
 @query(f"""SELECT player_id, season_start, competition_id, {r("std_points / avg_points", "cv")} FROM (SELECT player_id, season_start, competition_id, stddev_pop(points) AS std_points, avg(points) AS avg_points, count(*) AS n FROM ({PERF}) GROUP BY ALL) WHERE avg_points > 10 AND n >= 5 ORDER BY std_points / avg_points, player_id, season_start, competition_id LIMIT 10""")
@@ -781,7 +811,7 @@ def t05_top_scorers(spark, sf_dir):
 def t01_candidate_report(spark, sf_dir):
     """The best candidate pairs with their names."""
     p = bind.view(spark, sf_dir, bind.PROFILES)
-    return mart.candidate_report(identity.candidates(p), p)
+    return mart.candidate_report(identity.candidates(p, 0.75), p)
 
 
 @query(f"""

@@ -109,7 +109,7 @@ def w09_split_points(spark, sf_dir):
 
 @query("""SELECT c_custkey, c_name AS player_name, CAST(CASE WHEN c_custkey % 4 = 0 THEN 1990 + c_custkey % 10 WHEN c_custkey % 3 = 0 THEN NULL ELSE 1980 END AS INT) AS birth_year FROM customer""")
 def s25_corrected(spark, sf_dir):
-    """Birth years filled and replaced by the corrections of a CSV file."""
+    """Birth years filled and replaced by the corrections of a CSV file."""
     path = _folder(spark, "corrections")
     c = table(spark, sf_dir, "customer")
     c.where("c_custkey % 4 = 0").select(F.col("c_name").alias("player_name"), (1990 + F.col("c_custkey") % 10).alias("birth_year")).write.csv(path, header=True)
@@ -266,18 +266,13 @@ def j18_active_teams(spark, sf_dir):
     return mart.active_teams(bind.view(spark, sf_dir, bind.GAMES), bind.view(spark, sf_dir, bind.PERF), bind.view(spark, sf_dir, PLAYERS), 1996)
 
 
-def _careers(spark, sf_dir):
-    keys = ["player_id", "birth_year"]
-    return scoring.career_scores(scoring.career_seasons(catalog._scored(spark, sf_dir).withColumn("strength", F.lit(1.0)), keys), keys)
-
-
 @query(f"""
 WITH c AS ({CAREER}), l AS (SELECT * FROM (SELECT player_id, season_start, team_id, row_number() OVER (PARTITION BY player_id, season_start ORDER BY part_id DESC) AS rn FROM (SELECT player_id, season_start, team_id, max(part_id) AS part_id FROM ({PERF}) GROUP BY ALL)) WHERE rn = 1)
 SELECT CAST(c.player_id AS VARCHAR) AS name, c.birth_year, c.last_season, c.seasons, c.unified, c.tier, l.team_id FROM c LEFT JOIN l ON c.player_id = l.player_id AND c.last_season = l.season_start WHERE c.unified >= 0.2 ORDER BY c.unified DESC, CAST(c.player_id AS VARCHAR), c.birth_year LIMIT 50""")
 def j16_career_list(spark, sf_dir):
     """The best careers with the latest team of their last season."""
     profiles = bind.view(spark, sf_dir, bind.PERF).groupBy(F.col("player_id").cast("string").alias("name"), "season_start", "team_id").agg(F.max("part_id").alias("profile_id"))
-    careers = catalog.rounded(_careers(spark, sf_dir).withColumn("name", F.col("player_id").cast("string")))
+    careers = catalog.rounded(catalog._careers(spark, sf_dir).withColumn("name", F.col("player_id").cast("string")))
     return mart.career_list(careers, profiles, "name", 0.2, 50).select("name", "birth_year", "last_season", "seasons", "unified", "tier", "team_id")
 
 
@@ -287,7 +282,7 @@ WITH c AS ({CAREER}) SELECT player_id, tier, CASE tier WHEN 'elite' THEN 'ELI' W
 def p51_career_labels(spark, sf_dir):
     """Codes, alerts and labels of every career."""
     c = F.col
-    rows = _careers(spark, sf_dir)
+    rows = catalog._careers(spark, sf_dir)
     return rows.select("player_id", "tier", scalars.tier_code(c("tier")).alias("code"), scalars.is_conservative(c("tier"), c("unified"), c("career_avg")).alias("conservative"), F.concat_ws(",", scoring.career_labels()).alias("labels"))
 
 
@@ -330,5 +325,5 @@ SELECT p.profile_id, name, games, {r("avg_points", "avg_points")}, unified FROM
 def j14_profile_details(spark, sf_dir):
     """Every profile with its metrics and potential, where there are any."""
     metrics = bind.view(spark, sf_dir, bind.PERF).groupBy(F.col("player_id").alias("profile_id")).agg(F.avg("points").alias("avg_points"), F.count("*").alias("games"))
-    potential = _careers(spark, sf_dir).groupBy(F.col("player_id").alias("profile_id")).agg(F.max("unified").alias("unified"))
+    potential = catalog._careers(spark, sf_dir).groupBy(F.col("player_id").alias("profile_id")).agg(F.max("unified").alias("unified"))
     return mart.profile_detail(bind.view(spark, sf_dir, bind.PROFILES).select("profile_id", "name"), metrics, potential).select("profile_id", "name", "games", "avg_points", "unified")
