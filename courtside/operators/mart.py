@@ -80,19 +80,24 @@ def candidate_report(pairs: DataFrame, profiles: DataFrame, least: float = 0.75,
     return pairs.where(F.col("score") >= least).join(a, "id1").join(b, "id2").select("id1", "name1", "id2", "name2", "score", "confidence").orderBy(F.desc("score"), "id1", "id2").limit(top)
 
 
-def roster(facts: DataFrame, potential: DataFrame, name: str, least_games: int = 3) -> DataFrame:
-    """Each team's players with their averages and one score.
+def scored_by_name(rows: DataFrame, scores: DataFrame, name: str) -> DataFrame:
+    """Rows ``(name, birth_year)`` with one score each: that of the same name and birth year (an unknown one is equal to an unknown one), else the highest of the name. Namesakes don't multiply rows."""
+    own = scores.groupBy(F.col(name).alias("__name"), F.col("birth_year").alias("__born")).agg(F.max("score").alias("__own"))
+    rows = rows.join(own, (F.col(name) == F.col("__name")) & F.col("birth_year").eqNullSafe(F.col("__born")), "left").drop("__name", "__born")
+    best = scores.groupBy(name).agg(F.max("score").alias("__best"))
+    return rows.join(best, name, "left").withColumn("score", F.coalesce("__own", "__best")).drop("__own", "__best")
 
-    ``potential`` has rows ``(name, birth_year, score)``. A player gets the score of the same name and birth year (an
-    unknown one is equal to an unknown one), else the highest of the name: namesakes don't multiply the roster.
-    """
+
+def team_players(facts: DataFrame, name: str, least_games: int = 3) -> DataFrame:
+    """Each team's players of enough games with their names, birth years and averages."""
     averages = [F.avg(c).alias(f"avg_{c}") for c in ("minutes", "points", "reb", "ast", "efficiency")]
     of_player = [F.max(c).alias(c) for c in dict.fromkeys([name, "birth_year"]) if c != "player_id"]
-    rows = facts.groupBy("team_id", "player_id").agg(*of_player, F.count_distinct("game_id").alias("games"), *averages).where(F.col("games") >= least_games)
-    own = potential.groupBy(F.col(name).alias("__name"), F.col("birth_year").alias("__born")).agg(F.max("score").alias("__own"))
-    rows = rows.join(own, (F.col(name) == F.col("__name")) & F.col("birth_year").eqNullSafe(F.col("__born")), "left").drop("__name", "__born")
-    best = potential.groupBy(name).agg(F.max("score").alias("__best"))
-    return rows.join(best, name, "left").withColumn("score", F.coalesce("__own", "__best")).drop("__own", "__best")
+    return facts.groupBy("team_id", "player_id").agg(*of_player, F.count_distinct("game_id").alias("games"), *averages).where(F.col("games") >= least_games)
+
+
+def roster(facts: DataFrame, potential: DataFrame, name: str, least_games: int = 3) -> DataFrame:
+    """Each team's players with their averages and the one score that ``potential (name, birth_year, score)`` has for them."""
+    return scored_by_name(team_players(facts, name, least_games), potential, name)
 
 
 def roster_summary(rows: DataFrame, current: str, projected: str, by: str = "team_id") -> DataFrame:

@@ -6,6 +6,7 @@ are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from courtside.functions import boxscore, names, scalars
 from courtside.operators import aggregates, identity, mart, normalize, quality, scoring, windows
 from courtside.plans import bind, model
-from courtside.plans.storage import saved
+from courtside.plans.storage import saved, shared_folder
 from courtside.sources import ingest, pages
 from courtside.streaming import incremental
 
@@ -733,40 +734,83 @@ def m01_feature_mart(spark, sf_dir):
     return _mart(spark, sf_dir).select("player_id", *aggregates.ORDER, *[c for part in MART.values() for c in part], "target_points", "target_efficiency")
 
 
-FEATURES = ["minutes", "points", "fga", "fta", "reb", "games", "avg_points", "std_points", "trend_points", "win_pct", "team_win_pct", "match_weight"]
+LABELS = ["target_points", "target_efficiency"]
+FEATURES, CATEGORIES = [c for part in MART.values() for c in part], ["group_name"]
+#: Player, order of the row, name and birth year: what stands beside the features.
+MODEL_KEYS = ["player_id", *aggregates.ORDER, "birth_year"]
 
 
-LABELS = ["target_points", "target_efficiency"]
-#: The parts of the mart that the model's features come from.
-MODEL_PARTS = ("event", "season", "wins")
+def _model_rows(spark, sf_dir) -> DataFrame:
+    """The mart's rows with all features as numbers and the phase as a category, written once."""
+    rows = _mart(spark, sf_dir).select(*MODEL_KEYS, *LABELS, *CATEGORIES, *FEATURES)
+    return saved(model.with_categories(mart.numeric_features(rows, [*MODEL_KEYS, *LABELS, *CATEGORIES]), CATEGORIES))
+
+
+def _fitted(rows: DataFrame, labels: list[str]):
+    train, test = model.split(rows, "player_id")
+    return train, test, model.train_all(train, FEATURES, labels, categories=CATEGORIES, entity="player_id")
 
 
 @query()
 def m13_predictions(spark, sf_dir):
-    """Projections of both targets for the latest row of every player with the features that move them most, from trees fitted to the players of the training share."""
-    rows = saved(mart.numeric_features(_mart(spark, sf_dir, MODEL_PARTS).select("player_id", *aggregates.ORDER, *LABELS, *FEATURES), ["player_id", *aggregates.ORDER, *LABELS]))
-    train, _ = model.split(rows, "player_id")
-    fitted = model.train_all(train, FEATURES, LABELS)
+    """Projections of both targets for the latest row of every player with the features that move them most, from trees on all features of the mart, fitted to the players of the training share."""
+    rows = _model_rows(spark, sf_dir)
+    train, _, fitted = _fitted(rows, LABELS)
     usual = train.agg(*[F.avg(c).alias(c) for c in FEATURES]).first().asDict()
     latest = saved(mart.latest_of(rows, ["player_id"], *aggregates.ORDER))
-    points, efficiency = (model.explained(fitted[label], latest, FEATURES, usual, "player_id") for label in LABELS)
+    points, efficiency = (model.explained(fitted[label], latest, FEATURES, usual, "player_id", categories=CATEGORIES) for label in LABELS)
     efficiency = efficiency.select("player_id", F.col("prediction").alias("efficiency_prediction"), F.col("top_features").alias("efficiency_features"))
     return points.select("player_id", "was.avg_points", "prediction", "top_features").join(efficiency, "player_id")
 
 
 @query()
 def m09_model_metrics(spark, sf_dir):
-    """Errors of the models of both targets on the players that they were fitted to and on the others."""
-    rows = saved(mart.numeric_features(_mart(spark, sf_dir, MODEL_PARTS).select("player_id", *LABELS, *FEATURES), ["player_id", *LABELS]))
-    sides = dict(zip(("train", "test"), model.split(rows, "player_id")))
+    """Errors of the models of both targets on the players that they were fitted to and on the others, their number of trees and the features that they use most."""
+    train, test, fitted = _fitted(_model_rows(spark, sf_dir), LABELS)
     out = None
-    for label, fitted in model.train_all(sides["train"], FEATURES, LABELS).items():
-        for side, part in sides.items():
-            one = model.metrics(fitted.transform(part.where(F.col(label).isNotNull())), label).select(F.lit(label).alias("target"), F.lit(side).alias("side"), "*")
-            out = one if out is None else out.unionByName(one)
+    for label, one in fitted.items():
+        named = [F.lit(c) for c, _ in model.importance(one, [*FEATURES, *CATEGORIES])[:5]]
+        for side, part in (("train", train), ("test", test)):
+            row = model.metrics(one.transform(part.where(F.col(label).isNotNull())), label)
+            row = row.select(F.lit(label).alias("target"), F.lit(side).alias("side"), "*", F.lit(one.stages[-1].getNumTrees).alias("trees"), F.array(*named).alias("most_used"))
+            out = row if out is None else out.unionByName(row)
     return out
 
 
+@query()
+def m12_permutation_importance(spark, sf_dir):
+    """How the error on the test players grows with each feature of the points model dealt anew, beside the model's own importance."""
+    _, test, fitted = _fitted(_model_rows(spark, sf_dir), LABELS[:1])
+    one = fitted[LABELS[0]]
+    found = model.permutation_importance(one, test.withColumn("row", F.struct("player_id", *aggregates.ORDER)), LABELS[0], FEATURES, "row")
+    used = F.create_map(*[F.lit(x) for c, v in model.importance(one, [*FEATURES, *CATEGORIES]) for x in (c, v)])
+    return found.withColumn("importance", F.element_at(used, F.col("feature")))
+
+
+@query()
+def m15_roster_projection(spark, sf_dir):
+    """The roster of every team with the points that a saved model, loaded again, projects for each player, found by name and birth year."""
+    rows, path = _model_rows(spark, sf_dir), f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    _, _, fitted = _fitted(rows, LABELS[:1])
+    model.save(fitted[LABELS[0]], path, FEATURES)
+    loaded, features = model.load(path)
+    name = F.col("player_id").cast("string")
+    latest = mart.latest_of(rows, ["player_id"], *aggregates.ORDER).select("birth_year", name.alias("name"), *CATEGORIES, *features)
+    rosters = mart.team_players(bind.view(spark, sf_dir, bind.PERF).withColumn("name", name), "name")
+    out = model.roster_projection(loaded, latest, rosters, "name")
+    return out.select("team_id", "player_id", "birth_year", "games", "avg_points", "projected", "change")
+
+
+@query()
+def m17_cross_validation(spark, sf_dir):
+    """The error of each depth and rate in folds of whole players, on the ten features with the strongest relation to the target."""
+    rows = _model_rows(spark, sf_dir).where(F.col(LABELS[0]).isNotNull())
+    chosen = model.select_features(rows, FEATURES, LABELS[0], 10)
+    found = model.tune(rows.select("player_id", LABELS[0], *chosen), chosen, LABELS[0], [3, 5], [0.1, 0.3], "player_id", folds=3, trees=10)
+    grid = [({p.name: v for p, v in g.items()}, float(m)) for g, m in zip(found.getEstimatorParamMaps(), found.avgMetrics)]  # a row a setting
+    return spark.createDataFrame([(g["maxDepth"], g["stepSize"], m, chosen) for g, m in grid], "depth int, rate double, rmse double, features array<string>")
+
+
 @query(f"""
 WITH p AS (SELECT player_id, max(points) AS score FROM ({PERF}) GROUP BY 1), t AS (SELECT team_id, player_id, count(DISTINCT game_id) AS games, {", ".join(f"avg({c}) AS avg_{c}" for c in ("minutes", "points", "reb", "ast", "efficiency"))} FROM ({PERF}) GROUP BY 1, 2 HAVING count(DISTINCT game_id) >= 3)
 SELECT team_id, {r("avg(avg_points)", "avg_current")}, {r("avg(score)", "avg_projected")}, {r("avg(score) - avg(avg_points)", "delta")}, count(score) AS covered, count(*) AS players FROM t LEFT JOIN p USING (player_id) GROUP BY team_id""")

@@ -189,13 +189,13 @@ def test_models(spark, tmp_path):
     train, test = model.split(df, "id")
     fitted = model.train_all(train, ["x", "z"], ["y"], depth=3, trees=5)["y"]
     assert model.metrics(fitted.transform(test), "y").first().r2 > 0.8
-    assert model.importance(fitted, ["x", "z"])[0][0] == "x" and model.permutation_importance(fitted, test, "y", "x", "id") > 0
+    assert model.importance(fitted, ["x", "z"])[0][0] == "x" and {r.feature: r.growth > 1 for r in model.permutation_importance(fitted, test, "y", ["x", "z"], "id").collect()} == {"x": True, "z": False}
     assert model.select_features(df, ["x", "z"], "y", 1) == ["x"]
     assert model.what_if(fitted, test, "x", 16.0, ["id"]).agg(F.avg("prediction")).first()[0] > 40
     model.save(fitted, str(tmp_path / "m"), ["x", "z"])
     again, columns = model.load(str(tmp_path / "m"))
     assert columns == ["x", "z"] and again.transform(test).count() == test.count()
-    assert len(model.tune(train, ["x", "z"], "y", [2], [0.1, 0.3], folds=2, trees=2).avgMetrics) == 2
+    assert len(model.tune(train, ["x", "z"], "y", [2], [0.1, 0.3], "id", folds=2, trees=2).avgMetrics) == 2
     model.log_run(model.metrics(fitted.transform(test), "y"), str(tmp_path / "log"), "m")
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
 
