@@ -191,9 +191,21 @@ def exact_dedup(df: DataFrame, snapshot: Column, id_col: str = "doc_id", text_co
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def _differing(df: DataFrame, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Digests whose sides' representatives, compared byte by byte, turn out to differ: an equal digest of another text."""
+def _side_texts(df: DataFrame, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(sha, text)``: the normalised texts of the sides' representatives.
+
+    Ids decide first which rows are hashed again; then id and digest together find the text, so that an id on many
+    rows, or none, brings its rows together with their own digests only.
+    """
     ids = several.select("sha", F.explode("ids").alias("id")).unionByName(several.where("nulls").select("sha", F.lit(None).cast(df.schema[id_col].dataType).alias("id")))
     wanted = small_side(ids.distinct())
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("sha", normalised(F.col("text")).alias("text"))
-    return texts.where(F.sha2("text", 256) == F.col("sha")).groupBy("sha").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("sha")
+    named = small_side(ids.select("id").distinct())
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(named, F.col("__id").eqNullSafe(F.col("id")), "left_semi")
+    texts = texts.select("__id", normalised(F.col("text")).alias("text")).withColumn("__sha", F.sha2("text", 256))
+    return texts.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__sha") == F.col("sha"))).select("sha", "text")
+
+
+def _differing(df: DataFrame, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Digests whose sides' representatives, compared byte by byte, turn out to differ: an equal digest of another text."""
+    texts = _side_texts(df, several, id_col, text_col)
+    return texts.groupBy("sha").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("sha")

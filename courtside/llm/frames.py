@@ -39,15 +39,16 @@ def map_texts(df: DataFrame, run: Callable, schema: StructType | str) -> DataFra
     return df.mapInArrow(run, schema)
 
 
-def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, most: int, rows: int, salt: int = 7) -> DataFrame:
     """All of ``df`` if its ``rows`` are ``most`` or fewer, else the rows whose key hashes below the share that makes about
-    ``most`` (within a few per cent for thousands): the same rows in every run, without a sort or a gathering task."""
+    ``most`` (within a few per cent for thousands): the same rows in every run, without a sort or a gathering task. A sample
+    of a sample needs another ``salt``."""
     whole = 1 << 30
-    return df if rows <= most else df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(whole)) < int(whole * most / rows))
+    return df if rows <= most else df.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(whole)) < int(whole * most / rows))
 
 
 def one_row_each(df: DataFrame, id_col: str, digest: Column, decided: DataFrame, order: Column) -> DataFrame:
-    """The rows of ``df`` whose id and digest ``decided (id, digest, kept, copies)`` keeps, one of each: the largest by ``order``.
+    """The rows of ``df`` whose id and digest ``decided (id, digest, kept, copies)`` keeps, one of each: the largest by ``order``, then by the hash of the row's columns as JSON.
 
     Ids compare null-safe. Rows that ``decided`` keeps and has one copy of are not gathered by key.
     """
@@ -58,5 +59,6 @@ def one_row_each(df: DataFrame, id_col: str, digest: Column, decided: DataFrame,
     again = aside.where("kept")
     if again.isEmpty():
         return rest
-    row = F.max_by(F.struct(*quoted(df.columns)), order).alias("__row")
+    whole = F.struct(*quoted(df.columns))
+    row = F.max_by(whole, F.struct(order.alias("o"), F.xxhash64(F.to_json(whole)).alias("h"))).alias("__row")
     return rest.unionByName(marked.join(again, same, "left_semi").groupBy(id_col, "__digest").agg(row).select("__row.*"))

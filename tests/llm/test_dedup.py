@@ -268,6 +268,34 @@ def test_exact_dedup_with_repeated_ids(spark):
     assert [(r.group_size, r.doc_id) for r in got if r.kept and r.keep_id is None] == [(2, None)]
 
 
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_byte_check_is_linear_in_rows_of_one_id(spark, same_id):
+    def rows(n):
+        df = spark.createDataFrame([(same_id, f"text {i}", s) for i in range(n) for s in (0, None)], "doc_id long, text string, snapshot int")
+        several = df.select(F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("sha")).distinct()
+        ids = F.array_compact(F.array(F.lit(same_id).cast("long")))
+        several = several.select("sha", ids.alias("ids"), F.lit(same_id is None).alias("nulls"))
+        found = exact_dedup._side_texts(df, several, "doc_id", "text")
+        plan = found.where("text <> ''")
+        assert plan.count() == 2 * n
+        return df, plan
+
+    df, _ = rows(50)
+    _, many = rows(400)
+    assert many.groupBy("sha").count().where("count <> 2").count() == 0
+    out = exact_dedup.exact_dedup(df, F.col("snapshot")).collect()
+    assert len(out) == 100 and {r.group_size for r in out} == {2} and sum(r.kept for r in out) == 50
+
+
+def test_one_row_each_is_the_same_in_every_run(spark):
+    from courtside.llm.frames import one_row_each
+
+    df = spark.createDataFrame([(1, "a", x) for x in range(40)], "doc_id long, text string, extra int")
+    decided = spark.createDataFrame([(1, "a", True, 40)], "id long, digest string, kept boolean, copies int")
+    found = {one_row_each(df.repartition(k), "doc_id", F.col("text"), decided, F.lit(0)).first().extra for k in (1, 3, 7)}
+    assert len(found) == 1
+
+
 def test_stored_filters_screen_a_later_batch(spark, tmp_path):
     known = spark.createDataFrame([(s, f"{i:064x}") for i in range(3000) for s in (0, 1) if i % 3 != s], "snapshot int, sha string")
     old = exact_dedup.KEYS_PER_BUCKET
