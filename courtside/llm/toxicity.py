@@ -8,8 +8,9 @@ Unseen spellings share grams with seen ones. With two classes and a linear head
 bucket, which is what scoring uses: a word costs a cached look-up, and cached words are bounded in number.
 
 The model is fitted on the driver to a bounded sample: about ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts at most,
-picked by hash whatever their length and learned from whole. The texts' bags are made by tasks; the driver gets six bytes
-a distinct gram of a text, which training reads in blocks without copying. Intercepts are moved to the labels' true rate.
+picked by hash whatever their length and learned from whole. The texts' bags are made by tasks, written and weighed; the
+driver gets six bytes a distinct gram of a text and ``MOST_BYTES`` at most: of a heavier sample, a share by hash that
+fits. Training reads them in blocks without copying. Intercepts are moved to the labels' true rate.
 
 Null and empty texts get the score of the prior alone; texts of any length are read whole; several labels of one
 document count by their maximum, and any label above 0 is 1; repeated rows each get a row; ids may be null; an empty
@@ -32,9 +33,9 @@ from courtside.llm.frames import hash_sample, map_texts, quoted, with_fields
 from courtside.plans.storage import saved, small_side
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 4, (3, 4, 5)
-MOST_TOXIC, MOST_CLEAN = 2500, 4500
-#: Texts that a gram must occur in to be learned from, and those at which it counts half; steps, rate, momentum and
-#: penalty of the descent; texts in a block.
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 2500, 4500, 192 << 20
+#: Texts that a gram must occur in to be learned from, and those at which it counts half; steps (chosen by
+#: :func:`fold_f1` among texts that may be learned from), rate, momentum and penalty of the descent; texts in a block.
 LEAST_TEXTS, SHRINK_TEXTS, STEPS, RATE, MOMENTUM, PENALTY = 2, 10, 40, 30.0, 0.9, 1e-5
 BLOCK_TEXTS = 64
 THRESHOLD = 0.3
@@ -143,6 +144,27 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     return linear(params, scale, centre)
 
 
+def fold_f1(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, folds: np.ndarray) -> float:
+    """How well each fold's label 1 is found by what the other folds teach: the harmonic mean of precision and recall at ``THRESHOLD``.
+
+    This is what parameters are chosen by; held-out labels are no part of it.
+    """
+    said = np.zeros(len(y), bool)
+    for k in np.unique(folds):
+        own = np.flatnonzero(folds == k)
+        rest = np.flatnonzero(folds != k)
+        weights, intercept = train([bags[i] for i in rest], y[rest])
+        said[own] = [intercept + float(weights[at] @ weight) >= np.log(THRESHOLD / (1 - THRESHOLD)) for at, weight in (bags[i] for i in own)]
+    hits = int((said & (y == 1)).sum())
+    return 2 * hits / max(1, int(said.sum()) + int(y.sum()))
+
+
+def _within(rows: DataFrame, most: int) -> DataFrame:
+    """Written bags ``(id, y, at, weight)`` of ``most`` bytes together, about: all, or a share by hash of the id."""
+    size = rows.agg(F.coalesce(F.sum(6 * F.size("at") + 16), F.lit(0))).first()[0]
+    return rows if size <= most else hash_sample(rows, "id", most, size, salt=8)
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """Train on a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -159,9 +181,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             bags = [bag(t.as_py()) for t in batch.column(1)]
             # bucket numbers are 16 bits wide; Spark has signed ones only
             at = pa.array([b[0].astype(np.uint16).view(np.int16) for b in bags], pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), at, pa.array([b[1] for b in bags], pa.list_(pa.float32()))], names=["y", "at", "weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], at, pa.array([b[1] for b in bags], pa.list_(pa.float32()))], names=["id", "y", "at", "weight"])
 
-    rows = map_texts(texts.select("y", "text"), run, "y int, at array<smallint>, weight array<float>").toArrow()
+    made = saved(map_texts(texts.select("id", "text", "y"), run, with_fields(texts, ["id"], "y: int, at: array<smallint>, weight: array<float>")))
+    rows = _within(made, MOST_BYTES).select("y", "at", "weight").toArrow()
     y = rows.column("y").to_numpy().astype(np.int64)
     if len({*y.tolist()}) < 2:
         return np.zeros(BUCKETS), float(np.log(toxic / (n - toxic)))

@@ -85,6 +85,29 @@ def test_toxicity_gradients_by_finite_differences(monkeypatch):
     assert abs(loss - toxicity.loss_and_gradients(params, bags, y, scale, centre)[0]) < 1e-9
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, 0, [1] * (i % 50), [0.5] * (i % 50)) for i in range(2000)]
+    made = spark.createDataFrame(rows, "id long, y int, at array<smallint>, weight array<float>")
+    size = lambda df: sum(6 * len(r["at"]) + 16 for r in df.collect())
+    whole = size(made)
+    assert toxicity._within(made, whole).count() == 2000
+    assert 0.8 * whole / 3 < size(toxicity._within(made, whole // 3)) < 1.2 * whole / 3
+    first = toxicity.hash_sample(made, "id", 500, 2000)  # a sample of a sample shrinks too
+    assert 0.3 * first.count() < toxicity._within(first, size(first) // 2).count() < 0.7 * first.count()
+    docs = spark.createDataFrame([(i, ("nice day " if i % 2 else "vile rot ") * 5) for i in range(80)], "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).alias("toxic"))
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 2000)
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in toxicity.toxicity(docs, labels).collect())
+
+
+def test_parameters_are_chosen_by_folds(monkeypatch):
+    rng = np.random.default_rng(2)
+    bags = [toxicity.bag(" ".join(rng.choice(["calm", "kind", "rain"], 9)) + (" vile" if k % 4 == 0 else "")) for k in range(120)]
+    y = np.array([int(k % 4 == 0) for k in range(120)])
+    assert toxicity.fold_f1(bags, y, rng.integers(0, 4, 120)) > 0.9
+    assert toxicity.fold_f1(bags, rng.permutation(y), rng.integers(0, 4, 120)) < 0.7
+
+
 def test_toxicity_scores_against_brute_force(spark, sf_dir):
     """Every document of the table by the definition, one gram at a time, from the fitted weights."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9000, None), (9001, ""), (9002, "Ünïcode Ünïcode 🙂 x"), (9003, "long " * 50_000)], "doc_id long, text string"))
