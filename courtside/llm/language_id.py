@@ -104,11 +104,11 @@ def host_of(url: Column) -> Column:
 
 
 def address_suffix(url: Column, langs: list[str]) -> Column:
-    """A language that the address names: its first path segment, or else its last host label; null if neither does."""
+    """What the address says of its language: a first path segment that is a language, or else the two letters that end its host, whatever they are (what they are worth is learned); null if it has neither."""
     first = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1))
     last = F.regexp_extract(host_of(url), r"\.([a-z]{2})$", 1)
     known = F.array(*map(F.lit, langs)) if langs else F.array().cast("array<string>")
-    return F.when(F.array_contains(known, first), first).when(F.array_contains(known, last), last)
+    return F.when(F.array_contains(known, first), first).otherwise(F.nullif(last, F.lit("")))
 
 
 def _softmax(ll: Column) -> Column:
