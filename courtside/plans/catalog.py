@@ -194,8 +194,8 @@ FROM b JOIN t ON b.team_id = t.team_id AND b.season_start = t.season_start"""
 METRICS = metrics_sql(r)
 
 
-def _metrics(spark, sf_dir):
-    events = normalize.normalised(bind.view(spark, sf_dir, bind.RATED), ["level", "season_start"], list(PROFILE_Z))
+def _metrics(spark, sf_dir, facts=None):
+    events = normalize.normalised(bind.view(spark, sf_dir, bind.RATED) if facts is None else facts, ["level", "season_start"], list(PROFILE_Z))
     return aggregates.profile_metrics(events, ["player_id", "team_id", "season_start"], ["team_id", "season_start"], PROFILE_Z, ("level", "birth_year"))
 
 
@@ -356,9 +356,9 @@ def w19_season_changes(spark, sf_dir):
     return _season_changes(spark, sf_dir)
 
 
-def _season_changes(spark, sf_dir):
+def _season_changes(spark, sf_dir, facts=None):
     c = F.col
-    rows = bind.view(spark, sf_dir, bind.RATED).groupBy("player_id", "season_start").agg(F.max("team_id").alias("team_id"), F.max("level").alias("level"), F.max("birth_year").alias("birth_year"), *[F.avg(c(x)).alias(f"avg_{x}") for x in ("ortg", "ts", "minutes", "per")])
+    rows = (bind.view(spark, sf_dir, bind.RATED) if facts is None else facts).groupBy("player_id", "season_start").agg(F.max("team_id").alias("team_id"), F.max("level").alias("level"), F.max("birth_year").alias("birth_year"), *[F.avg(c(x)).alias(f"avg_{x}") for x in ("ortg", "ts", "minutes", "per")])
     return windows.season_changes(rows)
 
 
@@ -549,7 +549,7 @@ WITH p AS (SELECT *, line_no % 2 AS side, row_number() OVER (PARTITION BY game_i
 t AS (SELECT game_id, sum(CASE WHEN side = 0 THEN points ELSE 0 END) AS h, sum(CASE WHEN side = 1 THEN points ELSE 0 END) AS a, min(side) AS first_side, count(DISTINCT side) AS sides FROM p GROUP BY 1),
 u AS (SELECT p.*, h, a, first_side, sides, squad_id % 4 = 0 AS undecided, sum(CAST(squad_id % 4 = 0 AS INT)) OVER (PARTITION BY p.game_id ORDER BY nth) AS k, sum(CAST(squad_id % 4 = 0 AS INT)) OVER (PARTITION BY p.game_id) AS n FROM p JOIN t ON p.game_id = t.game_id),
 v AS (SELECT *, CASE format WHEN 0 THEN side = first_side WHEN 1 THEN side = 0 ELSE CASE WHEN undecided THEN k - 1 < floor(n / 2) ELSE side = 0 END END AS is_home FROM u)
-SELECT game_id, CAST(squad_id AS VARCHAR) AS player_name, is_home, CASE format WHEN 2 THEN CASE WHEN is_home THEN h > a ELSE h < a END ELSE sides = 2 AND CASE WHEN side = 0 THEN h > a ELSE a > h END END AS team_won, line_no <= 5 AS is_starter, format = 2 AS is_legacy,
+SELECT game_id, CAST(squad_id AS VARCHAR) AS player_name, is_home, CASE format WHEN 2 THEN CASE WHEN is_home THEN h > a ELSE h < a END ELSE sides = 2 AND CASE WHEN side = 0 THEN h > a ELSE a > h END END AS team_won, line_no <= 5 AS is_starter, format = 2 AS is_legacy, CAST(minutes >= 1 AS INT) AS played,
   CASE WHEN season_start - birth_year BETWEEN 12 AND 50 THEN birth_year END AS birth_year, CASE WHEN season_start - birth_year BETWEEN 12 AND 50 THEN season_start - birth_year END AS age_at_game, {r("minutes", "minutes")}, {", ".join(BOX)}, fgm - fg3m AS fg2m, fga - fg3m AS fg2a, fg3m AS fg3a, ast AS plus_minus, stl AS fouls_received, price,
   {r("coalesce(100.0 * fgm / nullif(fga, 0), 0)", "field_goal_pct")}, {r("CASE WHEN fg3m > 0 THEN 100 ELSE 0 END", "three_point_pct")}, {r("coalesce(100.0 * (fgm - fg3m) / nullif(fga - fg3m, 0), 0)", "two_point_pct")}, {r("points / nullif(2 * (fga + 0.44 * fta), 0)", "true_shooting")},
   {r("CASE WHEN minutes > 0 THEN 15e0 * (points + reb + ast + stl + blk - (fga - fgm) - (fta - ftm) - tov) / minutes END", "efficiency_rating")}
@@ -562,36 +562,43 @@ def n06_flattened_documents(spark, sf_dir):
     """
     games = saved(_game_documents(spark, sf_dir))
     out = ingest.with_rates(ingest.player_rows(games))
-    columns = ["player_name", "is_home", "team_won", "is_starter", "is_legacy", "birth_year", "age_at_game", "minutes", *BOX, "fg2m", "fg2a", "fg3a", "plus_minus", "fouls_received"]
+    columns = ["player_name", "is_home", "team_won", "is_starter", "is_legacy", "played", "birth_year", "age_at_game", "minutes", *BOX, "fg2m", "fg2a", "fg3a", "plus_minus", "fouls_received"]
     rates = ["field_goal_pct", "three_point_pct", "two_point_pct", "true_shooting", "efficiency_rating"]
     return out.select(F.col("game_code").cast("bigint").alias("game_id"), *columns, F.col("efficiency").alias("price"), *rates)
 
 
-def _game_documents(spark, sf_dir) -> DataFrame:
+def _game_lines(spark, sf_dir) -> DataFrame:
+    """``(game_id, doc)``: each order as the JSON text of a game document, in one of three formats, from one grouping of the event rows."""
     c, text = F.col, lambda x: x.cast("string")
-    p = bind.view(spark, sf_dir, bind.PERF).withColumn("side", c("line_no") % 2)
+    p = bind.view(spark, sf_dir, bind.PERF).withColumns({"side": c("line_no") % 2, "format": c("game_id") % 3})
     made, tried = c("fgm") - c("fg3m"), c("fga") - c("fg3m")
     clock, starts = F.format_string("%d:00", c("minutes").cast("int")), c("line_no") <= 5
-    both = {"name": c("squad_id"), "minFormatted": clock, "birth_year": c("birth_year")}
+    both = {"name": c("squad_id"), "minFormatted": clock, "min": c("minutes").cast("int"), "birth_year": c("birth_year")}
     modern = {**both, "inn": starts.cast("int"), "pts": c("points"), "p1m": c("ftm"), "p1a": c("fta"), "p2m": made, "p2a": tried, "p3m": c("fg3m"), "p3a": c("fg3m"), "ro": c("orb"), "rd": c("drb"), "rt": c("reb"), "assist": c("ast"), "st": c("stl"), "to": c("tov"), "bs": c("blk"), "rf": c("stl"), "pllss": F.concat(F.lit("+"), text(c("ast"))), "val": c("price")}
-    team = F.when(c("squad_id") % 4 != 0, F.when(c("side") == 0, "LOCAL").otherwise("VISITANTE"))
+    home = F.when(c("squad_id") % 8 == 1, "Norte Local").otherwise("LOCAL")  # half of the words, in another order, or a part of the name
+    team = F.when(c("squad_id") % 4 != 0, F.when(c("side") == 0, home).otherwise("VISITANTE"))
     older = {**both, "is_starter": starts, "team_name": team, "points": c("points"), "field_goals_made": c("fgm"), "field_goals_attempted": c("fga"), "two_points_made": made, "two_points_attempted": tried, "three_points_made": c("fg3m"), "three_points_attempted": c("fg3m"), "free_throws_made": c("ftm"), "free_throws_attempted": c("fta"), "offensive_rebounds": c("orb"), "defensive_rebounds": c("drb"), "total_rebounds": c("reb"), "assists": c("ast"), "steals": c("stl"), "turnovers": c("tov"), "blocks": c("blk"), "fouls_received": c("stl"), "plus_minus": F.concat(F.lit("+"), text(c("ast"))), "efficiency": c("price")}
-    order = F.struct("side", *aggregates.ORDER).alias("at")
-    players = lambda fields: F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*[text(v).alias(k) for k, v in fields.items()]).alias("p")))), lambda r: r["p"])
-    points = lambda side: F.sum(F.when(c("side") == side, c("points")).otherwise(0))
+    player = lambda fields: F.struct(*[text(v).alias(k) for k, v in fields.items()])
+    row = F.struct(F.struct("side", *aggregates.ORDER).alias("at"), c("points"), F.when(c("format") < 2, player(modern)).alias("m"), F.when(c("format") == 2, player(older)).alias("o"))
     start = F.date_format(F.max("game_date"), "dd-MM-yyyy - HH:mm").alias("starttime")
-    head = lambda *more: F.struct(text(c("game_id")).alias("game_code"), c("starttime"), *more).alias("HEADER")
-    sides = p.where("game_id % 3 < 2").groupBy("game_id", "side").agg(start, F.sum("points").alias("pts"), players(modern).alias("PLAYER"))
-    one = F.struct("side", text(c("side") + 1).alias("id"), F.struct(text(c("pts")).alias("pts")).alias("TOTAL"), "PLAYER")
-    pairs = sides.groupBy("game_id").agg(F.max("starttime").alias("starttime"), F.array_sort(F.collect_list(one)).alias("sides"))
-    listed = pairs.where("game_id % 3 = 0").select(F.to_json(F.struct(head(), F.struct(c("sides").alias("TEAM")).alias("BOXSCORE"))).alias("doc"))
-    rival = lambda s: F.get(F.filter("sides", lambda o: o["side"] != s["side"]), 0)["TOTAL"]["pts"].cast("int")
+    games = p.groupBy("game_id", "format").agg(start, F.array_sort(F.collect_list(row)).alias("rows"))
+    points = lambda rows: F.aggregate(rows, F.lit(0), lambda s, r: s + r["points"])
+    side_rows = lambda k: F.filter("rows", lambda r: r["at"]["side"] == k)
+    of_side = [side_rows(0), side_rows(1)]
+    sides = F.filter(F.array(*[F.struct(F.lit(str(k + 1)).alias("id"), F.struct(text(points(own)).alias("pts")).alias("TOTAL"), F.transform(own, lambda r: r["m"]).alias("PLAYER")) for k, own in enumerate(of_side)]), lambda s: F.size(s["PLAYER"]) > 0)
+    # a generator, so that what follows uses the sides and does not make them again
+    games = games.select("game_id", "format", "starttime", "rows", F.inline(F.array(F.struct(sides.alias("sides"), *[points(own).alias(x) for x, own in zip("ha", of_side)]))))
+    rival = lambda s: F.get(F.filter("sides", lambda o: o["id"] != s["id"]), 0)["TOTAL"]["pts"].cast("int")
     won = lambda s: F.coalesce((s["TOTAL"]["pts"].cast("int") > rival(s)).cast("int"), F.lit(0)).cast("string")
-    mapped = pairs.where("game_id % 3 = 1").select(F.to_json(F.struct(head(), F.struct(F.map_from_entries(F.transform("sides", lambda s: F.struct(s["id"], F.struct(won(s).alias("won"), s["PLAYER"].alias("PLAYER"))))).alias("SIDES")).alias("BOXSCORE"))).alias("doc"))
-    flat = p.where("game_id % 3 = 2").groupBy("game_id").agg(start, points(0).alias("h"), points(1).alias("a"), players(older).alias("PLAYER"))
-    teams = F.array(*[F.struct(F.lit(name).alias("name"), text(c(x)).alias("score")) for name, x in (("C.B. Local", "h"), ("Visitante", "a"))]).alias("TEAM")
-    flat = flat.select(F.to_json(F.struct(head(teams), F.struct("PLAYER").alias("BOXSCORE"))).alias("doc"))
-    return listed.unionByName(mapped).unionByName(flat).select(F.from_json("doc", ingest.GAME).alias("g")).select("g.*")
+    mapped = F.map_from_entries(F.transform("sides", lambda s: F.struct(s["id"], F.struct(won(s).alias("won"), s["PLAYER"].alias("PLAYER")))))
+    teams = F.array(*[F.struct(F.lit(name).alias("name"), text(c(x)).alias("score")) for name, x in (("C.B. Local Norte", "h"), ("Visitante", "a"))])
+    head = F.struct(text(c("game_id")).alias("game_code"), "starttime", F.when(c("format") == 2, teams).alias("TEAM"))
+    box = F.struct(F.when(c("format") == 0, c("sides")).alias("TEAM"), F.when(c("format") == 1, mapped).alias("SIDES"), F.when(c("format") == 2, F.transform("rows", lambda r: r["o"])).alias("PLAYER"))
+    return games.select("game_id", F.to_json(F.struct(head.alias("HEADER"), box.alias("BOXSCORE"))).alias("doc"))
+
+
+def _game_documents(spark, sf_dir) -> DataFrame:
+    return _game_lines(spark, sf_dir).select(F.from_json("doc", ingest.GAME).alias("g")).select("g.*")
 
 
 @query(r"""SELECT page_id, code FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1))) AS code FROM pages)""")
@@ -677,9 +684,12 @@ STANDING = ["ortg", "per", "ts", "ws_36"]
 
 
 def _mart(spark, sf_dir, parts=tuple(MART)):
-    """Event rows with the features of the named parts of :data:`MART` and both targets. Each part is an aggregate of its own keys, joined once."""
+    """Event rows with the features of the named parts of :data:`MART` and both targets.
+
+    The rated facts are joined and written once; every part is an aggregate of them by its own keys, joined once.
+    """
     c, context = F.col, ["level", "season_start"]
-    facts = bind.view(spark, sf_dir, bind.RATED).withColumn("ws_36", c("per") * 36 / 4000)
+    facts = saved(bind.view(spark, sf_dir, bind.RATED).drop("season").withColumn("ws_36", c("per") * 36 / 4000))
     events = normalize.normalised(facts, context, ["ortg", "per", "ts", "usg", "minutes"])
     playoff, _ = scalars.phase_flags(c("group_name"))
     events = events.withColumns({"age_at_game": scalars.season_age(c("birth_year"), c("season_start")), "fg_pct": boxscore.percentage(c("fgm"), c("fga")), "three_pct": boxscore.percentage(c("fg3m"), c("fg3a")), "ft_pct": boxscore.percentage(c("ftm"), c("fta")), "team_won": c("won"), "is_playoff": playoff})
@@ -687,12 +697,12 @@ def _mart(spark, sf_dir, parts=tuple(MART)):
     standing = facts.groupBy("player_id", "season_start", "competition_id", "level").agg(*[F.avg(F.when(c(m) != 0 if m == "per" else c(m) > 0, c(m))).alias(m) for m in STANDING]).join(normalize.context_stats(facts, context, STANDING), context)
     standing = standing.withColumns({f"z_avg_{m}": normalize.z_score(c(m), c(f"{m}_mean"), c(f"{m}_std")) for m in STANDING}).withColumns({f"percentile_{m}": normalize.percentile(c(f"z_avg_{m}")) for m in ("ortg", "per")})
     standing = standing.select("player_id", "season_start", "competition_id", "level", *MART["standing"])
-    profiles = _metrics(spark, sf_dir).withColumnRenamed("trend_points", "profile_trend").select("player_id", "team_id", "season_start", *MART["profile"])
+    profiles = _metrics(spark, sf_dir, facts).withColumnRenamed("trend_points", "profile_trend").select("player_id", "team_id", "season_start", *MART["profile"])
     games = bind.view(spark, sf_dir, bind.GAMES)
     diffs = games.select("game_id", (c("home_score") - c("away_score")).alias("score_diff"))
     team = windows.team_context(windows.team_games(games)).where("at_home").select("game_id", "team_id", "streak", "rest_days", "last5_wins")
     wins = aggregates.team_wins(games).select("competition_id", "season_start", "team_id", c("win_pct").alias("team_win_pct"))
-    moves = _season_changes(spark, sf_dir).select("player_id", "season_start", *MART["retention"])
+    moves = _season_changes(spark, sf_dir, facts).select("player_id", "season_start", *MART["retention"])
     out = mart.feature_mart(events, seasons, team if "team" in parts else None, mart.next_season_targets(facts))
     sides = [("standing", standing, ["player_id", "season_start", "competition_id", "level"]), ("profile", profiles, ["player_id", "team_id", "season_start"]), ("game", diffs, ["game_id"]), ("team", wins, ["competition_id", "season_start", "team_id"]), ("wins", wins, ["competition_id", "season_start", "team_id"]), ("retention", moves, ["player_id", "season_start"])]
     for part, side, keys in sides:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtside.functions import boxscore, scalars
+from courtside.plans.storage import saved
 
 _S = T.StringType()
 
@@ -17,6 +18,7 @@ def _struct(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, _S) for n in names])
 
 
+#: The field names of the two vocabularies of player rows.
 MODERN = ["name", "no", "inn", "minFormatted", "min", "pts", "p1m", "p1a", "p2m", "p2a", "p3m", "p3a", "ro", "rd", "rt", "assist", "to", "st", "bs", "mt", "pf", "rf", "pllss", "val", "birth_year", "birth_date"]
 LEGACY = ["player_id", "playerid", "playername", "shirtnumber", "dorsal", "is_starter", "is_home", "team_name", "minutes", "points", "field_goals_made", "field_goals_attempted", "two_points_made", "two_points_attempted", "three_points_made", "three_points_attempted", "free_throws_made", "free_throws_attempted", "offensive_rebounds", "defensive_rebounds", "total_rebounds", "assists", "steals", "turnovers", "blocks", "blocks_received", "personal_fouls", "fouls_received", "plus_minus", "efficiency"]
 PLAYER = _struct(*MODERN, *LEGACY)
@@ -37,6 +39,20 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GAME).json(path)
 
 
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(documents, rejected (line, reason))`` of a folder of JSON lines: together as many rows as lines that are not blank.
+
+    A line is rejected if it is no JSON object of the schema (``malformed``) or names no game (``no game code``). The
+    lines are parsed once and written, as both results read them.
+    """
+    schema = T.StructType([*GAME.fields, T.StructField("line", _S)])
+    lines = saved(spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "line"}).alias("g")))
+    code = F.nullif(F.trim("g.HEADER.game_code"), F.lit(""))
+    broken = F.col("g").isNull() | F.col("g.line").isNotNull()
+    rejected = lines.where(broken | code.isNull()).select(F.col("value").alias("line"), F.when(broken, "malformed").otherwise("no game code").alias("reason"))
+    return lines.where(~broken & code.isNotNull()).select(*[f"g.{f.name}" for f in GAME.fields]), rejected
+
+
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     """A limit after a stable order."""
     return df.orderBy(*order).limit(n)
@@ -121,6 +137,11 @@ def load_state(df: DataFrame, keys: list[str], code: str, at: str) -> DataFrame:
     return df.where(F.col(code).isNotNull()).groupBy(*keys).agg(F.max_by(code, F.struct(at, code)).alias("last_code"), F.count_distinct(code).alias("total"), F.max(at).alias("last_update")).orderBy(F.desc("last_update"), *keys)
 
 
+def processed_codes(df: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """The distinct codes that each competition, season (and group) has."""
+    return df.where(F.col(code).isNotNull()).select(*keys, code).distinct()
+
+
 def reset_state(state: DataFrame, **values) -> DataFrame:
     """The state without the entries of the given values; all of it goes without values."""
     match = F.lit(True)
@@ -342,5 +363,5 @@ def corrected(players: DataFrame, corrections: DataFrame, name: str = "player_na
 
 
 def write_missing_birth_years(players: DataFrame, path: str) -> None:
-    """A CSV of the players that lack one."""
+    """A CSV of the players that lack one, for :func:`read_corrections` once it is filled in."""
     players.where(F.col("birth_year").isNull()).write.mode("overwrite").csv(path, header=True)

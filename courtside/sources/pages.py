@@ -1,14 +1,12 @@
-"""Rows from a table of web pages (S21-S24): links, game headers, player tables, competition lists.
+"""Rows from a table of web pages (S21-S24): links, result lists, game headers, player tables, competition lists.
 
-Patterns run in Spark; only the walk over table cells, which needs nested markup, is a small parser inside a task.
+Everything is a Column expression: tables are cut at the tags that open rows and cells, which pages that forget to close
+them have as well.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,47 +64,35 @@ def game_boxes(pages: DataFrame, html: str = "html", key: str = "page_id") -> Da
     return pages.select(key, field("pabellon").alias("venue"), field("localidad").alias("city"), F.when(F.size(named) > 0, named).otherwise(stated).alias("referees"), *columns)
 
 
-class _Cells(HTMLParser):
-    """The cells of each table row, with the row's class."""
+def _text(x: Column) -> Column:
+    """Markup without tags, with plain blanks for the named and other white space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", ""), "&nbsp;|\u00a0", " "), r"\s+", " "))
 
-    def __init__(self):
-        super().__init__()
-        self.rows: list[tuple[str, list[str], bool]] = []
-        self.inside = False
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.rows.append((dict(attrs).get("class") or "", [], False))
-        elif tag in ("td", "th") and self.rows:
-            kind, cells, head = self.rows[-1]
-            cells.append("")
-            self.rows[-1] = (kind, cells, head or tag == "th")
-            self.inside = True
+def _rows(html: Column) -> Column:
+    """The rows of a page's tables in order: ``(kind, body)``, the row tag's attributes and what is between it and the next row or the row's end; header rows are left out."""
+    pieces = F.slice(F.split(html, r"(?i)<tr\b"), 2, 1 << 30)
+    row = lambda p: F.struct(F.regexp_extract(p, r"^([^>]*)>", 1).alias("kind"), F.regexp_replace(F.regexp_replace(p, r"(?is)</(?:tr|table)\b.*$", ""), r"^[^>]*>", "").alias("body"))
+    return F.filter(F.transform(pieces, row), lambda r: ~r["body"].rlike(r"(?i)<th\b"))
 
-    def handle_endtag(self, tag):
-        if tag in ("td", "th"):
-            self.inside = False
 
-    def handle_data(self, data):
-        if self.inside:
-            self.rows[-1][1][-1] += data
+def _cells(body: Column) -> Column:
+    """The texts of a row's cells."""
+    return F.transform(F.slice(F.split(body, r"(?i)<td\b[^>]*>"), 2, 1 << 30), lambda c: _text(F.regexp_replace(c, r"(?is)</td\b.*$", "")))
 
 
 def table_rows(pages: DataFrame, least_cells: int = 20, html: str = "html", key: str = "page_id") -> DataFrame:
-    """The cells of each table row with at least so many, without header and total rows."""
-
-    def walk(batches):
-        for pdf in batches:
-            out = []
-            for k, text in zip(pdf[key], pdf[html]):
-                parser = _Cells()
-                parser.feed(text or "")
-                kept = [c for kind, c, head in parser.rows if not head and "row-total" not in kind and len(c) >= least_cells]
-                out += [(k, i, [x.strip() for x in c]) for i, c in enumerate(kept)]
-            yield pd.DataFrame(out, columns=[key, "row", "cells"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(walk, f"{key} {kind}, row int, cells array<string>")
+    """``(key, row, cells)``: the cells of each table row with at least so many, without header and total rows, numbered in order."""
+    rows = F.filter(_rows(F.col(html)), lambda r: ~r["kind"].contains("row-total"))
+    cells = F.filter(F.transform(rows, lambda r: _cells(r["body"])), lambda c: F.size(c) >= least_cells)
+    return pages.select(key, F.posexplode(cells).alias("row", "cells"))
+
+
+def result_rows(pages: DataFrame, pattern: str, html: str = "html", key: str = "page_id") -> DataFrame:
+    """``(key, code, date)``: the codes that links of result tables name, each once with the date of its row; header rows and rows without such a link don't count."""
+    rows = pages.select(key, F.posexplode(_rows(F.col(html))).alias("at", "r"))
+    found = rows.select(key, "at", F.explode(F.regexp_extract_all("r.body", F.lit(pattern), 1)).alias("code"), F.nullif(F.regexp_extract(_text(F.col("r.body")), r"(\d{2}/\d{2}/\d{4})", 1), F.lit("")).alias("date"))
+    return found.groupBy(key, "code").agg(F.min_by("date", "at").alias("date"))
 
 
 def made_attempted(cell) -> tuple:
