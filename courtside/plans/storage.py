@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = context.getCheckpointDir()
@@ -45,15 +47,27 @@ def partitions(spark: SparkSession) -> int:
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
+def _weight(df: DataFrame) -> Column:
+    """Bytes of a row, about: of texts their length, of numbers eight, of anything nested its length as JSON and eight."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        nested = isinstance(f.dataType, (ArrayType, MapType, StructType))
+        size = F.octet_length(c) if isinstance(f.dataType, (StringType, BinaryType)) else F.octet_length(F.to_json(F.struct(c))) if nested else F.lit(0)
+        parts.append(F.coalesce(size, F.lit(0)) + 8)
+    return sum(parts, F.lit(0))
+
+
 def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, written once, counted and weighed: marked for broadcast if it has ``most_rows`` rows and ``most_bytes`` bytes at most, else as it is, so that the join shuffles.
 
-    A row weighs its length as JSON, which is above that of its numbers in memory, and eight bytes a column.
+    What has too many rows is not weighed.
     """
     kept = saved(df)
-    weight = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))) + 8 * len(kept.columns)
-    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
-    return F.broadcast(kept) if rows <= most_rows and size <= most_bytes else kept
+    if kept.count() > most_rows:
+        return kept
+    size = kept.agg(F.coalesce(F.sum(_weight(kept)), F.lit(0))).first()[0]
+    return F.broadcast(kept) if size <= most_bytes else kept
 
 
 def remove(spark: SparkSession, path: str) -> None:

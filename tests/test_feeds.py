@@ -37,3 +37,15 @@ def test_every_line_is_read_or_rejected(spark, tmp_path):
 def test_words_of_team_names_decide_where_neither_holds_the_other(spark):
     same = lambda a, b: spark.range(1).select(ingest.same_team(F.lit(a), F.lit(b))).first()[0]
     assert same("C.B. Local Norte", "Norte Local") and same("Club Baloncesto Sur", "SUR ESTE") and not same("Norte Uno Dos", "Sur Dos Tres Cuatro") and not same("", "x")
+
+
+def test_small_sides_are_weighed_by_type_and_only_if_they_are_few(spark, monkeypatch):
+    from courtside.plans import storage
+
+    df = spark.createDataFrame([(i, "x" * 100, [i]) for i in range(50)], "k long, text string, more array<int>")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(storage.small_side(df)) and hinted(storage.small_side(df, 50, 50 * 150)) and not hinted(storage.small_side(df, 50, 50 * 110))
+    weighed = []
+    monkeypatch.setattr(storage, "_weight", lambda x: weighed.append(x) or F.lit(1))
+    assert not hinted(storage.small_side(df, 49)) and not weighed
+    assert hinted(storage.small_side(df.limit(0), 0, 0))
