@@ -20,7 +20,9 @@ toxic labels (0 if there are none); other columns are ignored, whatever their na
 
 from __future__ import annotations
 
+import posixpath
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.llm.frames import hash_sample, map_texts, quoted, with_fields
-from courtside.plans.storage import saved, small_side
+from courtside.plans.storage import remove, saved, shared_folder, small_side
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 4, (3, 4, 5)
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 2500, 4500, 192 << 20
@@ -183,8 +185,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             at = pa.array([b[0].astype(np.uint16).view(np.int16) for b in bags], pa.list_(pa.int16()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], at, pa.array([b[1] for b in bags], pa.list_(pa.float32()))], names=["id", "y", "at", "weight"])
 
-    made = saved(map_texts(texts.select("id", "text", "y"), run, with_fields(texts, ["id"], "y: int, at: array<smallint>, weight: array<float>")))
-    rows = _within(made, MOST_BYTES).select("y", "at", "weight").toArrow()
+    spark = documents.sparkSession
+    path = posixpath.join(shared_folder(spark), f"bags-{uuid.uuid4().hex}")
+    map_texts(texts.select("id", "text", "y"), run, with_fields(texts, ["id"], "y: int, at: array<smallint>, weight: array<float>")).write.parquet(path)
+    rows = _within(spark.read.parquet(path), MOST_BYTES).select("y", "at", "weight").toArrow()
+    remove(spark, path)
     y = rows.column("y").to_numpy().astype(np.int64)
     if len({*y.tolist()}) < 2:
         return np.zeros(BUCKETS), float(np.log(toxic / (n - toxic)))
