@@ -20,9 +20,10 @@ and those kept must not be named like a result.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from courtside.llm.frames import map_texts, quoted, with_fields
 
 #: Least length of a run in words and in periods, words in a group of documents, candidates extended at a time.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
-GROUP_WORDS, CANDIDATES = 1 << 17, 1 << 18
+GROUP_WORDS, CANDIDATES = 1 << 16, 1 << 17
 #: Random halves of the symbols of which a round takes the one that makes most pairs.
 HALVES = 4
 WHITE = r"[\x20\x09-\x0D]+"
@@ -210,36 +211,29 @@ def _groups(sizes: np.ndarray):
         yield first, len(sizes)
 
 
-def _of_documents(words: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """``(number of words, runs, text without repetitions)`` of each list of words."""
-    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = pc.fill_null(words.flatten(), "")
-    codes = values.dictionary_encode()
-    kinds, codes = max(1, len(codes.dictionary)), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+def _of_documents(texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int, int]]], list[bytes]]:
+    """``(number of words, runs, text without repetitions)`` of each text in UTF-8."""
+    words = [text.split() if text else [] for text in texts]  # bytes are cut at ASCII white space only
+    sizes = np.array([len(w) for w in words], np.int64)
+    known: dict[bytes, int] = {}
+    codes = np.array([known.setdefault(w, len(known)) for text in words for w in text], np.int64)
     ends = np.cumsum(sizes)
-    kept, all_runs, counts = np.ones(len(codes), bool), [], np.zeros(len(sizes), np.int64)
+    all_runs: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for a, b in _groups(sizes):
         low, high = int(ends[a] - sizes[a]), int(ends[b - 1])
-        if high == low:
-            continue
-        own = np.repeat(np.arange(b - a), sizes[a:b])
-        runs = runs_of(own * kinds + codes[low:high], int(sizes[a:b].max()))
-        if not len(runs):
-            continue
-        kept[low:high] = kept_words(high - low, runs)
-        of = own[runs[:, 0]]
-        counts[a:b] += np.bincount(of, minlength=b - a)
-        all_runs.append(runs - np.stack([(ends[a:b] - sizes[a:b] - low)[of], np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)], 1))
-    flat = np.concatenate(all_runs) if all_runs else np.zeros((0, 3), np.int64)
-    structs = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["start", "length", "period"])
-    offsets = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-    left = np.concatenate(([0], np.cumsum(kept)))
-    still = left[ends] - left[ends - sizes]
-    rest = pa.ListArray.from_arrays(offsets(still), values.filter(pa.array(kept)))
-    return sizes, pa.ListArray.from_arrays(offsets(counts), structs), pc.binary_join(rest, " ")
-
-
-def find_runs(df: DataFrame, words: Column, keep: list[str]) -> DataFrame:
+        own = np.repeat(np.arange(a, b), sizes[a:b])
+        runs = runs_of(own * len(known) + codes[low:high], int(sizes[a:b].max())) if high > low else ()
+        for start, length, period in runs.tolist() if len(runs) else ():
+            doc = int(own[start])
+            all_runs[doc].append((start + low - int(ends[doc] - sizes[doc]), length, period))
+    collapsed = [b" ".join(compress(w, kept_words(len(w), np.array(runs)).tolist()) if runs else w) for w, runs in zip(words, all_runs)]
+    return sizes.tolist(), all_runs, collapsed
+
+
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
+
+
+def find_runs(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with ``n_words``, ``runs`` (an array of start, length and period, by start, then period) and
     ``collapsed``: the words that no run repeats, joined by blanks."""
     names = ("n_words", "runs", "collapsed")
@@ -248,11 +242,12 @@ def find_runs(df: DataFrame, words: Column, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sizes, runs, collapsed = _of_documents(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes), runs, collapsed], names=[*keep, *names])
+            sizes, runs, collapsed = _of_documents(batch.column(batch.num_columns - 1).to_pylist())
+            structs = [[{"start": s, "length": n, "period": p} for s, n, p in r] for r in runs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(structs, RUNS), pa.array(collapsed, pa.binary()).cast(pa.string())], names=[*keep, *names])
 
     schema = with_fields(df, keep, "n_words: bigint, runs: array<struct<start: bigint, length: bigint, period: bigint>>, collapsed: string")
-    return map_texts(df.select(*quoted(keep), words.alias("__words")), run, schema)
+    return map_texts(df.select(*quoted(keep), text.cast("binary").alias("__text")), run, schema)
 
 
 def strongest(runs: Column) -> Column:

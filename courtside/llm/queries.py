@@ -100,13 +100,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document and its words without repetitions; a tenth of the documents is made to end periodically."""
     c, h = F.col, F.crc32(F.col("doc_id").cast("string"))
-    # generators, so that what follows uses the words and does not cut the text again
-    docs = _documents(spark, sf_dir).select("doc_id", F.inline(F.array(F.struct(periodic.words_of(c("text")).alias("words"), h.alias("h"), F.floor(h / 10).alias("g")))))
-    docs = docs.withColumn("n", F.size("words").cast("bigint"))
-    start = F.pmod(c("g"), F.greatest(c("n"), F.lit(1)))
-    period = 1 + F.floor((c("n") - start) / (3 + c("g") % 8))
-    words = F.when((c("h") % 10 == 0) & (c("n") > 0), periodic.with_period(c("words"), c("n"), start, period)).otherwise(c("words"))
-    found = periodic.find_runs(docs.select("doc_id", words.alias("words")), c("words"), ["doc_id"])
+    # generators, so that what follows uses a value and does not make it again
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.inline(F.array(F.struct((h % 10 == 0).alias("edited"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, periodic.words_of(c("text"))).alias("words")))))
+    n = F.size("words").cast("bigint")
+    start = F.pmod(c("g"), F.greatest(n, F.lit(1)))
+    period = 1 + F.floor((n - start) / (3 + c("g") % 8))
+    text = F.when(c("edited") & (n > 0), F.array_join(periodic.with_period(c("words"), n, start, period), " ")).otherwise(c("text"))
+    found = periodic.find_runs(docs, text, ["doc_id"])
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     best = found.select("*", F.inline(F.array(F.struct(periodic.strongest(c("runs")).alias("best")))))
     return best.select(
