@@ -32,8 +32,10 @@ def test_candidates_are_all_pairs_that_reach_the_score(spark, monkeypatch, seed,
     want = sorted((r.x, r.y, round(r.score, 6)) for r in scored.select(F.col("a.profile_id").alias("x"), F.col("b.profile_id").alias("y"), "score").collect())
     got = sorted((r.id1, r.id2, round(r.score, 6)) for r in identity.candidates(df.unionByName(df.limit(20))).collect())
     assert len(want) > 500 and got == want
-    high = sorted((r.id1, r.id2) for r in identity.candidates(df, 0.75).collect())
-    assert high == [(x, y) for x, y, s in want if s >= 0.75]
+    for least in (0.7, 0.75):
+        high = sorted((r.id1, r.id2) for r in identity.candidates(df, least).collect())
+        assert high == [(x, y) for x, y, s in want if s >= least]
+    assert identity.pairs_met(df, 0.7).first().met < identity.pairs_met(df).first().met
 
 
 def test_candidates_of_an_empty_table_and_of_one_hot_name(spark, monkeypatch):
