@@ -7,7 +7,7 @@ broadcast table. The table's size is the parameter ``size`` (65,537 rows of two
 rows are placed), so the broadcast is bounded; rows are never shuffled, and a hot key is spread by its row ids.
 
 Null keys hash like any other value and get a defined shard; repeated keys get the same shard; an empty table gives
-an empty result; columns named like the results must be dropped first (the operator selects what it returns).
+an empty result; other columns are ignored, whatever their names, but to keep one named like a result is an error.
 """
 
 from __future__ import annotations
@@ -62,6 +62,8 @@ def table_frame(spark: SparkSession, shards: list[str], size: int = TABLE_SIZE)
 
 def place(df: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, keep: list[str] | None = None) -> DataFrame:
     """The key (and the columns ``keep``), its ``slot`` and its ``shard`` for every row."""
+    if clash := {key, *(keep or [])} & {"slot", "shard"}:
+        raise ValueError(f"columns named like a result: {sorted(clash)}")
     rows = df.select(key, *(keep or []), slot_of(F.col(key), size).alias("slot"))
     return rows.join(F.broadcast(table_frame(df.sparkSession, shards, size)), "slot").select(key, *(keep or []), "slot", "shard")
 
