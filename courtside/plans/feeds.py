@@ -15,7 +15,7 @@ from courtside.sources import ingest, pages
 
 @query(f"""SELECT CASE game_id % 10 WHEN 3 THEN 'malformed' WHEN 7 THEN 'no game code' ELSE 'read' END AS status, count(*) AS n FROM (SELECT DISTINCT game_id FROM ({PERF})) GROUP BY 1""")
 def s01_read_documents(spark, sf_dir):
-    """A folder of documents of which some are cut off and some name no game: rows read and lines rejected, with the reason."""
+    """A folder of documents of which some are cut off and some name no game: rows read and lines rejected, with the reason."""
     path, k = _folder(spark, "documents"), F.col("game_id") % 10
     doc = F.when(k == 3, F.substring("doc", F.lit(1), F.floor(F.length("doc") / 2).cast("int"))).when(k == 7, '{"HEADER": {"season": "2020"}}').otherwise(F.col("doc"))
     catalog._game_lines(spark, sf_dir).select(doc.alias("value")).write.text(path)
