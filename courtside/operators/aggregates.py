@@ -63,11 +63,24 @@ def season_aggregates(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def running_variance(values: Column) -> Column:
+    """The population variance of an array's doubles, updated value by value: the same for the same order, however rows are dealt to tasks; null for an empty array."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+
+    return F.aggregate(values, start, step, lambda s: s["m2"] / F.nullif(s["n"], F.lit(0.0)))
+
+
 def profile_metrics(df: DataFrame, profile: list[str], team: list[str], z_of: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
     """A01-A08 with W01-W03: totals, spread, per-36 rates, share of the team, recent form of each profile.
 
     ``profile`` must contain the columns of ``team``. The spread columns follow the offensive rating, as the reference
-    semantics do; ``*_points`` columns hold the same figures for points. ``z_of`` names metrics whose event z-scores
+    semantics do; ``*_points`` columns hold the same figures for points. Ratings that are equal but for their last digit
+    have a spread or none by the order they are added in, so the rating's variance runs from the newest event on. ``z_of`` names metrics whose event z-scores
     ``z_<metric>`` are averaged, ``carried`` columns of which the greatest value is kept.
     """
     c = F.col
@@ -84,7 +97,7 @@ def profile_metrics(df: DataFrame, profile: list[str], team: list[str], z_of: tu
         F.avg("per").alias("avg_per"),
         F.avg("ts").alias("avg_ts"),
         F.nullif(F.avg("usg"), F.lit(0.0)).alias("avg_usg"),
-        F.var_pop("ortg").alias("var_ortg"),
+        running_variance(F.transform(F.array_sort(F.collect_list(F.when(c("ortg").isNotNull(), F.struct("rn", "ortg")))), lambda e: e["ortg"])).alias("var_ortg"),
         F.var_pop("points").alias("var_points"),
         *[F.avg(f"z_{m}").alias(f"avg_z_{m}") for m in z_of],
         *[F.max(x).alias(x) for x in carried],
@@ -144,11 +157,14 @@ def identity_groups(df: DataFrame, name: str, birth_year: str) -> DataFrame:
 
 
 def outlier_events(df: DataFrame, keys: list[str], value: str = "points", z: float = 2.5) -> DataFrame:
-    """Events over ``z`` population deviations from their entity's mean, for entities of at least three."""
+    """Events over ``z`` population deviations from their entity's mean, for entities of at least three.
+
+    An event at the bound itself is none, whichever side of it the order of the rows has rounded it to.
+    """
     w = Window.partitionBy(*keys)
     std = F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
     scored = df.select(*keys, *[x for x in ORDER if x not in keys], value, F.count("*").over(w).alias("n"), ((F.col(value) - F.avg(value).over(w)) / std).alias("z"))
-    return scored.where((F.col("n") >= 3) & (F.abs("z") > z)).drop("n")
+    return scored.where((F.col("n") >= 3) & (F.abs("z") > z + 1e-9)).drop("n")
 
 
 def counts_by(df: DataFrame, key: str) -> DataFrame:
