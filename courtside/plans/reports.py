@@ -217,9 +217,8 @@ def r30_validated(spark, sf_dir):
 def t13_pending_candidates(spark, sf_dir):
     """The best candidates that are still pending."""
     p = bind.view(spark, sf_dir, bind.PROFILES)
-    pairs = saved(identity.candidates(p, 0.75))
-    decided = identity.validated(pairs, pairs.where("id1 % 5 = 0").select("id1", "id2", F.lit("confirmed").alias("status")))
-    return mart.candidate_report(decided, p, 0.75, 50, "pending")
+    decided = lambda pairs: identity.validated(pairs, pairs.where("id1 % 5 = 0").select("id1", "id2", F.lit("confirmed").alias("status")))
+    return catalog._best_candidates(p, decided, "pending")
 
 
 CONSOLIDATED = f"SELECT p.*, min(profile_id) OVER (PARTITION BY {NORMAL}) AS consolidated_id FROM ({PROFILES}) p"
