@@ -82,10 +82,16 @@ def _game_pages(spark, sf_dir):
     """``(page_id, html)``: a page for each game: marked-up fields, the score by quarters, and a table of its players with a header, a total and a separator row."""
     c, text = F.col, lambda x: x.cast("string")
     shots = lambda made, tried: F.format_string("%d/%d %d,5%%", made, tried, made % 100)
-    cells = [F.concat(F.lit("<a href='?j="), text(c("squad_id")), F.lit("'>Player "), text(c("squad_id")), F.lit("</a>")), F.format_string("%d:00", c("minutes").cast("int")), text(c("points")), shots(c("fgm") - c("fg3m"), c("fga")), shots(c("fg3m"), c("fg3a")), shots(c("ftm"), c("fta")), *[text(c(x)) for x in ("orb", "drb", "reb", "ast", "stl", "tov", "blk")]]
-    cells += [F.lit("&nbsp;")] * (20 - len(cells))
-    row = F.concat(F.lit("<tr class='row'>"), *[x for cell in cells for x in (F.lit("<td>"), cell, F.lit("</td>"))], F.lit("</tr>"))
-    rows = bind.view(spark, sf_dir, bind.PERF).groupBy("game_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part_id", "squad_id", "price", row.alias("tr")))), lambda r: r["tr"]), "").alias("players"))
+
+    def row(r):
+        cells = [F.concat(F.lit("<a href='?j="), text(r["squad_id"]), F.lit("'>Player "), text(r["squad_id"]), F.lit("</a>")), F.format_string("%d:00", r["minutes"].cast("int")), text(r["points"]), shots(r["fgm"] - r["fg3m"], r["fga"]), shots(r["fg3m"], r["fg3a"]), shots(r["ftm"], r["fta"]), *[text(r[x]) for x in ("orb", "drb", "reb", "ast", "stl", "tov", "blk")]]
+        cells += [F.lit("&nbsp;")] * (20 - len(cells))
+        return F.concat(F.lit("<tr class='row'>"), *[x for cell in cells for x in (F.lit("<td>"), cell, F.lit("</td>"))], F.lit("</tr>"))
+
+    # numbers are gathered, and marked up once they have met
+    numbers = ("minutes", "points", "fgm", "fg3m", "fga", "fg3a", "ftm", "fta", "orb", "drb", "reb", "ast", "stl", "tov", "blk")
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "part_id", "squad_id", "price", *numbers)))
+    rows = bind.view(spark, sf_dir, bind.PERF).groupBy("game_id").agg(lines.alias("lines")).select("game_id", F.array_join(F.transform("lines", row), "").alias("players"))
     field = lambda name, *value: F.concat(F.lit(f'<span id="_ctl0_MainContent_{name}">'), *value, F.lit("</span>"))
     part = lambda x, k: text(F.floor(c(x) / 4) if k < 3 else c(x) - 3 * F.floor(c(x) / 4))
     team = lambda side, of: F.concat(F.lit(f'<div class="columna equipo {side}"><span class="nombre">Team '), text(c(f"{of}_id")), F.lit('</span><span class="resultado">'), text(c(f"{of}_score")), F.lit("</span></div>"))

@@ -46,16 +46,20 @@ def game_boxes(pages: DataFrame, html: str = "html", key: str = "page_id") -> Da
     text = F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " ")
     named = F.filter(F.array(*[field(f"arbitro{i}Nombre") for i in (1, 2, 3)]), lambda x: x.isNotNull())
     stated = F.slice(F.regexp_extract_all(text, F.lit(r"([A-Z]{3,}\s+[A-Z]{3,},\s+[A-Z]{3,})"), 1), 1, 3)
-    box = found(F.col(html), r"(<div[^>]*\bclass=[\"'][^\"']*\bbox-marcador\b.*)")
     part = r"<div[^>]*\bclass=[\"'][^\"']*\bparciales\b"
-    rows = found(box, rf"({part}.*)")
-    head = F.regexp_replace(box, rf"(?is){part}.*", "")
+    # generators, so that what follows uses the cut pieces and does not cut them again
+    once = lambda df, *values: df.select(key, html, F.inline(F.array(F.struct(*values))))
+    pages = once(pages, found(F.col(html), r"(<div[^>]*\bclass=[\"'][^\"']*\bbox-marcador\b.*)").alias("__box"))
+    pages = once(pages, F.regexp_replace("__box", rf"(?is){part}.*", "").alias("__head"), found(F.col("__box"), rf"({part}.*)").alias("__rows"))
+    head, rows = F.col("__head"), F.col("__rows")
     # a side's block ends where the other side's begins
     side = lambda area, own, other: found(area, rf"<div[^>]*\bclass=[\"'][^\"']*\bequipo {own}\b[^>]*>(.*?)(?:<div[^>]*\bclass=[\"'][^\"']*\bequipo {other}\b|\z)")
     span = lambda area, name: found(area, rf"<span[^>]*\bclass=[\"'][^\"']*\b{name}\b[^>]*>(.*?)</span>")
+    sides = (("home", "local", "visitante"), ("away", "visitante", "local"))
+    pages = once(pages, *[v.alias(f"__{prefix}_{k}") for prefix, own, other in sides for k, v in (("block", side(head, own, other)), ("quarters", found(side(rows, own, other), r"^(.*?)(?:</div>|\z)")))])
     columns = []
-    for prefix, own, other in (("home", "local", "visitante"), ("away", "visitante", "local")):
-        block, quarters = side(head, own, other), found(side(rows, own, other), r"^(.*?)(?:</div>|\z)")
+    for prefix, _, _ in sides:
+        block, quarters = F.col(f"__{prefix}_block"), F.col(f"__{prefix}_quarters")
         columns += [
             clean(span(block, "nombre")).alias(f"{prefix}_team"),
             F.nullif(F.regexp_extract(clean(span(block, "resultado")), r"^(\d+)$", 1), F.lit("")).cast("int").alias(f"{prefix}_score"),
