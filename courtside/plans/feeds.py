@@ -18,7 +18,8 @@ def s01_read_documents(spark, sf_dir):
     """A folder of documents of which some are cut off and some name no game: rows read and lines rejected, with the reason."""
     path, k = _folder(spark, "documents"), F.col("game_id") % 10
     doc = F.when(k == 3, F.substring("doc", F.lit(1), F.floor(F.length("doc") / 2).cast("int"))).when(k == 7, '{"HEADER": {"season": "2020"}}').otherwise(F.col("doc"))
-    catalog._game_lines(spark, sf_dir).select(doc.alias("value")).write.text(path)
+    # a compressed file is read by one task, so its lines are bounded
+    catalog._game_lines(spark, sf_dir).select(doc.alias("value")).write.option("maxRecordsPerFile", 1 << 16).text(path, compression="gzip")
     good, rejected = ingest.read_checked(spark, path)
     return good.select(F.lit("read").alias("status")).unionByName(rejected.select(F.col("reason").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
 

@@ -46,11 +46,15 @@ def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines are parsed once and written, as both results read them.
     """
     schema = T.StructType([*GAME.fields, T.StructField("line", _S)])
-    lines = saved(spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "line"}).alias("g")))
+    parsed = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "line"}).alias("g"))
     code = F.nullif(F.trim("g.HEADER.game_code"), F.lit(""))
     broken = F.col("g").isNull() | F.col("g.line").isNotNull()
-    rejected = lines.where(broken | code.isNull()).select(F.col("value").alias("line"), F.when(broken, "malformed").otherwise("no game code").alias("reason"))
-    return lines.where(~broken & code.isNotNull()).select(*[f"g.{f.name}" for f in GAME.fields]), rejected
+    reason = F.when(broken, "malformed").when(code.isNull(), "no game code")
+    # a document is written as it was parsed, a rejected line as it stands, neither as both
+    lines = parsed.select("value", "g", reason.alias("reason"))
+    document = F.when(F.col("reason").isNull(), F.struct(*[F.col(f"g.{f.name}") for f in GAME.fields]))
+    lines = saved(lines.select(F.when(F.col("reason").isNotNull(), F.col("value")).alias("line"), "reason", document.alias("g")))
+    return lines.where(F.col("reason").isNull()).select(*[f"g.{f.name}" for f in GAME.fields]), lines.where(F.col("reason").isNotNull()).select("line", "reason")
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
