@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars
+from courtside.plans import catalog
 from courtside.sources import ingest
 
 
@@ -23,3 +24,9 @@ def test_a_time_is_read_by_the_pattern_it_looks_like(spark):
     one_of = F.coalesce(*[F.try_to_timestamp("t", F.lit(p)) for p in patterns])
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.game_time(F.col("t")).cast("string").alias("got"), one_of.cast("string").alias("want")).collect()
     assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows] and sum(r.got is not None for r in rows) >= 6
+
+
+def test_documents_are_marked_up_after_their_rows_have_met(spark, sf_dir):
+    plan = catalog._game_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    gathering = plan[plan.index("Aggregate") :]
+    assert "collect_list" in gathering and "pllss" not in gathering and "field_goals_made" not in gathering
