@@ -75,13 +75,14 @@ def running_variance(values: Column) -> Column:
     return F.aggregate(values, start, step, lambda s: s["m2"] / F.nullif(s["n"], F.lit(0.0)))
 
 
-def profile_metrics(df: DataFrame, profile: list[str], team: list[str], z_of: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
+def profile_metrics(df: DataFrame, profile: list[str], team: list[str], z_of: tuple[str, ...] = (), carried: tuple[str, ...] = (), events: DataFrame | None = None) -> DataFrame:
     """A01-A08 with W01-W03: totals, spread, per-36 rates, share of the team, recent form of each profile.
 
     ``profile`` must contain the columns of ``team``. The spread columns follow the offensive rating, as the reference
     semantics do; ``*_points`` columns hold the same figures for points. Ratings that are equal but for their last digit
     have a spread or none by the order they are added in, so the rating's variance runs from the newest event on. ``z_of`` names metrics whose event z-scores
-    ``z_<metric>`` are averaged, ``carried`` columns of which the greatest value is kept.
+    ``z_<metric>`` are averaged, ``carried`` columns of which the greatest value is kept. ``events`` are the same rows before a shuffle that
+    ``df`` has gone through; the teams' totals are combined from them.
     """
     c = F.col
     newest = F.row_number().over(Window.partitionBy(*profile).orderBy(*[F.desc(x) for x in ORDER]))
@@ -119,7 +120,8 @@ def profile_metrics(df: DataFrame, profile: list[str], team: list[str], z_of: tu
             **{f"{x}_36": F.when(c("total_minutes") > 0, F.coalesce(per_36(c(f"total_{x}"), c("total_minutes")), F.lit(0.0))) for x in TOTALS},
         }
     )
-    whole = out.groupBy(*team).agg(F.sum("total_points").alias("team_points"), F.sum("total_minutes").alias("team_minutes"), F.avg("avg_ts").alias("team_ts"), F.avg("avg_usg").alias("team_usg"))
+    own = (df if events is None else events).groupBy(*profile).agg(F.sum("points").alias("total_points"), F.sum("minutes").alias("total_minutes"), F.avg("ts").alias("avg_ts"), F.nullif(F.avg("usg"), F.lit(0.0)).alias("avg_usg"))
+    whole = own.groupBy(*team).agg(F.sum("total_points").alias("team_points"), F.sum("total_minutes").alias("team_minutes"), F.avg("avg_ts").alias("team_ts"), F.avg("avg_usg").alias("team_usg"))
     share = lambda a, b: ratio(F.nullif(c(a).cast("double"), F.lit(0.0)), c(b))
     return out.join(whole, team).withColumns({"points_share": share("total_points", "team_points"), "minutes_share": share("total_minutes", "team_minutes"), "ts_vs_team": share("avg_ts", "team_ts"), "usage_vs_team": share("avg_usg", "team_usg")}).drop("var_ortg", "var_points", "team_points", "team_minutes", "team_ts", "team_usg")
 

@@ -51,9 +51,12 @@ def context_stats(df: DataFrame, context: list[str], metrics: list[str], least_m
     return df.groupBy(*context).agg(*aggs)
 
 
-def normalised(df: DataFrame, context: list[str], metrics: list[str], least_minutes: float = 10.0) -> DataFrame:
-    """The z-score of every row in its context, in columns ``z_<metric>``."""
-    stats = small_side(context_stats(df, context, metrics, least_minutes))  # a row a context, which would else shuffle all events by a few keys
+def normalised(df: DataFrame, context: list[str], metrics: list[str], least_minutes: float = 10.0, events: DataFrame | None = None) -> DataFrame:
+    """The z-score of every row in its context, in columns ``z_<metric>``.
+
+    ``events`` are the same rows before a shuffle that ``df`` has gone through, which the statistics then do without.
+    """
+    stats = small_side(context_stats(df if events is None else events, context, metrics, least_minutes))  # a row a context, which would else shuffle all events by a few keys
     joined = df.join(stats, context)
     return joined.withColumns({f"z_{m}": z_score(F.col(m), F.col(f"{m}_mean"), F.col(f"{m}_std")) for m in metrics}).drop(*[f"{m}_{s}" for m in metrics for s in ("mean", "std")])
 
