@@ -207,7 +207,7 @@ def w04_latest_profiles(spark, sf_dir):
 @query(f"""SELECT confidence, count(*) AS pairs, count(*) FILTER (id1 % 5 = 0) AS confirmed, count(*) FILTER (id1 % 5 = 1) AS rejected, count(*) FILTER (id1 % 5 > 1) AS pending FROM ({MATCH}) WHERE confidence IN ('very_high', 'high') GROUP BY 1""")
 def r30_validated(spark, sf_dir):
     """Decisions applied to the candidates of a high confidence, counted by status."""
-    pairs = saved(identity.candidates(bind.view(spark, sf_dir, bind.PROFILES), 0.7).where(F.col("confidence").isin("very_high", "high")))
+    pairs = saved(identity.candidates(bind.view(spark, sf_dir, bind.PROFILES), 0.7).where(F.col("confidence").isin("very_high", "high")).select("id1", "id2", "confidence"))
     decisions = pairs.where("id1 % 5 < 2").select("id1", "id2", F.when(F.col("id1") % 5 == 0, "confirmed").otherwise("rejected").alias("status"))
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return identity.validated(pairs, decisions).groupBy("confidence").agg(F.count("*").alias("pairs"), count("confirmed"), count("rejected"), count("pending"))
