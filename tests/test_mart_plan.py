@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from courtside.operators import mart
-from courtside.plans import catalog
+from courtside.plans import catalog, model
 
 
 def test_events_meet_their_sides_without_a_shuffle(spark, sf_dir):
@@ -48,3 +48,16 @@ def test_games_and_teams_that_repeat_multiply_rows_of_the_mart_alone(spark, sf_d
     whole = m.agg(F.count("*"), F.sum("games"), F.sum("points")).first()
     m.unpersist()
     assert tuple(got) == want and tuple(whole) == again
+
+
+def test_no_copy_of_a_row_is_shuffled_to_be_explained(spark):
+    class Sum:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("a") + 10 * F.col("b"))
+
+    rows = spark.range(50).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    out = model.explained(Sum(), rows, ["a", "b"], {"a": 1.0, "b": 2.0}, "k", 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # the shuffle comes first
+    got = {r.k: (r.prediction, r.top_features[0].feature, r.top_features[0].effect) for r in out.collect()}
+    assert got[3] == (33.0, "b", 10.0) and got[49] == (49.0, "a", 48.0) and len(got) == 50
