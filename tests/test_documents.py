@@ -30,3 +30,12 @@ def test_documents_are_marked_up_after_their_rows_have_met(spark, sf_dir):
     plan = catalog._game_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     gathering = plan[plan.index("Aggregate") :]
     assert "collect_list" in gathering and "pllss" not in gathering and "field_goals_made" not in gathering
+
+
+def test_documents_are_kept_in_columns_and_figures_alone_are_dealt_to_sides(spark, sf_dir, monkeypatch):
+    seen, assigned = [], ingest.assigned_sides
+    monkeypatch.setattr(ingest, "assigned_sides", lambda players, *more: seen.append(players) or assigned(players, *more))
+    plan = catalog.QUERIES["n06_flattened_documents"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+    texts = {f.name for f in seen[0].schema["row"].dataType.fields if f.dataType.simpleString() == "string"}
+    assert "p" not in seen[0].columns and texts <= {"player_key", "player_name", "shirt"}
